@@ -31,10 +31,12 @@ def sentence_profile(tags) -> Column:
 def label_distribution(df: DataFrame, group: list[str], tags: str) -> DataFrame:
     """Token count and share per (group, label). Tokens are counted per row
     first (in-row filters), so only (group, label, count) partials shuffle."""
+    def equals(k):
+        return lambda x: x == k  # one-argument lambda: PySpark reads two as (x, index)
+
     per_row = df.select(*group, F.explode(F.array(*[
-        F.struct(F.lit(k).alias("label_id"),
-                 F.size(F.filter(tags, lambda x, k=k: x == k)).alias("n")) for k in (0, 1, 2)]))
-        .alias("_c"))
+        F.struct(F.lit(k).alias("label_id"), F.size(F.filter(tags, equals(k))).alias("n"))
+        for k in (0, 1, 2)])).alias("_c"))
     counts = (per_row.groupBy(*group, F.col("_c.label_id").alias("label_id"))
               .agg(F.sum("_c.n").cast("long").alias("n")))
     w = Window.partitionBy(*group)

@@ -56,9 +56,42 @@ def doc_lexicon(spark, sf_dir) -> DataFrame:
     return tagging.build_lexicon(toks)
 
 
+TAG_KEYS = DOC_KEYS + ["source"]
+
+
 def tagged_doc_lines(spark, sf_dir) -> DataFrame:
+    """``(doc_id, line_no, source, tokens, ner_tags)`` via the native lexicon."""
     clean = clean_doc_lines(spark, sf_dir)
-    return tagging.tag_lines(clean, doc_lexicon(spark, sf_dir), DOC_KEYS, "text", LANG_TAGS)
+    return tagging.tag_lines(clean, doc_lexicon(spark, sf_dir), TAG_KEYS, "text", LANG_TAGS)
+
+
+class StubTagger:
+    """Deterministic stand-in for a word-language model: ASCII words -> EN,
+    other alphabetic words -> MS, everything else -> O."""
+
+    def __call__(self, tokens):
+        return ["EN" if t.isascii() and t.isalpha() else "MS" if t.isalpha() else "O" for t in tokens]
+
+
+class StubEncoder:
+    """Deterministic stand-in for a sub-word tokenizer: 4-character pieces;
+    id = code point of the piece's first character; 101/102 specials."""
+
+    def __call__(self, tokens):
+        ids, words = [101], [None]
+        for i, t in enumerate(tokens):
+            pieces = [t[j:j + 4] for j in range(0, len(t), 4)] or [t]
+            ids += [ord(p[0]) if p else 0 for p in pieces]
+            words += [i] * len(pieces)
+        return ids + [102], words + [None]
+
+
+class StubScorer:
+    """Deterministic stand-in for a token classifier: three logits per id."""
+
+    def __call__(self, batch):
+        return [[[round((x % 7) / 7.0, DIGITS), round((x % 11) / 11.0, DIGITS),
+                  round((x % 13) / 13.0, DIGITS)] for x in seq] for seq in batch]
 
 
 def corpus_sources(spark, sf_dir, with_pos: bool = False) -> list[DataFrame]:

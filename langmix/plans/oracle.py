@@ -365,3 +365,115 @@ SELECT c.sentence_id,
   CASE WHEN t.sentence_id IS NOT NULL THEN {r6('w.r_raw')} ELSE {r6('greatest(0.0, least(greatest(0.0, least(c.mean_conf, 1.0)) * 0.972, 1.0))')} END AS recall,
   CASE WHEN t.sentence_id IS NOT NULL THEN {r6('w.f_raw')} ELSE {r6('greatest(0.0, least(2 * greatest(0.0, least(c.mean_conf, 1.0)) * 0.978 / (greatest(0.0, least(c.mean_conf, 1.0)) + 0.978), 1.0))')} END AS f1
 FROM conf c LEFT JOIN t USING (sentence_id) LEFT JOIN w USING (sentence_id)"""
+
+# --------------------------------------------------------------- tagging -----
+
+_LANG_ID = "CASE l.lang " + " ".join(
+    f"WHEN '{k}' THEN {2 if v == 'EN' else 1}" for k, v in C.LANG_TAGS.items()) + " ELSE 0 END"
+
+TAG_CTES = rf"""{DOC_CTES},
+lex_tokens AS (SELECT lower(unnest(string_split(text, ' '))) AS token, lang FROM clean_lines),
+lex_counts AS (SELECT token, lang, count(*) AS n FROM lex_tokens
+               WHERE regexp_matches(token, '^\p{{L}}+$') AND lang IS NOT NULL GROUP BY token, lang),
+lex_best AS (SELECT token, sum(n) AS total, arg_min(lang, (-n, lang)) AS lang, max(n) AS n
+             FROM lex_counts GROUP BY token),
+lexicon AS (SELECT token, lang, n::BIGINT AS n, total::BIGINT AS total FROM lex_best
+            WHERE total >= 2 AND n * 100 >= total * 60),
+tok AS (SELECT doc_id, line_no, source, generate_subscripts(toks, 1) - 1 AS pos, unnest(toks) AS token
+        FROM (SELECT doc_id, line_no, source, string_split(text, ' ') AS toks FROM clean_lines)),
+tagged_tok AS (SELECT t.*, coalesce({_LANG_ID}, 0) AS tag
+               FROM tok t LEFT JOIN lexicon l ON lower(t.token) = l.token),
+tagged AS (SELECT doc_id, line_no, source, list(token ORDER BY pos) AS tokens, list(tag ORDER BY pos) AS tags
+           FROM tagged_tok GROUP BY doc_id, line_no, source)"""
+
+
+def joined(x: str) -> str:
+    return f"array_to_string(list_transform({x}, lambda v: coalesce(v::VARCHAR, 'N')), ' ')"
+
+
+SQL["lexicon"] = f"WITH {TAG_CTES} SELECT token, lang, n, total FROM lexicon"
+
+SQL["tag_tokens"] = f"""WITH {TAG_CTES}
+SELECT doc_id, line_no, {joined('tokens')} AS tokens, {joined('tags')} AS ner_tags,
+       len(tokens)::BIGINT AS n_tokens FROM tagged"""
+
+SQL["label_distribution"] = f"""WITH {TAG_CTES},
+c AS (SELECT t.source, l.y AS label_id, sum(len(list_filter(t.tags, lambda x: x = l.y))) AS n
+      FROM tagged t, (VALUES (0), (1), (2)) l(y) GROUP BY t.source, l.y)
+SELECT source, label_id::BIGINT AS label_id, n::BIGINT AS n,
+       {r6('CASE WHEN sum(n) OVER (PARTITION BY source) > 0 THEN n / sum(n) OVER (PARTITION BY source) END')} AS share
+FROM c"""
+
+SQL["sentence_profile"] = f"""WITH {TAG_CTES},
+p AS (SELECT doc_id, line_no, tags, list_filter(tags, lambda x: x <> 0) AS nz FROM tagged)
+SELECT doc_id, line_no,
+  len(list_filter(tags, lambda x: x = 0))::BIGINT AS n_o,
+  len(list_filter(tags, lambda x: x = 1))::BIGINT AS n_ms,
+  len(list_filter(tags, lambda x: x = 2))::BIGINT AS n_en,
+  (len(list_filter(tags, lambda x: x = 1)) > 0 AND len(list_filter(tags, lambda x: x = 2)) > 0) AS code_switched,
+  len(list_filter(list_transform(nz, lambda x, i: i > 1 AND nz[i - 1] <> x), lambda b: b))::BIGINT AS switch_points
+FROM p"""
+
+_names = "CASE tags[i] " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in {0: "O", 1: "Malay", 2: "english"}.items()) + " END"
+SQL["parse_tagged"] = f"""WITH {TAG_CTES},
+dec AS (SELECT doc_id, line_no,
+          array_to_string(list_transform(tokens, lambda t, i: '[' || t || '] -> ' || {_names}), ' | ') AS decoded
+        FROM tagged),
+items AS (SELECT doc_id, line_no,
+            list_filter(string_split(decoded, ' | '), lambda it: contains(it, '->')) AS its FROM dec),
+pairs AS (SELECT doc_id, line_no, list_filter(list_transform(its, lambda it: {{
+              'token': trim(replace(replace(split_part(it, '->', 1), '[', ''), ']', '')),
+              'label': upper(trim(split_part(it, '->', 2)))}}),
+            lambda p: lower(p.token) <> 'tag' AND p.token <> '') AS ps FROM items)
+SELECT doc_id, line_no, {joined('list_transform(ps, lambda p: p.token)')} AS tokens,
+  {joined("list_transform(ps, lambda p: CASE WHEN contains(p.label, 'ENG') THEN 2 WHEN contains(p.label, 'MAL') THEN 1 ELSE 0 END)")} AS labels,
+  len(ps)::BIGINT AS n
+FROM pairs"""
+
+SQL["annotate_text"] = f"""WITH {TAG_CTES}
+SELECT doc_id, line_no, trim(array_to_string(list_transform(tokens, lambda t, i:
+  CASE tags[i] WHEN 1 THEN '<span class=''tok-ms''>' || t || '(MS)</span>'
+               WHEN 2 THEN '<span class=''tok-en''>' || t || '(EN)</span>' ELSE t END), ' ')) AS annotated
+FROM tagged"""
+
+_WORDS = "flatten(list_transform(tokens, lambda t, i: list_transform(range(greatest(ceil(length(t) / 4), 1)::BIGINT), lambda j: i - 1)))"
+ALIGN_CTE = f"""{TAG_CTES},
+wi AS (SELECT doc_id, line_no, tags, tokens,
+         [NULL::BIGINT] || ({_WORDS})[1:{C_MAX_LEN - 2 if (C_MAX_LEN := 512) else 0}] || [NULL::BIGINT] AS w FROM tagged),
+al AS (SELECT doc_id, line_no, w, tags, list_transform(w, lambda x, i:
+         CASE WHEN x IS NULL THEN -100 WHEN i > 1 AND w[i - 1] IS NOT DISTINCT FROM x THEN -100
+              ELSE tags[x + 1] END) AS labels FROM wi)"""
+
+SQL["align_array"] = f"""WITH {ALIGN_CTE}
+SELECT doc_id, line_no, {joined('w')} AS word_ids, {joined('labels')} AS labels, len(w)::BIGINT AS n_sub FROM al"""
+
+SQL["align_long"] = f"""WITH {ALIGN_CTE},
+sub AS (SELECT doc_id, line_no, generate_subscripts(w, 1) - 1 AS sub_pos, unnest(w) AS word_idx, tags FROM wi)
+SELECT doc_id, line_no, sub_pos::BIGINT AS sub_pos, word_idx::BIGINT AS word_idx,
+  (CASE WHEN word_idx IS NULL THEN -100
+        WHEN lag(word_idx) OVER (PARTITION BY doc_id, line_no ORDER BY sub_pos) IS NOT DISTINCT FROM word_idx THEN -100
+        ELSE tags[word_idx + 1] END)::BIGINT AS label
+FROM sub"""
+
+SQL["model_udf_tagger"] = rf"""WITH {DOC_CTES}
+SELECT doc_id, line_no, {joined("string_split(text, ' ')")} AS tokens,
+  {joined("list_transform(string_split(text, ' '), lambda t: CASE WHEN regexp_matches(t, '^[A-Za-z]+$') THEN 2 WHEN regexp_matches(t, '^\\p{L}+$') THEN 1 ELSE 0 END)")} AS ner_tags
+FROM clean_lines"""
+
+_IDS = "flatten(list_transform(tokens, lambda t: list_transform(range(greatest(ceil(length(t) / 4), 1)::BIGINT), lambda j: unicode(substr(t, j * 4 + 1, 1)))))"
+ENC_CTE = f"""{ALIGN_CTE},
+enc AS (SELECT a.doc_id, a.line_no, a.w, a.labels,
+          [101] || ({_IDS})[1:510] || [102] AS ids
+        FROM al a JOIN tagged t USING (doc_id, line_no))"""
+
+SQL["encode_udf"] = f"""WITH {ENC_CTE}
+SELECT doc_id, line_no, {joined('ids')} AS input_ids, {joined('w')} AS word_ids, {joined('labels')} AS labels FROM enc"""
+
+SQL["score_udf"] = f"""WITH {ENC_CTE},
+pos AS (SELECT doc_id, line_no, generate_subscripts(ids, 1) - 1 AS sub_pos, unnest(ids) AS x, unnest(labels) AS y
+        FROM enc),
+lg AS (SELECT doc_id, line_no, sub_pos, y,
+         [round((x % 7) / 7.0, 6), round((x % 11) / 11.0, 6), round((x % 13) / 13.0, 6)] AS l FROM pos WHERE y <> -100),
+ex AS (SELECT *, list_transform(l, lambda v: exp(v - list_max(l))) AS e FROM lg)
+SELECT doc_id, line_no, sub_pos::BIGINT AS sub_pos, y::BIGINT AS y_true,
+  (list_position(l, list_max(l)) - 1)::BIGINT AS y_pred, {r6('list_max(e) / list_sum(e)')} AS conf FROM ex"""

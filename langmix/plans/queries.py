@@ -309,3 +309,125 @@ QUERIES = {
     "best_by_metric": best_by_metric,
     "metric_select": metric_select,
 }
+
+
+# --------------------------------------------------------------- tagging -----
+
+from langmix.functions import arrays as A  # noqa: E402
+from langmix.operators import align as AL  # noqa: E402
+from langmix.operators import profile as PR  # noqa: E402
+from langmix.operators import tagging as TG  # noqa: E402
+from langmix.plans.common import (TAG_KEYS, StubEncoder, StubScorer, StubTagger,  # noqa: E402
+                                  doc_lexicon, tagged_doc_lines)
+
+KEY_SCHEMA = "doc_id bigint, line_no bigint"
+PARSE_NAMES = {0: "O", 1: "Malay", 2: "english"}
+
+
+def _joined(c):
+    return F.array_join(F.col(c).cast("array<string>") if isinstance(c, str) else c.cast("array<string>"),
+                        " ", "N")
+
+
+def lexicon(spark, sf):
+    return doc_lexicon(spark, sf).select("token", "lang", "n", "total")
+
+
+def tag_tokens(spark, sf):
+    t = tagged_doc_lines(spark, sf)
+    return t.select("doc_id", "line_no", _joined("tokens").alias("tokens"),
+                    _joined("ner_tags").alias("ner_tags"), F.size("tokens").cast("long").alias("n_tokens"))
+
+
+def label_distribution(spark, sf):
+    d = PR.label_distribution(tagged_doc_lines(spark, sf), ["source"], "ner_tags")
+    return d.select("source", F.col("label_id").cast("long"), "n", r6("share").alias("share"))
+
+
+def sentence_profile(spark, sf):
+    t = tagged_doc_lines(spark, sf)
+    p = PR.sentence_profile("ner_tags")
+    return t.select("doc_id", "line_no", *[p[k].cast("long").alias(k) for k in ("n_o", "n_ms", "n_en")],
+                    p["code_switched"].alias("code_switched"),
+                    p["switch_points"].cast("long").alias("switch_points"))
+
+
+def parse_tagged(spark, sf):
+    t = tagged_doc_lines(spark, sf)
+    decoded = L.format_tagged("tokens", "ner_tags", PARSE_NAMES)
+    parsed = L.parse_tagged(decoded)
+    return t.select("doc_id", "line_no", _joined(parsed["token"]).alias("tokens"),
+                    _joined(parsed["label_id"]).alias("labels"), F.size(parsed).cast("long").alias("n"))
+
+
+def annotate_text(spark, sf):
+    t = tagged_doc_lines(spark, sf)
+    return t.select("doc_id", "line_no", L.annotate("tokens", "ner_tags", html=True).alias("annotated"))
+
+
+def _aligned(spark, sf):
+    t = tagged_doc_lines(spark, sf)
+    w = AL.piece_word_ids("tokens")
+    return t.select("doc_id", "line_no", "ner_tags", w.alias("word_ids")).withColumn(
+        "labels", AL.align_labels("word_ids", "ner_tags"))
+
+
+def align_array(spark, sf):
+    a = _aligned(spark, sf)
+    return a.select("doc_id", "line_no", _joined("word_ids").alias("word_ids"),
+                    _joined("labels").alias("labels"), F.size("word_ids").cast("long").alias("n_sub"))
+
+
+def align_long(spark, sf):
+    t = tagged_doc_lines(spark, sf)
+    sub = t.select("doc_id", "line_no", F.posexplode(AL.piece_word_ids("tokens")).alias("sub_pos", "word_idx"))
+    words = t.select("doc_id", "line_no", F.posexplode("ner_tags").alias("word_idx", "label"))
+    out = AL.align_long(sub, words, ["doc_id", "line_no"])
+    return out.select("doc_id", "line_no", F.col("sub_pos").cast("long"),
+                      F.col("word_idx").cast("long"), F.col("label").cast("long"))
+
+
+def model_udf_tagger(spark, sf):
+    clean = clean_doc_lines(spark, sf)
+    t = TG.model_tag_lines(clean, ["doc_id", "line_no"], "text", StubTagger, KEY_SCHEMA)
+    return t.select("doc_id", "line_no", _joined("tokens").alias("tokens"), _joined("ner_tags").alias("ner_tags"))
+
+
+def _encoded(spark, sf):
+    t = tagged_doc_lines(spark, sf)
+    enc = AL.encode_batches(t, ["doc_id", "line_no"], "tokens", KEY_SCHEMA, StubEncoder)
+    return (enc.join(t.select("doc_id", "line_no", "ner_tags"), ["doc_id", "line_no"])
+            .withColumn("labels", AL.align_labels("word_ids", "ner_tags")))
+
+
+def encode_udf(spark, sf):
+    e = _encoded(spark, sf)
+    return e.select("doc_id", "line_no", _joined("input_ids").alias("input_ids"),
+                    _joined("word_ids").alias("word_ids"), _joined("labels").alias("labels"))
+
+
+def score_udf(spark, sf):
+    e = _encoded(spark, sf)
+    s = scoring.score_batches(e, ["doc_id", "line_no"], "input_ids", KEY_SCHEMA, StubScorer)
+    s = s.join(e.select("doc_id", "line_no", "labels"), ["doc_id", "line_no"])
+    rows = s.select("doc_id", "line_no", F.posexplode(F.arrays_zip("logits", "labels")).alias("sub_pos", "z"))
+    rows = rows.where(F.col("z.labels") != L.IGNORE_INDEX)
+    return rows.select("doc_id", "line_no", F.col("sub_pos").cast("long"),
+                       F.col("z.labels").cast("long").alias("y_true"),
+                       A.argmax("z.logits").cast("long").alias("y_pred"),
+                       r6(A.max_prob("z.logits")).alias("conf"))
+
+
+QUERIES.update({
+    "lexicon": lexicon,
+    "tag_tokens": tag_tokens,
+    "label_distribution": label_distribution,
+    "sentence_profile": sentence_profile,
+    "parse_tagged": parse_tagged,
+    "annotate_text": annotate_text,
+    "align_array": align_array,
+    "align_long": align_long,
+    "model_udf_tagger": model_udf_tagger,
+    "encode_udf": encode_udf,
+    "score_udf": score_udf,
+})
