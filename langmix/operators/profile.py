@@ -58,7 +58,7 @@ def preview(lines: DataFrame, n: int, schema: str, line_no: str = "line_no",
     parsed = F.from_json(F.col(value), schema)
     bad = _bad_json(F.col(value), schema)
     return first.select(
-        line_no, bad.alias("is_bad"),
+        line_no, bad.alias("is_bad"), F.when(~bad, parsed).alias("record"),
         F.when(~bad, F.to_json(parsed, {"pretty": "true"})).otherwise(F.trim(F.col(value)))
         .alias("content"))
 

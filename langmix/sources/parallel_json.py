@@ -1,0 +1,261 @@
+"""Incremental reader for JSON files holding large parallel arrays.
+
+A file holds one or more top-level objects (one object is the usual case;
+JSON Lines also works); each object may carry arrays under any keys
+(``train_X`` texts, ``train_Y`` labels). The reader has one input
+partition per (file, key), streams the file with bounded memory (only the
+current element is decoded; other values are skipped by a bracket scanner)
+and yields ``(file, key, pos, text, is_string, kind)``. Positions count
+across the objects of a file. Texts and labels are paired afterwards with
+an equi-join on ``(file, pos)`` (see :func:`paired_items`), which stops at
+the shorter array like Python ``zip``.
+
+On a parse error the items read so far are kept (``onError=keepPrefix``,
+the default) or the task fails (``onError=fail``). ``maxItems`` stops a
+(file, key) after that many raw items. Paths go through ``pyarrow.fs`` so
+local, HDFS and object-store paths work alike."""
+
+from __future__ import annotations
+
+import codecs
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+SCHEMA = "file string, key string, pos bigint, text string, is_string boolean, kind string"
+CHUNK = 1 << 20
+_WS = " \t\r\n"
+
+
+class _Incomplete(Exception):
+    pass
+
+
+class _Stream:
+    """A growing text buffer over a byte stream, decoded as UTF-8 across
+    chunk borders; consumed text is dropped so memory stays bounded."""
+
+    def __init__(self, raw):
+        self.raw = raw
+        self.dec = codecs.getincrementaldecoder("utf-8")()
+        self.buf = ""
+        self.i = 0
+        self.eof = False
+
+    def fill(self) -> bool:
+        if self.eof:
+            return False
+        chunk = self.raw.read(CHUNK)
+        if not chunk:
+            self.eof = True
+            self.buf = self.buf[self.i:] + self.dec.decode(b"", final=True)
+            self.i = 0
+            return True
+        self.buf = self.buf[self.i:] + self.dec.decode(chunk)
+        self.i = 0
+        return True
+
+    def peek(self) -> str:
+        while True:
+            while self.i < len(self.buf) and self.buf[self.i] in _WS:
+                self.i += 1
+            if self.i < len(self.buf):
+                return self.buf[self.i]
+            if not self.fill():
+                return ""
+
+    def expect(self, ch: str):
+        if self.peek() != ch:
+            raise ValueError(f"expected {ch!r}")
+        self.i += 1
+
+    def value(self, decoder=json.JSONDecoder()):
+        """Decode one value; refill when the buffer ends inside it."""
+        self.peek()
+        while True:
+            try:
+                v, end = decoder.raw_decode(self.buf, self.i)
+                if end < len(self.buf) or self.eof:
+                    self.i = end
+                    return v
+            except json.JSONDecodeError:
+                if self.eof:
+                    raise
+            if not self.fill():
+                raise ValueError("truncated value")
+
+    def skip(self):
+        """Skip one value without building it (strings/brackets aware)."""
+        c = self.peek()
+        if c not in "[{\"":
+            self.value()
+            return
+        depth, in_str, esc = 0, False, False
+        while True:
+            if self.i >= len(self.buf) and not self.fill():
+                raise ValueError("truncated value")
+            ch = self.buf[self.i]
+            self.i += 1
+            if in_str:
+                if esc:
+                    esc = False
+                elif ch == "\\":
+                    esc = True
+                elif ch == '"':
+                    in_str = False
+                    if depth == 0:
+                        return
+            elif ch == '"':
+                in_str = True
+            elif ch in "[{":
+                depth += 1
+            elif ch in "]}":
+                depth -= 1
+                if depth == 0:
+                    return
+
+
+def _kind(v) -> str:
+    if v is None:
+        return "VOID"
+    if isinstance(v, bool):
+        return "BOOLEAN"
+    if isinstance(v, int):
+        return "BIGINT"
+    if isinstance(v, float):
+        return "DOUBLE"
+    if isinstance(v, str):
+        return "STRING"
+    return "ARRAY" if isinstance(v, list) else "OBJECT"
+
+
+def iter_array(raw, key: str, max_items: int | None = None, on_error: str = "keepPrefix"):
+    """Yield ``(pos, value)`` for the items under ``key`` in every top-level
+    object of the stream."""
+    s = _Stream(raw)
+    pos = 0
+    try:
+        while s.peek() == "{":
+            s.expect("{")
+            if s.peek() == "}":
+                s.expect("}")
+                continue
+            while True:
+                name = s.value()
+                s.expect(":")
+                if name == key and s.peek() == "[":
+                    s.expect("[")
+                    if s.peek() == "]":
+                        s.expect("]")
+                    else:
+                        while True:
+                            if max_items is not None and pos >= max_items:
+                                return
+                            yield pos, s.value()
+                            pos += 1
+                            c = s.peek()
+                            s.expect(c if c in ",]" else ",")
+                            if c == "]":
+                                break
+                else:
+                    s.skip()
+                c = s.peek()
+                s.expect(c if c in ",}" else ",")
+                if c == "}":
+                    break
+        if s.peek() != "":
+            raise ValueError("unexpected content")
+    except (ValueError, json.JSONDecodeError):
+        if on_error == "fail":
+            raise
+
+
+class _Part(InputPartition):
+    def __init__(self, file: str, key: str):
+        super().__init__((file, key))
+        self.file = file
+        self.key = key
+
+
+def _local(path: str) -> str:
+    """``file:/x`` and ``file:///x`` -> ``/x``; other URIs unchanged."""
+    if path.startswith("file://"):
+        return path[len("file://"):]
+    if path.startswith("file:"):
+        return path[len("file:"):]
+    return path
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, options):
+        self.path = _local(options["path"])
+        self.keys = [k.strip() for k in options.get("keys", "train_X,train_Y").split(",") if k.strip()]
+        self.max_items = int(options["maxItems"]) if options.get("maxItems") else None
+        self.on_error = options.get("onError", "keepPrefix")
+
+    def _files(self):
+        from pyarrow import fs as pafs
+        f, root = pafs.FileSystem.from_uri(self.path) if "://" in self.path else (pafs.LocalFileSystem(), self.path)
+        info = f.get_file_info(root)
+        if info.type == pafs.FileType.Directory:
+            sel = pafs.FileSelector(root, recursive=True)
+            out = [i.path for i in f.get_file_info(sel)
+                   if i.type == pafs.FileType.File and not i.base_name.startswith(("_", "."))]
+        elif info.type == pafs.FileType.File:
+            out = [root]
+        else:
+            out = []
+        return sorted(out)
+
+    def partitions(self):
+        return [_Part(f, k) for f in self._files() for k in self.keys]
+
+    def read(self, partition):
+        from pyarrow import fs as pafs
+        f = pafs.FileSystem.from_uri(self.path)[0] if "://" in self.path else pafs.LocalFileSystem()
+        with f.open_input_stream(partition.file) as raw:
+            for pos, v in iter_array(raw, partition.key, self.max_items, self.on_error):
+                is_str = isinstance(v, str)
+                yield (partition.file, partition.key, pos, v if is_str else json.dumps(v),
+                       is_str, _kind(v))
+
+
+class ParallelJsonSource(DataSource):
+    @classmethod
+    def name(cls):
+        return "parallel_json"
+
+    def schema(self):
+        return SCHEMA
+
+    def reader(self, schema):
+        return _Reader(self.options)
+
+
+def read_parallel_json(spark: SparkSession, path: str, keys=("train_X", "train_Y"),
+                       max_items: int | None = None, on_error: str = "keepPrefix") -> DataFrame:
+    spark.dataSource.register(ParallelJsonSource)
+    r = (spark.read.format("parallel_json").option("path", path).option("keys", ",".join(keys))
+         .option("onError", on_error))
+    if max_items is not None:
+        r = r.option("maxItems", str(max_items))
+    return r.load()
+
+
+def paired_items(items: DataFrame, text_key: str = "train_X", label_key: str = "train_Y") -> DataFrame:
+    """Positional zip of a text array and a label array of the same file:
+    an inner equi-join on ``(file, pos)`` (stops at the shorter array). A
+    non-string label pairs as null, so it never passes a label filter."""
+    t = items.where(F.col("key") == text_key).select("file", "pos", "text", "is_string")
+    lab = items.where(F.col("key") == label_key).select(
+        "file", "pos", F.when(F.col("is_string"), F.col("text")).alias("label"))
+    return t.join(lab, ["file", "pos"])
+
+
+def land(df: DataFrame, path: str) -> DataFrame:
+    """Write the scan once as Parquet; later stages read the columnar copy
+    (splittable, filter pushdown) instead of re-parsing the JSON."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
