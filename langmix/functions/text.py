@@ -79,20 +79,34 @@ def token_count_squeezed(c) -> Column:
     return F.when(c == "", F.lit(0)).otherwise(F.size(F.split(c, " ")))
 
 
+def guarded_rules(raw) -> list[tuple]:
+    """The rewrite rules in reference order as ``(guard, pattern,
+    replacement)``. ``guard`` is a cheap test on the *raw* text that is
+    false only when the rule cannot match any intermediate text (None =
+    always run)."""
+    raw = _c(raw)
+    has_digit = raw.rlike(r"(?U)\d")
+    return [
+        (raw.contains("("), DATE_STAMP, " "),
+        (raw.contains("["), CLOCK_STAMP, " "),
+        (raw.contains("http") | raw.contains("www"), URL, ""),
+        (raw.contains("@"), MENTION, ""),
+        (raw.contains("#"), HASHTAG, "$1"),
+        (has_digit, LONG_DIGITS, ""),
+        (has_digit, MY_PHONE, ""),
+        (raw.contains("~") | raw.contains("=") | raw.contains("+") | raw.contains("/")
+         | raw.contains("|"), SYMBOLS, " "),
+        (raw.contains("."), ELLIPSIS, " ... "),
+        (None, PUNCT, " $1 "),
+    ]
+
+
 def clean_core(c) -> Column:
     """The rewriting part of clean_text (rules applied in reference order),
     without the discard decisions. Returns the squeezed text."""
     t = _c(c)
-    t = F.regexp_replace(t, DATE_STAMP, " ")
-    t = F.regexp_replace(t, CLOCK_STAMP, " ")
-    t = F.regexp_replace(t, URL, "")
-    t = F.regexp_replace(t, MENTION, "")
-    t = F.regexp_replace(t, HASHTAG, "$1")
-    t = F.regexp_replace(t, LONG_DIGITS, "")
-    t = F.regexp_replace(t, MY_PHONE, "")
-    t = F.regexp_replace(t, SYMBOLS, " ")
-    t = F.regexp_replace(t, ELLIPSIS, " ... ")
-    t = F.regexp_replace(t, PUNCT, " $1 ")
+    for _, pattern, replacement in guarded_rules(t):
+        t = F.regexp_replace(t, pattern, replacement)
     return F.trim(F.regexp_replace(t, WS_RUN, " "))
 
 

@@ -10,6 +10,7 @@ from langmix.functions.arrays import argmax, max_prob
 from langmix.functions.labels import IGNORE_INDEX
 from langmix.functions.text import normalize_text, split_ws
 from langmix.operators import cleaning, corpus, tagging
+from langmix.session import materialize, spread
 
 # --- Fixed values (binding parameters) ---------------------------------------
 LANG_TAGS = {"en": "EN", "fr": "MS"}   # stand-ins for English / Malay
@@ -31,8 +32,13 @@ FALLBACK = "Ground truth not found: fallback to model metrics"
 DOC_KEYS = ["doc_id", "line_no"]
 
 
+# text tables and their keys: spread over all cores when small (see session.spread)
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
 def r6(c) -> F.Column:
@@ -50,19 +56,24 @@ def clean_doc_lines(spark, sf_dir) -> DataFrame:
                                 ["doc_id", "lang", "source", "line_no"])
 
 
-def doc_lexicon(spark, sf_dir) -> DataFrame:
-    clean = clean_doc_lines(spark, sf_dir)
+def lexicon_from(clean: DataFrame) -> DataFrame:
     toks = clean.select(F.explode(split_ws("text")).alias("token"), "lang")
     return tagging.build_lexicon(toks)
 
 
+def doc_lexicon(spark, sf_dir) -> DataFrame:
+    return lexicon_from(clean_doc_lines(spark, sf_dir))
+
+
 TAG_KEYS = DOC_KEYS + ["source"]
 
 
 def tagged_doc_lines(spark, sf_dir) -> DataFrame:
     """``(doc_id, line_no, source, tokens, ner_tags)`` via the native lexicon."""
-    clean = clean_doc_lines(spark, sf_dir)
-    return tagging.tag_lines(clean, doc_lexicon(spark, sf_dir), TAG_KEYS, "text", LANG_TAGS)
+    # cleaned once, used twice (lexicon and tagging): checkpointed to the
+    # shared folder so neither use recomputes the regex chain
+    clean = materialize(clean_doc_lines(spark, sf_dir))
+    return tagging.tag_lines(clean, lexicon_from(clean), TAG_KEYS, "text", LANG_TAGS)
 
 
 class StubTagger:

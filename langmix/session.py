@@ -58,6 +58,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+SMALL_INPUT_BYTES = 1 << 30
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Total size of the files behind a scan (driver-side listing only)."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for f in df.inputFiles():
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        total += p.getFileSystem(conf).getFileStatus(p).getLen()
+    return total
+
+
+def spread(df: DataFrame, key: str | None = None, limit: int = SMALL_INPUT_BYTES) -> DataFrame:
+    """Spread a *small* scan over all cores. A file written as one row group
+    is read by one task however it is split; below ``limit`` bytes a hash
+    repartition on ``key`` costs little and buys full parallelism. Large
+    inputs already arrive in many splits and are left alone (no shuffle)."""
+    spark = df.sparkSession
+    n = spark.sparkContext.defaultParallelism
+    if input_bytes(df) >= limit:
+        return df
+    return df.repartition(n, key) if key else df.repartition(n)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: writes to the shared folder and cuts lineage,
     so a lost executor never forces recomputation of the upstream plan."""
