@@ -64,8 +64,11 @@ def squeeze_ws(c) -> Column:
 
 
 def split_ws(c) -> Column:
-    """Python ``str.split()``: tokens between whitespace runs, no empties."""
-    return F.filter(F.split(_c(c), WS_RUN), lambda t: t != "")
+    """Python ``str.split()``: tokens between whitespace runs, no empties.
+    Written without a lambda (strip, then split) so it stays inside
+    whole-stage codegen."""
+    s = strip_ws(c)
+    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, WS_RUN))
 
 
 def split_lines(c) -> Column:

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from langmix.operators.ordering import grouped_rank
+
 
 def insert_if_absent(base: DataFrame, incoming: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """``INSERT OR IGNORE``: existing rows win; among incoming rows with the
@@ -26,8 +28,14 @@ def rows_exist(df: DataFrame, keys_df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def history(chats: DataFrame, user_col: str, id_col: str, user=None) -> DataFrame:
-    """Newest-first history with the position as a column; one user when
-    ``user`` is given, else every user's (partitioned window)."""
-    src = chats if user is None else chats.where(F.col(user_col) == F.lit(user))
-    w = Window.partitionBy(user_col).orderBy(F.col(id_col).desc())
-    return src.withColumn("recency", F.row_number().over(w))
+    """Newest-first history with the position (``recency``, 1 = newest).
+
+    For one user (the request path) the key filter reaches the scan and the
+    ordering runs on that user's rows. For all users the position comes from
+    ``grouped_rank``, so a user holding a third of all rows is still spread
+    over many tasks instead of one window partition."""
+    if user is not None:
+        src = chats.where(F.col(user_col) == F.lit(user))
+        w = Window.partitionBy(user_col).orderBy(F.col(id_col).desc())
+        return src.withColumn("recency", F.row_number().over(w))
+    return grouped_rank(chats, [user_col], [F.col(id_col).desc()], "recency")

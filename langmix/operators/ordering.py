@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from langmix.session import materialize
+from langmix.session import materialize  # noqa: E402
 
 
 def global_rank(df: DataFrame, order_cols: list, name: str = "rank",
@@ -31,3 +31,28 @@ def global_rank(df: DataFrame, order_cols: list, name: str = "rank",
     return (tagged.join(F.broadcast(offsets), "_part")
             .withColumn(name, F.col("_off") + F.col("_mid") - F.shiftleft("_part", 33) + 1)
             .drop("_mid", "_part", "_off"))
+
+
+GROUP_BROADCAST_MAX_ROWS = 2_000_000
+
+
+def grouped_rank(df: DataFrame, group_cols: list[str], order_cols: list, name: str = "rank",
+                 num_partitions: int | None = None) -> DataFrame:
+    """Row number restarting per group, without a per-group window.
+
+    A window would sort each group inside one task, so a group holding a
+    third of all rows would land whole on one executor. Instead rows are
+    ranked globally by ``(group, order)`` (range partitioning splits a hot
+    group over many tasks) and each group's first global rank is subtracted.
+    The per-group starts come from a partial aggregation (one row per task
+    and group) and are broadcast only under a counted bound."""
+    ranked = global_rank(df, [*group_cols, *order_cols], "_g", num_partitions)
+    keys = {c: f"_k{i}" for i, c in enumerate(group_cols)}
+    starts = materialize(ranked.groupBy(*group_cols).agg(F.min("_g").alias("_s"))
+                         .select(*[F.col(c).alias(k) for c, k in keys.items()], "_s"))
+    if starts.count() <= GROUP_BROADCAST_MAX_ROWS:
+        starts = F.broadcast(starts)
+    cond = [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()]
+    keep = [c for c in ranked.columns if c != "_g"]
+    return (ranked.join(starts, cond)
+            .select(*keep, (F.col("_g") - F.col("_s") + 1).alias(name)))

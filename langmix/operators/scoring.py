@@ -38,6 +38,31 @@ def mean_confidence(word_rows: DataFrame, sentences: DataFrame, keys: list[str],
                     F.coalesce("_m", F.lit(default)).alias("mean_conf")))
 
 
+def sequence_confidence(step_rows: DataFrame, sentences: DataFrame, keys: list[str],
+                        logits: str = "logits") -> DataFrame:
+    """Generated-sequence confidence: mean over steps of the top softmax
+    probability; ``DEFAULT_CONFIDENCE`` when a sequence has no step."""
+    probs = step_rows.select(*keys, max_prob(logits).alias("conf"))
+    return mean_confidence(probs, sentences, keys)
+
+
+# name -> factory returning a prediction back end; dispatch by model name
+_BACKENDS: dict[str, Callable] = {}
+
+
+def register_backend(name: str, factory: Callable) -> None:
+    _BACKENDS[name] = factory
+
+
+def backend(name: str) -> Callable:
+    """The prediction back end registered under ``name``; an unknown name is
+    an error, never a silent default."""
+    try:
+        return _BACKENDS[name]
+    except KeyError:
+        raise ValueError(f"unknown model {name!r}; registered: {sorted(_BACKENDS)}") from None
+
+
 def _clamp(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(x, F.lit(1.0)))
 

@@ -120,8 +120,10 @@ def corpus_sources(spark, sf_dir, with_pos: bool = False) -> list[DataFrame]:
 
 
 def lookup_key(text_col: str) -> F.Column:
-    """Ground-truth key: normalize the space-joined tokens."""
-    return normalize_text(F.array_join(split_ws(text_col), " "))
+    """Ground-truth key: normalize the space-joined tokens. Non-nullable, so
+    the optimizer infers no ``isnotnull(key)`` filter (which would copy the
+    whole regex chain below the join)."""
+    return F.coalesce(normalize_text(F.array_join(split_ws(text_col), " ")), F.lit(""))
 
 
 def scored_tokens(spark, sf_dir) -> DataFrame:
@@ -142,3 +144,13 @@ def scored_tokens(spark, sf_dir) -> DataFrame:
     return base.select("vec_id", "sentence_id", "pos", "y_true", F.col("_m.model").alias("model"),
                        F.col("_m.logits").alias("logits"),
                        argmax("_m.logits").alias("y_pred"), max_prob("_m.logits").alias("conf"))
+
+
+def _register_stubs():
+    from langmix.operators.scoring import register_backend
+    register_backend("word-stub", StubTagger)
+    register_backend("subword-stub", StubEncoder)
+    register_backend("classifier-stub", StubScorer)
+
+
+_register_stubs()

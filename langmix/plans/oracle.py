@@ -477,3 +477,7 @@ lg AS (SELECT doc_id, line_no, sub_pos, y,
 ex AS (SELECT *, list_transform(l, lambda v: exp(v - list_max(l))) AS e FROM lg)
 SELECT doc_id, line_no, sub_pos::BIGINT AS sub_pos, y::BIGINT AS y_true,
   (list_position(l, list_max(l)) - 1)::BIGINT AS y_pred, {r6('list_max(e) / list_sum(e)')} AS conf FROM ex"""
+
+SQL["sequence_confidence"] = f"""WITH {SCORED_CTE}
+SELECT sentence_id, count(*)::BIGINT AS n_steps, {r6('avg(conf)')} AS mean_conf
+FROM scored WHERE model = 'B' GROUP BY sentence_id"""

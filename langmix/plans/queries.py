@@ -133,12 +133,14 @@ def lookup_last_wins(spark, sf):
     docs = table(spark, sf, "documents")
     truth = (table(spark, sf, "labels").join(docs, "doc_id")
              .select(lookup_key("text").alias("key"), F.col("doc_id").alias("seq"), "quality", "toxic"))
-    last = truth.groupBy("key").agg(F.max_by(F.struct("seq", "quality", "toxic"), "seq").alias("v"))
+    # last wins per key; numeric-only buffers keep this a hash aggregation
+    last = truth.groupBy("key").agg(F.max("seq").alias("truth_seq"),
+                                    F.max_by("quality", "seq").alias("quality"),
+                                    F.max_by("toxic", "seq").alias("toxic"))
     req = docs.select("doc_id", normalize_text("text").alias("key"))
     j = req.join(last, "key", "left")
-    return j.select("doc_id", F.col("v").isNotNull().alias("matched"),
-                    F.col("v.seq").alias("truth_seq"), F.col("v.quality").cast("long").alias("quality"),
-                    F.col("v.toxic").cast("long").alias("toxic"))
+    return j.select("doc_id", F.col("truth_seq").isNotNull().alias("matched"), "truth_seq",
+                    F.col("quality").cast("long").alias("quality"), F.col("toxic").cast("long").alias("toxic"))
 
 
 def chat_history(spark, sf):
@@ -389,7 +391,7 @@ def align_long(spark, sf):
 
 def model_udf_tagger(spark, sf):
     clean = clean_doc_lines(spark, sf)
-    t = TG.model_tag_lines(clean, ["doc_id", "line_no"], "text", StubTagger, KEY_SCHEMA)
+    t = TG.model_tag_lines(clean, ["doc_id", "line_no"], "text", scoring.backend("word-stub"), KEY_SCHEMA)
     return t.select("doc_id", "line_no", _joined("tokens").alias("tokens"), _joined("ner_tags").alias("ner_tags"))
 
 
@@ -431,3 +433,12 @@ QUERIES.update({
     "encode_udf": encode_udf,
     "score_udf": score_udf,
 })
+
+
+def sequence_confidence(spark, sf):
+    s = scored_tokens(spark, sf).where(F.col("model") == MODELS[1])
+    c = scoring.sequence_confidence(s, s.select("sentence_id").distinct(), ["sentence_id"])
+    return c.select("sentence_id", F.col("n_words").alias("n_steps"), r6("mean_conf").alias("mean_conf"))
+
+
+QUERIES["sequence_confidence"] = sequence_confidence

@@ -62,15 +62,9 @@ SMALL_INPUT_BYTES = 1 << 30
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Total size of the files behind a scan (driver-side listing only)."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    total = 0
-    for f in df.inputFiles():
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        total += p.getFileSystem(conf).getFileStatus(p).getLen()
-    return total
+    """Size estimate of a plan from Catalyst statistics: for a file scan it
+    is the listed file size, already known to the driver (no extra I/O)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def spread(df: DataFrame, key: str | None = None, limit: int = SMALL_INPUT_BYTES) -> DataFrame:
