@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from langmix.operators.ordering import grouped_rank
+from langmix.operators.ordering import rank_in_groups
 
 
 def insert_if_absent(base: DataFrame, incoming: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -32,10 +32,11 @@ def history(chats: DataFrame, user_col: str, id_col: str, user=None) -> DataFram
 
     For one user (the request path) the key filter reaches the scan and the
     ordering runs on that user's rows. For all users the position comes from
-    ``grouped_rank``, so a user holding a third of all rows is still spread
-    over many tasks instead of one window partition."""
+    ``rank_in_groups``: a window while every user fits one task, else
+    ``grouped_rank``, so a user holding a third of all rows is spread over
+    many tasks instead of one window partition."""
     if user is not None:
         src = chats.where(F.col(user_col) == F.lit(user))
         w = Window.partitionBy(user_col).orderBy(F.col(id_col).desc())
         return src.withColumn("recency", F.row_number().over(w))
-    return grouped_rank(chats, [user_col], [F.col(id_col).desc()], "recency")
+    return rank_in_groups(chats, [user_col], [F.col(id_col).desc()], "recency")
