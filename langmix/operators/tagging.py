@@ -83,13 +83,12 @@ def model_tag_lines(lines: DataFrame, keys: list[str], text_col: str,
     sentence with all its tokens and returns one tag (EN / MS / other) per
     token. Empty sentences are skipped."""
     src = lines.select(*keys, split_ws(text_col).alias("tokens")).where(F.size("tokens") > 0)
-    to_id = dict(LABEL2ID)
+    to_id = {"EN": LABEL2ID["EN"], "MS": LABEL2ID["MS"]}  # anything else -> O
 
     def run(batches: Iterable[pd.DataFrame]):
         predict = model_factory()
         for pdf in batches:
-            tags = [[to_id.get(p, 0) if p in ("EN", "MS") else 0 for p in predict(list(toks))]
-                    for toks in pdf["tokens"]]
+            tags = [[to_id.get(p, LABEL2ID["O"]) for p in predict(list(toks))] for toks in pdf["tokens"]]
             out = pdf[list(keys)].copy()
             out["tokens"] = pdf["tokens"]
             out["ner_tags"] = tags

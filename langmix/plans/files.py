@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from langmix.functions.labels import IGNORE_INDEX
-from langmix.functions.text import LINE_BREAK, normalize_text, split_lines, strip_ws
+from langmix.functions.text import split_lines, strip_ws
 from langmix.operators import corpus, profile, sampling
 from langmix.plans import oracle as O
-from langmix.plans.common import (KEEP_LANGS, LANG_TAGS, SEED, TAG_KEYS, corpus_sources, doc_lexicon,
-                                  lookup_key, table, tagged_doc_lines)
+from langmix.plans.common import (KEEP_LANGS, LANG_TAGS, SEED, corpus_sources, doc_lexicon, lookup_key,
+                                  table, tagged_doc_lines)
 from langmix.session import materialize, scratch_path
 from langmix.sources import readers, sinks
-from langmix.sources.parallel_json import paired_items, read_parallel_json
+from langmix.sources.parallel_json import land, paired_items, read_parallel_json
 from langmix.streaming.tagging_stream import run_tagging_stream
 
 # --- Fixed values (fault injection and sizes) ---------------------------------
@@ -58,7 +58,7 @@ def preview_jsonl(spark, sf):
 
 
 def lookup_load(spark, sf):
-    t = tagged_doc_lines(spark, sf)
+    t = materialize(tagged_doc_lines(spark, sf))  # three branches read it
     good = t.select("doc_id", "line_no", F.lit(0).alias("kind"),
                     F.to_json(F.struct("tokens", "ner_tags")).alias("line"))
     first_line = F.col("line_no") == 0
@@ -133,7 +133,8 @@ def parallel_json_scan(spark, sf):
     d = table(spark, sf, "documents")
     path = scratch_path(spark, "json-parallel")
     sinks.write_text(_doc_json(d, True), "j", path)
-    items = read_parallel_json(spark, path)
+    # parse the JSON once (one task per file and key), then work on Parquet
+    items = land(read_parallel_json(spark, path), scratch_path(spark, "json-landed"))
     pairs = paired_items(items)
     kept = corpus.label_filter(pairs.where("is_string"), "label", KEEP_LANGS)
     return kept.select(strip_ws("text").alias("sentence")).distinct()

@@ -7,9 +7,7 @@ doubles are rounded to 6 digits so the oracle comparison is exact."""
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from langmix.functions import labels as L
@@ -17,7 +15,7 @@ from langmix.functions.text import normalize_text, prompt, strip_ws
 from langmix.operators import cleaning, corpus, keyed, metrics, sampling, scoring
 from langmix.operators.align import first_subwords
 from langmix.operators.ordering import global_rank
-from langmix.plans.common import (DOC_KEYS, EVAL_K, EVAL_SEED, FALLBACK, KEEP_LANGS, LANG_TAGS,
+from langmix.plans.common import (EVAL_K, EVAL_SEED, FALLBACK, KEEP_LANGS, LANG_TAGS,
                                   MATCHED, MODELS, PREFIX_K, PREFIX_LIMITS, SAMPLE_CAP, SEED,
                                   STEP_SIZE, clean_doc_lines, corpus_sources, doc_lines, lookup_key,
                                   r6, scored_tokens, table)
@@ -319,8 +317,7 @@ from langmix.functions import arrays as A  # noqa: E402
 from langmix.operators import align as AL  # noqa: E402
 from langmix.operators import profile as PR  # noqa: E402
 from langmix.operators import tagging as TG  # noqa: E402
-from langmix.plans.common import (TAG_KEYS, StubEncoder, StubScorer, StubTagger,  # noqa: E402
-                                  doc_lexicon, tagged_doc_lines)
+from langmix.plans.common import StubEncoder, StubScorer, doc_lexicon, tagged_doc_lines  # noqa: E402
 
 KEY_SCHEMA = "doc_id bigint, line_no bigint"
 PARSE_NAMES = {0: "O", 1: "Malay", 2: "english"}
@@ -396,7 +393,8 @@ def model_udf_tagger(spark, sf):
 
 
 def _encoded(spark, sf):
-    t = tagged_doc_lines(spark, sf)
+    from langmix.session import materialize
+    t = materialize(tagged_doc_lines(spark, sf))  # read by the encoder and the label join
     enc = AL.encode_batches(t, ["doc_id", "line_no"], "tokens", KEY_SCHEMA, StubEncoder)
     return (enc.join(t.select("doc_id", "line_no", "ner_tags"), ["doc_id", "line_no"])
             .withColumn("labels", AL.align_labels("word_ids", "ner_tags")))
@@ -409,7 +407,8 @@ def encode_udf(spark, sf):
 
 
 def score_udf(spark, sf):
-    e = _encoded(spark, sf)
+    from langmix.session import materialize
+    e = materialize(_encoded(spark, sf))  # the Python encoder runs once, read twice
     s = scoring.score_batches(e, ["doc_id", "line_no"], "input_ids", KEY_SCHEMA, StubScorer)
     s = s.join(e.select("doc_id", "line_no", "labels"), ["doc_id", "line_no"])
     rows = s.select("doc_id", "line_no", F.posexplode(F.arrays_zip("logits", "labels")).alias("sub_pos", "z"))

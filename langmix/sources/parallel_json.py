@@ -29,10 +29,6 @@ CHUNK = 1 << 20
 _WS = " \t\r\n"
 
 
-class _Incomplete(Exception):
-    pass
-
-
 class _Stream:
     """A growing text buffer over a byte stream, decoded as UTF-8 across
     chunk borders; consumed text is dropped so memory stays bounded."""
