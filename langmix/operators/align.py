@@ -80,26 +80,28 @@ def drop_ignored(df: DataFrame, label_col: str = "label") -> DataFrame:
 def encode_batches(df: DataFrame, keys: list[str], tokens_col: str, key_schema: str,
                    encoder_factory: Callable[[], Callable[[list[str]], tuple[list[int], list]]],
                    max_len: int = MAX_LEN) -> DataFrame:
-    """User sub-word encoder through ``mapInPandas`` (Arrow batches). The
+    """User sub-word encoder through ``mapInArrow`` (Arrow batches). The
     factory runs once per task; the encoder returns ``(input_ids, word_ids)``
     for one pre-split sentence. Truncation to ``max_len`` keeps the first and
     last (special) positions; alignment is then native (``align_labels``)."""
 
-    def run(batches: Iterable[pd.DataFrame]):
+    import pyarrow as pa
+
+    def run(batches):
         encode = encoder_factory()
-        for pdf in batches:
+        for rb in batches:
             ids_col, words_col = [], []
-            for toks in pdf[tokens_col]:
-                ids, words = encode(list(toks))
+            for toks in rb.column(tokens_col).to_pylist():
+                ids, words = encode(toks or [])
                 if len(ids) > max_len:
-                    ids = ids[:max_len - 1] + ids[-1:]
-                    words = words[:max_len - 1] + words[-1:]
+                    ids = list(ids[:max_len - 1]) + list(ids[-1:])
+                    words = list(words[:max_len - 1]) + list(words[-1:])
                 ids_col.append(ids)
                 words_col.append(words)
-            out = pdf[list(keys)].copy()
-            out["input_ids"] = ids_col
-            out["word_ids"] = words_col
-            yield out
+            yield pa.RecordBatch.from_arrays(
+                [rb.column(k) for k in keys]
+                + [pa.array(ids_col, pa.list_(pa.int32())), pa.array(words_col, pa.list_(pa.int32()))],
+                names=list(keys) + ["input_ids", "word_ids"])
 
-    return df.select(*keys, tokens_col).mapInPandas(
+    return df.select(*keys, tokens_col).mapInArrow(
         run, f"{key_schema}, input_ids array<int>, word_ids array<int>")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from langmix.functions.text import split_lines, strip_ws
 from langmix.operators.ordering import global_rank
 from langmix.operators.sampling import hash_select, seeded_hash
+from langmix.session import materialize
 
 # --- Fixed values -----------------------------------------------------------
 # Labels kept from the large labelled source (case-sensitive).
@@ -103,9 +104,11 @@ def capped_sample(small: list[DataFrame], large: DataFrame | None, sample_size:
     source is read only while the unique count is below ``sample_size``;
     the final cap keeps the ``sample_size`` smallest seeded hashes (the
     reference keeps arbitrary members of a set -- ours is reproducible)."""
-    first = union_distinct(small)
+    # each candidate set is checkpointed once: it is counted, histogrammed
+    # and selected from, and must not be re-deduplicated for every read
+    first = materialize(union_distinct(small).select("sentence"))
     if large is not None and first.count() < sample_size:
-        first = union_distinct(small + [large])
-    picked = hash_select(first.select("sentence"), ["sentence"], sample_size, seed, "keep")
+        first = materialize(union_distinct(small + [large]).select("sentence"))
+    picked = hash_select(first, ["sentence"], sample_size, seed, "keep")
     return (picked.where("keep")
             .select("sentence", seeded_hash(["sentence"], seed).alias("h")))

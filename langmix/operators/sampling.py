@@ -22,9 +22,16 @@ def seeded_hash(cols, seed) -> F.Column:
 
 
 def hash_select(df: DataFrame, id_cols: list[str], k: int, seed, flag: str = "selected",
-                n_total: int | None = None) -> DataFrame:
+                materialize_input: bool = False) -> DataFrame:
     """Add boolean ``flag``: the row is among the ``k`` smallest
-    ``(hash, ids)``. Ties on the hash are broken by the ids."""
+    ``(hash, ids)``. Ties on the hash are broken by the ids.
+
+    The input is read by the histogram job and by the two selection
+    branches; pass ``materialize_input=True`` when it is an expensive plan
+    (it is then checkpointed once instead of being recomputed)."""
+    if materialize_input:
+        from langmix.session import materialize
+        df = materialize(df)
     h = seeded_hash(id_cols, seed)
     hashed = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, BUCKET_HEX_DIGITS))
     hist = sorted((r["_b"], r["count"]) for r in hashed.groupBy("_b").count().collect())
@@ -47,9 +54,12 @@ def hash_select(df: DataFrame, id_cols: list[str], k: int, seed, flag: str = "se
 
 
 def hash_split(df: DataFrame, id_cols: list[str], seed=42, test_fraction: float = 0.1,
-               split_col: str = "split") -> DataFrame:
+               split_col: str = "split", materialize_input: bool = False) -> DataFrame:
     """Seeded train/test split: test = the ``ceil(fraction * n)`` rows with
     the smallest hashes (same sizes as the reference's split)."""
+    if materialize_input:
+        from langmix.session import materialize
+        df = materialize(df)
     n = df.count()
     k = math.ceil(test_fraction * n)
     sel = hash_select(df, id_cols, k, seed, "_test")

@@ -80,19 +80,35 @@ def confidence_proxy(p) -> Column:
 def score_batches(df: DataFrame, keys: list[str], ids_col: str, key_schema: str,
                   scorer_factory: Callable[[], Callable[[list[list[int]]], list[list[list[float]]]]],
                   batch_size: int = 16) -> DataFrame:
-    """User model scoring through ``mapInPandas``: the factory loads the
+    """User model scoring through ``mapInArrow``: the factory loads the
     model once per task; the scorer gets ``batch_size`` sequences at a time
-    and returns per-position logits. Nothing accumulates in the worker."""
-
-    def run(batches: Iterable[pd.DataFrame]):
+    (numpy views into the Arrow buffer, no copy) and returns one
+    ``positions x classes`` array per sequence. The nested result is built
+    from numpy offsets, so no per-element Python object is created, and
+    nothing accumulates in the worker across Arrow batches."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
         score = scorer_factory()
-        for pdf in batches:
-            seqs = [list(x) for x in pdf[ids_col]]
-            logits = []
+        for rb in batches:
+            col = rb.column(ids_col)
+            values = col.values.to_numpy(zero_copy_only=False)
+            offs = col.offsets.to_numpy()
+            seqs = [values[offs[i]:offs[i + 1]] for i in range(len(col))]
+            mats = []
             for i in range(0, len(seqs), batch_size):
-                logits.extend(score(seqs[i:i + batch_size]))
-            out = pdf[list(keys)].copy()
-            out["logits"] = logits
-            yield out
-
-    return df.select(*keys, ids_col).mapInPandas(run, f"{key_schema}, logits array<array<double>>")
+                mats.extend(np.asarray(m, dtype=np.float64).reshape(len(s), -1)
+                            for s, m in zip(seqs[i:i + batch_size], score(seqs[i:i + batch_size])))
+            lengths = np.array([m.shape[0] for m in mats], dtype=np.int32)
+            width = mats[0].shape[1] if mats and mats[0].size else 0
+            flat = np.concatenate([m.ravel() for m in mats]) if mats else np.array([], dtype=np.float64)
+            inner = pa.ListArray.from_arrays(
+                pa.array(np.arange(0, flat.size + 1, max(width, 1), dtype=np.int32)[:lengths.sum() + 1]),
+                pa.array(flat))
+            outer = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)),
+                                             inner)
+            yield pa.RecordBatch.from_arrays([rb.column(k) for k in keys] + [outer],
+                                             names=list(keys) + ["logits"])
+
+    return df.select(*keys, ids_col).mapInArrow(run, f"{key_schema}, logits array<array<double>>")

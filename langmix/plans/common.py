@@ -101,8 +101,13 @@ class StubScorer:
     """Deterministic stand-in for a token classifier: three logits per id."""
 
     def __call__(self, batch):
-        return [[[round((x % 7) / 7.0, DIGITS), round((x % 11) / 11.0, DIGITS),
-                  round((x % 13) / 13.0, DIGITS)] for x in seq] for seq in batch]
+        import numpy as np
+        out = []
+        for seq in batch:
+            x = np.asarray(seq, dtype=np.int64)
+            out.append(np.round(np.stack([(x % 7) / 7.0, (x % 11) / 11.0, (x % 13) / 13.0], axis=1),
+                                DIGITS).tolist())
+        return out
 
 
 def corpus_sources(spark, sf_dir, with_pos: bool = False) -> list[DataFrame]:

@@ -95,7 +95,7 @@ def split_cache(spark, sf):
     w = AL.piece_word_ids("tokens")
     enc = t.select("doc_id", "line_no", w.alias("word_ids"), "ner_tags").withColumn(
         "labels", AL.align_labels("word_ids", "ner_tags")).drop("ner_tags")
-    split = sampling.hash_split(enc, ["doc_id", "line_no"], SEED, 0.1)
+    split = sampling.hash_split(enc, ["doc_id", "line_no"], SEED, 0.1, materialize_input=True)
     path = scratch_path(spark, "split-cache")
     sinks.write_split_cache(split, path)
     test = readers.read_split(spark, path, "test")
