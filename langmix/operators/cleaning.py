@@ -48,8 +48,13 @@ def token_rows(df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
 def token_counts(df: DataFrame, text_col: str, group: list[str]) -> DataFrame:
     """Per group: non-empty texts and tokens (tokens counted in-row, then a
     partial aggregation, so no token is ever shuffled)."""
-    n = F.size(split_ws(text_col))
-    return (df.where(n > 0)
-            .groupBy(*group)
-            .agg(F.count(F.lit(1)).alias("n_lines"), F.sum(n).cast("long").alias("n_tokens"),
-                 F.max(n).cast("long").alias("max_tokens")))
+    # the count is projected once; a row filter on it would be pushed below
+    # the projection and split every text twice, so empty texts are skipped
+    # inside the aggregates and empty groups after them
+    n = df.select(*group, F.size(split_ws(text_col)).alias("_n"))
+    nonempty = F.col("_n") > 0
+    out = n.groupBy(*group).agg(
+        F.count(F.when(nonempty, 1)).alias("n_lines"),
+        F.sum(F.when(nonempty, F.col("_n"))).cast("long").alias("n_tokens"),
+        F.max(F.when(nonempty, F.col("_n"))).cast("long").alias("max_tokens"))
+    return out.where(F.col("n_lines") > 0)

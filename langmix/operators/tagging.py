@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from langmix.functions.labels import LABEL2ID
-from langmix.functions.text import split_ws
+from langmix.functions.text import split_ws, strip_ws
 from langmix.session import materialize
 
 # --- Fixed values -----------------------------------------------------------
@@ -61,11 +61,14 @@ def tag_lines(lines: DataFrame, lexicon: DataFrame, keys: list[str], text_col: s
     lex = materialize(lexicon.select(F.col("token").alias("_lk"),
                                      F.coalesce(F.element_at(_tag_map(lang_to_tag), F.col("lang")),
                                                 F.lit(0)).alias("_tag")))
-    small = lex.count() <= broadcast_max_rows
-    src = lines.select(*keys, split_ws(text_col).alias("_toks")).where(F.size("_toks") > 0)
-    if small:
-        src = src.repartition(*keys)
+    if lex.count() <= broadcast_max_rows:
         lex = F.broadcast(lex)
+    # No explicit repartition: explode and the broadcast join keep the input's
+    # partitioning, so lines already hash-partitioned on (a subset of) the
+    # keys regroup without any exchange; otherwise the planner adds one after
+    # the partial aggregation.
+    # (an empty token array explodes to no row, so empty lines need no filter)
+    src = lines.select(*keys, split_ws(text_col).alias("_toks"))
     exploded = src.select(*keys, F.posexplode("_toks").alias("pos", "token"))
     joined = exploded.join(lex, F.lower(exploded.token) == lex._lk, "left")
     tagged = joined.select(*keys, "pos", "token", F.coalesce("_tag", F.lit(0)).alias("tag"))
@@ -82,7 +85,9 @@ def model_tag_lines(lines: DataFrame, keys: list[str], text_col: str,
     called once per task (the model load), the returned callable once per
     sentence with all its tokens and returns one tag (EN / MS / other) per
     token. Empty sentences are skipped."""
-    src = lines.select(*keys, split_ws(text_col).alias("tokens")).where(F.size("tokens") > 0)
+    # emptiness is tested on the stripped text: a filter on the token array
+    # would be pushed below the projection and split every line twice
+    src = lines.where(strip_ws(text_col) != "").select(*keys, split_ws(text_col).alias("tokens"))
     to_id = {"EN": LABEL2ID["EN"], "MS": LABEL2ID["MS"]}  # anything else -> O
 
     def run(batches: Iterable[pd.DataFrame]):
