@@ -71,6 +71,13 @@ def split_ws(c) -> Column:
     return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, WS_RUN))
 
 
+def split_squeezed(c) -> Column:
+    """Tokens of text already squeezed to single spaces (clean_text output):
+    a plain one-character split, no whitespace regex."""
+    c = _c(c)
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
+
+
 def split_lines(c) -> Column:
     """Lines as Python text mode yields them (``\\n``, ``\\r``, ``\\r\\n``)."""
     return F.split(_c(c), LINE_BREAK)
@@ -104,6 +111,22 @@ def guarded_rules(raw) -> list[tuple]:
     ]
 
 
+# Punctuation padding and symbol removal in one pass: a symbol matches the
+# second branch, the empty group 1 adds nothing, and the two spaces it
+# leaves are squeezed away later.
+PUNCT_OR_SYMBOL = PUNCT + "|" + SYMBOLS
+
+
+def fused_rules(raw) -> list[tuple]:
+    """The same rewrite as :func:`guarded_rules` with the symbol rule folded
+    into the punctuation pass. Moving it after the ellipsis rule is exact:
+    symbols are never dots, so replacing one by a space neither joins nor
+    splits a run of dots."""
+    rules = guarded_rules(raw)
+    head = [r for r in rules if r[1] not in (SYMBOLS, PUNCT)]
+    return head + [(None, PUNCT_OR_SYMBOL, " $1 ")]
+
+
 def clean_core(c) -> Column:
     """The rewriting part of clean_text (rules applied in reference order),
     without the discard decisions. Returns the squeezed text."""

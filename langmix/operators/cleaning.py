@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from langmix.functions.text import (MIN_TOKENS, WS_RUN, camel_discard, guarded_rules,
-                                    normalize_text, split_ws, token_count_squeezed)
+from langmix.functions.text import (MIN_TOKENS, WS_RUN, camel_discard, fused_rules, normalize_text,
+                                    split_squeezed, split_ws, token_count_squeezed)
 
 
 def clean_lines(df: DataFrame, text_col: str, keys: list[str], min_tokens: int = MIN_TOKENS,
@@ -25,7 +25,7 @@ def clean_lines(df: DataFrame, text_col: str, keys: list[str], min_tokens: int =
     # trigger (the earlier rules only delete text or insert spaces, so they
     # never create a trigger that the raw line lacked). Separate projections
     # keep Catalyst from inlining the previous step into both branches.
-    for guard, pattern, replacement in guarded_rules(F.col("_raw")):
+    for guard, pattern, replacement in fused_rules(F.col("_raw")):
         t = F.col("_t")
         new = F.regexp_replace(t, pattern, replacement)
         step = step.select(*keys, "_raw", "_drop",
@@ -45,13 +45,14 @@ def token_rows(df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.posexplode(split_ws(text_col)).alias("pos", "token"))
 
 
-def token_counts(df: DataFrame, text_col: str, group: list[str]) -> DataFrame:
+def token_counts(df: DataFrame, text_col: str, group: list[str], squeezed: bool = False) -> DataFrame:
     """Per group: non-empty texts and tokens (tokens counted in-row, then a
     partial aggregation, so no token is ever shuffled)."""
     # the count is projected once; a row filter on it would be pushed below
     # the projection and split every text twice, so empty texts are skipped
     # inside the aggregates and empty groups after them
-    n = df.select(*group, F.size(split_ws(text_col)).alias("_n"))
+    tokens = split_squeezed(text_col) if squeezed else split_ws(text_col)
+    n = df.select(*group, F.size(tokens).alias("_n"))
     nonempty = F.col("_n") > 0
     out = n.groupBy(*group).agg(
         F.count(F.when(nonempty, 1)).alias("n_lines"),

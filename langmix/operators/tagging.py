@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from langmix.functions.labels import LABEL2ID
-from langmix.functions.text import split_ws, strip_ws
+from langmix.functions.text import split_squeezed, split_ws, strip_ws
 from langmix.session import materialize
 
 # --- Fixed values -----------------------------------------------------------
@@ -50,9 +50,12 @@ def _tag_map(lang_to_tag: dict[str, str]):
 
 
 def tag_lines(lines: DataFrame, lexicon: DataFrame, keys: list[str], text_col: str,
-              lang_to_tag: dict[str, str], broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+              lang_to_tag: dict[str, str], broadcast_max_rows: int = BROADCAST_MAX_ROWS,
+              squeezed: bool = False) -> DataFrame:
     """Tag every whitespace token: lexicon language -> tag id, unknown or
-    non-word tokens -> 0. Empty lines yield no row.
+    non-word tokens -> 0. Empty lines yield no row. ``squeezed=True`` says
+    the text is already single-spaced (clean_text output), so tokens come
+    from a plain split instead of the whitespace regex.
 
     The lexicon is materialized and counted; under the size bound it is
     broadcast and the lines are pre-partitioned on their keys, so explode,
@@ -68,7 +71,8 @@ def tag_lines(lines: DataFrame, lexicon: DataFrame, keys: list[str], text_col: s
     # keys regroup without any exchange; otherwise the planner adds one after
     # the partial aggregation.
     # (an empty token array explodes to no row, so empty lines need no filter)
-    src = lines.select(*keys, split_ws(text_col).alias("_toks"))
+    tokens = split_squeezed(text_col) if squeezed else split_ws(text_col)
+    src = lines.select(*keys, tokens.alias("_toks"))
     exploded = src.select(*keys, F.posexplode("_toks").alias("pos", "token"))
     joined = exploded.join(lex, F.lower(exploded.token) == lex._lk, "left")
     tagged = joined.select(*keys, "pos", "token", F.coalesce("_tag", F.lit(0)).alias("tag"))

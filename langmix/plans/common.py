@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from langmix.functions.arrays import argmax, max_prob
 from langmix.functions.labels import IGNORE_INDEX
-from langmix.functions.text import normalize_text, split_ws
+from langmix.functions.text import normalize_text, split_squeezed, split_ws
 from langmix.operators import cleaning, corpus, tagging
 from langmix.session import materialize, spread
 
@@ -57,7 +57,8 @@ def clean_doc_lines(spark, sf_dir) -> DataFrame:
 
 
 def lexicon_from(clean: DataFrame) -> DataFrame:
-    toks = clean.select(F.explode(split_ws("text")).alias("token"), "lang")
+    """Lexicon from cleaned (single-spaced) lines."""
+    toks = clean.select(F.explode(split_squeezed("text")).alias("token"), "lang")
     return tagging.build_lexicon(toks)
 
 
@@ -73,7 +74,7 @@ def tagged_doc_lines(spark, sf_dir) -> DataFrame:
     # cleaned once, used twice (lexicon and tagging): checkpointed to the
     # shared folder so neither use recomputes the regex chain
     clean = materialize(clean_doc_lines(spark, sf_dir))
-    return tagging.tag_lines(clean, lexicon_from(clean), TAG_KEYS, "text", LANG_TAGS)
+    return tagging.tag_lines(clean, lexicon_from(clean), TAG_KEYS, "text", LANG_TAGS, squeezed=True)
 
 
 class StubTagger:

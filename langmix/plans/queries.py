@@ -68,7 +68,7 @@ def normalize_pages(spark, sf):
 
 
 def tokenize_counts(spark, sf):
-    return cleaning.token_counts(clean_doc_lines(spark, sf), "text", ["doc_id"])
+    return cleaning.token_counts(clean_doc_lines(spark, sf), "text", ["doc_id"], squeezed=True)
 
 
 def label_map(spark, sf):
