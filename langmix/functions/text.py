@@ -89,49 +89,51 @@ def token_count_squeezed(c) -> Column:
     return F.when(c == "", F.lit(0)).otherwise(F.size(F.split(c, " ")))
 
 
-def guarded_rules(raw) -> list[tuple]:
-    """The rewrite rules in reference order as ``(guard, pattern,
-    replacement)``. ``guard`` is a cheap test on the *raw* text that is
-    false only when the rule cannot match any intermediate text (None =
-    always run)."""
-    raw = _c(raw)
-    has_digit = raw.rlike(r"(?U)\d")
+# The rewrite rules in reference order: (pattern, replacement).
+RULES = [
+    (DATE_STAMP, " "),
+    (CLOCK_STAMP, " "),
+    (URL, ""),
+    (MENTION, ""),
+    (HASHTAG, "$1"),
+    (LONG_DIGITS, ""),
+    (MY_PHONE, ""),
+    (SYMBOLS, " "),
+    (ELLIPSIS, " ... "),
+    (PUNCT, " $1 "),
+]
+SYMBOL_CHARS = "~=+/|"  # SYMBOLS as a character list, for ``translate``
+
+
+def rule_steps() -> list[tuple]:
+    """The same rules as ``(guard, rewrite)`` steps for a row operator that
+    keeps the current text in a column between steps. ``guard(t, digit)``
+    is a cheap test on the current text ``t`` (``digit``: the raw line holds
+    a digit; earlier rules only delete text or insert spaces and dots, so
+    they never create one); the rule runs only where it can match. The
+    symbol rule is a character-for-character ``translate``."""
+    def rr(pattern, replacement):
+        return lambda t: F.regexp_replace(t, pattern, replacement)
+
     return [
-        (raw.contains("("), DATE_STAMP, " "),
-        (raw.contains("["), CLOCK_STAMP, " "),
-        (raw.contains("http") | raw.contains("www"), URL, ""),
-        (raw.contains("@"), MENTION, ""),
-        (raw.contains("#"), HASHTAG, "$1"),
-        (has_digit, LONG_DIGITS, ""),
-        (has_digit, MY_PHONE, ""),
-        (raw.contains("~") | raw.contains("=") | raw.contains("+") | raw.contains("/")
-         | raw.contains("|"), SYMBOLS, " "),
-        (raw.contains("."), ELLIPSIS, " ... "),
-        (None, PUNCT, " $1 "),
+        (lambda t, d: t.contains("("), rr(DATE_STAMP, " ")),
+        (lambda t, d: t.contains("["), rr(CLOCK_STAMP, " ")),
+        (lambda t, d: t.contains("http") | t.contains("www"), rr(URL, "")),
+        (lambda t, d: t.contains("@"), rr(MENTION, "")),
+        (lambda t, d: t.contains("#"), rr(HASHTAG, "$1")),
+        (lambda t, d: d, rr(LONG_DIGITS, "")),
+        (lambda t, d: d, rr(MY_PHONE, "")),
+        (None, lambda t: F.translate(t, SYMBOL_CHARS, " " * len(SYMBOL_CHARS))),
+        (lambda t, d: t.contains(".."), rr(ELLIPSIS, " ... ")),
+        (None, rr(PUNCT, " $1 ")),
     ]
 
 
-# Punctuation padding and symbol removal in one pass: a symbol matches the
-# second branch, the empty group 1 adds nothing, and the two spaces it
-# leaves are squeezed away later.
-PUNCT_OR_SYMBOL = PUNCT + "|" + SYMBOLS
-
-
-def fused_rules(raw) -> list[tuple]:
-    """The same rewrite as :func:`guarded_rules` with the symbol rule folded
-    into the punctuation pass. Moving it after the ellipsis rule is exact:
-    symbols are never dots, so replacing one by a space neither joins nor
-    splits a run of dots."""
-    rules = guarded_rules(raw)
-    head = [r for r in rules if r[1] not in (SYMBOLS, PUNCT)]
-    return head + [(None, PUNCT_OR_SYMBOL, " $1 ")]
-
-
 def clean_core(c) -> Column:
     """The rewriting part of clean_text (rules applied in reference order),
     without the discard decisions. Returns the squeezed text."""
     t = _c(c)
-    for _, pattern, replacement in guarded_rules(t):
+    for pattern, replacement in RULES:
         t = F.regexp_replace(t, pattern, replacement)
     return F.trim(F.regexp_replace(t, WS_RUN, " "))
 

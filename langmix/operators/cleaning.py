@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from langmix.functions.text import (MIN_TOKENS, WS_RUN, camel_discard, fused_rules, normalize_text,
+from langmix.functions.text import (MIN_TOKENS, WS_RUN, camel_discard, normalize_text, rule_steps,
                                     split_squeezed, split_ws, token_count_squeezed)
 
 
@@ -19,17 +19,16 @@ def clean_lines(df: DataFrame, text_col: str, keys: list[str], min_tokens: int =
     which copies all eleven regex rewrites into the filter and runs them
     twice per row."""
     raw = F.col(text_col)
-    step = df.select(*keys, raw.alias("_raw"), raw.alias("_t"),
+    step = df.select(*keys, raw.alias("_t"), raw.rlike(r"(?U)\d").alias("_dig"),
                      (raw.isNull() | camel_discard(raw)).alias("_drop"))
-    # One projection per rule. A rule runs only when the raw line holds its
-    # trigger (the earlier rules only delete text or insert spaces, so they
-    # never create a trigger that the raw line lacked). Separate projections
-    # keep Catalyst from inlining the previous step into both branches.
-    for guard, pattern, replacement in fused_rules(F.col("_raw")):
+    # One projection per rule, each guarded by a cheap test on the current
+    # text: the rule's regex runs only where it can match. Separate
+    # projections keep Catalyst from inlining the previous step into both
+    # branches of the guard.
+    for guard, rewrite in rule_steps():
         t = F.col("_t")
-        new = F.regexp_replace(t, pattern, replacement)
-        step = step.select(*keys, "_raw", "_drop",
-                           (new if guard is None else F.when(guard, new).otherwise(t)).alias("_t"))
+        new = rewrite(t) if guard is None else F.when(guard(t, F.col("_dig")), rewrite(t)).otherwise(t)
+        step = step.select(*keys, "_dig", "_drop", new.alias("_t"))
     step = step.select(*keys, "_drop", F.trim(F.regexp_replace("_t", WS_RUN, " ")).alias("_t"))
     keep = (~F.col("_drop")) & (token_count_squeezed("_t") >= min_tokens)
     return step.select(*keys, F.explode(F.when(keep, F.array("_t")).otherwise(F.array()))
