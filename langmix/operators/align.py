@@ -11,9 +11,8 @@ Both exist in-row (higher-order functions, no shuffle) and in long form
 
 from __future__ import annotations
 
-from typing import Callable, Iterable
+from typing import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 

@@ -3,9 +3,8 @@ confidence proxy, and the user-model scoring plug-in."""
 
 from __future__ import annotations
 
-from typing import Callable, Iterable
+from typing import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,14 +97,14 @@ def score_batches(df: DataFrame, keys: list[str], ids_col: str, key_schema: str,
             seqs = [values[offs[i]:offs[i + 1]] for i in range(len(col))]
             mats = []
             for i in range(0, len(seqs), batch_size):
-                mats.extend(np.asarray(m, dtype=np.float64).reshape(len(s), -1)
+                mats.extend(np.asarray(m, dtype=np.float64).reshape(len(s), -1) if len(s) else None
                             for s, m in zip(seqs[i:i + batch_size], score(seqs[i:i + batch_size])))
-            lengths = np.array([m.shape[0] for m in mats], dtype=np.int32)
-            width = mats[0].shape[1] if mats and mats[0].size else 0
-            flat = np.concatenate([m.ravel() for m in mats]) if mats else np.array([], dtype=np.float64)
+            width = next((m.shape[1] for m in mats if m is not None), 0)
+            mats = [np.zeros((0, width)) if m is None else m for m in mats]
+            lengths = np.array([m.shape[0] for m in mats], dtype=np.int64)
+            flat = np.concatenate([m.ravel() for m in mats]) if mats else np.zeros(0)
             inner = pa.ListArray.from_arrays(
-                pa.array(np.arange(0, flat.size + 1, max(width, 1), dtype=np.int32)[:lengths.sum() + 1]),
-                pa.array(flat))
+                pa.array((np.arange(lengths.sum() + 1) * width).astype(np.int32)), pa.array(flat))
             outer = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)),
                                              inner)
             yield pa.RecordBatch.from_arrays([rb.column(k) for k in keys] + [outer],
