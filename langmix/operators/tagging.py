@@ -27,20 +27,53 @@ BROADCAST_MAX_ROWS = 2_000_000  # size check before broadcasting a lexicon
 # -----------------------------------------------------------------------------
 
 
+MAX_PACKED_LANGUAGES = 256  # size check for the packed (count, language) key
+_LANG_BITS = 16
+_COUNT_CEILING = 1 << 46
+
+
+def known_languages(df: DataFrame, lang_col: str = "lang",
+                    limit: int = MAX_PACKED_LANGUAGES) -> list[str] | None:
+    """The distinct non-null languages in sorted order when there are at
+    most ``limit`` of them (one small aggregation; at most ``limit + 1``
+    rows reach the driver), else None."""
+    rows = (df.select(F.col(lang_col).alias("l")).where(F.col("l").isNotNull()).distinct()
+            .limit(limit + 1).collect())
+    return None if len(rows) > limit else sorted(r["l"] for r in rows)
+
+
 def build_lexicon(token_lang: DataFrame, token_col: str = "token", lang_col: str = "lang",
-                  min_count: int = MIN_COUNT, min_purity_pct: int = MIN_PURITY_PCT) -> DataFrame:
+                  min_count: int = MIN_COUNT, min_purity_pct: int = MIN_PURITY_PCT,
+                  languages: list[str] | None = None) -> DataFrame:
     """token -> language by majority with count and purity cut-offs; ties go
     to the smaller language name. Frequent tokens are collapsed by partial
     aggregation before the shuffle, so a token holding a third of all rows
-    costs one row per map task."""
+    costs one row per map task.
+
+    With the complete language list (``known_languages``, size-checked) the
+    per-token choice packs ``(count, language rank)`` into one bigint, so
+    the second aggregation is a hash aggregation on numbers; without it a
+    ``min(struct(-count, language))`` is used, which Spark must sort."""
     t = (token_lang.select(F.lower(token_col).alias("token"), F.col(lang_col).alias("lang"))
          .where(F.col("token").rlike(WORD) & F.col("lang").isNotNull()))
     counts = t.groupBy("token", "lang").agg(F.count(F.lit(1)).alias("n"))
-    best = (counts.groupBy("token")
-            .agg(F.sum("n").alias("total"),
-                 F.min(F.struct((-F.col("n")).alias("neg"), F.col("lang").alias("lang"))).alias("b")))
-    out = best.select("token", F.col("b.lang").alias("lang"),
-                      (-F.col("b.neg")).cast("long").alias("n"), F.col("total").cast("long").alias("total"))
+    if languages is not None and len(languages) <= MAX_PACKED_LANGUAGES:
+        names = F.array(*[F.lit(x) for x in sorted(languages)])
+        rank = F.array_position(names, F.col("lang")) - 1
+        key = F.shiftleft(F.lit(_COUNT_CEILING) - F.col("n"), _LANG_BITS) + rank
+        best = (counts.select("token", "n", key.alias("_k")).groupBy("token")
+                .agg(F.sum("n").alias("total"), F.min("_k").alias("_k")))
+        out = best.select(
+            "token", F.element_at(names, (F.col("_k").bitwiseAND((1 << _LANG_BITS) - 1) + 1).cast("int"))
+            .alias("lang"),
+            (F.lit(_COUNT_CEILING) - F.shiftright("_k", _LANG_BITS)).cast("long").alias("n"),
+            F.col("total").cast("long").alias("total"))
+    else:
+        best = (counts.groupBy("token")
+                .agg(F.sum("n").alias("total"),
+                     F.min(F.struct((-F.col("n")).alias("neg"), F.col("lang").alias("lang"))).alias("b")))
+        out = best.select("token", F.col("b.lang").alias("lang"), (-F.col("b.neg")).cast("long").alias("n"),
+                          F.col("total").cast("long").alias("total"))
     return out.where((F.col("total") >= min_count)
                      & (F.col("n") * 100 >= F.col("total") * min_purity_pct))
 

@@ -56,14 +56,20 @@ def clean_doc_lines(spark, sf_dir) -> DataFrame:
                                 ["doc_id", "lang", "source", "line_no"])
 
 
-def lexicon_from(clean: DataFrame) -> DataFrame:
+def doc_languages(spark, sf_dir) -> list[str] | None:
+    """Language list of the documents (a pruned one-column scan, size-checked)."""
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    return tagging.known_languages(docs, "lang")
+
+
+def lexicon_from(clean: DataFrame, languages: list[str] | None = None) -> DataFrame:
     """Lexicon from cleaned (single-spaced) lines."""
     toks = clean.select(F.explode(split_squeezed("text")).alias("token"), "lang")
-    return tagging.build_lexicon(toks)
+    return tagging.build_lexicon(toks, languages=languages)
 
 
 def doc_lexicon(spark, sf_dir) -> DataFrame:
-    return lexicon_from(clean_doc_lines(spark, sf_dir))
+    return lexicon_from(clean_doc_lines(spark, sf_dir), doc_languages(spark, sf_dir))
 
 
 TAG_KEYS = DOC_KEYS + ["source"]
@@ -74,7 +80,8 @@ def tagged_doc_lines(spark, sf_dir) -> DataFrame:
     # cleaned once, used twice (lexicon and tagging): checkpointed to the
     # shared folder so neither use recomputes the regex chain
     clean = materialize(clean_doc_lines(spark, sf_dir))
-    return tagging.tag_lines(clean, lexicon_from(clean), TAG_KEYS, "text", LANG_TAGS, squeezed=True)
+    return tagging.tag_lines(clean, lexicon_from(clean, doc_languages(spark, sf_dir)), TAG_KEYS, "text",
+                             LANG_TAGS, squeezed=True)
 
 
 class StubTagger:
