@@ -84,7 +84,11 @@ def jsonl_roundtrip(spark, sf):
     t = tagged_doc_lines(spark, sf)
     path = scratch_path(spark, "labelled")
     sinks.write_jsonl(t.select("tokens", "ner_tags"), path)
-    back = readers.read_labelled_jsonl(spark, path)
+    # the labelled corpus is an optional source (missing -> empty) and must
+    # not be empty before encoding (one-row probe)
+    back = readers.optional_source(spark, path, readers.LABELLED_SCHEMA,
+                                   lambda p: readers.read_labelled_jsonl(spark, p))
+    readers.require_nonempty(back, "labelled corpus")
     return back.groupBy(_joined("tokens").alias("tokens"), _joined("ner_tags").alias("ner_tags")).agg(
         F.count(F.lit(1)).alias("n"))
 
