@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from langmix.functions.labels import IGNORE_INDEX
+from langmix.session import ship_package
 
 # --- Fixed values -----------------------------------------------------------
 MAX_LEN = 512  # sequence length incl. the two special positions
@@ -102,5 +103,6 @@ def encode_batches(df: DataFrame, keys: list[str], tokens_col: str, key_schema:
                 + [pa.array(ids_col, pa.list_(pa.int32())), pa.array(words_col, pa.list_(pa.int32()))],
                 names=list(keys) + ["input_ids", "word_ids"])
 
+    ship_package(df.sparkSession)
     return df.select(*keys, tokens_col).mapInArrow(
         run, f"{key_schema}, input_ids array<int>, word_ids array<int>")

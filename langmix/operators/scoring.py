@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from langmix.functions.arrays import argmax, max_prob
+from langmix.session import ship_package
 
 # --- Fixed values -----------------------------------------------------------
 DEFAULT_CONFIDENCE = 0.80   # used when a sentence has no scored word
@@ -110,4 +111,5 @@ def score_batches(df: DataFrame, keys: list[str], ids_col: str, key_schema: str,
             yield pa.RecordBatch.from_arrays([rb.column(k) for k in keys] + [outer],
                                              names=list(keys) + ["logits"])
 
+    ship_package(df.sparkSession)
     return df.select(*keys, ids_col).mapInArrow(run, f"{key_schema}, logits array<array<double>>")

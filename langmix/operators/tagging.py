@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from langmix.functions.labels import LABEL2ID
 from langmix.functions.text import split_squeezed, split_ws, strip_ws
-from langmix.session import materialize
+from langmix.session import materialize, ship_package
 
 # --- Fixed values -----------------------------------------------------------
 WORD = r"^\p{L}+$"              # lexicon entries: letters only
@@ -136,4 +136,5 @@ def model_tag_lines(lines: DataFrame, keys: list[str], text_col: str,
             out["ner_tags"] = tags
             yield out
 
+    ship_package(lines.sparkSession)
     return src.mapInPandas(run, f"{key_schema}, tokens array<string>, ner_tags array<int>")

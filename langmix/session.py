@@ -58,6 +58,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``langmix`` importable in the Python workers of this session.
+
+    Operators that run Python on executors (model plug-ins, the JSON
+    source) pickle references to this package; ``addPyFile`` of a zip of
+    its sources distributes it, whatever the driver's working directory or
+    the executors' environment. Done once per SparkContext."""
+    import zipfile
+
+    import langmix
+
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(langmix.__file__))
+    zpath = os.path.join(tempfile.mkdtemp(prefix="langmix-code-"), "langmix.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(id(sc))
+
+
 SMALL_INPUT_BYTES = 1 << 30
 
 

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from langmix.session import ship_package
+
 SCHEMA = "file string, key string, pos bigint, text string, is_string boolean, kind string"
 CHUNK = 1 << 20
 _WS = " \t\r\n"
@@ -232,6 +234,7 @@ class ParallelJsonSource(DataSource):
 
 def read_parallel_json(spark: SparkSession, path: str, keys=("train_X", "train_Y"),
                        max_items: int | None = None, on_error: str = "keepPrefix") -> DataFrame:
+    ship_package(spark)
     spark.dataSource.register(ParallelJsonSource)
     r = (spark.read.format("parallel_json").option("path", path).option("keys", ",".join(keys))
          .option("onError", on_error))
