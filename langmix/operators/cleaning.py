@@ -16,8 +16,8 @@ def clean_lines(df: DataFrame, text_col: str, keys: list[str], min_tokens: int =
     The rewrite is computed once in a projection, and the keep/drop decision
     is made by a generator (``explode`` of a 0/1-element array). A plain
     ``where(text != '')`` would be pushed below the projection by Catalyst,
-    which copies all eleven regex rewrites into the filter and runs them
-    twice per row."""
+    which copies the whole rewrite chain into the filter and runs it twice
+    per row."""
     raw = F.col(text_col)
     step = df.select(*keys, raw.alias("_t"), raw.rlike(r"(?U)\d").alias("_dig"),
                      (raw.isNull() | camel_discard(raw)).alias("_drop"))

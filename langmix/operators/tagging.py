@@ -91,9 +91,9 @@ def tag_lines(lines: DataFrame, lexicon: DataFrame, keys: list[str], text_col: s
     from a plain split instead of the whitespace regex.
 
     The lexicon is materialized and counted; under the size bound it is
-    broadcast and the lines are pre-partitioned on their keys, so explode,
-    join and regroup run without another exchange. Above the bound the join
-    shuffles on the token (AQE splits skewed tokens)."""
+    broadcast, so explode, join and a partial ``collect_list`` run in one
+    stage and a single exchange precedes the final regroup. Above the bound
+    the join shuffles on the token (AQE splits skewed tokens)."""
     lex = materialize(lexicon.select(F.col("token").alias("_lk"),
                                      F.coalesce(F.element_at(_tag_map(lang_to_tag), F.col("lang")),
                                                 F.lit(0)).alias("_tag")))
