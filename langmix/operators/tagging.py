@@ -3,15 +3,14 @@
 Two back ends share one output contract ``(keys..., tokens, ner_tags)``:
 
 * ``build_lexicon`` + ``tag_lines``: a native lexicon join (no Python).
-* ``model_tag_lines``: any user tagger run through ``mapInPandas``; the model
+* ``model_tag_lines``: any user tagger run through ``mapInArrow``; the model
   is loaded once per task, one call per sentence with all its tokens.
 """
 
 from __future__ import annotations
 
-from typing import Callable, Iterable
+from typing import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,23 +117,27 @@ def tag_lines(lines: DataFrame, lexicon: DataFrame, keys: list[str], text_col: s
 def model_tag_lines(lines: DataFrame, keys: list[str], text_col: str,
                     model_factory: Callable[[], Callable[[list[str]], list[str]]],
                     key_schema: str) -> DataFrame:
-    """Tag with a user model through ``mapInPandas``. ``model_factory`` is
+    """Tag with a user model through ``mapInArrow``. ``model_factory`` is
     called once per task (the model load), the returned callable once per
     sentence with all its tokens and returns one tag (EN / MS / other) per
-    token. Empty sentences are skipped."""
+    token. Empty sentences are skipped. The token column passes through as
+    the same Arrow array; only the tags are built in Python."""
+    import pyarrow as pa
+
     # emptiness is tested on the stripped text: a filter on the token array
     # would be pushed below the projection and split every line twice
     src = lines.where(strip_ws(text_col) != "").select(*keys, split_ws(text_col).alias("tokens"))
     to_id = {"EN": LABEL2ID["EN"], "MS": LABEL2ID["MS"]}  # anything else -> O
+    other = LABEL2ID["O"]
 
-    def run(batches: Iterable[pd.DataFrame]):
+    def run(batches):
         predict = model_factory()
-        for pdf in batches:
-            tags = [[to_id.get(p, LABEL2ID["O"]) for p in predict(list(toks))] for toks in pdf["tokens"]]
-            out = pdf[list(keys)].copy()
-            out["tokens"] = pdf["tokens"]
-            out["ner_tags"] = tags
-            yield out
+        for rb in batches:
+            tokens = rb.column("tokens")
+            tags = [[to_id.get(p, other) for p in predict(toks)] for toks in tokens.to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [rb.column(k) for k in keys] + [tokens, pa.array(tags, pa.list_(pa.int32()))],
+                names=list(keys) + ["tokens", "ner_tags"])
 
     ship_package(lines.sparkSession)
-    return src.mapInPandas(run, f"{key_schema}, tokens array<string>, ner_tags array<int>")
+    return src.mapInArrow(run, f"{key_schema}, tokens array<string>, ner_tags array<int>")
