@@ -131,9 +131,23 @@ def best_by(log: DataFrame, group: list[str], step: str = "step", metric: str =
     return best.select(*group, F.col("_b.step").alias("best_step"), (-F.col("_b.neg")).alias("best_f1"))
 
 
-def pair_sequences(df: DataFrame, keys: list[str], truth: str, pred: str) -> DataFrame:
+def pair_sequences(df: DataFrame, keys: list[str], truth: str, pred: str, mode: str = "positional",
+                   truth_tokens: str | None = None) -> DataFrame:
     """Sentence pairing: both label arrays cut to the shorter length, then
-    one row per position (``y_true``, ``y_pred``)."""
+    one row per position (``y_true``, ``y_pred``).
+
+    ``mode="positional"`` pairs as the reference does. Predictions come from
+    the normalized text, in which punctuation/digit tokens vanish, so
+    ``mode="aligned"`` first drops the truth labels whose own token
+    (``truth_tokens``) normalizes to nothing."""
+    if mode == "aligned":
+        from langmix.functions.text import normalize_text
+
+        z = F.filter(F.arrays_zip(F.col(truth_tokens).alias("t"), F.col(truth).alias("y")),
+                     lambda e: normalize_text(e["t"]) != "")
+        df = df.withColumn(truth, F.transform(z, lambda e: e["y"]))
+    elif mode != "positional":
+        raise ValueError(mode)
     n = F.least(F.size(truth), F.size(pred))
     z = F.arrays_zip(F.slice(truth, 1, n).alias("y_true"), F.slice(pred, 1, n).alias("y_pred"))
     return df.select(*keys, F.posexplode(z).alias("pos", "_z")).select(
