@@ -162,8 +162,11 @@ def normalize_text(c) -> Column:
     """normalize_text: lower, drop tags, keep ASCII letters and whitespace,
     squeeze. (The reference's leading strip cannot change the result.)"""
     t = F.lower(_c(c))
-    t = F.regexp_replace(t, TAG, "")
-    t = F.regexp_replace(t, NOT_ASCII_LETTER_OR_WS, "")
+    # the tag regex runs only where a '<' exists (the lowered text is a
+    # common subexpression of the guard and both branches)
+    t = F.when(t.contains("<"), F.regexp_replace(t, TAG, "")).otherwise(t)
+    # deleting a run at once equals deleting each of its characters
+    t = F.regexp_replace(t, NOT_ASCII_LETTER_OR_WS + "+", "")
     return F.trim(F.regexp_replace(t, WS_RUN, " "))
 
 
