@@ -154,7 +154,7 @@ def stream_tagging(spark, sf):
     lookup = materialize(table(spark, sf, "labels").join(docs, "doc_id")
                          .select(lookup_key("text").alias("key")).distinct())
     sink, ckpt = scratch_path(spark, "stream-sink"), scratch_path(spark, "stream-ckpt")
-    run_tagging_stream(spark, src, conv.schema.simpleString()[len("struct<"):-1].replace(":", " "),
+    run_tagging_stream(spark, src, conv.schema,
                        sink, ckpt, lexicon, lookup, LANG_TAGS, ["conv_id", "turn"], "username", "text",
                        F.col("role") == "user")
     out = spark.read.parquet(sink)

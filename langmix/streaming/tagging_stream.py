@@ -47,7 +47,7 @@ def history_rows(replies: DataFrame, keys: list[str], user_col: str, text_col: s
         F.col("_r.message").alias("message"))
 
 
-def run_tagging_stream(spark: SparkSession, source_path: str, source_schema: str, sink_path: str,
+def run_tagging_stream(spark: SparkSession, source_path: str, source_schema, sink_path: str,
                        checkpoint_path: str, lexicon: DataFrame, lookup: DataFrame,
                        lang_to_tag: dict[str, str], keys: list[str], user_col: str, text_col: str,
                        message_filter=None) -> None:
