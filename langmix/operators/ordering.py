@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from langmix.session import materialize  # noqa: E402
 
+SALT_SEED = 17
+
 
 def global_rank(df: DataFrame, order_cols: list, name: str = "rank",
                 num_partitions: int | None = None) -> DataFrame:
@@ -19,8 +21,12 @@ def global_rank(df: DataFrame, order_cols: list, name: str = "rank",
     the sort, so give a unique key for a reproducible result)."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    ordered = materialize(df.repartitionByRange(n, *cols).sortWithinPartitions(*cols))
+    # a seeded salt as the last sort key: range partitioning cannot split
+    # equal keys, so without it a key shared by a third of all rows (copies)
+    # would land in one task; ties are ordered arbitrarily either way
+    cols = [F.col(c) if isinstance(c, str) else c for c in order_cols] + [F.col("_salt")]
+    salted = df.withColumn("_salt", F.rand(SALT_SEED))
+    ordered = materialize(salted.repartitionByRange(n, *cols).sortWithinPartitions(*cols)).drop("_salt")
     tagged = (ordered.withColumn("_mid", F.monotonically_increasing_id())
               .withColumn("_part", F.shiftright("_mid", 33)))
     counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))

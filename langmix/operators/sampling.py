@@ -47,9 +47,11 @@ def hash_select(df: DataFrame, id_cols: list[str], k: int, seed, flag: str = "se
     if boundary is None:  # k >= n: everything is selected
         return hashed.withColumn(flag, F.lit(True)).drop("_h", "_b")
     rest = hashed.where(F.col("_b") != boundary).withColumn(flag, F.col("_b") < boundary)
-    w = Window.partitionBy("_b").orderBy("_h", *id_cols)
-    edge = (hashed.where(F.col("_b") == boundary)
-            .withColumn(flag, F.row_number().over(w) <= need))
+    # the boundary bucket is ranked with a distributed global rank, not a
+    # one-bucket window: a bucket full of copies of one id stays spread out
+    from langmix.operators.ordering import global_rank
+    edge = (global_rank(hashed.where(F.col("_b") == boundary), ["_h", *id_cols], "_rn")
+            .withColumn(flag, F.col("_rn") <= need).drop("_rn"))
     return rest.unionByName(edge).drop("_h", "_b")
 
 
