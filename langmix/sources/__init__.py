@@ -1 +1 @@
-
+"""Readers, sinks and the incremental JSON-array Data Source."""
