@@ -39,3 +39,16 @@ def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFra
 def fold(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null ids belong to fold 0."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus, F.lit(0))
+
+
+def bounded_sample(df: DataFrame, class_col: str, per_class: int, id_col: str, seed: int) -> DataFrame:
+    """About ``per_class`` rows of every class, all if there are fewer: one
+    aggregation counts the classes, a seeded hash of the id picks the rows."""
+    counts = {r["c"]: r["n"] for r in df.groupBy(F.col(class_col).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return df
+    steps = 1 << 20
+    keep = F.create_map(*[F.lit(x) for c, n in sorted(counts.items(), key=str) if c is not None
+                          for x in (c, min(steps, per_class * steps // n + 1))]) \
+        if any(c is not None for c in counts) else F.create_map(F.lit(""), F.lit(0))
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(steps)) < keep[F.col(class_col)])

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from langmix.llm import bpe, sharding, topk, warc
+from langmix.llm import bpe, langid, sharding, topk, toxicity, warc
 
-MODULES = (sharding, bpe, topk, warc)
+MODULES = (langid, sharding, bpe, topk, toxicity, warc)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
