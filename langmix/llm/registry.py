@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from langmix.llm import bpe, decontaminate, langid, quality, sharding, topk, toxicity, warc
+from langmix.llm import bpe, decontaminate, langid, quality, sharding, substring, topk, toxicity, warc
 
-MODULES = (langid, sharding, quality, bpe, topk, toxicity, warc, decontaminate)
+MODULES = (langid, substring, sharding, quality, bpe, topk, toxicity, warc, decontaminate)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
