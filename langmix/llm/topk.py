@@ -32,6 +32,7 @@ SEGMENTS = (1, 4, 16)   # segments of a vector, coarse to fine
 BLOCK = 4096            # candidate vectors in a block
 QUERY_BLOCK = 512
 PAIRS = 1 << 17         # pairs whose vectors are gathered at once
+DENSE = 0.1             # above this share of pairs left, one matrix product is cheaper than pairs
 
 _BLOCKS = "block bigint, n int, dim int, ids binary, data binary"
 _HITS = "query_id bigint, vec_id bigint, score bigint"
@@ -114,11 +115,28 @@ def search(q, q_ids, x, x_ids, k: int, floor):
         seen = products(qf, xf, r, first.ravel()).reshape(len(q), k).astype(float)
         seen[np.take_along_axis(own, first, 1)] = -np.inf
         floor = np.maximum(floor, seen.min(1))
-    r, c = np.nonzero((bound > floor[:, None] - slack) & ~own)
+    alive = (bound > floor[:, None] - slack) & ~own
+    share = alive.mean()
     for a, b in levels[1:]:
-        can = products(a, b, r, c) > floor[r] - slack
-        r, c = r[can], c[can]
-    score = products(qf, xf, r, c).astype(np.int64)
+        before = share
+        if before > DENSE:
+            alive &= a @ b.T > floor[:, None] - slack
+        else:
+            r, c = np.nonzero(alive)
+            alive[r, c] = products(a, b, r, c) > floor[r] - slack
+        share = alive.mean()
+        if share > DENSE and share > 0.9 * before:
+            break   # finer bounds would cost more than they save
+    if share > DENSE:
+        every = qf @ xf.T
+        every = np.where(alive, every, -np.inf if exact else np.iinfo(np.int64).min)
+        if len(x) > k:
+            alive &= every >= np.partition(every, len(x) - k, axis=1)[:, len(x) - k, None]
+        r, c = np.nonzero(alive)
+        score = every[r, c].astype(np.int64)
+    else:
+        r, c = np.nonzero(alive)
+        score = products(qf, xf, r, c).astype(np.int64)
     order = np.lexsort((c, -score, r))
     r, c, score = r[order], c[order], score[order]
     place = np.arange(len(r)) - np.searchsorted(r, r)
