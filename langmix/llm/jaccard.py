@@ -475,27 +475,44 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pac
         "chunk", "row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns with ``n_shingles`` and ``component_id``."""
-    docs = without(docs, "n_shingles", "component_id")
-    packed = chunks.pack(docs, text_col)
-    found = classes(docs, id_col, text_col, packed)
-
+def _attach(columns: list[str]):
+    """Rows of the chunks that got an answer, with the answers' columns."""
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for i in range(batch.num_rows):
                 rows = chunks.load(batch.column("data")[i])
-                got = {g["row"]: g for g in batch.column("got")[i].as_py()}
+                got = sorted(batch.column("got")[i].as_py(), key=lambda g: g["row"])
+                own = rows.take(pa.array([g["row"] for g in got], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, *[pa.array([got[r][c] for r in range(rows.num_rows)], pa.int64())
-                                      for c in ("n_shingles", "component_id")]],
-                    names=[*rows.schema.names, "n_shingles", "component_id"])
+                    [*own.columns, *[pa.array([g[c] for g in got], pa.int64()) for c in columns]],
+                    names=[*rows.schema.names, *columns])
+    return run
+
+
+def _with_rows(packed, found: DataFrame, schema, columns: list[str]) -> DataFrame:
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields] + [f"{c} bigint" for c in columns]
+    return chunks.with_answers(packed[0], found, ["row", *columns], "inner") \
+        .mapInArrow(_attach(columns), ", ".join(fields))
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    return chunks.with_answers(packed[0], found, ["row", "n_shingles", "component_id"], "inner") \
-        .mapInArrow(run, ", ".join([*fields, "n_shingles bigint", "component_id bigint"]))
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows and columns with ``n_shingles`` and ``component_id``."""
+    docs = without(docs, "n_shingles", "component_id")
+    packed = chunks.pack(docs, text_col)
+    return _with_rows(packed, classes(docs, id_col, text_col, packed), docs.schema, ["n_shingles", "component_id"])
+
+
+def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of every component, that with the smallest id (of rows with
+    one id, the first read); rows without a set or an id all stay."""
+    packed = chunks.pack(docs, text_col)
+    found = land(classes(docs, id_col, text_col, packed), "components")
+    linkable = (F.col("n_shingles") > 0) & F.col("component_id").isNotNull()
+    first = found.where(linkable).groupBy("component_id").agg(F.min(F.struct("doc_id", "chunk", "row")).alias("first"))
+    kept = first.select("first.chunk", "first.row").union(found.where(~linkable).select("chunk", "row"))
+    return _with_rows(packed, kept, docs.schema, [])
 
 
 def op2_signature_trees(spark, sf_dir):
