@@ -52,3 +52,17 @@ def bounded_sample(df: DataFrame, class_col: str, per_class: int, id_col: str, s
                           for x in (c, min(steps, per_class * steps // n + 1))]) \
         if any(c is not None for c in counts) else F.create_map(F.lit(""), F.lit(0))
     return df.where(F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(steps)) < keep[F.col(class_col)])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, seed: int,
+                    id_col: str = "doc_id", text_col: str = "text", classes: bool = True) -> DataFrame:
+    """(id, text, label) of about ``per_class`` labelled documents of each
+    class (of all together without ``classes``). The labels are sampled first,
+    one per id (the largest), so that what is broadcast to the documents has a
+    fixed bound and no text moves."""
+    given = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")) \
+        .where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.max("label").alias("label"))
+    given = land(given.withColumn("class", F.col("label").cast("string") if classes else F.lit("")), "labels")
+    some = bounded_sample(given, "class", per_class, "id", seed).select("id", "label")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL") \
+        .join(F.broadcast(some), "id").select("id", "text", "label")

@@ -26,7 +26,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from langmix.llm.common import bounded_sample, fold, land, table
+from langmix.llm.common import fold, labelled_sample, land, table
 from langmix.session import ship_package
 
 TRAIN_PER_CLASS = 8000
@@ -154,14 +154,13 @@ def _logistic(xs: list[float], ys: list[int]) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def fit(rows: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id",
-        per_class: int = TRAIN_PER_CLASS) -> Model:
-    spark = rows.sparkSession
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic",
+        id_col: str = "doc_id", per_class: int = TRAIN_PER_CLASS) -> Model:
+    spark = docs.sparkSession
     ship_package(spark)
-    src = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
-                      F.when(F.col(f"`{label_col}`") > 0, 1).otherwise(0).alias("label"),
-                      F.col(f"`{label_col}`").alias("given")).where("text IS NOT NULL AND given IS NOT NULL")
-    sample = land(bounded_sample(src, "label", per_class, "id", SEED).select("text", "label"), "toxicity-sample")
+    given = labels.select(F.col(f"`{id_col}`"), (F.col(f"`{label_col}`") > 0).cast("int").alias("label"))
+    sample = land(labelled_sample(docs, given, "label", per_class, SEED, id_col, text_col).select("text", "label"),
+                  "toxicity-sample")
     classes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(classes) < 2:
         share = 1 - 1e-9 if classes.get(1) else 1e-9
@@ -233,8 +232,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
 def op8_toxic_segments(spark, sf_dir):
     """Toxicity of every whole document, learned from the folds not held out."""
     docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold("doc_id", 5) != 0)
-    model = fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = fit(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
     got = score(docs.select("doc_id", "text", (fold("doc_id", 5) == 0).alias("held_out")), model,
                 keep=("doc_id", "held_out"))
     return got.select("doc_id", "held_out", F.col("probability").alias("score"),
