@@ -21,7 +21,7 @@ from langmix.llm.common import land, table
 
 
 def quality_stage(spark, docs, sf_dir):
-    return quality.select(docs, quality.fit(quality.rated(spark, sf_dir, docs)))
+    return quality.select(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicate_stage(spark, docs, sf_dir):

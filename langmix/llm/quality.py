@@ -23,7 +23,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from langmix.llm.common import bounded_sample, table, without
+from langmix.llm.common import labelled_sample, table, without
 from langmix.session import ship_package
 
 BUCKETS = 1 << 15
@@ -140,16 +140,14 @@ def learn(rows: list[tuple], grades: list[float]) -> Model:
     return Model(grades, weights, cuts)
 
 
-def fit(rows: DataFrame, text_col: str = "text", grade_col: str = "quality", id_col: str = "doc_id",
-        train_rows: int = TRAIN_ROWS) -> Model:
+def fit(docs: DataFrame, ratings: DataFrame, text_col: str = "text", grade_col: str = "quality",
+        id_col: str = "doc_id", train_rows: int = TRAIN_ROWS) -> Model:
     """Model of rated rows; a bounded sample of them reaches the driver."""
     import numpy as np
 
-    ship_package(rows.sparkSession)
-    src = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
-                      F.col(f"`{grade_col}`").cast("double").alias("grade"), F.lit(1).alias("all")) \
-        .where("text IS NOT NULL AND grade IS NOT NULL AND NOT isnan(grade)")
-    sample = bounded_sample(src, "all", train_rows, "id", SEED).select("id", "text", "grade")
+    ship_package(docs.sparkSession)
+    given = ratings.select(F.col(f"`{id_col}`"), F.col(f"`{grade_col}`").cast("double").alias("grade")).where("NOT isnan(grade)")
+    sample = labelled_sample(docs, given, "grade", train_rows, SEED, id_col, text_col, classes=False)
 
     def run(batches):
         import pyarrow as pa
@@ -165,7 +163,7 @@ def fit(rows: DataFrame, text_col: str = "text", grade_col: str = "quality", id_
                          pa.array([found[1].astype("float32").tobytes()], pa.binary())],
                         names=["id", "grade", "buckets", "vals"])
 
-    got = sample.select(F.col("id").cast("string").alias("id"), "text", "grade") \
+    got = sample.select(F.col("id").cast("string").alias("id"), "text", F.col("label").alias("grade")) \
         .mapInArrow(run, "id string, grade double, buckets binary, vals binary").collect()
     got.sort(key=lambda r: (r["id"] or "", r["grade"], bytes(r["buckets"])))  # the order of tasks doesn't matter
     grades = sorted({r["grade"] for r in got})
@@ -204,11 +202,6 @@ def predict(docs: DataFrame, model: Model, at_least: float = 1.0, text_col: str
     return src.mapInArrow(run, ", ".join([*fields, "expected_grade double", "tail_prob double"]))
 
 
-def rated(spark, sf_dir, docs: DataFrame) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where("quality IS NOT NULL")
-    return docs.select("doc_id", "text").join(labels, "doc_id")
-
-
 def select(docs: DataFrame, model: Model) -> DataFrame:
     """The documents whose tail probability is at least ``KEEP_TAIL`` (all,
     if there was nothing to learn from), with their own columns."""
@@ -220,7 +213,7 @@ def select(docs: DataFrame, model: Model) -> DataFrame:
 def op5_ordinal_quality(spark, sf_dir):
     """Expected grade and P(grade >= 1) of every whole document."""
     docs = table(spark, sf_dir, "documents")
-    got = predict(docs, fit(rated(spark, sf_dir, docs)), keep=["doc_id"])
+    got = predict(docs, fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
     return got.select("doc_id", "expected_grade", "tail_prob",
                       (F.coalesce(F.col("tail_prob"), F.lit(1.0)) >= KEEP_TAIL).alias("keep"))
 
