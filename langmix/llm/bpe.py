@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,12 +26,15 @@ from pyspark.sql import functions as F
 from langmix.llm.common import table, without
 from langmix.session import ship_package
 
-CACHE_UNITS = 300_000   # remembered units in each of two generations
+CACHE_UNITS = 200_000   # remembered units in each of two generations
 CACHE_CHARS = 64        # longer units are not remembered
 LONG_PIECE = 64         # bytes; longer pieces have a tree of their own
-BLOCK_PIECES = 1 << 15  # pieces merged at once
+BLOCK_CELLS = 1 << 18   # bytes of pieces merged at once
+BLOCK_ROWS = 512        # rows handed on at once
 BLOCK_CHARS = 1 << 20   # characters of text encoded at once, or one text
 
+_SPACES = [chr(i) for i in range(0x3001) if chr(i).isspace()]
+_NEAR = [pair for c in _SPACES for pair in ({c + " ", " " + c})]   # a space that isn't isolated
 _NO_PAIR = 1 << 62
 _SHIFT = 40
 
@@ -168,22 +172,24 @@ class Merger:
         """Packed ids of distinct pieces of text."""
         import numpy as np
 
-        out: dict[str, bytes] = {}
-        sizes: dict[int, list[tuple[str, bytes]]] = {}
-        for piece in pieces:
-            raw = piece.encode()
-            whole = self.ranks.get(raw)
-            if whole is not None:
-                out[piece] = whole.to_bytes(4, "little")
-            elif len(raw) > LONG_PIECE:
-                out[piece] = np.array(merge(raw, self.ranks), np.int32).tobytes()
-            else:
-                sizes.setdefault(max(4, 1 << (len(raw) - 1).bit_length()), []).append((piece, raw))
-        for size, group in sizes.items():
-            for at in range(0, len(group), BLOCK_PIECES):
-                part = group[at:at + BLOCK_PIECES]
-                out.update(zip([x for x, _ in part], self.run([x for _, x in part], size)))
-        return out
+        pieces = list(pieces)
+        raw = [p.encode() for p in pieces]
+        out = [None if r is None else r.to_bytes(4, "little") for r in map(self.ranks.get, raw)]
+        rest = np.array([i for i, r in enumerate(out) if r is None], np.int64)
+        n = np.array([len(raw[i]) for i in rest], np.int64)
+        size = np.maximum(4, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+        for one in np.unique(size):
+            group = rest[size == one].tolist()
+            if one > LONG_PIECE:
+                for i in group:
+                    out[i] = np.array(merge(raw[i], self.ranks), np.int32).tobytes()
+                continue
+            rows = BLOCK_CELLS // int(one)
+            for at in range(0, len(group), rows):
+                part = group[at:at + rows]
+                for i, got in zip(part, self.run([raw[i] for i in part], int(one))):
+                    out[i] = got
+        return dict(zip(pieces, out))
 
 
 class Codec:
@@ -198,7 +204,6 @@ class Codec:
         # the property, not the regex library's own idea of white space
         own = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.pieces = regex.compile(own).findall
-        self.near = re.compile(r"\s | \s|^ | $").search
         self.split = re.compile(r"(?<=\S) (?=\S)").split
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -218,27 +223,31 @@ class Codec:
         encoded on their own (a leading space marks all but the first)."""
         if len(self.young) >= CACHE_UNITS:
             self.young, self.old = {}, self.young
-        young, old, units, missing = self.young, self.old, [], {}
+        young, old, units, missing = self.young, self.old, [], set()
         for text in texts:
-            parts = (self.split(" " + text) if self.near(text) else (" " + text).split(" ")) if text else []
+            near = text[:1] == " " or text[-1:] == " " or any(pair in text for pair in _NEAR)
+            parts = (self.split(" " + text) if near else (" " + text).split(" ")) if text else []
             # the first unit has no space of its own: its key can't be any other's
             if parts:
                 parts = [" " + parts[1], *parts[2:]] if parts[0] == "" else [" " + parts[0][1:], *parts[1:]]
             units.append(parts)
-            found = list(map(young.get, parts))
-            if None in found:
-                for u, x in zip(parts, found):
-                    if x is None:
-                        if (x := old.get(u)) is None:
-                            missing[u] = None
-                        else:
-                            young[u] = x
+            for u in set(parts).difference(young):
+                known = old.get(u)
+                if known is None:
+                    missing.add(u)
+                else:
+                    young[u] = known
         long = {}
         if missing:
-            split = {u: self.pieces(u[1:] if u[0] == " " else " " + u) if u != " " else [] for u in missing}
-            ids = self.merger.many({p for x in split.values() for p in x})
-            for u, x in split.items():
-                (young if len(u) <= CACHE_CHARS else long)[u] = b"".join([ids[p] for p in x])
+            keys = list(missing)
+            split = list(map(self.pieces, [u[1:] if u[0] == " " else " " + u for u in keys]))
+            ids = self.merger.many(set(chain.from_iterable(split)))
+            for u, x in zip(keys, split):
+                got = ids[x[0]] if len(x) == 1 else b"".join([ids[p] for p in x])
+                if len(u) <= CACHE_CHARS:
+                    young[u] = got
+                else:
+                    long[u] = got
         return [b"".join([young[u] if u in young else long[u] for u in parts] if long else
                          list(map(young.__getitem__, parts))) for parts in units]
 
@@ -248,10 +257,14 @@ class Codec:
 
         if len(ids) and (ids.min() < 0 or ids.max() >= len(self.known) or not self.known[ids].all()):
             raise ValueError("an id that the rank file doesn't have")
-        lengths = self.lengths[ids]
-        ends = np.concatenate(([0], np.cumsum(lengths)))
-        place = np.repeat(self.starts[ids] - ends[:-1], lengths) + np.arange(ends[-1])
-        return self.flat[place], ends[offsets]
+        ends = np.concatenate(([0], np.cumsum(self.lengths[ids])))
+        out = []
+        for at in range(0, len(ids), BLOCK_CHARS // 4):
+            part = ids[at:at + BLOCK_CHARS // 4]
+            n = self.lengths[part]
+            before = np.cumsum(n) - n
+            out.append(self.flat[np.repeat(self.starts[part] - before, n) + np.arange(n.sum())])
+        return np.concatenate(out) if out else self.flat[:0], ends[offsets]
 
 
 _CODECS: dict[str, Codec] = {}
@@ -283,10 +296,11 @@ def _map(df: DataFrame, used: str, added: str, kind: str, work) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            cols = [batch.column(i) for i in keep]
-            yield pa.RecordBatch.from_arrays([*cols, work(batch.column(place))],
-                                             names=[batch.schema.names[i] for i in keep] + [added])
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK_ROWS):
+                batch = whole.slice(at, BLOCK_ROWS)
+                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], work(batch.column(place))],
+                                                 names=[batch.schema.names[i] for i in keep] + [added])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in rest]
                        + [f"{added} {kind}"])
