@@ -38,16 +38,34 @@ def align_labels(word_ids, word_labels) -> Column:
         .otherwise(F.get(lab, w)))
 
 
-def piece_word_ids(tokens, piece_len: int = 4, max_len: int = MAX_LEN) -> Column:
+def piece_word_ids(tokens, piece_len: int = 4) -> Column:
     """Native stand-in encoder: each word is cut into ``piece_len``-character
-    pieces; ``[null] + word index per piece + [null]``, truncated so the whole
-    sequence fits ``max_len``."""
+    pieces; ``[null] + word index per piece + [null]``, whole."""
     t = _c(tokens)
     per_word = F.transform(t, lambda tok, i: F.array_repeat(
         i, F.greatest(F.ceil(F.length(tok) / piece_len), F.lit(1)).cast("int")))
-    body = F.slice(F.flatten(per_word), 1, max_len - 2)
     none = F.array(F.lit(None).cast("int"))
-    return F.concat(none, body, none)
+    return F.concat(none, F.flatten(per_word), none)
+
+
+def windows(df: DataFrame, columns: dict[str, tuple], max_len: int = MAX_LEN) -> DataFrame:
+    """Cut encoded sentences into consecutive windows of at most ``max_len``
+    positions, ``window_no`` from 0: nothing is lost and every piece is in one
+    window. ``columns`` maps each parallel array column to its first and last
+    special value, which every window gets back. Labels are aligned before
+    the cut, so a word that spans a border is labelled once."""
+    room = max_len - 2
+    some = next(iter(columns))
+    last = F.greatest(F.ceil((F.size(some) - 2) / room), F.lit(1)).cast("int") - 1
+    out = df.withColumn("window_no", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+
+    def cut(name: str, ends: tuple) -> Column:
+        kind = df.schema[name].dataType.elementType
+        first, end = (F.array(F.lit(x).cast(kind)) for x in ends)
+        start = F.col("window_no").cast("int") * room + 2
+        return F.concat(first, F.slice(name, start, F.least(F.lit(room), F.size(name) - start)), end)
+
+    return out.withColumns({name: cut(name, ends) for name, ends in columns.items()})
 
 
 def align_long(sub_rows: DataFrame, word_labels: DataFrame, keys: list[str], sub_pos: str = "sub_pos",
@@ -73,36 +91,30 @@ def first_subwords(df: DataFrame, keys: list[str], pos_col: str, word_col: str)
             .where(~F.col("_prev").eqNullSafe(F.col(word_col))).drop("_prev"))
 
 
-def drop_ignored(df: DataFrame, label_col: str = "label") -> DataFrame:
-    return df.where(F.col(label_col) != IGNORE_INDEX)
-
+def pass_through(df: DataFrame, added: list[str]) -> tuple[list[str], str]:
+    """Columns that a plug-in hands on untouched, and their schema."""
+    keep = [f for f in df.schema.fields if f.name not in added]
+    return [f.name for f in keep], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
 
-def encode_batches(df: DataFrame, keys: list[str], tokens_col: str, key_schema: str,
-                   encoder_factory: Callable[[], Callable[[list[str]], tuple[list[int], list]]],
-                   max_len: int = MAX_LEN) -> DataFrame:
-    """User sub-word encoder through ``mapInArrow`` (Arrow batches). The
-    factory runs once per task; the encoder returns ``(input_ids, word_ids)``
-    for one pre-split sentence. Truncation to ``max_len`` keeps the first and
-    last (special) positions; alignment is then native (``align_labels``)."""
 
+def encode_batches(df: DataFrame, tokens_col: str,
+                   encoder_factory: Callable[[], Callable[[list[list[str]]], tuple[list, list]]]) -> DataFrame:
+    """User sub-word encoder through ``mapInArrow``: all columns pass through,
+    ``input_ids`` and ``word_ids`` are added. The factory runs once per task;
+    the encoder gets a batch of pre-split sentences and returns their ids and
+    word indexes. Sentences stay whole: align (``align_labels``), then cut
+    (``windows``)."""
     import pyarrow as pa
 
+    keep, schema = pass_through(df, ["input_ids", "word_ids"])
+
     def run(batches):
         encode = encoder_factory()
         for rb in batches:
-            ids_col, words_col = [], []
-            for toks in rb.column(tokens_col).to_pylist():
-                ids, words = encode(toks or [])
-                if len(ids) > max_len:
-                    ids = list(ids[:max_len - 1]) + list(ids[-1:])
-                    words = list(words[:max_len - 1]) + list(words[-1:])
-                ids_col.append(ids)
-                words_col.append(words)
+            ids, words = encode([toks or [] for toks in rb.column(tokens_col).to_pylist()])
             yield pa.RecordBatch.from_arrays(
-                [rb.column(k) for k in keys]
-                + [pa.array(ids_col, pa.list_(pa.int32())), pa.array(words_col, pa.list_(pa.int32()))],
-                names=list(keys) + ["input_ids", "word_ids"])
+                [*[rb.column(k) for k in keep], pa.array(ids, pa.list_(pa.int32())),
+                 pa.array(words, pa.list_(pa.int32()))], names=[*keep, "input_ids", "word_ids"])
 
     ship_package(df.sparkSession)
-    return df.select(*keys, tokens_col).mapInArrow(
-        run, f"{key_schema}, input_ids array<int>, word_ids array<int>")
+    return df.mapInArrow(run, f"{schema}, input_ids array<int>, word_ids array<int>")

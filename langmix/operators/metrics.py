@@ -1,8 +1,8 @@
 """Token-, sentence- and span-level quality metrics.
 
-Everything is derived from one partial aggregation: the 3x3 confusion
-counts per group (nine conditional sums), so a model's metrics need one
-shuffle of at most nine numbers per map task and group."""
+Everything is derived from counts per (group, truth, prediction), which
+partial aggregation leaves small: a model's metrics need one shuffle of a few
+numbers per map task and group, and one more of a row per cell."""
 
 from __future__ import annotations
 
@@ -36,46 +36,57 @@ def confusion_long(wide: DataFrame, group: list[str]) -> DataFrame:
     return wide.select(*group, F.expr(f"stack({len(CLASSES) ** 2}, {cells}) as (y_true, y_pred, n)"))
 
 
-def _class_parts(c: int):
-    tp = F.col(_n(c, c))
-    n_true = sum((F.col(_n(c, p)) for p in CLASSES), F.lit(0))
-    n_pred = sum((F.col(_n(t, c)) for t in CLASSES), F.lit(0))
-    return tp, n_true, n_pred
-
-
 def _div(a: Column, b: Column) -> Column:
     """Division with the zero-division rule: 0 when the denominator is 0."""
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-def prf(wide: DataFrame, group: list[str], average: str = "macro") -> DataFrame:
-    """Accuracy and averaged precision/recall/F1 from confusion counts.
+def cells(df: DataFrame, group: list[str], y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
+    """Counts ``(group, t, p, n)`` of every pair that occurs, whatever the
+    classes; rows with the ignore index are skipped, null truths kept."""
+    valid = df.where(F.col(y_true).isNull() | (F.col(y_true) != IGNORE_INDEX))
+    return valid.groupBy(*group, F.col(y_true).alias("t"), F.col(y_pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def prf(counts: DataFrame, group: list[str], average: str = "macro") -> DataFrame:
+    """Accuracy and averaged precision/recall/F1 from :func:`cells`.
 
+    ``n_tokens`` counts every token with a truth, in whatever class; a token
+    predicted outside the truth's classes (or not at all) is wrong, not absent.
+    Tokens without a truth can't be scored: ``n_null_truth`` counts them.
     ``macro``: unweighted mean over classes seen in truth or prediction.
     ``weighted``: mean weighted by true support. Per-class F1 is
     ``2 tp / (n_true + n_pred)``, 0 when undefined. No tokens -> NULL."""
-    present, p_sum, r_sum, f_sum, support = F.lit(0), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0)
-    total = sum((F.col(_n(t, p)) for t in CLASSES for p in CLASSES), F.lit(0))
-    correct = sum((F.col(_n(c, c)) for c in CLASSES), F.lit(0))
-    for c in CLASSES:
-        tp, n_true, n_pred = _class_parts(c)
-        p_c, r_c, f_c = _div(tp, n_pred), _div(tp, n_true), _div(2 * tp, n_true + n_pred)
-        if average == "macro":
-            is_present = ((n_true + n_pred) > 0).cast("int")
-            present = present + is_present
-            p_sum, r_sum, f_sum = p_sum + p_c, r_sum + r_c, f_sum + f_c
-        elif average == "weighted":
-            support = support + n_true
-            p_sum, r_sum, f_sum = p_sum + n_true * p_c, r_sum + n_true * r_c, f_sum + n_true * f_c
-        else:
-            raise ValueError(average)
-    denom = present if average == "macro" else support
-    return wide.select(
-        *group, total.cast("long").alias("n_tokens"),
-        F.when(total > 0, correct / total).alias("accuracy"),
-        F.when(denom > 0, p_sum / denom).alias("precision"),
-        F.when(denom > 0, r_sum / denom).alias("recall"),
-        F.when(denom > 0, f_sum / denom).alias("f1"))
+    if average not in ("macro", "weighted"):
+        raise ValueError(average)
+    known = F.filter("c", lambda x: x["t"].isNotNull())
+    per = counts.groupBy(*group).agg(
+        F.collect_list(F.struct("t", "p", "n")).alias("c"),   # one element per pair of classes
+        F.sum(F.when(F.col("t").isNotNull(), F.col("n")).otherwise(0)).alias("n_tokens"),
+        F.sum(F.when(F.col("t").isNull(), F.col("n")).otherwise(0)).alias("n_null_truth"),
+        F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)).alias("_correct"))
+    per = per.withColumn("c", known)
+    seen = F.array_sort(F.array_distinct(F.filter(
+        F.flatten(F.transform("c", lambda x: F.array(x["t"], x["p"]))), lambda k: k.isNotNull())))
+
+    def total(keep):
+        return F.aggregate(F.filter("c", keep), F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"])
+
+    per = per.withColumn("_k", F.transform(seen, lambda k: F.struct(
+        total(lambda x: (x["t"] == k) & x["p"].eqNullSafe(k)).alias("tp"),
+        total(lambda x: x["t"] == k).alias("nt"), total(lambda x: x["p"].eqNullSafe(k)).alias("np"))))
+    weight = (lambda x: F.lit(1.0)) if average == "macro" else (lambda x: x["nt"].cast("double"))
+
+    def mean(value):
+        top = F.aggregate("_k", F.lit(0.0), lambda acc, x: acc + weight(x) * value(x))
+        return top / F.aggregate("_k", F.lit(0.0), lambda acc, x: acc + weight(x))
+
+    any_ = F.col("n_tokens") > 0
+    return per.select(
+        *group, "n_tokens", "n_null_truth", F.when(any_, F.col("_correct") / F.col("n_tokens")).alias("accuracy"),
+        F.when(any_, mean(lambda x: _div(x["tp"], x["np"]))).alias("precision"),
+        F.when(any_, mean(lambda x: _div(x["tp"], x["nt"]))).alias("recall"),
+        F.when(any_, mean(lambda x: _div(2 * x["tp"], x["nt"] + x["np"]))).alias("f1"))
 
 
 def spans(df: DataFrame, keys: list[str], pos: str, label: str) -> DataFrame:
@@ -95,19 +106,19 @@ def spans(df: DataFrame, keys: list[str], pos: str, label: str) -> DataFrame:
 def span_prf(df: DataFrame, group: list[str], sentence: list[str], pos: str = "pos",
              y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
     """Micro span precision/recall/F1 (exact sentence, start, end and label)
-    plus token accuracy, per group."""
+    plus token accuracy, per group. Spans of both sides are counted together
+    by place, so that no join is needed."""
     keys = group + sentence
     valid = df.where(F.col(y_true) != IGNORE_INDEX)
-    t = spans(valid, keys, pos, y_true)
-    p = spans(valid, keys, pos, y_pred)
-    cols = keys + ["span_label", "start", "end"]
-    tp = t.join(p, cols, "inner").groupBy(*group).agg(F.count(F.lit(1)).alias("tp"))
-    nt = t.groupBy(*group).agg(F.count(F.lit(1)).alias("n_true"))
-    np_ = p.groupBy(*group).agg(F.count(F.lit(1)).alias("n_pred"))
+    place = keys + ["span_label", "start", "end"]
+    both = spans(valid, keys, pos, y_true).withColumn("_t", F.lit(1)).withColumn("_p", F.lit(0)).unionByName(
+        spans(valid, keys, pos, y_pred).withColumn("_t", F.lit(0)).withColumn("_p", F.lit(1)))
+    at = both.groupBy(*place).agg(F.max("_t").alias("_t"), F.max("_p").alias("_p"))
+    counted = at.groupBy(*group).agg(F.sum("_t").alias("n_true"), F.sum("_p").alias("n_pred"),
+                                     F.sum(F.col("_t") * F.col("_p")).alias("tp"))
     acc = valid.groupBy(*group).agg(
         F.avg((F.col(y_true) == F.col(y_pred)).cast("double")).alias("accuracy"))
-    out = (acc.join(nt, group, "left").join(np_, group, "left").join(tp, group, "left")
-           .fillna(0, ["tp", "n_true", "n_pred"]))
+    out = acc.join(counted, group, "left").fillna(0, ["tp", "n_true", "n_pred"])
     return out.select(
         *group, F.col("n_true").cast("long"), F.col("n_pred").cast("long"), F.col("tp").cast("long"),
         _div(F.col("tp"), F.col("n_pred")).alias("precision"),

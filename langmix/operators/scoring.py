@@ -8,7 +8,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from langmix.functions.arrays import argmax, max_prob
+from langmix.functions.arrays import max_prob
 from langmix.session import ship_package
 
 # --- Fixed values -----------------------------------------------------------
@@ -23,11 +23,6 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def predict_columns(logits) -> list[Column]:
-    """``y_pred`` (first maximum) and ``conf`` (its softmax probability)."""
-    return [argmax(logits).alias("y_pred"), max_prob(logits).alias("conf")]
-
-
 def mean_confidence(word_rows: DataFrame, sentences: DataFrame, keys: list[str],
                     conf: str = "conf", default: float = DEFAULT_CONFIDENCE) -> DataFrame:
     """Mean confidence per sentence over its scored words; sentences without
@@ -77,10 +72,11 @@ def confidence_proxy(p) -> Column:
                     _clamp(q * RECALL_FACTOR).alias("recall"), f1.alias("f1"))
 
 
-def score_batches(df: DataFrame, keys: list[str], ids_col: str, key_schema: str,
+def score_batches(df: DataFrame, ids_col: str,
                   scorer_factory: Callable[[], Callable[[list[list[int]]], list[list[list[float]]]]],
                   batch_size: int = 16) -> DataFrame:
-    """User model scoring through ``mapInArrow``: the factory loads the
+    """User model scoring through ``mapInArrow``: all columns pass through,
+    ``logits`` is added. The factory loads the
     model once per task; the scorer gets ``batch_size`` sequences at a time
     (numpy views into the Arrow buffer, no copy) and returns one
     ``positions x classes`` array per sequence. The nested result is built
@@ -89,6 +85,10 @@ def score_batches(df: DataFrame, keys: list[str], ids_col: str, key_schema: str,
     import numpy as np
     import pyarrow as pa
 
+    from langmix.operators.align import pass_through
+
+    keep, schema = pass_through(df, ["logits"])
+
     def run(batches):
         score = scorer_factory()
         for rb in batches:
@@ -108,8 +108,7 @@ def score_batches(df: DataFrame, keys: list[str], ids_col: str, key_schema: str,
                 pa.array((np.arange(lengths.sum() + 1) * width).astype(np.int32)), pa.array(flat))
             outer = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)),
                                              inner)
-            yield pa.RecordBatch.from_arrays([rb.column(k) for k in keys] + [outer],
-                                             names=list(keys) + ["logits"])
+            yield pa.RecordBatch.from_arrays([rb.column(k) for k in keep] + [outer], names=[*keep, "logits"])
 
     ship_package(df.sparkSession)
-    return df.select(*keys, ids_col).mapInArrow(run, f"{key_schema}, logits array<array<double>>")
+    return df.mapInArrow(run, f"{schema}, logits array<array<double>>")

@@ -22,7 +22,7 @@ from langmix.session import materialize, ship_package
 WORD = r"^\p{L}+$"              # lexicon entries: letters only
 MIN_COUNT = 2                   # token must occur at least this often
 MIN_PURITY_PCT = 60             # best language share, in percent
-BROADCAST_MAX_ROWS = 2_000_000  # size check before broadcasting a lexicon
+BLOCK_BYTES = 32 << 20          # lexicon text in one broadcast block, at most about
 # -----------------------------------------------------------------------------
 
 
@@ -81,37 +81,77 @@ def _tag_map(lang_to_tag: dict[str, str]):
     return F.create_map(*[x for k, v in lang_to_tag.items() for x in (F.lit(k), F.lit(LABEL2ID[v]))])
 
 
-def tag_lines(lines: DataFrame, lexicon: DataFrame, keys: list[str], text_col: str,
-              lang_to_tag: dict[str, str], broadcast_max_rows: int = BROADCAST_MAX_ROWS,
-              squeezed: bool = False) -> DataFrame:
+class PreparedLexicon:
+    """A lexicon as broadcast blocks of bounded size, ready for any number of
+    tagging runs (a stream prepares it once). Only entries with a tag travel.
+    The blocks are cut by a hash of the token; a lexicon of any size takes the
+    same path, one look-up per block and text."""
+
+    def __init__(self, lexicon: DataFrame, lang_to_tag: dict[str, str], block_bytes: int = BLOCK_BYTES):
+        import pyarrow as pa
+
+        spark = lexicon.sparkSession
+        ship_package(spark)
+        entries = materialize(lexicon.select("token", F.element_at(_tag_map(lang_to_tag), F.col("lang")).alias("tag"))
+                              .where("tag IS NOT NULL AND tag <> 0"))
+        size = entries.agg(F.sum(F.octet_length("token") + 8)).first()[0] or 0
+        n = max(1, -(-size // block_bytes))
+        self.blocks = []
+        for i in range(n):   # one bounded block at a time
+            rows = entries.where(F.pmod(F.xxhash64("token"), F.lit(n)) == i).collect()
+            block = pa.table({"token": pa.array([r["token"] for r in rows], pa.string()),
+                              "tag": pa.array([r["tag"] for r in rows], pa.int32())})
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, block.schema) as out:
+                out.write_table(block)
+            self.blocks.append(spark.sparkContext.broadcast(sink.getvalue().to_pybytes()))
+
+
+def _look_up(block, names: list[str]):
+    """Tags of all tokens of an Arrow batch at once; the last column holds the
+    lower-cased tokens, ``ner_tags`` what earlier blocks found."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        known = pa.ipc.open_stream(block.value).read_all().combine_chunks()
+        tokens = known.column("token").combine_chunks()
+        tag = np.concatenate((known.column("tag").to_numpy(), [0])).astype(np.int32)
+        for rb in batches:
+            lower, before = rb.column("_lower"), rb.column("ner_tags")
+            at = pc.fill_null(pc.index_in(lower.flatten(), tokens), len(tokens)).to_numpy(zero_copy_only=False)
+            tags = tag[at]
+            if len(before.flatten()):
+                tags = np.maximum(tags, before.flatten().to_numpy(zero_copy_only=False))
+            offsets = lower.offsets.to_numpy()
+            lists = pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(tags))
+            yield pa.RecordBatch.from_arrays([lists if n == "ner_tags" else rb.column(n) for n in names], names=names)
+    return run
+
+
+def tag_lines(lines: DataFrame, lexicon: DataFrame | PreparedLexicon, keys: list[str], text_col: str,
+              lang_to_tag: dict[str, str], squeezed: bool = False) -> DataFrame:
     """Tag every whitespace token: lexicon language -> tag id, unknown or
     non-word tokens -> 0. Empty lines yield no row. ``squeezed=True`` says
     the text is already single-spaced (clean_text output), so tokens come
     from a plain split instead of the whitespace regex.
 
-    The lexicon is materialized and counted; under the size bound it is
-    broadcast, so explode, join and a partial ``collect_list`` run in one
-    stage and a single exchange precedes the final regroup. Above the bound
-    the join shuffles on the token (AQE splits skewed tokens)."""
-    lex = materialize(lexicon.select(F.col("token").alias("_lk"),
-                                     F.coalesce(F.element_at(_tag_map(lang_to_tag), F.col("lang")),
-                                                F.lit(0)).alias("_tag")))
-    if lex.count() <= broadcast_max_rows:
-        lex = F.broadcast(lex)
-    # No explicit repartition: explode and the broadcast join keep the input's
-    # partitioning, so lines already hash-partitioned on (a subset of) the
-    # keys regroup without any exchange; otherwise the planner adds one after
-    # the partial aggregation.
-    # (an empty token array explodes to no row, so empty lines need no filter)
-    tokens = split_squeezed(text_col) if squeezed else split_ws(text_col)
-    src = lines.select(*keys, tokens.alias("_toks"))
-    exploded = src.select(*keys, F.posexplode("_toks").alias("pos", "token"))
-    joined = exploded.join(lex, F.lower(exploded.token) == lex._lk, "left")
-    tagged = joined.select(*keys, "pos", "token", F.coalesce("_tag", F.lit(0)).alias("tag"))
-    grouped = tagged.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("pos", "token", "tag"))).alias("_s"))
-    return grouped.select(*keys, F.col("_s.token").alias("tokens"),
-                          F.col("_s.tag").cast("array<int>").alias("ner_tags"))
+    Tokens are looked up in the row, one vectorized look-up per Arrow batch
+    and lexicon block: nothing is exploded, joined or shuffled, so a token
+    that holds a third of all rows costs what any other does."""
+    if not isinstance(lexicon, PreparedLexicon):
+        lexicon = PreparedLexicon(lexicon, lang_to_tag)
+    split = split_squeezed if squeezed else split_ws
+    full = F.col(text_col) != "" if squeezed else strip_ws(text_col) != ""
+    src = lines.where(full).select(
+        *keys, split(F.col(text_col)).alias("tokens"), F.array().cast("array<int>").alias("ner_tags"),
+        split(F.lower(text_col)).alias("_lower"))
+    names = src.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
+    for block in lexicon.blocks:
+        src = src.mapInArrow(_look_up(block, names), schema)
+    return src.drop("_lower")
 
 
 def model_tag_lines(lines: DataFrame, keys: list[str], text_col: str,

@@ -97,13 +97,17 @@ class StubEncoder:
     """Deterministic stand-in for a sub-word tokenizer: 4-character pieces;
     id = code point of the piece's first character; 101/102 specials."""
 
-    def __call__(self, tokens):
-        ids, words = [101], [None]
-        for i, t in enumerate(tokens):
-            pieces = [t[j:j + 4] for j in range(0, len(t), 4)] or [t]
-            ids += [ord(p[0]) if p else 0 for p in pieces]
-            words += [i] * len(pieces)
-        return ids + [102], words + [None]
+    def __call__(self, sentences):
+        out_ids, out_words = [], []
+        for tokens in sentences:
+            ids, words = [101], [None]
+            for i, t in enumerate(tokens):
+                pieces = [t[j:j + 4] for j in range(0, len(t), 4)] or [t]
+                ids += [ord(p[0]) if p else 0 for p in pieces]
+                words += [i] * len(pieces)
+            out_ids.append(ids + [102])
+            out_words.append(words + [None])
+        return out_ids, out_words
 
 
 class StubScorer:

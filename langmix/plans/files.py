@@ -57,7 +57,7 @@ def preview_jsonl(spark, sf):
                      F.when(F.col("is_bad"), F.col("content")).alias("raw"))
 
 
-def lookup_load(spark, sf):
+def _lookup_file(spark, sf):
     t = materialize(tagged_doc_lines(spark, sf))  # three branches read it
     good = t.select("doc_id", "line_no", F.lit(0).alias("kind"),
                     F.to_json(F.struct("tokens", "ner_tags")).alias("line"))
@@ -68,10 +68,19 @@ def lookup_load(spark, sf):
         "doc_id", "line_no", F.lit(2), F.lit('{"tokens": ["broken"'))
     path = scratch_path(spark, "lookup")
     sinks.write_text(good.union(blank).union(bad), "line", path, ["doc_id", "line_no", "kind"])
-    lk = readers.load_lookup(spark, path, on_bad="stop")
+    return path
+
+
+def lookup_load(spark, sf):
+    lk = readers.load_lookup(spark, _lookup_file(spark, sf))
     return lk.select("key", _joined("ner_tags").alias("ner_tags"), "seq")
 
 
+def lookup_faults(spark, sf):
+    faults = readers.line_faults(readers.judged_lines(spark, _lookup_file(spark, sf)))
+    return faults.agg(*[F.sum(c).alias(c) for c in ("n_lines", "n_blank", "n_bad")])
+
+
 def text_roundtrip(spark, sf):
     u = corpus.union_distinct(corpus_sources(spark, sf))
     path = scratch_path(spark, "sentences")
@@ -100,10 +109,11 @@ def split_cache(spark, sf):
     enc = t.select("doc_id", "line_no", w.alias("word_ids"), "ner_tags").withColumn(
         "labels", AL.align_labels("word_ids", "ner_tags")).drop("ner_tags")
     split = sampling.hash_split(enc, ["doc_id", "line_no"], SEED, 0.1, materialize_input=True)
+    split = AL.windows(split, {"word_ids": (None, None), "labels": (IGNORE_INDEX, IGNORE_INDEX)})
     path = scratch_path(spark, "split-cache")
     sinks.write_split_cache(split, path)
     test = readers.read_split(spark, path, "test")
-    return test.select("doc_id", "line_no", F.size("word_ids").cast("long").alias("n_sub"),
+    return test.select("doc_id", "line_no", "window_no", F.size("word_ids").cast("long").alias("n_sub"),
                        F.size(F.filter("labels", lambda x: x != IGNORE_INDEX)).cast("long").alias("n_labelled"))
 
 
@@ -166,6 +176,7 @@ QUERIES = {
     "json_array_keys": json_array_keys,
     "preview_jsonl": preview_jsonl,
     "lookup_load": lookup_load,
+    "lookup_faults": lookup_faults,
     "text_roundtrip": text_roundtrip,
     "jsonl_roundtrip": jsonl_roundtrip,
     "split_cache": split_cache,
@@ -198,16 +209,21 @@ SELECT line_no::BIGINT AS line_no, kind <> 0 AS is_bad, CASE WHEN kind = 0 THEN
        CASE WHEN kind = 0 THEN lang END AS lang, CASE WHEN kind <> 0 THEN trim(line) END AS raw
 FROM n WHERE line_no <= {PREVIEW_N}"""
 
-SQL["lookup_load"] = f"""WITH {O.TAG_CTES},
+_LOOKUP_LINES = f"""{O.TAG_CTES},
 l AS (
   SELECT doc_id, line_no, 0 AS kind, tokens, tags FROM tagged
   UNION ALL SELECT doc_id, line_no, 1, NULL, NULL FROM tagged
   WHERE doc_id % {BLANK_EVERY} = {BLANK_AT} AND line_no = 0
   UNION ALL SELECT doc_id, line_no, 2, NULL, NULL FROM tagged
   WHERE doc_id % {BAD_EVERY} = {BAD_AT} AND line_no = 0),
-n AS (SELECT *, row_number() OVER (ORDER BY doc_id, line_no, kind) AS num FROM l),
-kept AS (SELECT * FROM n WHERE kind = 0
-         AND num < coalesce((SELECT min(num) FROM n WHERE kind = 2), 9223372036854775807)),
+n AS (SELECT *, row_number() OVER (ORDER BY doc_id, line_no, kind) AS num FROM l)"""
+
+SQL["lookup_faults"] = f"""WITH {_LOOKUP_LINES}
+SELECT count(*)::BIGINT AS n_lines, count(*) FILTER (kind = 1)::BIGINT AS n_blank,
+       count(*) FILTER (kind = 2)::BIGINT AS n_bad FROM n"""
+
+SQL["lookup_load"] = f"""WITH {_LOOKUP_LINES},
+kept AS (SELECT * FROM n WHERE kind = 0),
 k AS (SELECT {O.normalize("array_to_string(tokens, ' ')")} AS key, tags, num FROM kept)
 SELECT key, {_J('arg_max(tags, num)')} AS ner_tags, max(num)::BIGINT AS seq FROM k GROUP BY key"""
 
@@ -220,11 +236,11 @@ SQL["jsonl_roundtrip"] = f"""WITH {O.TAG_CTES}
 SELECT {_J('tokens')} AS tokens, {_J('tags')} AS ner_tags, count(*)::BIGINT AS n FROM tagged GROUP BY ALL"""
 
 SQL["split_cache"] = f"""WITH {O.ALIGN_CTE},
-sp AS (SELECT *, row_number() OVER (ORDER BY {O.h('doc_id, line_no', SEED)}, doc_id, line_no) AS r,
+sp AS (SELECT doc_id, line_no, row_number() OVER (ORDER BY {O.h('doc_id, line_no', SEED)}, doc_id, line_no) AS r,
               count(*) OVER () AS n FROM al)
-SELECT doc_id, line_no, len(w)::BIGINT AS n_sub,
+SELECT doc_id, line_no, window_no, len(w)::BIGINT AS n_sub,
        len(list_filter(labels, lambda x: x <> -100))::BIGINT AS n_labelled
-FROM sp WHERE r <= ceil(0.1 * n)"""
+FROM win JOIN sp USING (doc_id, line_no) WHERE r <= ceil(0.1 * n)"""
 
 SQL["json_array_scan"] = f"""WITH {_LINES}
 SELECT doc_id, line_no AS pos, {O.strip('line')} AS sentence FROM doc_lines"""

@@ -251,9 +251,21 @@ SELECT doc_id, (row_number() OVER (ORDER BY {h('doc_id', C.SEED)}, doc_id))::BIG
 FROM split WHERE split = 'train' QUALIFY pick <= {C.PREFIX_K}"""
 
 SQL["zip_join"] = """WITH labs AS (
-  SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id AS label_doc_id, quality FROM labels)
-SELECT d.doc_id AS pos, d.doc_id, d.lang, l.label_doc_id, l.quality::BIGINT AS quality
-FROM documents d JOIN labs l ON d.doc_id = l.pos"""
+  SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id AS label_doc_id, quality FROM labels),
+docs AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id, lang FROM documents)
+SELECT pos, doc_id, lang, label_doc_id, quality::BIGINT AS quality FROM docs JOIN labs USING (pos)"""
+
+SQL["open_class_prf"] = """WITH t AS (
+  SELECT vec_id // 100 AS part, CASE WHEN vec_id % 11 <> 0 THEN label % 4 END AS y,
+         CASE WHEN vec_id % 13 <> 0 THEN label % 5 END AS p FROM embeddings),
+a AS (SELECT part, count(y)::BIGINT AS n_tokens, (count(*) - count(y))::BIGINT AS n_null_truth,
+             avg(CASE WHEN y IS NULL THEN NULL WHEN y = p THEN 1.0 ELSE 0.0 END) AS accuracy FROM t GROUP BY part),
+k AS (SELECT part, c, count(*) FILTER (y = c) AS nt, count(*) FILTER (p = c) AS np, count(*) FILTER (y = c AND p = c) AS tp
+      FROM t, range(5) r(c) WHERE y IS NOT NULL GROUP BY part, c),
+m AS (SELECT part, avg(CASE WHEN np > 0 THEN tp / np ELSE 0.0 END) AS p, avg(CASE WHEN nt > 0 THEN tp / nt ELSE 0.0 END) AS r,
+             avg(2 * tp / (nt + np)) AS f FROM k WHERE nt + np > 0 GROUP BY part)
+SELECT part, n_tokens, n_null_truth, round(accuracy, 6) AS accuracy, round(p, 6) AS precision, round(r, 6) AS recall,
+       round(f, 6) AS f1 FROM a LEFT JOIN m USING (part)"""
 
 SQL["lookup_last_wins"] = f"""WITH truth AS (
   SELECT {normalize(f"array_to_string({split_ws('d.text')}, ' ')")} AS key, d.doc_id AS seq, l.quality, l.toxic
@@ -437,17 +449,27 @@ SELECT doc_id, line_no, trim(array_to_string(list_transform(tokens, lambda t, i:
 FROM tagged"""
 
 _WORDS = "flatten(list_transform(tokens, lambda t, i: list_transform(range(greatest(ceil(length(t) / 4), 1)::BIGINT), lambda j: i - 1)))"
+_ROOM = 510   # positions of a window between its two special ones
 ALIGN_CTE = f"""{TAG_CTES},
-wi AS (SELECT doc_id, line_no, tags, tokens,
-         [NULL::BIGINT] || ({_WORDS})[1:{C_MAX_LEN - 2 if (C_MAX_LEN := 512) else 0}] || [NULL::BIGINT] AS w FROM tagged),
+wi AS (SELECT doc_id, line_no, tags, tokens, [NULL::BIGINT] || ({_WORDS}) || [NULL::BIGINT] AS w FROM tagged),
 al AS (SELECT doc_id, line_no, w, tags, list_transform(w, lambda x, i:
          CASE WHEN x IS NULL THEN -100 WHEN i > 1 AND w[i - 1] IS NOT DISTINCT FROM x THEN -100
-              ELSE tags[x + 1] END) AS labels FROM wi)"""
+              ELSE tags[x + 1] END) AS labels FROM wi),
+wn AS (SELECT *, unnest(range(greatest(1, ceil((len(w) - 2) / {_ROOM})::BIGINT))) AS window_no FROM al),
+win AS (SELECT doc_id, line_no, window_no,
+  [NULL::BIGINT] || w[window_no * {_ROOM} + 2 : least(window_no * {_ROOM} + {_ROOM + 1}, len(w) - 1)] || [NULL::BIGINT] AS w,
+  [-100] || labels[window_no * {_ROOM} + 2 : least(window_no * {_ROOM} + {_ROOM + 1}, len(w) - 1)] || [-100] AS labels
+  FROM wn)"""
 
 SQL["align_array"] = f"""WITH {ALIGN_CTE}
-SELECT doc_id, line_no, {joined('w')} AS word_ids, {joined('labels')} AS labels, len(w)::BIGINT AS n_sub FROM al"""
+SELECT doc_id, line_no, window_no, {joined('w')} AS word_ids, {joined('labels')} AS labels, len(w)::BIGINT AS n_sub
+FROM win"""
 
-SQL["align_long"] = f"""WITH {ALIGN_CTE},
+SQL["align_long"] = f"""WITH {ALIGN_CTE}
+SELECT doc_id, line_no, window_no, generate_subscripts(w, 1)::BIGINT - 1 AS sub_pos, unnest(w)::BIGINT AS word_idx,
+  unnest(labels)::BIGINT AS label FROM win"""
+
+SQL["align_stored"] = f"""WITH {ALIGN_CTE},
 sub AS (SELECT doc_id, line_no, generate_subscripts(w, 1) - 1 AS sub_pos, unnest(w) AS word_idx, tags FROM wi)
 SELECT doc_id, line_no, sub_pos::BIGINT AS sub_pos, word_idx::BIGINT AS word_idx,
   (CASE WHEN word_idx IS NULL THEN -100
@@ -462,20 +484,22 @@ FROM clean_lines"""
 
 _IDS = "flatten(list_transform(tokens, lambda t: list_transform(range(greatest(ceil(length(t) / 4), 1)::BIGINT), lambda j: unicode(substr(t, j * 4 + 1, 1)))))"
 ENC_CTE = f"""{ALIGN_CTE},
-enc AS (SELECT a.doc_id, a.line_no, a.w, a.labels,
-          [101] || ({_IDS})[1:510] || [102] AS ids
-        FROM al a JOIN tagged t USING (doc_id, line_no))"""
+full_ids AS (SELECT doc_id, line_no, {_IDS} AS ids FROM tagged),
+enc AS (SELECT w.doc_id, w.line_no, w.window_no, w.w, w.labels,
+          [101] || ids[window_no * {_ROOM} + 1 : (window_no + 1) * {_ROOM}] || [102] AS ids
+        FROM win w JOIN full_ids USING (doc_id, line_no))"""
 
 SQL["encode_udf"] = f"""WITH {ENC_CTE}
-SELECT doc_id, line_no, {joined('ids')} AS input_ids, {joined('w')} AS word_ids, {joined('labels')} AS labels FROM enc"""
+SELECT doc_id, line_no, window_no, {joined('ids')} AS input_ids, {joined('w')} AS word_ids, {joined('labels')} AS labels
+FROM enc"""
 
 SQL["score_udf"] = f"""WITH {ENC_CTE},
-pos AS (SELECT doc_id, line_no, generate_subscripts(ids, 1) - 1 AS sub_pos, unnest(ids) AS x, unnest(labels) AS y
-        FROM enc),
-lg AS (SELECT doc_id, line_no, sub_pos, y,
+pos AS (SELECT doc_id, line_no, window_no, generate_subscripts(ids, 1) - 1 AS sub_pos, unnest(ids) AS x,
+          unnest(labels) AS y FROM enc),
+lg AS (SELECT doc_id, line_no, window_no, sub_pos, y,
          [round((x % 7) / 7.0, 6), round((x % 11) / 11.0, 6), round((x % 13) / 13.0, 6)] AS l FROM pos WHERE y <> -100),
 ex AS (SELECT *, list_transform(l, lambda v: exp(v - list_max(l))) AS e FROM lg)
-SELECT doc_id, line_no, sub_pos::BIGINT AS sub_pos, y::BIGINT AS y_true,
+SELECT doc_id, line_no, window_no, sub_pos::BIGINT AS sub_pos, y::BIGINT AS y_true,
   (list_position(l, list_max(l)) - 1)::BIGINT AS y_pred, {r6('list_max(e) / list_sum(e)')} AS conf FROM ex"""
 
 SQL["sequence_confidence"] = f"""WITH {SCORED_CTE}

@@ -120,7 +120,8 @@ def prefix_take(spark, sf):
 
 
 def zip_join(spark, sf):
-    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), "doc_id", "lang")
+    texts = global_rank(table(spark, sf, "documents").select("doc_id", "lang"), ["doc_id"], "_r")
+    texts = texts.select((F.col("_r") - 1).alias("pos"), "doc_id", "lang")
     labs = global_rank(table(spark, sf, "labels").select("doc_id", "quality"), ["doc_id"], "_r")
     labs = labs.select((F.col("_r") - 1).alias("pos"), F.col("doc_id").alias("label_doc_id"),
                        F.col("quality").cast("long").alias("quality"))
@@ -202,11 +203,12 @@ def confidence_proxy(spark, sf):
 
 
 def _model_counts(spark, sf):
-    return metrics.confusion_counts(scored_tokens(spark, sf), ["model"])
+    return metrics.cells(scored_tokens(spark, sf), ["model"])
 
 
 def confusion_matrix(spark, sf):
-    return metrics.confusion_long(_model_counts(spark, sf), ["model"]).select(
+    counts = metrics.confusion_counts(scored_tokens(spark, sf), ["model"])
+    return metrics.confusion_long(counts, ["model"]).select(
         "model", F.col("y_true").cast("long"), F.col("y_pred").cast("long"), F.col("n").cast("long"))
 
 
@@ -224,17 +226,20 @@ def macro_prf(spark, sf):
 
 
 def _sentence_weighted(spark, sf):
-    s = scored_tokens(spark, sf)
-    seqs = (s.where(F.col("y_true") != L.IGNORE_INDEX)
-            .groupBy("model", "sentence_id")
-            .agg(F.sort_array(F.collect_list(F.struct("pos", "y_true", "y_pred"))).alias("_s")))
-    seqs = seqs.select("model", "sentence_id", F.col("_s.y_true").alias("truth"),
-                       F.col("_s.y_pred").alias("pred"))
-    pairs = metrics.pair_sequences(seqs, ["model", "sentence_id"], "truth", "pred")
-    counts = metrics.confusion_counts(pairs, ["model", "sentence_id"])
+    counts = metrics.cells(scored_tokens(spark, sf), ["model", "sentence_id"])
     return metrics.prf(counts, ["model", "sentence_id"], "weighted")
 
 
+def open_class_prf(spark, sf):
+    """Truths in four classes or missing, predictions in five or missing."""
+    emb = table(spark, sf, "embeddings")
+    t = emb.select(F.expr("vec_id div 100").alias("part"),
+                   F.when(F.col("vec_id") % 11 != 0, F.col("label") % 4).alias("y_true"),
+                   F.when(F.col("vec_id") % 13 != 0, F.col("label") % 5).alias("y_pred"))
+    m = metrics.prf(metrics.cells(t, ["part"]), ["part"], "macro")
+    return m.select("part", "n_tokens", "n_null_truth", *[r6(c).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
 def weighted_sentence_prf(spark, sf):
     return _round_prf(_sentence_weighted(spark, sf), ["model", "sentence_id"])
 
@@ -253,7 +258,7 @@ def model_comparison(spark, sf):
 
 def best_by_metric(spark, sf):
     s = scored_tokens(spark, sf).withColumn("step", F.expr(f"(vec_id div {STEP_SIZE} + 1) * {STEP_SIZE}"))
-    log = metrics.prf(metrics.confusion_counts(s, ["model", "step"]), ["model", "step"], "macro")
+    log = metrics.prf(metrics.cells(s, ["model", "step"]), ["model", "step"], "macro")
     log = log.where(F.col("f1").isNotNull()).withColumn("f1", r6("f1"))
     b = metrics.best_by(log, ["model"], "step", "f1")
     return b.select("model", F.col("best_step").cast("long"), "best_f1")
@@ -264,7 +269,7 @@ def metric_select(spark, sf):
     w = _sentence_weighted(spark, sf).where(F.col("model") == MODELS[0])
     has_truth = table(spark, sf, "labels").select(F.col("doc_id").alias("sentence_id")).distinct()
     j = (conf.join(has_truth.withColumn("_t", F.lit(True)), "sentence_id", "left")
-         .join(w.drop("model", "n_tokens"), "sentence_id", "left"))
+         .join(w.drop("model", "n_tokens", "n_null_truth"), "sentence_id", "left"))
     proxy = scoring.confidence_proxy("mean_conf")
     matched = F.coalesce(F.col("_t"), F.lit(False))
     return j.select(
@@ -304,6 +309,7 @@ QUERIES = {
     "accuracy": accuracy,
     "macro_prf": macro_prf,
     "weighted_sentence_prf": weighted_sentence_prf,
+    "open_class_prf": open_class_prf,
     "span_prf": span_prf,
     "model_comparison": model_comparison,
     "best_by_metric": best_by_metric,
@@ -319,6 +325,8 @@ from langmix.operators import profile as PR  # noqa: E402
 from langmix.operators import tagging as TG  # noqa: E402
 from langmix.plans.common import StubEncoder, StubScorer, doc_lexicon, tagged_doc_lines  # noqa: E402
 
+from langmix.session import materialize  # noqa: E402
+
 KEY_SCHEMA = "doc_id bigint, line_no bigint"
 PARSE_NAMES = {0: "O", 1: "Malay", 2: "english"}
 
@@ -364,21 +372,35 @@ def annotate_text(spark, sf):
     return t.select("doc_id", "line_no", L.annotate("tokens", "ner_tags", html=True).alias("annotated"))
 
 
+ALIGNED = {"word_ids": (None, None), "labels": (L.IGNORE_INDEX, L.IGNORE_INDEX)}
+ENCODED = {"input_ids": (101, 102), **ALIGNED}
+
+
 def _aligned(spark, sf):
     t = tagged_doc_lines(spark, sf)
     w = AL.piece_word_ids("tokens")
-    return t.select("doc_id", "line_no", "ner_tags", w.alias("word_ids")).withColumn(
+    a = t.select("doc_id", "line_no", "ner_tags", w.alias("word_ids")).withColumn(
         "labels", AL.align_labels("word_ids", "ner_tags"))
+    return AL.windows(a, ALIGNED)
 
 
 def align_array(spark, sf):
     a = _aligned(spark, sf)
-    return a.select("doc_id", "line_no", _joined("word_ids").alias("word_ids"),
+    return a.select("doc_id", "line_no", "window_no", _joined("word_ids").alias("word_ids"),
                     _joined("labels").alias("labels"), F.size("word_ids").cast("long").alias("n_sub"))
 
 
 def align_long(spark, sf):
-    t = tagged_doc_lines(spark, sf)
+    rows = _aligned(spark, sf).select(
+        "doc_id", "line_no", "window_no",
+        F.posexplode(F.arrays_zip(F.col("word_ids").alias("w"), F.col("labels").alias("y"))).alias("sub_pos", "z"))
+    return rows.select("doc_id", "line_no", "window_no", F.col("sub_pos").cast("long"),
+                       F.col("z.w").cast("long").alias("word_idx"), F.col("z.y").cast("long").alias("label"))
+
+
+def align_stored(spark, sf):
+    """The long form of the walk, over sub-word rows and word labels stored apart."""
+    t = materialize(tagged_doc_lines(spark, sf))
     sub = t.select("doc_id", "line_no", F.posexplode(AL.piece_word_ids("tokens")).alias("sub_pos", "word_idx"))
     words = t.select("doc_id", "line_no", F.posexplode("ner_tags").alias("word_idx", "label"))
     out = AL.align_long(sub, words, ["doc_id", "line_no"])
@@ -393,27 +415,23 @@ def model_udf_tagger(spark, sf):
 
 
 def _encoded(spark, sf):
-    from langmix.session import materialize
-    t = materialize(tagged_doc_lines(spark, sf))  # read by the encoder and the label join
-    enc = AL.encode_batches(t, ["doc_id", "line_no"], "tokens", KEY_SCHEMA, StubEncoder)
-    return (enc.join(t.select("doc_id", "line_no", "ner_tags"), ["doc_id", "line_no"])
-            .withColumn("labels", AL.align_labels("word_ids", "ner_tags")))
+    enc = AL.encode_batches(tagged_doc_lines(spark, sf), "tokens", StubEncoder)
+    return AL.windows(enc.withColumn("labels", AL.align_labels("word_ids", "ner_tags")), ENCODED)
 
 
 def encode_udf(spark, sf):
     e = _encoded(spark, sf)
-    return e.select("doc_id", "line_no", _joined("input_ids").alias("input_ids"),
+    return e.select("doc_id", "line_no", "window_no", _joined("input_ids").alias("input_ids"),
                     _joined("word_ids").alias("word_ids"), _joined("labels").alias("labels"))
 
 
 def score_udf(spark, sf):
-    from langmix.session import materialize
-    e = materialize(_encoded(spark, sf))  # the Python encoder runs once, read twice
-    s = scoring.score_batches(e, ["doc_id", "line_no"], "input_ids", KEY_SCHEMA, StubScorer)
-    s = s.join(e.select("doc_id", "line_no", "labels"), ["doc_id", "line_no"])
-    rows = s.select("doc_id", "line_no", F.posexplode(F.arrays_zip("logits", "labels")).alias("sub_pos", "z"))
+    e = _encoded(spark, sf).select("doc_id", "line_no", "window_no", "input_ids", "labels")
+    s = scoring.score_batches(e, "input_ids", StubScorer)
+    rows = s.select("doc_id", "line_no", "window_no",
+                    F.posexplode(F.arrays_zip("logits", "labels")).alias("sub_pos", "z"))
     rows = rows.where(F.col("z.labels") != L.IGNORE_INDEX)
-    return rows.select("doc_id", "line_no", F.col("sub_pos").cast("long"),
+    return rows.select("doc_id", "line_no", "window_no", F.col("sub_pos").cast("long"),
                        F.col("z.labels").cast("long").alias("y_true"),
                        A.argmax("z.logits").cast("long").alias("y_pred"),
                        r6(A.max_prob("z.logits")).alias("conf"))
@@ -428,6 +446,7 @@ QUERIES.update({
     "annotate_text": annotate_text,
     "align_array": align_array,
     "align_long": align_long,
+    "align_stored": align_stored,
     "model_udf_tagger": model_udf_tagger,
     "encode_udf": encode_udf,
     "score_udf": score_udf,

@@ -61,38 +61,55 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
                     (F.col("_foff") + line_no).alias("global_line_no"), "value")
 
 
-def read_labelled_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled sentences with a fixed schema (no inference)."""
-    return spark.read.schema(LABELLED_SCHEMA).json(path)
+def read_labelled_jsonl(spark: SparkSession, path: str, on_bad: str = "fail") -> DataFrame:
+    """Labelled sentences with a fixed schema (no inference). A line that
+    isn't one is an error, or with ``on_bad='skip'`` left out."""
+    if on_bad not in ("skip", "fail"):
+        raise ValueError(on_bad)
+    mode = {"fail": "FAILFAST", "skip": "DROPMALFORMED"}[on_bad]
+    return spark.read.schema(LABELLED_SCHEMA).option("mode", mode).json(path)
+
+
+def judged_lines(spark: SparkSession, path: str, schema: str = LABELLED_SCHEMA) -> DataFrame:
+    """Numbered lines of a JSONL file, each parsed once: ``(file,
+    global_line_no, value, is_blank, is_bad, record)``."""
+    lines = read_lines(spark, path)
+    parsed = F.from_json("value", f"{schema}, _corrupt_record string",
+                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+    t = lines.select("file", "global_line_no", "value", (strip_ws("value") == "").alias("is_blank"), parsed.alias("_p"))
+    bad = F.col("_p").isNull() | F.col("_p._corrupt_record").isNotNull()
+    for name in names:
+        bad = bad | F.col(f"_p.{name}").isNull()
+    return t.select("file", "global_line_no", "value", "is_blank", (~F.col("is_blank") & bad).alias("is_bad"),
+                    F.struct(*[F.col(f"_p.{n}").alias(n) for n in names]).alias("record"))
 
 
-def is_bad_record(value, schema: str = LABELLED_SCHEMA) -> F.Column:
-    parsed = F.from_json(value, f"{schema}, _corrupt_record string",
-                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    fields = [f.strip().split(" ")[0] for f in schema.split(",")]
-    missing = F.lit(False)
-    for name in fields:
-        missing = missing | parsed[name].isNull()
-    return parsed.isNull() | parsed["_corrupt_record"].isNotNull() | missing
+def line_faults(judged: DataFrame) -> DataFrame:
+    """Per file: lines, blank lines, malformed lines."""
+    return judged.groupBy("file").agg(F.count(F.lit(1)).alias("n_lines"),
+                                      F.count_if("is_blank").alias("n_blank"), F.count_if("is_bad").alias("n_bad"))
 
 
-def load_lookup(spark: SparkSession, path: str, on_bad: str = "stop") -> DataFrame:
+def load_lookup(spark: SparkSession, path: str, on_bad: str = "skip") -> DataFrame:
     """Ground-truth lookup ``(key, ner_tags, seq)``: blank lines skipped;
-    ``on_bad='stop'`` keeps only rows before the first malformed line (as
-    the reference's load loop does), ``'skip'`` drops malformed lines only;
-    key = normalized space-joined tokens; the last line wins per key; a
-    missing file gives an empty lookup."""
+    ``on_bad='skip'`` drops malformed lines only (:func:`line_faults` counts
+    them), ``'fail'`` refuses a file with any, ``'stop'`` keeps what stands
+    before the first one; key = normalized space-joined tokens; the last
+    line wins per key; a missing file gives an empty lookup."""
     schema = "key string, ner_tags array<int>, seq bigint"
+    if on_bad not in ("skip", "fail", "stop"):
+        raise ValueError(on_bad)
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    lines = read_lines(spark, path).where(strip_ws("value") != "")
-    lines = lines.withColumn("_bad", is_bad_record(F.col("value")))
-    if on_bad == "stop":
-        first_bad = lines.where("_bad").agg(F.min("global_line_no")).first()[0]  # one scalar
+    lines = judged_lines(spark, path).where("NOT is_blank")
+    if on_bad != "skip":
+        first_bad = lines.where("is_bad").agg(F.min("global_line_no")).first()[0]  # one scalar
+        if first_bad is not None and on_bad == "fail":
+            raise ValueError(f"line {first_bad} of {path} is malformed")
         if first_bad is not None:
             lines = lines.where(F.col("global_line_no") < F.lit(first_bad))
-    good = lines.where(~F.col("_bad")).select(
-        F.from_json("value", LABELLED_SCHEMA).alias("r"), F.col("global_line_no").alias("seq"))
+    good = lines.where("NOT is_bad").select(F.col("record").alias("r"), F.col("global_line_no").alias("seq"))
     keyed = good.select(normalize_text(F.array_join("r.tokens", " ")).alias("key"),
                         F.col("r.ner_tags").alias("ner_tags"), "seq")
     last = keyed.groupBy("key").agg(F.max_by(F.struct("ner_tags", "seq"), "seq").alias("v"))
