@@ -131,9 +131,11 @@ def _look_up(block, names: list[str]):
 
 
 def tag_lines(lines: DataFrame, lexicon: DataFrame | PreparedLexicon, keys: list[str], text_col: str,
-              lang_to_tag: dict[str, str], squeezed: bool = False) -> DataFrame:
+              lang_to_tag: dict[str, str] | None = None, squeezed: bool = False,
+              keep_empty: bool = False) -> DataFrame:
     """Tag every whitespace token: lexicon language -> tag id, unknown or
-    non-word tokens -> 0. Empty lines yield no row. ``squeezed=True`` says
+    non-word tokens -> 0. Empty lines yield no row, or with ``keep_empty``
+    one without tokens. ``squeezed=True`` says
     the text is already single-spaced (clean_text output), so tokens come
     from a plain split instead of the whitespace regex.
 
@@ -144,9 +146,9 @@ def tag_lines(lines: DataFrame, lexicon: DataFrame | PreparedLexicon, keys: list
         lexicon = PreparedLexicon(lexicon, lang_to_tag)
     split = split_squeezed if squeezed else split_ws
     full = F.col(text_col) != "" if squeezed else strip_ws(text_col) != ""
-    src = lines.where(full).select(
+    src = (lines if keep_empty else lines.where(full)).select(
         *keys, split(F.col(text_col)).alias("tokens"), F.array().cast("array<int>").alias("ner_tags"),
-        split(F.lower(text_col)).alias("_lower"))
+        F.coalesce(split(F.lower(text_col)), F.array().cast("array<string>")).alias("_lower"))
     names = src.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
     for block in lexicon.blocks:

@@ -11,18 +11,19 @@ from pyspark.sql import functions as F
 from langmix.functions.labels import IGNORE_INDEX
 from langmix.functions.text import split_lines, strip_ws
 from langmix.operators import corpus, profile, sampling
+from langmix.operators.tagging import PreparedLexicon
 from langmix.plans import oracle as O
 from langmix.plans.common import (KEEP_LANGS, LANG_TAGS, SEED, corpus_sources, doc_lexicon, lookup_key,
                                   table, tagged_doc_lines)
 from langmix.session import materialize, scratch_path
 from langmix.sources import readers, sinks
-from langmix.sources.parallel_json import land, paired_items, read_parallel_json
 from langmix.streaming.tagging_stream import run_tagging_stream
 
 # --- Fixed values (fault injection and sizes) ---------------------------------
 BLANK_EVERY, BLANK_AT = 13, 5      # blank line after doc_id % 13 == 5
 BAD_EVERY, BAD_AT = 251, 250       # malformed line after doc_id % 251 == 250
 NUMBER_EVERY, NULL_EVERY = 5, 7    # non-string array items
+GUEST_EVERY, GUEST_AT = 5, 4       # conversations without a signed-in user
 PREVIEW_N = 20
 PREVIEW_SCHEMA = "doc_id bigint, lang string, n_chars bigint"
 # -----------------------------------------------------------------------------
@@ -147,27 +148,30 @@ def parallel_json_scan(spark, sf):
     d = table(spark, sf, "documents")
     path = scratch_path(spark, "json-parallel")
     sinks.write_text(_doc_json(d, True), "j", path)
-    # parse the JSON once (one task per file and key), then work on Parquet
-    items = land(read_parallel_json(spark, path), scratch_path(spark, "json-landed"))
-    pairs = paired_items(items)
+    pairs = readers.json_pairs(spark.read.text(path), "value", "train_X", "train_Y")
     kept = corpus.label_filter(pairs.where("is_string"), "label", KEEP_LANGS)
     return kept.select(strip_ws("text").alias("sentence")).distinct()
 
 
+def stream_messages(spark, sf):
+    """Conversation turns as requests; every fifth conversation is a guest's."""
+    conv = table(spark, sf, "conversations")
+    return conv.withColumn("username", F.when(F.col("conv_id") % GUEST_EVERY != GUEST_AT,
+                                              F.concat(F.lit("u"), F.col("conv_id").cast("string"))))
+
+
 def stream_tagging(spark, sf):
-    conv = table(spark, sf, "conversations").withColumn(
-        "username", F.concat(F.lit("u"), F.col("conv_id").cast("string")))
+    conv = stream_messages(spark, sf)
     src = scratch_path(spark, "stream-src")
-    conv.repartition(4).write.parquet(src)
-    lexicon = materialize(doc_lexicon(spark, sf))
+    conv.write.option("maxRecordsPerFile", 250).parquet(src)
     docs = table(spark, sf, "documents")
     lookup = materialize(table(spark, sf, "labels").join(docs, "doc_id")
                          .select(lookup_key("text").alias("key")).distinct())
     sink, ckpt = scratch_path(spark, "stream-sink"), scratch_path(spark, "stream-ckpt")
-    run_tagging_stream(spark, src, conv.schema,
-                       sink, ckpt, lexicon, lookup, LANG_TAGS, ["conv_id", "turn"], "username", "text",
-                       F.col("role") == "user")
-    out = spark.read.parquet(sink)
+    run_tagging_stream(spark, src, conv.schema, sink, ckpt, PreparedLexicon(doc_lexicon(spark, sf), LANG_TAGS),
+                       lookup, ["conv_id", "turn"], "username", "text", F.col("role") == "user", files_per_batch=2)
+    out = spark.read.schema("conv_id bigint, turn bigint, username string, reply_order int, role string, "
+                            "message string, matched boolean").parquet(f"{sink}/batch_id=*")
     return out.select("conv_id", "turn", "username", F.col("reply_order").cast("long"), "role",
                       "message", "matched")
 
@@ -251,7 +255,7 @@ WHERE lang IN ({", ".join(repr(x) for x in KEEP_LANGS)})"""
 
 SQL["stream_tagging"] = f"""WITH {O.TAG_CTES},
 msgs AS (SELECT conv_id, turn, 'u' || conv_id AS username, text, {O.normalize('text')} AS norm
-         FROM conversations WHERE role = 'user'),
+         FROM conversations WHERE role = 'user' AND conv_id % {GUEST_EVERY} <> {GUEST_AT}),
 tk AS (SELECT conv_id, turn, generate_subscripts(toks, 1) - 1 AS pos, unnest(toks) AS token
        FROM (SELECT conv_id, turn, {O.split_ws('norm')} AS toks FROM msgs)),
 tg AS (SELECT tk.*, coalesce({_LANG_ID}, 0) AS tag FROM tk LEFT JOIN lexicon l ON lower(tk.token) = l.token),

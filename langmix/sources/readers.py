@@ -116,31 +116,60 @@ def load_lookup(spark: SparkSession, path: str, on_bad: str = "skip") -> DataFra
     return last.select("key", F.col("v.ner_tags").alias("ner_tags"), F.col("v.seq").alias("seq"))
 
 
+def _parsed_json(docs: DataFrame, value_col: str, schema: str, keys: list[str], on_bad: str) -> DataFrame:
+    """``keys`` and the parsed document ``_j``. A value that isn't JSON is an
+    error, or with ``on_bad='skip'`` has no items (:func:`json_faults` counts)."""
+    if on_bad not in ("skip", "fail"):
+        raise ValueError(on_bad)
+    mode = {"fail": "FAILFAST", "skip": "PERMISSIVE"}[on_bad]
+    return docs.select(*keys, F.from_json(F.col(value_col), schema, {"mode": mode}).alias("_j"))
+
+
+def json_faults(docs: DataFrame, value_col: str) -> DataFrame:
+    """One row: documents, and those that aren't JSON."""
+    bad = F.col(value_col).isNotNull() & F.try_parse_json(value_col).isNull()
+    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(bad).alias("n_bad"))
+
+
+def _is_string(item: str) -> F.Column:
+    return F.schema_of_variant(item) == "STRING"
+
+
 def json_array_items(docs: DataFrame, value_col: str, key: str, keys: list[str] | None = None,
-                     extra_schema: str = "") -> DataFrame:
+                     extra_schema: str = "", on_bad: str = "fail", max_items: int | None = None) -> DataFrame:
     """Whole-JSON scan of one named array per document: missing key -> no
-    items; a document that fails to parse contributes nothing; each item
-    keeps its position and whether it is a string (``variant`` typing, so a
-    number is not silently turned into text)."""
+    items; each item keeps its position and whether it is a string
+    (``variant`` typing, so a number is not silently turned into text);
+    ``max_items`` keeps the first positions only."""
     keys = keys or []
     schema = f"{key} array<variant>" + (f", {extra_schema}" if extra_schema else "")
-    parsed = docs.select(*keys, F.from_json(F.col(value_col), schema).alias("_j"))
+    parsed = _parsed_json(docs, value_col, schema, keys, on_bad)
     extra = [f.strip().split(" ")[0] for f in extra_schema.split(",")] if extra_schema else []
-    items = parsed.select(*keys, *[F.col(f"_j.{e}").alias(e) for e in extra],
-                          F.posexplode(F.col(f"_j.{key}")).alias("pos", "_v"))
-    kind = F.schema_of_variant("_v")
-    return items.select(*keys, *extra, F.col("pos").cast("long").alias("pos"),
-                        (kind == "STRING").alias("is_string"),
-                        F.when(kind == "STRING", F.variant_get("_v", "$", "string")).alias("text"))
-
-
-def read_json_arrays(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """S1 on files: each file is one JSON document (bounded by file size,
-    as ``json.load`` is); use :mod:`langmix.sources.parallel_json` for
-    files too large for one row."""
-    docs = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), "value")
-    return json_array_items(docs, "value", key, ["file"])
+    array = F.col(f"_j.{key}") if max_items is None else F.slice(f"_j.{key}", 1, max_items)
+    items = parsed.select(*keys, *[F.col(f"_j.{e}").alias(e) for e in extra], F.posexplode(array).alias("pos", "_v"))
+    return items.select(*keys, *extra, F.col("pos").cast("long").alias("pos"), _is_string("_v").alias("is_string"),
+                        F.when(_is_string("_v"), F.variant_get("_v", "$", "string")).alias("text"))
+
+
+def json_pairs(docs: DataFrame, value_col: str, text_key: str, label_key: str, keys: list[str] | None = None,
+               on_bad: str = "fail", max_items: int | None = None) -> DataFrame:
+    """Two parallel arrays of each document, paired by position up to the
+    shorter one, in one parse: ``(keys, pos, is_string, text, label)``."""
+    keys = keys or []
+    parsed = _parsed_json(docs, value_col, f"{text_key} array<variant>, {label_key} array<string>", keys, on_bad)
+    x, y = F.col(f"_j.{text_key}"), F.col(f"_j.{label_key}")
+    n = F.least(F.size(x), F.size(y)) if max_items is None else F.least(F.size(x), F.size(y), F.lit(max_items))
+    both = F.arrays_zip(F.slice(x, 1, n).alias("x"), F.slice(y, 1, n).alias("y"))
+    pairs = parsed.where(x.isNotNull() & y.isNotNull()).select(*keys, F.posexplode(both).alias("pos", "_z")) \
+        .select(*keys, "pos", F.col("_z.x").alias("_v"), F.col("_z.y").alias("label"))
+    return pairs.select(*keys, F.col("pos").cast("long").alias("pos"), _is_string("_v").alias("is_string"),
+                        F.when(_is_string("_v"), F.variant_get("_v", "$", "string")).alias("text"), "label")
+
+
+def json_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, value)``: each file is one JSON document, as ``json.load``
+    reads it, bounded by what one row may hold."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
 
 
 def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:

@@ -4,12 +4,11 @@ Each incoming message is normalized, tagged against a static lexicon,
 looked up in a static ground-truth table and rendered; for signed-in users
 the message and the rendered reply are appended to the history table.
 
-Tagging needs a regroup of tokens per message (explode -> join ->
-collect), which a streaming plan would have to treat as a stateful
-aggregation; ``foreachBatch`` runs the same batch operators on each
-micro-batch instead, so the job keeps no state at all. Each batch is
-written to its own ``batch_id=`` folder with overwrite, so a retried batch
-replaces its output instead of duplicating it."""
+Tags are looked up in the row against a lexicon prepared once, before the
+stream starts; the only join is that with the ground truth. ``foreachBatch``
+runs the batch operators on each micro-batch, so the job keeps no state. Each
+batch is written to its own ``batch_id=`` folder with overwrite, so a retried
+batch replaces its output instead of duplicating it."""
 
 from __future__ import annotations
 
@@ -18,17 +17,16 @@ from pyspark.sql import functions as F
 
 from langmix.functions.labels import annotate
 from langmix.functions.text import normalize_text
-from langmix.operators.tagging import tag_lines
+from langmix.operators.tagging import PreparedLexicon, tag_lines
 
 
-def tag_messages(batch: DataFrame, lexicon: DataFrame, lookup: DataFrame, lang_to_tag: dict[str, str],
-                 keys: list[str], user_col: str, text_col: str) -> DataFrame:
-    """Batch logic of one micro-batch: tagged reply rows for each message."""
+def tag_messages(batch: DataFrame, lexicon: PreparedLexicon, lookup: DataFrame, keys: list[str],
+                 user_col: str, text_col: str) -> DataFrame:
+    """Batch logic of one micro-batch: a tagged reply for each message."""
     msgs = batch.select(*keys, user_col, text_col, normalize_text(text_col).alias("norm_text"))
-    tagged = tag_lines(msgs, lexicon, keys, "norm_text", lang_to_tag)
-    replies = (msgs.join(tagged, keys, "left")
-               .join(lookup.select(F.col("key").alias("norm_text"), F.lit(True).alias("_hit")),
-                     "norm_text", "left"))
+    tagged = tag_lines(msgs, lexicon, msgs.columns, "norm_text", keep_empty=True)
+    replies = tagged.join(lookup.select(F.col("key").alias("norm_text"), F.lit(True).alias("_hit")),
+                          "norm_text", "left")
     return replies.select(
         *keys, user_col, text_col, "norm_text",
         F.coalesce(annotate("tokens", "ner_tags", html=True), F.lit("")).alias("reply"),
@@ -42,25 +40,28 @@ def history_rows(replies: DataFrame, keys: list[str], user_col: str, text_col: s
     both = F.array(
         F.struct(F.lit(0).alias("k"), F.lit("user").alias("role"), F.col(text_col).alias("message")),
         F.struct(F.lit(1).alias("k"), F.lit("assistant").alias("role"), F.col("reply").alias("message")))
-    return signed_in.select(*keys, user_col, F.explode(both).alias("_r")).select(
+    return signed_in.select(*keys, user_col, "matched", F.explode(both).alias("_r")).select(
         *keys, user_col, F.col("_r.k").alias("reply_order"), F.col("_r.role").alias("role"),
-        F.col("_r.message").alias("message"))
+        F.col("_r.message").alias("message"), "matched")
 
 
 def run_tagging_stream(spark: SparkSession, source_path: str, source_schema, sink_path: str,
-                       checkpoint_path: str, lexicon: DataFrame, lookup: DataFrame,
-                       lang_to_tag: dict[str, str], keys: list[str], user_col: str, text_col: str,
-                       message_filter=None) -> None:
+                       checkpoint_path: str, lexicon: PreparedLexicon, lookup: DataFrame,
+                       keys: list[str], user_col: str, text_col: str,
+                       message_filter=None, files_per_batch: int | None = None) -> None:
     """Process everything available in ``source_path`` (file stream,
-    ``availableNow``) and return when done."""
-    stream = spark.readStream.schema(source_schema).parquet(source_path)
+    ``availableNow``), ``files_per_batch`` files at a time, and return when
+    done."""
+    reader = spark.readStream.schema(source_schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    stream = reader.parquet(source_path)
     if message_filter is not None:
         stream = stream.where(message_filter)
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        replies = tag_messages(batch, lexicon, lookup, lang_to_tag, keys, user_col, text_col)
-        rows = history_rows(replies, keys, user_col, text_col).join(
-            replies.select(*keys, "matched"), keys)
+        replies = tag_messages(batch, lexicon, lookup, keys, user_col, text_col)
+        rows = history_rows(replies, keys, user_col, text_col)
         rows.write.mode("overwrite").parquet(f"{sink_path}/batch_id={batch_id}")
 
     q = (stream.writeStream.foreachBatch(each_batch)
