@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from langmix.functions.text import (MIN_TOKENS, WS_RUN, camel_discard, normalize_text, rule_steps,
-                                    split_squeezed, split_ws, token_count_squeezed)
+from langmix.functions.text import (MIN_TOKENS, WS_RUN, camel_discard, rule_steps, split_squeezed, split_ws,
+                                    token_count_squeezed)
 
 
 def clean_lines(df: DataFrame, text_col: str, keys: list[str], min_tokens: int = MIN_TOKENS,
@@ -35,15 +35,6 @@ def clean_lines(df: DataFrame, text_col: str, keys: list[str], min_tokens: int =
                        .alias(out))
 
 
-def normalize_rows(df: DataFrame, text_col: str, keys: list[str], out: str = "norm_text") -> DataFrame:
-    return df.select(*keys, normalize_text(text_col).alias(out))
-
-
-def token_rows(df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
-    """Whitespace tokens with their position; empty texts yield no row."""
-    return df.select(*keys, F.posexplode(split_ws(text_col)).alias("pos", "token"))
-
-
 def token_counts(df: DataFrame, text_col: str, group: list[str], squeezed: bool = False) -> DataFrame:
     """Per group: non-empty texts and tokens (tokens counted in-row, then a
     partial aggregation, so no token is ever shuffled)."""

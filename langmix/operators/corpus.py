@@ -98,17 +98,19 @@ def prefix_limit(items: DataFrame, limits: dict[str, int]) -> DataFrame:
     return items.where(cond)
 
 
-def capped_sample(small: list[DataFrame], large: DataFrame | None, sample_size: int,
-                  seed: int = 42) -> DataFrame:
-    """Union-distinct of the (already prefix-limited) sources; the large
-    source is read only while the unique count is below ``sample_size``;
-    the final cap keeps the ``sample_size`` smallest seeded hashes (the
-    reference keeps arbitrary members of a set -- ours is reproducible)."""
-    # each candidate set is checkpointed once: it is counted, histogrammed
-    # and selected from, and must not be re-deduplicated for every read
-    first = materialize(union_distinct(small).select("sentence"))
-    if large is not None and first.count() < sample_size:
-        first = materialize(union_distinct(small + [large]).select("sentence"))
-    picked = hash_select(first, ["sentence"], sample_size, seed, "keep")
+def capped_sample(sources: list[DataFrame], sample_size: int, seed: int) -> DataFrame:
+    """The ``sample_size`` unique sentences with the smallest seeded hashes
+    of all sources together: every sentence has the same chance, whatever
+    its source or place."""
+    # checkpointed once: counted by hash and selected from
+    unique = materialize(union_distinct(sources).select("sentence"))
+    picked = hash_select(unique, ["sentence"], sample_size, seed, "keep")
     return (picked.where("keep")
             .select("sentence", seeded_hash(["sentence"], seed).alias("h")))
+
+
+def fraction_sample(items: DataFrame, fraction: float, seed: int, key: str = "sentence") -> DataFrame:
+    """A seeded-hash fraction of every source, decided row by row: no shuffle,
+    grows with the input, and copies of a sentence share their fate."""
+    top = F.lit(f"{int(fraction * (1 << 32)):08x}") if fraction < 1 else F.lit("g")
+    return items.where(F.substring(seeded_hash([key], seed), 1, 8) < top)

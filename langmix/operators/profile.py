@@ -50,21 +50,12 @@ def json_array_keys(df: DataFrame, text_col: str) -> DataFrame:
             .distinct())
 
 
-def preview(lines: DataFrame, n: int, schema: str, line_no: str = "line_no",
-            value: str = "value") -> DataFrame:
-    """First ``n`` lines of a JSONL file: parsed record (pretty JSON) or the
-    bad line's stripped content, with its 1-based line number."""
+def preview(lines: DataFrame, n: int, line_no: str = "line_no", value: str = "value") -> DataFrame:
+    """First ``n`` lines of a JSONL file: the whole record as JSON, or
+    the bad line's stripped content, with its 1-based line number. Any JSON
+    value is a record; blank lines are bad."""
     first = lines.where(F.col(line_no) <= n)
-    parsed = F.from_json(F.col(value), schema)
-    bad = _bad_json(F.col(value), schema)
+    record = F.try_parse_json(value)
     return first.select(
-        line_no, bad.alias("is_bad"), F.when(~bad, parsed).alias("record"),
-        F.when(~bad, F.to_json(parsed, {"pretty": "true"})).otherwise(F.trim(F.col(value)))
-        .alias("content"))
-
-
-def _bad_json(value: Column, schema: str) -> Column:
-    """A line is bad when it is not one JSON object (blank lines included)."""
-    probe = F.from_json(value, f"{schema}, _corrupt_record string",
-                        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    return (F.trim(value) == "") | probe.isNull() | probe["_corrupt_record"].isNotNull()
+        line_no, record.isNull().alias("is_bad"), record.alias("record"),
+        F.when(record.isNull(), F.trim(value)).otherwise(F.to_json(record)).alias("content"))

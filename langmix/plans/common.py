@@ -17,10 +17,12 @@ LANG_TAGS = {"en": "EN", "fr": "MS"}   # stand-ins for English / Malay
 KEEP_LANGS = ("en", "fr")
 SEED = 42
 EVAL_SEED = 7
-EVAL_K = 100
+EVAL_K = 40
 PREFIX_K = 500
 PREFIX_LIMITS = {"documents": 400, "benchmark": 100, "conversations": 450}
 SAMPLE_CAP = 500
+SAMPLE_FRACTION = 0.25
+HISTORY_USER = 7
 SENTENCE_SIZE = 10       # embeddings rows per pseudo sentence
 STEP_SIZE = 100          # embeddings rows per pseudo checkpoint evaluation
 MODELS = ("A", "B")      # two logit slices of each embedding

@@ -25,7 +25,6 @@ BAD_EVERY, BAD_AT = 251, 250       # malformed line after doc_id % 251 == 250
 NUMBER_EVERY, NULL_EVERY = 5, 7    # non-string array items
 GUEST_EVERY, GUEST_AT = 5, 4       # conversations without a signed-in user
 PREVIEW_N = 20
-PREVIEW_SCHEMA = "doc_id bigint, lang string, n_chars bigint"
 # -----------------------------------------------------------------------------
 
 
@@ -52,10 +51,32 @@ def preview_jsonl(spark, sf):
     path = scratch_path(spark, "preview")
     sinks.write_text(good.union(blank).union(bad), "line", path, ["doc_id", "kind"])
     lines = readers.read_lines(spark, path).select(F.col("global_line_no").alias("line_no"), "value")
-    pv = profile.preview(lines, PREVIEW_N, PREVIEW_SCHEMA)
-    return pv.select("line_no", "is_bad", F.col("record.doc_id").alias("doc_id"),
-                     F.col("record.lang").alias("lang"),
-                     F.when(F.col("is_bad"), F.col("content")).alias("raw"))
+    pv = profile.preview(lines, PREVIEW_N)
+    return pv.select("line_no", "is_bad", F.variant_get("record", "$.doc_id", "bigint").alias("doc_id"),
+                     F.variant_get("record", "$.lang", "string").alias("lang"),
+                     "content")
+
+
+def append_report(spark, sf):
+    """Rows appended in two writes, then a report of the whole table, read back."""
+    conv = table(spark, sf, "conversations").select("conv_id", "turn", "role")
+    rows, report = scratch_path(spark, "appended"), scratch_path(spark, "report")
+    sinks.append_rows(conv.where("role = 'user'"), rows)
+    sinks.append_rows(conv.where("role <> 'user'"), rows)
+    sinks.write_report(spark.read.parquet(rows).groupBy("role").agg(F.count(F.lit(1)).alias("n"),
+                                                                   F.max("turn").alias("last_turn")), report)
+    return spark.read.parquet(report)
+
+
+def optional_sources(spark, sf):
+    """Three sources of which one is missing: skipped, and reported so."""
+    found = []
+    for name in ("documents", "no_such_table", "benchmark"):
+        path = f"{sf.rstrip('/')}/{name}.parquet"
+        df = readers.optional_source(spark, path, "text string", lambda p: spark.read.parquet(p).select("text"))
+        found.append(df.agg(F.lit(name).alias("source"), F.lit(readers.path_exists(spark, path)).alias("present"),
+                            F.count(F.lit(1)).alias("n")))
+    return found[0].union(found[1]).union(found[2])
 
 
 def _lookup_file(spark, sf):
@@ -177,6 +198,8 @@ def stream_tagging(spark, sf):
 
 
 QUERIES = {
+    "append_report": append_report,
+    "optional_sources": optional_sources,
     "json_array_keys": json_array_keys,
     "preview_jsonl": preview_jsonl,
     "lookup_load": lookup_load,
@@ -210,9 +233,15 @@ SQL["preview_jsonl"] = f"""WITH l AS (
   WHERE doc_id % {BAD_EVERY} = {BAD_AT}),
 n AS (SELECT *, row_number() OVER (ORDER BY doc_id, kind) AS line_no FROM l)
 SELECT line_no::BIGINT AS line_no, kind <> 0 AS is_bad, CASE WHEN kind = 0 THEN doc_id END AS doc_id,
-       CASE WHEN kind = 0 THEN lang END AS lang, CASE WHEN kind <> 0 THEN trim(line) END AS raw
+       CASE WHEN kind = 0 THEN lang END AS lang,
+       CASE WHEN kind = 0 THEN replace(replace(line, ': ', ':'), ', ', ',') ELSE trim(line) END AS content
 FROM n WHERE line_no <= {PREVIEW_N}"""
 
+SQL["append_report"] = "SELECT role, count(*)::BIGINT AS n, max(turn) AS last_turn FROM conversations GROUP BY role"
+
+SQL["optional_sources"] = """SELECT 'documents' AS source, true AS present, count(*)::BIGINT AS n FROM documents
+UNION ALL SELECT 'no_such_table', false, 0 UNION ALL SELECT 'benchmark', true, count(*)::BIGINT FROM benchmark"""
+
 _LOOKUP_LINES = f"""{O.TAG_CTES},
 l AS (
   SELECT doc_id, line_no, 0 AS kind, tokens, tags FROM tagged

@@ -15,6 +15,7 @@ def strip(x: str) -> str:
     return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
 
+# The rewriting rules as RE2 spells them
 _CLEAN_RULES = [
     (r"\(\d{2}/\d{2}/\d{4}\)", " "),
     (r"(?i)\[\d{1,2}:\d{2}\s*(?:AM|PM|PETANG|PAGI|MALAM)?\]", " "),
@@ -230,16 +231,27 @@ _limits = " OR ".join(f"(source = '{s}' AND pos < {n})" for s, n in C.PREFIX_LIM
 SQL["prefix_limits"] = f"""WITH {sources_cte(True)}
 SELECT source, pos::BIGINT AS pos, text FROM items WHERE {_limits}"""
 
-SQL["sample_capped"] = f"""WITH {sources_cte(True)},
-lim AS (SELECT * FROM items WHERE ({_limits}) AND text IS NOT NULL),
-first AS (SELECT DISTINCT {strip('text')} AS sentence FROM lim WHERE source <> 'conversations'),
-allsrc AS (
-  SELECT sentence FROM first
-  UNION SELECT {strip('text')} FROM lim
-  WHERE source = 'conversations' AND (SELECT count(*) FROM first) < {C.SAMPLE_CAP})
-SELECT sentence, {h('sentence', C.SEED)} AS h FROM allsrc
+SQL["sample_capped"] = f"""WITH {sources_cte()},
+u AS (SELECT DISTINCT {strip('text')} AS sentence FROM items WHERE text IS NOT NULL)
+SELECT sentence, {h('sentence', C.SEED)} AS h FROM u
 QUALIFY row_number() OVER (ORDER BY {h('sentence', C.SEED)}, sentence) <= {C.SAMPLE_CAP}"""
 
+SQL["sample_fraction"] = f"""WITH {sources_cte()}
+SELECT source, sentence, count(*)::BIGINT AS n FROM (
+  SELECT source, {strip('text')} AS sentence FROM items WHERE text IS NOT NULL)
+WHERE ('0x' || substr({h('sentence', C.SEED)}, 1, 8))::BIGINT < {C.SAMPLE_FRACTION} * 4294967296
+GROUP BY source, sentence"""
+
+SQL["history_one_user"] = f"""SELECT turn, role, text,
+  (row_number() OVER (ORDER BY turn DESC))::BIGINT AS recency FROM conversations WHERE conv_id = {C.HISTORY_USER}"""
+
+SQL["clean_injected"] = f"""WITH {lines_cte("doc_lines", "documents", "text", "doc_id")},
+inj AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '(08/06/2021) ' || line WHEN 1 THEN '[4:14 petang] ' || line
+  WHEN 2 THEN 'ReleaseThe ' || string_split(line, ' ')[1] WHEN 3 THEN line || '...ok' END AS line
+  FROM doc_lines WHERE line_no = 0),
+{clean_cte("cleaned", "inj", "doc_id")}
+SELECT doc_id, text FROM cleaned"""
+
 SQL["split_train_test"] = f"WITH {SPLIT_CTE} SELECT doc_id, split FROM split"
 
 SQL["eval_subset"] = f"""WITH {SPLIT_CTE}

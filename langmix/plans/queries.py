@@ -1,8 +1,9 @@
 """Registered queries: each binds an operator to the driver tables.
 
-Every query reads whole tables (or data Spark derives from them); limits
+Every query reads its tables whole (or data Spark derives from them); limits
 appear only where the limit is the operator (prefix limits, capped sample,
-seeded take, prefix take, preview). Integer outputs are ``bigint`` and
+seeded take, prefix take, preview, one user's history). Queries on scores use
+the first six of the 64 embedding values as logits of two models. Integer outputs are ``bigint`` and
 doubles are rounded to 6 digits so the oracle comparison is exact."""
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from langmix.operators import cleaning, corpus, keyed, metrics, sampling, scorin
 from langmix.operators.align import first_subwords
 from langmix.operators.ordering import global_rank
 from langmix.plans.common import (EVAL_K, EVAL_SEED, FALLBACK, KEEP_LANGS, LANG_TAGS,
-                                  MATCHED, MODELS, PREFIX_K, PREFIX_LIMITS, SAMPLE_CAP, SEED,
+                                  HISTORY_USER, MATCHED, MODELS, PREFIX_K, PREFIX_LIMITS, SAMPLE_CAP,
+                                  SAMPLE_FRACTION, SEED,
                                   STEP_SIZE, clean_doc_lines, corpus_sources, doc_lines, lookup_key,
                                   r6, scored_tokens, table)
 
@@ -92,9 +94,15 @@ def prefix_limits(spark, sf):
 
 
 def sample_capped(spark, sf):
-    docs, conv, bench = corpus_sources(spark, sf, with_pos=True)
-    limited = [corpus.prefix_limit(s, PREFIX_LIMITS) for s in (docs, bench, conv)]
-    return corpus.capped_sample(limited[:2], limited[2], SAMPLE_CAP, SEED)
+    return corpus.capped_sample(corpus_sources(spark, sf), SAMPLE_CAP, SEED)
+
+
+def sample_fraction(spark, sf):
+    docs, conv, bench = corpus_sources(spark, sf)
+    items = docs.unionByName(conv).unionByName(bench).where(F.col("text").isNotNull())
+    items = items.select("source", strip_ws("text").alias("sentence"))
+    got = corpus.fraction_sample(items, SAMPLE_FRACTION, SEED)
+    return got.groupBy("source", "sentence").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _doc_split(spark, sf):
@@ -147,6 +155,21 @@ def chat_history(spark, sf):
     return h.select("conv_id", "turn", "role", F.col("recency").cast("long"))
 
 
+def history_one_user(spark, sf):
+    h = keyed.history(table(spark, sf, "conversations"), "conv_id", "turn", user=HISTORY_USER)
+    return h.select("turn", "role", "text", F.col("recency").cast("long"))
+
+
+def clean_injected(spark, sf):
+    """Shapes the tables don't hold, put before or after every document's first
+    line by fixed rule: dates, clock times, camelCase, ellipses, a null."""
+    first = doc_lines(spark, sf).where("line_no = 0")
+    k = F.col("doc_id") % 5
+    line = (F.when(k == 0, F.concat(F.lit("(08/06/2021) "), "line")).when(k == 1, F.concat(F.lit("[4:14 petang] "), "line"))
+            .when(k == 2, F.concat(F.lit("ReleaseThe "), F.split("line", " ")[0])).when(k == 3, F.concat("line", F.lit("...ok"))))
+    return cleaning.clean_lines(first.select("doc_id", line.alias("line")), "line", ["doc_id"])
+
+
 def _customers_incoming(spark, sf):
     cust = table(spark, sf, "customer")
     inc1 = cust.where(F.col("c_mktsegment").isin("MACHINERY", "HOUSEHOLD")).select(
@@ -294,6 +317,9 @@ QUERIES = {
     "prompt_prefix": prompt_prefix,
     "prefix_limits": prefix_limits,
     "sample_capped": sample_capped,
+    "sample_fraction": sample_fraction,
+    "history_one_user": history_one_user,
+    "clean_injected": clean_injected,
     "split_train_test": split_train_test,
     "eval_subset": eval_subset,
     "prefix_take": prefix_take,

@@ -41,8 +41,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     Files may be split across tasks. Each input split is read in order into
     one task, so ``monotonically_increasing_id`` is consecutive inside a
     split; a split's offset is the line count of the earlier splits of its
-    file. Only the per-split table (one row per task -- the same bound the
-    scheduler already holds) is broadcast. Files are ordered by path."""
+    file. The per-split table has one row per task; whether it is broadcast is
+    left to the planner, which knows its size. Files are ordered by path."""
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_block"), "value")
@@ -55,7 +55,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     files = files.select("file", F.row_number().over(Window.orderBy("file")).alias("file_rank"),
                          F.coalesce(F.sum("_fn").over(every), F.lit(0)).alias("_foff"))
     meta = blocks.join(files, "file").select("file", "_block", "_off", "_first", "file_rank", "_foff")
-    j = t.join(F.broadcast(meta), ["file", "_block"])
+    j = t.join(meta, ["file", "_block"])
     line_no = F.col("_off") + F.col("_mid") - F.col("_first") + 1
     return j.select("file", line_no.alias("line_no"), F.col("file_rank").cast("long"),
                     (F.col("_foff") + line_no).alias("global_line_no"), "value")
