@@ -38,6 +38,7 @@ SHINGLE = 5
 PERCENT = 80
 SUBTREE = 512
 LEAF = 8
+BROADCAST_ROWS = 1 << 20  # large trees in a broadcast, at most; beyond, a shuffle join
 SKETCH_BITS = 18
 SLICES = 16
 MAX_BITMAP = 1 << 15
@@ -407,10 +408,13 @@ def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def links_between(members: DataFrame) -> DataFrame:
     """(a, b): enough verified links to connect all that are linked."""
-    sizes = land(members.groupBy("tree").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "tree-sizes")
-    parts = F.ceil(F.col("size") / SUBTREE)
-    own = land(members.join(sizes.withColumn("parts", parts.cast("int")).drop("size"), "tree")
-               .withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")), "tree-members")
+    # only trees beyond a subtree are listed, one in SUBTREE members at most
+    large = land(members.groupBy("tree").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SUBTREE)
+                 .select("tree", F.ceil(F.col("size") / SUBTREE).cast("int").alias("parts")), "large-trees")
+    few = large.count() <= BROADCAST_ROWS
+    own = members.join(F.broadcast(large) if few else large, "tree", "left") \
+        .withColumn("parts", F.coalesce("parts", F.lit(1))) \
+        .withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     head = own.where((F.col("doc_id") == F.col("tree")) & (F.col("parts") > 1)) \
         .withColumn("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("at <> part") \
         .select("tree", F.col("at").alias("part"), "doc_id", "shingles")
@@ -418,9 +422,9 @@ def links_between(members: DataFrame) -> DataFrame:
     first = _spread(first.select("tree", "part", "doc_id", F.col("doc_id").alias("label"), "shingles",
                                  F.lit(0).alias("side")), ["tree", "part"])
     links = land(first.mapInArrow(_join(2), "a bigint, b bigint"), "links")
-    wide = own.where("parts > 1").select("tree", "part", "parts", "doc_id")
-    if not wide.limit(1).count():
+    if large.isEmpty():
         return links
+    wide = own.where("parts > 1").select("tree", "part", "parts", "doc_id")
     labels = components(links)
     labelled = land(wide.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
                     .select("tree", "part", "parts", "doc_id", F.coalesce("component", "doc_id").alias("label")),
