@@ -438,6 +438,17 @@ SELECT doc_id, line_no,
   len(list_filter(list_transform(nz, lambda x, i: i > 1 AND nz[i - 1] <> x), lambda b: b))::BIGINT AS switch_points
 FROM p"""
 
+SQL["paired_sequences_prf"] = f"""WITH {TAG_CTES},
+nt AS (SELECT doc_id, line_no, generate_subscripts(toks, 1) AS i, unnest(toks) AS token
+       FROM (SELECT doc_id, line_no, {split_ws(normalize("array_to_string(tokens, ' ')"))} AS toks FROM tagged)),
+pred AS (SELECT n.doc_id, n.line_no, n.i, coalesce({_LANG_ID}, 0) AS y_pred
+         FROM nt n LEFT JOIN lexicon l ON lower(n.token) = l.token),
+tr AS (SELECT doc_id, line_no, source, 'positional' AS mode, pos + 1 AS i, tag AS y_true FROM tagged_tok
+  UNION ALL SELECT doc_id, line_no, source, 'aligned', row_number() OVER (PARTITION BY doc_id, line_no ORDER BY pos), tag
+  FROM tagged_tok WHERE {normalize('token')} <> ''),
+pc AS (SELECT mode, source, {COUNTS_SELECT} FROM tr JOIN pred USING (doc_id, line_no, i) GROUP BY mode, source)
+SELECT mode, source, {prf_select('weighted')} FROM pc"""
+
 _names = "CASE tags[i] " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in {0: "O", 1: "Malay", 2: "english"}.items()) + " END"
 SQL["parse_tagged"] = f"""WITH {TAG_CTES},
 dec AS (SELECT doc_id, line_no,

@@ -349,7 +349,8 @@ from langmix.functions import arrays as A  # noqa: E402
 from langmix.operators import align as AL  # noqa: E402
 from langmix.operators import profile as PR  # noqa: E402
 from langmix.operators import tagging as TG  # noqa: E402
-from langmix.plans.common import StubEncoder, StubScorer, doc_lexicon, tagged_doc_lines  # noqa: E402
+from langmix.plans.common import (StubEncoder, StubScorer, doc_languages, doc_lexicon, lexicon_from,  # noqa: E402
+                                  tagged_doc_lines)
 
 from langmix.session import materialize  # noqa: E402
 
@@ -385,6 +386,21 @@ def sentence_profile(spark, sf):
                     p["switch_points"].cast("long").alias("switch_points"))
 
 
+def paired_sequences_prf(spark, sf):
+    """Tags of a line against tags of its normalized text, which has fewer
+    tokens: paired by position, and aligned."""
+    clean = materialize(clean_doc_lines(spark, sf))
+    lex = TG.PreparedLexicon(lexicon_from(clean, doc_languages(spark, sf)), LANG_TAGS)
+    truth = TG.tag_lines(clean, lex, ["doc_id", "line_no", "source", "text"], "text", squeezed=True)
+    truth = truth.select("doc_id", "line_no", "source", F.col("tokens").alias("words"), F.col("ner_tags").alias("truth"),
+                         normalize_text("text").alias("norm"))
+    both = TG.tag_lines(truth, lex, truth.columns, "norm", keep_empty=True)
+    pairs = [metrics.pair_sequences(both, ["source"], "truth", "ner_tags", mode, "words").withColumn("mode", F.lit(mode))
+             for mode in ("positional", "aligned")]
+    m = metrics.prf(metrics.cells(pairs[0].unionByName(pairs[1]), ["mode", "source"]), ["mode", "source"], "weighted")
+    return _round_prf(m, ["mode", "source"])
+
+
 def parse_tagged(spark, sf):
     t = tagged_doc_lines(spark, sf)
     decoded = L.format_tagged("tokens", "ner_tags", PARSE_NAMES)
@@ -468,6 +484,7 @@ QUERIES.update({
     "tag_tokens": tag_tokens,
     "label_distribution": label_distribution,
     "sentence_profile": sentence_profile,
+    "paired_sequences_prf": paired_sequences_prf,
     "parse_tagged": parse_tagged,
     "annotate_text": annotate_text,
     "align_array": align_array,
