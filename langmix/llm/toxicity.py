@@ -3,7 +3,8 @@
 Tokens (runs of letters, lower-cased) have the log-odds of toxic against other
 labelled texts under a Dirichlet prior in proportion to the tokens' overall
 frequency; only tokens whose log-odds are at least ``MIN_Z`` standard errors
-from 0 keep them. Every token pays a small ``DRIFT``, so scores fall in
+from 0 keep them. A token counts once a text, and copies count as one text:
+of texts with the same label and smallest shingle hash one is learned from. Every token pays a small ``DRIFT``, so scores fall in
 ordinary text. One linear scan finds all maximal-scoring segments of a text.
 By the extreme-value law of such segments, n tokens hold a segment of score S
 or more with probability 1 - exp(-K n exp(-lambda S)): lambda follows from the
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +32,9 @@ from langmix.llm.common import fold, labelled_sample, land, table
 from langmix.session import ship_package
 
 TRAIN_PER_CLASS = 8000
-PRIOR = 1000.0       # weight of the prior in tokens
-MIN_Z = 3.0
+PRIOR = 0.02         # weight of the prior, as a share of all counts
+MIN_Z = 3.5
+BEGINNINGS = (7, 6, 5, 4)
 DRIFT = 0.05
 MAX_EXPECTED = 0.05
 SEED = 23
@@ -43,6 +46,11 @@ def tokens(text: str | None) -> list[str]:
     return _TOKEN(text.lower()) if text else []
 
 
+def features(word: str) -> list[str]:
+    """A token and its beginnings, longest first."""
+    return [word, *[word[:n] + "*" for n in BEGINNINGS if n <= len(word)]]
+
+
 def segments(scores) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score) in one pass: each new
     positive run looks back for the nearest earlier candidate that starts
@@ -85,14 +93,19 @@ class Model:
     def __init__(self, odds: dict[str, float], lam: float = 1.0, k: float = 1.0, slope: float = 0.0,
                  base: float = 0.0):
         self.odds, self.lam, self.k, self.slope, self.base = odds, lam, k, slope, base
+        self.starts = {t.rstrip("*")[:4] for t in odds}
+
+    def odds_of(self, word: str) -> float:
+        return next((self.odds[f] for f in features(word) if f in self.odds), 0.0)
 
     def find(self, text: str | None):
         """(number of tokens, maximal segments) of a text."""
         import numpy as np
 
         words = tokens(text)
-        odds = self.odds
-        if not any(map(odds.__contains__, words)):
+        starts = self.starts
+        odds = {w: self.odds_of(w) for w in set(words) if w[:4] in starts}
+        if not any(odds.values()):
             return len(words), []
         scores = np.array([odds.get(w, 0.0) for w in words]) - DRIFT
         return len(words), segments(runs(scores)) if (scores > 0).any() else []
@@ -113,6 +126,20 @@ class Model:
         return 1 / (1 + math.exp(-x))
 
 
+def _sketch(batches):
+    """The smallest hash of a text's runs of five tokens, which copies share."""
+    import pyarrow as pa
+
+    for batch in batches:
+        out = []
+        for text in batch.column("text"):
+            w = tokens(text.as_py())
+            out.append(min((zlib.crc32(" ".join(w[i:i + 5]).encode("utf-8", "replace"))
+                            for i in range(max(1, len(w) - 4)))))
+        yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("label").cast(pa.int32()),
+                                          pa.array(out, pa.int64())], names=["text", "label", "sketch"])
+
+
 def _counts(batches):
     import pyarrow as pa
     from collections import Counter
@@ -120,7 +147,7 @@ def _counts(batches):
     for batch in batches:
         seen = (Counter(), Counter())
         for text, label in zip(batch.column("text"), batch.column("label")):
-            seen[label.as_py()].update(tokens(text.as_py()))
+            seen[label.as_py()].update({f for w in set(tokens(text.as_py())) for f in features(w)})
         words = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays(
             [pa.array(words, pa.string()), pa.array([seen[1][w] for w in words], pa.int64()),
@@ -159,8 +186,9 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     spark = docs.sparkSession
     ship_package(spark)
     given = labels.select(F.col(f"`{id_col}`"), (F.col(f"`{label_col}`") > 0).cast("int").alias("label"))
-    sample = land(labelled_sample(docs, given, "label", per_class, SEED, id_col, text_col).select("text", "label"),
-                  "toxicity-sample")
+    some = labelled_sample(docs, given, "label", per_class, SEED, id_col, text_col).select("text", "label")
+    sample = land(some.mapInArrow(_sketch, "text string, label int, sketch bigint").groupBy("label", "sketch")
+                  .agg(F.min("text").alias("text")).select("text", "label"), "toxicity-sample")
     classes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(classes) < 2:
         share = 1 - 1e-9 if classes.get(1) else 1e-9
@@ -169,11 +197,11 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
                   .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")), "toxicity-counts")
     t, o = counts.agg(F.sum("toxic"), F.sum("other")).first()
     t, o = t or 0, o or 0
-    prior = PRIOR * (F.col("toxic") + F.col("other")) / max(1, t + o)
-    yt, yo = F.col("toxic") + prior, F.col("other") + prior
-    delta = F.log(yt / (t + PRIOR - yt)) - F.log(yo / (o + PRIOR - yo))
+    both = F.col("toxic") + F.col("other")
+    yt, yo, weight = F.col("toxic") + PRIOR * both, F.col("other") + PRIOR * both, PRIOR * (t + o)
+    delta = F.log(yt / (t + weight - yt)) - F.log(yo / (o + weight - yo))
     kept = counts.select("token", delta.alias("d"), (delta / F.sqrt(1 / yt + 1 / yo)).alias("z"),
-                         (yo / (o + PRIOR)).alias("p")).where(F.abs("z") >= MIN_Z).collect()  # of a bounded sample
+                         (yo / (o + weight)).alias("p")).where(F.col("z") >= MIN_Z).collect()  # of a bounded sample
     model = Model({r["token"]: r["d"] for r in kept})
     if not any(r["d"] > DRIFT for r in kept):
         share = classes[1] / sum(classes.values())
