@@ -15,11 +15,13 @@ reach.
 3. A tree's nodes hold the OR of their members' shingle bitmaps, the range of
    set sizes, and the most shingles that share a bit. Traversal of two nodes at
    a time drops pairs whose largest possible overlap is too small for their
-   sizes, pairs of members are compared by bitmap, then exactly by set. Members
-   that are already connected aren't compared again.
-4. Trees are cut into subtrees of about ``SUBTREE`` members; each is joined with
-   itself first, together with the tree's smallest document; then pairs of
-   subtrees whose members aren't all connected by then.
+   sizes. This runs on bitmaps alone first (a quarter byte a shingle), and only
+   members that can still link with another go on; their sets are read from the
+   texts again. The second traversal compares by bitmap, then exactly by set, and
+   skips members that are already connected.
+4. Trees of more than ``SUBTREE`` members are cut into subtrees of about that
+   size; each is joined with itself, together with the tree's smallest document;
+   then pairs of subtrees whose members aren't all connected by then.
 
 Null and empty texts have no set and link with nothing. Rows without an id
 link with nothing and have no component. Rows of one id are one node. Extra
@@ -41,7 +43,7 @@ LEAF = 8
 BROADCAST_ROWS = 1 << 20  # large trees in a broadcast, at most; beyond, a shuffle join
 SKETCH_BITS = 18
 SLICES = 16
-MAX_BITMAP = 1 << 15
+MAX_BITMAP = 1 << 17
 
 
 # --- sets ------------------------------------------------------------------------
@@ -217,11 +219,25 @@ def _answer(group):
                      "trees": pa.array([f.tobytes() for *_, f in out], pa.binary())})
 
 
-_MEMBER = "tree bigint, doc_id bigint, n int, shingles binary"
+def width_of(n: int) -> int:
+    """Bits for a set of n shingles: two to four times as many, a power of two."""
+    return min(MAX_BITMAP, max(64, 1 << (2 * n - 1).bit_length()))
+
+
+def bitmap(hashes, width: int):
+    import numpy as np
+
+    out = np.zeros(width // 64, np.uint64)
+    bit = (hashes & np.uint64(width - 1)).astype(np.int64)
+    np.bitwise_or.at(out, bit >> 6, np.uint64(1) << (bit & 63).astype(np.uint64))
+    return out
+
+
+_MEMBER = "tree bigint, doc_id bigint, chunk bigint, row int, n int, bits binary"
 
 
 def _members(text: int, id_place: int, buckets: int, shared):
-    """Each document once for every tree it goes to, with its set."""
+    """Each document once for every tree it goes to, with its bitmap."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -232,7 +248,7 @@ def _members(text: int, id_place: int, buckets: int, shared):
                 if not got:
                     continue
                 rows = chunks.load(batch.column("data")[i])
-                doc, h, (set_doc, set_hash, at) = _prefixes(rows.column(text), reps, np.frombuffer(shared.value, np.int64))
+                doc, h, (_, set_hash, at) = _prefixes(rows.column(text), reps, np.frombuffer(shared.value, np.int64))
                 new = _runs(h)
                 cut = chunks.split(h[new], buckets)
                 tree, met = np.zeros(len(new), np.int64), np.zeros(len(new), bool)
@@ -243,32 +259,58 @@ def _members(text: int, id_place: int, buckets: int, shared):
                 length = np.diff(np.concatenate((new, [len(h)])))
                 tree, met = np.repeat(tree, length), np.repeat(met, length)
                 pairs = np.unique(np.stack((tree[met], doc[met]), 1), axis=0)
-                ids = _ids(rows, id_place)
+                ids, n = _ids(rows, id_place), np.diff(at)
+                bits = {d: bitmap(set_hash[at[d]:at[d + 1]], width_of(int(n[d]))).tobytes() for d in set(pairs[:, 1].tolist())}
+                chunk = batch.column("chunk")[i].as_py()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(pairs[:, 0]), pa.array(ids[pairs[:, 1]]),
-                     pa.array(at[pairs[:, 1] + 1] - at[pairs[:, 1]], pa.int32()),
-                     pa.array([set_hash[at[d]:at[d + 1]].tobytes() for d in pairs[:, 1]], pa.binary())],
-                    names=["tree", "doc_id", "n", "shingles"])
+                    [pa.array(pairs[:, 0]), pa.array(ids[pairs[:, 1]]), pa.array([chunk] * len(pairs), pa.int64()),
+                     pa.array(pairs[:, 1], pa.int32()), pa.array(n[pairs[:, 1]], pa.int32()),
+                     pa.array([bits[d] for d in pairs[:, 1].tolist()], pa.binary())],
+                    names=["tree", "doc_id", "chunk", "row", "n", "bits"])
+    return run
+
+
+_ENTRY = ["tree", "p1", "p2", "row", "label", "side"]
+_SET = "tree bigint, p1 int, p2 int, doc_id bigint, label bigint, shingles binary, side int"
+
+
+def _with_sets(text: int, id_place: int):
+    """The entries that a chunk got, with the sets of their rows."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        names = [f.split()[0] for f in _SET.split(", ")]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                got = batch.column("got")[i].as_py()
+                rows = chunks.load(batch.column("data")[i])
+                own = sorted({g["row"] for g in got})
+                place = {r: k for k, r in enumerate(own)}
+                doc, h = _sets(rows.column(text).take(pa.array(own, pa.int64())))
+                at, ids = _bounds(doc, len(own)), _ids(rows, id_place)
+                for first in range(0, len(got), 64):
+                    part = got[first:first + 64]
+                    sets = [h[at[place[g["row"]]]:at[place[g["row"]] + 1]].tobytes() for g in part]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([g["tree"] for g in part], pa.int64()), pa.array([g["p1"] for g in part], pa.int32()),
+                         pa.array([g["p2"] for g in part], pa.int32()), pa.array([int(ids[g["row"]]) for g in part], pa.int64()),
+                         pa.array([g["label"] for g in part], pa.int64()), pa.array(sets, pa.binary()),
+                         pa.array([g["side"] for g in part], pa.int32())], names=names)
     return run
 
 
 # --- the trees ----------------------------------------------------------------------
 
 class Side:
-    """Members ordered by set size, their bitmaps, and the levels of nodes
-    above them (level 0: the members)."""
+    """Levels of nodes above members that are ordered by set size (level 0:
+    the members): bitmaps, smallest and largest set, most spare shingles."""
 
-    def __init__(self, sets, width: int):
+    def __init__(self, bitmaps, n):
         import numpy as np
 
-        self.sets = sets
-        n = np.array([len(s) for s in sets])
-        bitmap = np.zeros((len(sets), width // 64), np.uint64)
-        row = np.repeat(np.arange(len(sets)), n)
-        bit = (np.concatenate(sets) & np.uint64(width - 1)).astype(np.int64)
-        np.bitwise_or.at(bitmap, (row, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
-        spare = n - np.bitwise_count(bitmap).sum(1, dtype=np.int64)
-        self.levels = [(bitmap, n, n, spare)]
+        spare = n - np.bitwise_count(bitmaps).sum(1, dtype=np.int64)
+        self.levels = [(bitmaps, n, n, spare)]
         while len(self.levels[-1][0]) > 1:
             b, low, high, most = self.levels[-1]
             cut = np.arange(0, len(b), LEAF)
@@ -299,88 +341,147 @@ def overlap(a, b) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-def traverse(sets, labels, left: int):
-    """Links (i, j) that connect members with different labels, enough to
-    connect all that are linked. ``left``: members before it are joined with
-    those from it on only; 0 joins all with all."""
+def walk(one: Side, two: Side, done, visit) -> None:
+    """Pairs of members that can link, found from the roots down: ``visit``
+    gets their places. ``done`` tells for ranges of members on both sides
+    whether nothing is left to find between them."""
     import numpy as np
 
-    labels = np.array(labels)
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    sides = [order[order < left], order[order >= left]] if left else [order, order]
-    if not len(sides[0]) or not len(sides[1]):
-        return []
-    largest = max(len(s) for s in sets)
-    width = 64
-    while width < 2 * largest and width < MAX_BITMAP:
-        width *= 2
-    one = Side([sets[i] for i in sides[0]], width)
-    two = Side([sets[i] for i in sides[1]], width) if left else one
-    links, top = [], (len(one.levels) - 1, len(two.levels) - 1)
-    stack = [(*top, np.array([0]), np.array([0]))]
+    same = one is two
+    stack = [(len(one.levels) - 1, len(two.levels) - 1, np.array([0]), np.array([0]))]
     while stack:
         la, lb, i, j = stack.pop()
-        if not left:
+        if same:
             i, j = i[i <= j], j[i <= j]
         ok = _can_link(one.levels[la], i, two.levels[lb], j)
         i, j = i[ok], j[ok]
-        if not len(i):
-            continue
         if la == 0 and lb == 0:
-            a, b = sides[0][i], sides[1][j]
-            for x, y in zip(a[a != b].tolist(), b[a != b].tolist()):
-                if labels[x] == labels[y]:
-                    continue
-                common = overlap(sets[x], sets[y])
-                if 100 * common >= PERCENT * (len(sets[x]) + len(sets[y]) - common):
-                    links.append((x, y))
-                    labels[labels == labels[y]] = labels[x]
+            if len(i):
+                visit(i, j)
             continue
         down_a, down_b = la >= lb and la > 0, lb >= la and lb > 0
-        for x, y in zip(i.tolist(), j.tolist()):   # children of one pair of nodes at a time, nearest sizes first
-            size = LEAF ** la, LEAF ** lb
-            span = labels[sides[0][x * size[0]:(x + 1) * size[0]]], labels[sides[1][y * size[1]:(y + 1) * size[1]]]
-            if span[0].min() == span[0].max() == span[1].min() == span[1].max():
+        for x, y in zip(i.tolist(), j.tolist()):
+            if done(x * LEAF**la, (x + 1) * LEAF**la, y * LEAF**lb, (y + 1) * LEAF**lb):
                 continue
             ca = np.arange(x * LEAF, min((x + 1) * LEAF, len(one.levels[la - 1][0]))) if down_a else np.array([x])
             cb = np.arange(y * LEAF, min((y + 1) * LEAF, len(two.levels[lb - 1][0]))) if down_b else np.array([y])
             stack.append((la - down_a, lb - down_b, np.repeat(ca, len(cb)), np.tile(cb, len(ca))))
+
+
+def fold(bitmaps):
+    """The bitmaps at half the width."""
+    half = bitmaps.shape[1] // 2
+    return bitmaps[:, :half] | bitmaps[:, half:]
+
+
+def survivors(n, bits) -> list[int]:
+    """Members that can link with another, by sizes and bitmaps. Members of
+    one bitmap width are walked together, and with those of the next width
+    folded; sets of more different sizes can't link."""
+    import numpy as np
+
+    n = np.array(n, np.int64)
+    if len(n) < 2:
+        return []
+    order = np.argsort(n, kind="stable")
+    size = np.array([len(bits[i]) for i in order])
+    alive = np.zeros(len(n), bool)
+    before = None
+    for width in np.unique(size):   # ascending, as the sizes are
+        part = order[size == width]
+        maps = np.stack([np.frombuffer(bits[i], np.uint64) for i in part])
+        one = Side(maps, n[part])
+        pairs = [(one, part, one, part)]
+        if before is not None and 2 * before[2] == width:
+            pairs.append((before[0], before[1], Side(fold(maps), n[part]), part))
+        for a, own_a, b, own_b in pairs:
+            def visit(i, j, own_a=own_a, own_b=own_b):
+                x, y = own_a[i], own_b[j]
+                alive[x[x != y]] = alive[y[x != y]] = True
+
+            walk(a, b, lambda p, q, r, s, own_a=own_a, own_b=own_b: alive[own_a[p:q]].all() and alive[own_b[r:s]].all(),
+                 visit)
+        before = one, part, width
+    return np.flatnonzero(alive).tolist()
+
+
+def traverse(sets, labels, left: int):
+    """Links (i, j) that connect members with different labels, enough to
+    connect all that are linked. ``left``: members before it are joined with
+    those from it on only; 0 joins all with all."""
+    import numpy as np
+
+    labels = np.array(labels)
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    sides = [order[order < left], order[order >= left]] if left else [order, order]
+    if not len(sides[0]) or not len(sides[1]):
+        return []
+    width = width_of(max(len(s) for s in sets))
+
+    def side(own):
+        return Side(np.stack([bitmap(sets[i], width) for i in own]), np.array([len(sets[i]) for i in own]))
+
+    one = side(sides[0])
+    two = side(sides[1]) if left else one
+    links = []
+
+    def done(p, q, r, s):
+        a, b = labels[sides[0][p:q]], labels[sides[1][r:s]]
+        return a.min() == a.max() == b.min() == b.max()
+
+    def visit(i, j):
+        a, b = sides[0][i], sides[1][j]
+        for x, y in zip(a[a != b].tolist(), b[a != b].tolist()):
+            if labels[x] == labels[y]:
+                continue
+            common = overlap(sets[x], sets[y])
+            if 100 * common >= PERCENT * (len(sets[x]) + len(sets[y]) - common):
+                links.append((x, y))
+                labels[labels == labels[y]] = labels[x]
+
+    walk(one, two, done, visit)
     return links
 
 
-def _join(key: int):
-    """Traverse the groups of contiguous rows with equal first ``key`` columns."""
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
+def _groups(batches, key: int):
+    """Contiguous rows with equal first ``key`` columns, across batches."""
+    now, rows = None, []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            if row[:key] != now and rows:
+                yield rows
+                rows = []
+            now = row[:key]
+            rows.append(row)
+    if rows:
+        yield rows
 
-        def solve(rows):
-            ids = [r[0] for r in rows]
-            sets = [np.frombuffer(r[2], np.uint64) for r in rows]
-            labels = [r[1] for r in rows]
-            side = np.array([r[3] for r in rows])
-            order = np.argsort(side, kind="stable")
-            left = int((side == 0).sum()) if (side == 1).any() else 0
-            got = traverse([sets[i] for i in order], [labels[i] for i in order], left)
-            return [(ids[order[x]], ids[order[y]]) for x, y in got]
-
-        now, rows = None, []
-        for batch in batches:
-            out = []
-            keys = list(zip(*[batch.column(i).to_pylist() for i in range(key)]))
-            for k, row in zip(keys, zip(*[batch.column(i).to_pylist() for i in range(key, key + 4)])):
-                if k != now and rows:
-                    out += solve(rows)
-                    rows = []
-                now = k
-                rows.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()),
-                                              pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
-        if rows:
-            out = solve(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()),
-                                              pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
-    return run
+
+def _prune(batches):
+    """(tree, chunk, row, doc_id) of the members of each tree that can link."""
+    import pyarrow as pa
+
+    for rows in _groups(batches, 1):
+        alive = survivors([r[4] for r in rows], [r[5] for r in rows])
+        if alive:
+            cols = list(zip(*[(rows[i][0], rows[i][2], rows[i][3], rows[i][1]) for i in alive]))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)],
+                                             names=["tree", "chunk", "row", "doc_id"])
+
+
+def _join(batches):
+    """Verified links of each group of equal (tree, p1, p2)."""
+    import numpy as np
+    import pyarrow as pa
+
+    for rows in _groups(batches, 3):
+        rows.sort(key=lambda r: r[6])
+        left = sum(r[6] == 0 for r in rows) if rows[-1][6] else 0
+        got = traverse([np.frombuffer(r[5], np.uint64) for r in rows], [r[4] for r in rows], left)
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array([rows[x][3] for x, _ in got], pa.int64()),
+                                              pa.array([rows[y][3] for _, y in got], pa.int64())], names=["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -406,44 +507,40 @@ def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys)
 
 
-def links_between(members: DataFrame) -> DataFrame:
-    """(a, b): enough verified links to connect all that are linked."""
+def links_between(members: DataFrame, with_sets) -> DataFrame:
+    """(a, b): enough verified links to connect all that are linked.
+    ``with_sets`` adds the sets to (chunk, entry) rows."""
     # only trees beyond a subtree are listed, one in SUBTREE members at most
     large = land(members.groupBy("tree").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SUBTREE)
                  .select("tree", F.ceil(F.col("size") / SUBTREE).cast("int").alias("parts")), "large-trees")
-    few = large.count() <= BROADCAST_ROWS
-    own = members.join(F.broadcast(large) if few else large, "tree", "left") \
-        .withColumn("parts", F.coalesce("parts", F.lit(1))) \
-        .withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    head = own.where((F.col("doc_id") == F.col("tree")) & (F.col("parts") > 1)) \
-        .withColumn("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("at <> part") \
-        .select("tree", F.col("at").alias("part"), "doc_id", "shingles")
-    first = own.select("tree", "part", "doc_id", "shingles").unionByName(head)
-    first = _spread(first.select("tree", "part", "doc_id", F.col("doc_id").alias("label"), "shingles",
-                                 F.lit(0).alias("side")), ["tree", "part"])
-    links = land(first.mapInArrow(_join(2), "a bigint, b bigint"), "links")
+    listed = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    small = _spread(members.join(listed, "tree", "left_anti"), ["tree"]) \
+        .mapInArrow(_prune, "tree bigint, chunk bigint, row int, doc_id bigint")
+    big = members.join(listed, "tree").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    head = big.where(F.col("doc_id") == F.col("tree")) \
+        .withColumn("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("at <> part")
+    entry = ["tree", "chunk", "row", F.col("doc_id").alias("label")]
+    first = small.select(*entry, F.lit(0).alias("p1")).union(big.select(*entry, F.col("part").alias("p1"))) \
+        .union(head.select(*entry, F.col("at").alias("p1"))).withColumns({"p2": F.lit(0), "side": F.lit(0)})
+    links = land(_spread(with_sets(first), ["tree", "p1", "p2"]).mapInArrow(_join, "a bigint, b bigint"), "links")
     if large.isEmpty():
         return links
-    wide = own.where("parts > 1").select("tree", "part", "parts", "doc_id")
     labels = components(links)
-    labelled = land(wide.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-                    .select("tree", "part", "parts", "doc_id", F.coalesce("component", "doc_id").alias("label")),
-                    "labelled")
+    labelled = land(big.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+                    .select("tree", "part", "chunk", "row", F.coalesce("component", "doc_id").alias("label")), "labelled")
     # subtrees that still differ from each other or within
     span = labelled.groupBy("tree", "part").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     left, right = (span.select("tree", *[F.col(c).alias(f"{s}_{c}") for c in ("part", "low", "high")]) for s in "lr")
     pairs = left.join(right, "tree").where("l_part < r_part") \
         .where(~((F.col("l_low") == F.col("l_high")) & (F.col("r_low") == F.col("r_high"))
                  & (F.col("l_low") == F.col("r_low")))).select("tree", "l_part", "r_part")
-    sides = pairs.select("tree", "l_part", "r_part", F.explode(F.array(
+    sides = pairs.select("tree", F.col("l_part").alias("p1"), F.col("r_part").alias("p2"), F.explode(F.array(
         F.struct(F.col("l_part").alias("part"), F.lit(0).alias("side")),
         F.struct(F.col("r_part").alias("part"), F.lit(1).alias("side")))).alias("s")) \
-        .select("tree", "l_part", "r_part", "s.part", "s.side")
-    again = sides.join(labelled.drop("parts"), ["tree", "part"]).join(
-        own.where("parts > 1").select("tree", "doc_id", "shingles"), ["tree", "doc_id"])
-    again = _spread(again.select("tree", "l_part", "r_part", "doc_id", "label", "shingles", "side"),
-                    ["tree", "l_part", "r_part"])
-    return links.union(again.mapInArrow(_join(3), "a bigint, b bigint"))
+        .select("tree", "p1", "p2", "s.part", "s.side")
+    again = sides.join(labelled, ["tree", "part"]).select("tree", "chunk", "row", "label", "p1", "p2", "side")
+    again = _spread(with_sets(again), ["tree", "p1", "p2"])
+    return links.union(again.mapInArrow(_join, "a bigint, b bigint"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", packed=None) -> DataFrame:
@@ -474,7 +571,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pac
     members = land(chunks.with_answers(table_, reps.select("chunk", *fields).union(answers.select("chunk", *fields)),
                                        fields, "inner")
                    .mapInArrow(_members(text, id_place, buckets, shared), _MEMBER), "members")
-    found = components(links_between(members))
+
+    def with_sets(entries: DataFrame) -> DataFrame:
+        return chunks.with_answers(table_, entries, _ENTRY, "inner").mapInArrow(_with_sets(text, id_place), _SET)
+
+    found = components(links_between(members, with_sets))
     return rows.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "chunk", "row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
