@@ -15,13 +15,15 @@ reach.
 3. A tree's nodes hold the OR of their members' shingle bitmaps, the range of
    set sizes, and the most shingles that share a bit. Traversal of two nodes at
    a time drops pairs whose largest possible overlap is too small for their
-   sizes. This runs on bitmaps alone first (a quarter byte a shingle), and only
-   members that can still link with another go on; their sets are read from the
-   texts again. The second traversal compares by bitmap, then exactly by set, and
-   skips members that are already connected.
-4. Trees of more than ``SUBTREE`` members are cut into subtrees of about that
-   size; each is joined with itself, together with the tree's smallest document;
-   then pairs of subtrees whose members aren't all connected by then.
+   sizes. This runs on bitmaps alone first (a quarter byte a shingle) and leaves
+   groups of members that could be connected. Groups that several trees found go
+   on once, and only now sets are read, from the texts again. The second
+   traversal compares by bitmap, then exactly by set, and skips members that are
+   already connected.
+4. Groups of more than ``SUBTREE`` members are cut into parts of about that size;
+   each is joined with itself, together with the group's smallest document; then
+   pairs of parts whose members aren't all connected by then. A tree of more than
+   ``TREE`` members is such a group as a whole.
 
 Null and empty texts have no set and link with nothing. Rows without an id
 link with nothing and have no component. Rows of one id are one node. Extra
@@ -38,6 +40,7 @@ from langmix.session import ship_package
 
 SHINGLE = 5
 PERCENT = 80
+TREE = 4096
 SUBTREE = 512
 LEAF = 8
 BROADCAST_ROWS = 1 << 20  # large trees in a broadcast, at most; beyond, a shuffle join
@@ -374,18 +377,16 @@ def fold(bitmaps):
     return bitmaps[:, :half] | bitmaps[:, half:]
 
 
-def survivors(n, bits) -> list[int]:
-    """Members that can link with another, by sizes and bitmaps. Members of
-    one bitmap width are walked together, and with those of the next width
-    folded; sets of more different sizes can't link."""
+def groups_of(n, bits) -> list[list[int]]:
+    """Members that sizes and bitmaps could connect. Members of one bitmap
+    width are walked together, and with those of the next width folded; sets
+    of more different sizes can't link."""
     import numpy as np
 
     n = np.array(n, np.int64)
-    if len(n) < 2:
-        return []
     order = np.argsort(n, kind="stable")
     size = np.array([len(bits[i]) for i in order])
-    alive = np.zeros(len(n), bool)
+    label = np.arange(len(n))
     before = None
     for width in np.unique(size):   # ascending, as the sizes are
         part = order[size == width]
@@ -395,14 +396,20 @@ def survivors(n, bits) -> list[int]:
         if before is not None and 2 * before[2] == width:
             pairs.append((before[0], before[1], Side(fold(maps), n[part]), part))
         for a, own_a, b, own_b in pairs:
+            def done(p, q, r, s, own_a=own_a, own_b=own_b):
+                x, y = label[own_a[p:q]], label[own_b[r:s]]
+                return x.min() == x.max() == y.min() == y.max()
+
             def visit(i, j, own_a=own_a, own_b=own_b):
-                x, y = own_a[i], own_b[j]
-                alive[x[x != y]] = alive[y[x != y]] = True
+                for x, y in zip(own_a[i].tolist(), own_b[j].tolist()):
+                    if label[x] != label[y]:
+                        label[label == label[y]] = label[x]
 
-            walk(a, b, lambda p, q, r, s, own_a=own_a, own_b=own_b: alive[own_a[p:q]].all() and alive[own_b[r:s]].all(),
-                 visit)
+            walk(a, b, done, visit)
         before = one, part, width
-    return np.flatnonzero(alive).tolist()
+    order = np.argsort(label, kind="stable")
+    cut = np.flatnonzero(np.diff(label[order])) + 1
+    return [g.tolist() for g in np.split(order, cut) if len(g) > 1]
 
 
 def traverse(sets, labels, left: int):
@@ -458,15 +465,22 @@ def _groups(batches, key: int):
 
 
 def _prune(batches):
-    """(tree, chunk, row, doc_id) of the members of each tree that can link."""
+    """(tree, chunk, row, doc_id) of the groups in each tree that could be
+    connected; ``tree`` is now a hash of the group's ids, so that equal groups
+    of several trees are one."""
+    import numpy as np
     import pyarrow as pa
+    from langmix.llm.words import mix
 
     for rows in _groups(batches, 1):
-        alive = survivors([r[4] for r in rows], [r[5] for r in rows])
-        if alive:
-            cols = list(zip(*[(rows[i][0], rows[i][2], rows[i][3], rows[i][1]) for i in alive]))
+        out = []
+        for group in groups_of([r[4] for r in rows], [r[5] for r in rows]) if len(rows) > 1 else ():
+            ids = np.array([rows[i][1] for i in group], np.int64).view(np.uint64)
+            key = int(mix(np.array([mix(ids).sum() + np.uint64(len(ids))]))[0].view(np.int64))
+            out += [(key, rows[i][2], rows[i][3], rows[i][1]) for i in group]
+        if out:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)],
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
                                              names=["tree", "chunk", "row", "doc_id"])
 
 
@@ -510,14 +524,19 @@ def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
 def links_between(members: DataFrame, with_sets) -> DataFrame:
     """(a, b): enough verified links to connect all that are linked.
     ``with_sets`` adds the sets to (chunk, entry) rows."""
-    # only trees beyond a subtree are listed, one in SUBTREE members at most
-    large = land(members.groupBy("tree").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SUBTREE)
-                 .select("tree", F.ceil(F.col("size") / SUBTREE).cast("int").alias("parts")), "large-trees")
-    listed = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
-    small = _spread(members.join(listed, "tree", "left_anti"), ["tree"]) \
-        .mapInArrow(_prune, "tree bigint, chunk bigint, row int, doc_id bigint")
-    big = members.join(listed, "tree").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    head = big.where(F.col("doc_id") == F.col("tree")) \
+    huge = land(members.groupBy("tree").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > TREE)
+                .select("tree"), "huge-trees")   # one in TREE members at most
+    listed = F.broadcast(huge) if huge.count() <= BROADCAST_ROWS else huge
+    found = _spread(members.join(listed, "tree", "left_anti"), ["tree"]) \
+        .mapInArrow(_prune, "tree bigint, chunk bigint, row int, doc_id bigint").dropDuplicates(["tree", "chunk", "row"])
+    found = land(found.union(members.join(listed, "tree").select("tree", "chunk", "row", "doc_id")), "groups")
+    large = land(found.groupBy("tree").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("head"))
+                 .where(F.col("size") > SUBTREE)
+                 .select("tree", "head", F.ceil(F.col("size") / SUBTREE).cast("int").alias("parts")), "large-groups")
+    cut = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    small = found.join(cut, "tree", "left_anti")
+    big = found.join(cut, "tree").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    head = big.where(F.col("doc_id") == F.col("head")) \
         .withColumn("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("at <> part")
     entry = ["tree", "chunk", "row", F.col("doc_id").alias("label")]
     first = small.select(*entry, F.lit(0).alias("p1")).union(big.select(*entry, F.col("part").alias("p1"))) \
