@@ -484,18 +484,38 @@ def _prune(batches):
                                              names=["tree", "chunk", "row", "doc_id"])
 
 
+def stars(links: list[tuple[int, int]], ids) -> list[tuple[int, int]]:
+    """The same components as links of every member to the smallest id, so
+    that labels have one step to go within a group."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in links:
+        a, b = find(x), find(y)
+        if a != b:
+            low, high = (a, b) if ids[a] <= ids[b] else (b, a)
+            root[high] = low
+    return [(ids[find(x)], ids[x]) for x in list(root) if ids[find(x)] != ids[x]]
+
+
 def _join(batches):
-    """Verified links of each group of equal (tree, p1, p2)."""
+    """Verified links of each group of equal (tree, p1, p2), as stars."""
     import numpy as np
     import pyarrow as pa
 
     for rows in _groups(batches, 3):
         rows.sort(key=lambda r: r[6])
         left = sum(r[6] == 0 for r in rows) if rows[-1][6] else 0
-        got = traverse([np.frombuffer(r[5], np.uint64) for r in rows], [r[4] for r in rows], left)
+        found = traverse([np.frombuffer(r[5], np.uint64) for r in rows], [r[4] for r in rows], left)
+        got = stars(found, [r[3] for r in rows])
         if got:
-            yield pa.RecordBatch.from_arrays([pa.array([rows[x][3] for x, _ in got], pa.int64()),
-                                              pa.array([rows[y][3] for _, y in got], pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in got], pa.int64()),
+                                              pa.array([b for _, b in got], pa.int64())], names=["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
