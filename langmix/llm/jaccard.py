@@ -12,8 +12,9 @@ reach.
    counts all shingles, so common passages don't bring documents together. All
    documents with such a shingle go to the tree of the smallest one among them:
    every pair that can link meets in a tree, and most meet in few.
-3. A tree's nodes hold the OR of their members' shingle bitmaps, the range of
-   set sizes, and the most shingles that share a bit. Traversal of two nodes at
+3. A tree's nodes hold the OR of their members' shingle bitmaps, the smallest
+   size, the farthest reach (shingles from the first that leads to the tree on),
+   and the most shingles that share a bit. Traversal of two nodes at
    a time drops pairs whose largest possible overlap is too small for their
    sizes. This runs on bitmaps alone first (a quarter byte a shingle) and leaves
    groups of members that could be connected. Groups that several trees found go
@@ -21,8 +22,10 @@ reach.
    traversal compares by bitmap, then exactly by set, and skips members that are
    already connected.
 4. Groups of more than ``SUBTREE`` members are cut into parts of about that size;
-   each is joined with itself, together with the group's smallest document; then
-   pairs of parts whose members aren't all connected by then. A tree of more than
+   each is joined with itself, together with the group's smallest document. Then
+   the group is cut anew, members of its most frequent label apart from the rest,
+   and pairs of parts that still differ are walked on bitmaps; sets move only of
+   members that could link with one of another label. A tree of more than
    ``TREE`` members is such a group as a whole.
 
 Null and empty texts have no set and link with nothing. Rows without an id
@@ -126,7 +129,7 @@ def _add_slices(group):
 # --- meeting places ----------------------------------------------------------------
 
 def _prefixes(texts, rows: list[int], sketch):
-    """Rarest shingles of the given rows' sets: (row, hash), by hash."""
+    """Rarest shingles of the given rows' sets: (row, hash, place among the row's shingles), by hash."""
     import numpy as np
 
     doc, h = _sets(texts)
@@ -140,9 +143,11 @@ def _prefixes(texts, rows: list[int], sketch):
     n = np.diff(at)
     need = n - (PERCENT * n + 99) // 100 + 1
     place = np.arange(len(doc)) - at[doc]
-    first = order[place < need[doc]]   # doc is sorted, so places are those of the order
-    order = first[np.argsort(h[first], kind="stable")]
-    return doc[order], h[order], (doc, h, at)
+    early = place < need[doc]   # doc is sorted, so places are those of the order
+    first, place = order[early], place[early]
+    by_hash = np.argsort(h[first], kind="stable")
+    order = first[by_hash]
+    return doc[order], h[order], place[by_hash], (doc, h, at)
 
 
 def _rows_and_answers(batch, i: int):
@@ -178,7 +183,7 @@ def _ask(text: int, id_place: int, buckets: int, shared):
             for i in range(batch.num_rows):
                 reps, _ = _rows_and_answers(batch, i)
                 rows = chunks.load(batch.column("data")[i])
-                doc, h, _ = _prefixes(rows.column(text), reps, np.frombuffer(shared.value, np.int64))
+                doc, h, *_ = _prefixes(rows.column(text), reps, np.frombuffer(shared.value, np.int64))
                 new = _runs(h)
                 own = _ids(rows, id_place)[doc]
                 low = np.minimum.reduceat(own, new) if len(new) else own
@@ -236,11 +241,14 @@ def bitmap(hashes, width: int):
     return out
 
 
-_MEMBER = "tree bigint, doc_id bigint, chunk bigint, row int, n int, bits binary"
+_MEMBER = "tree bigint, doc_id bigint, chunk bigint, row int, n int, reach int, bits binary"
 
 
 def _members(text: int, id_place: int, buckets: int, shared):
-    """Each document once for every tree it goes to, with its bitmap."""
+    """Each document once for every tree it goes to, with its bitmap and its
+    reach there: shingles from the first that leads to the tree on. Two sets
+    have nothing in common before the shingle that brings them together first,
+    so no pair of a tree shares more than either's reach."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -251,7 +259,7 @@ def _members(text: int, id_place: int, buckets: int, shared):
                 if not got:
                     continue
                 rows = chunks.load(batch.column("data")[i])
-                doc, h, (_, set_hash, at) = _prefixes(rows.column(text), reps, np.frombuffer(shared.value, np.int64))
+                doc, h, place, (_, set_hash, at) = _prefixes(rows.column(text), reps, np.frombuffer(shared.value, np.int64))
                 new = _runs(h)
                 cut = chunks.split(h[new], buckets)
                 tree, met = np.zeros(len(new), np.int64), np.zeros(len(new), bool)
@@ -261,15 +269,19 @@ def _members(text: int, id_place: int, buckets: int, shared):
                     met[cut[b]:cut[b + 1]] = hit
                 length = np.diff(np.concatenate((new, [len(h)])))
                 tree, met = np.repeat(tree, length), np.repeat(met, length)
-                pairs = np.unique(np.stack((tree[met], doc[met]), 1), axis=0)
+                tree, doc, place = tree[met], doc[met], place[met]
+                order = np.lexsort((place, doc, tree))
+                pairs, place = np.stack((tree, doc), 1)[order], place[order]
+                new = np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(1))) if len(pairs) else np.zeros(0, bool)
+                pairs, place = pairs[new], place[new]
                 ids, n = _ids(rows, id_place), np.diff(at)
                 bits = {d: bitmap(set_hash[at[d]:at[d + 1]], width_of(int(n[d]))).tobytes() for d in set(pairs[:, 1].tolist())}
                 chunk = batch.column("chunk")[i].as_py()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(pairs[:, 0]), pa.array(ids[pairs[:, 1]]), pa.array([chunk] * len(pairs), pa.int64()),
                      pa.array(pairs[:, 1], pa.int32()), pa.array(n[pairs[:, 1]], pa.int32()),
-                     pa.array([bits[d] for d in pairs[:, 1].tolist()], pa.binary())],
-                    names=["tree", "doc_id", "chunk", "row", "n", "bits"])
+                     pa.array(n[pairs[:, 1]] - place, pa.int32()), pa.array([bits[d] for d in pairs[:, 1].tolist()], pa.binary())],
+                    names=["tree", "doc_id", "chunk", "row", "n", "reach", "bits"])
     return run
 
 
@@ -307,13 +319,13 @@ def _with_sets(text: int, id_place: int):
 
 class Side:
     """Levels of nodes above members that are ordered by set size (level 0:
-    the members): bitmaps, smallest and largest set, most spare shingles."""
+    the members): bitmaps, smallest set, farthest reach, most spare shingles."""
 
-    def __init__(self, bitmaps, n):
+    def __init__(self, bitmaps, n, reach):
         import numpy as np
 
         spare = n - np.bitwise_count(bitmaps).sum(1, dtype=np.int64)
-        self.levels = [(bitmaps, n, n, spare)]
+        self.levels = [(bitmaps, n, reach, spare)]
         while len(self.levels[-1][0]) > 1:
             b, low, high, most = self.levels[-1]
             cut = np.arange(0, len(b), LEAF)
@@ -325,10 +337,10 @@ def _can_link(a, i, b, j):
     """Whether members below nodes i and j can reach the overlap their sizes ask for."""
     import numpy as np
 
-    bits_a, low_a, high_a, most_a = (x[i] for x in a)
-    bits_b, low_b, high_b, most_b = (x[j] for x in b)
+    bits_a, low_a, reach_a, most_a = (x[i] for x in a)
+    bits_b, low_b, reach_b, most_b = (x[j] for x in b)
     overlap = np.bitwise_count(bits_a & bits_b).sum(-1, dtype=np.int64) + np.minimum(most_a, most_b)
-    overlap = np.minimum(overlap, np.minimum(high_a, high_b))
+    overlap = np.minimum(overlap, np.minimum(reach_a, reach_b))
     # 100 I >= P (A + B - I) at the smallest sizes; the larger set alone asks for P percent of itself
     least, larger = low_a + low_b, np.maximum(low_a, low_b)
     return ((100 + PERCENT) * overlap >= PERCENT * least) & (100 * overlap >= PERCENT * larger)
@@ -377,41 +389,82 @@ def fold(bitmaps):
     return bitmaps[:, :half] | bitmaps[:, half:]
 
 
-def groups_of(n, bits) -> list[list[int]]:
-    """Members that sizes and bitmaps could connect. Members of one bitmap
-    width are walked together, and with those of the next width folded; sets
-    of more different sizes can't link."""
+def _meetings(n, reach, bits, left, right):
+    """(side, its members, side, its members) to walk: members of one bitmap
+    width together, and with those of the next width folded; sets of more
+    different sizes can't link. Without ``right``, ``left`` meets itself."""
     import numpy as np
 
-    n = np.array(n, np.int64)
-    order = np.argsort(n, kind="stable")
-    size = np.array([len(bits[i]) for i in order])
+    size = np.array([len(b) for b in bits])
+
+    def sides(own):
+        own, out = own[np.argsort(n[own], kind="stable")], {}
+        for width in np.unique(size[own]).tolist():   # ascending, as the sizes are
+            part = own[size[own] == width]
+            maps = np.stack([np.frombuffer(bits[i], np.uint64) for i in part])
+            out[width] = Side(maps, n[part], reach[part]), part, maps
+        return out
+
+    def folded(side):
+        return Side(fold(side[2]), n[side[1]], reach[side[1]]), side[1]
+
+    one = sides(left)
+    two = one if right is None else sides(right)
+    for width in sorted(one.keys() | two.keys()):
+        if width in one and width in two:
+            yield *one[width][:2], *two[width][:2]
+        if width in one and 2 * width in two:
+            yield *one[width][:2], *folded(two[2 * width])
+        if one is not two and 2 * width in one and width in two:
+            yield *folded(one[2 * width]), *two[width][:2]
+
+
+def groups_of(n, reach, bits) -> list[list[int]]:
+    """Members that sizes, reaches and bitmaps could connect."""
+    import numpy as np
+
+    n, reach = np.array(n, np.int64), np.array(reach, np.int64)
     label = np.arange(len(n))
-    before = None
-    for width in np.unique(size):   # ascending, as the sizes are
-        part = order[size == width]
-        maps = np.stack([np.frombuffer(bits[i], np.uint64) for i in part])
-        one = Side(maps, n[part])
-        pairs = [(one, part, one, part)]
-        if before is not None and 2 * before[2] == width:
-            pairs.append((before[0], before[1], Side(fold(maps), n[part]), part))
-        for a, own_a, b, own_b in pairs:
-            def done(p, q, r, s, own_a=own_a, own_b=own_b):
-                x, y = label[own_a[p:q]], label[own_b[r:s]]
-                return x.min() == x.max() == y.min() == y.max()
-
-            def visit(i, j, own_a=own_a, own_b=own_b):
-                for x, y in zip(own_a[i].tolist(), own_b[j].tolist()):
-                    if label[x] != label[y]:
-                        label[label == label[y]] = label[x]
-
-            walk(a, b, done, visit)
-        before = one, part, width
+    for a, own_a, b, own_b in _meetings(n, reach, bits, label.copy(), None):
+        def done(p, q, r, s):
+            x, y = label[own_a[p:q]], label[own_b[r:s]]
+            return x.min() == x.max() == y.min() == y.max()
+
+        def visit(i, j):
+            for x, y in zip(own_a[i].tolist(), own_b[j].tolist()):
+                if label[x] != label[y]:
+                    label[label == label[y]] = label[x]
+
+        walk(a, b, done, visit)
     order = np.argsort(label, kind="stable")
     cut = np.flatnonzero(np.diff(label[order])) + 1
     return [g.tolist() for g in np.split(order, cut) if len(g) > 1]
 
 
+def survivors(n, reach, bits, label, side):
+    """Whether sizes, reaches and bitmaps could link a member with one of the
+    other side (of its own, if there is one side) that has another label."""
+    import numpy as np
+
+    n, reach, label, side = (np.array(x, np.int64) for x in (n, reach, label, side))
+    keep = np.zeros(len(n), bool)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    for a, own_a, b, own_b in _meetings(n, reach, bits, left, right if len(right) else None):
+        def done(p, q, r, s):
+            i, j = own_a[p:q], own_b[r:s]
+            x, y = label[i], label[j]
+            return x.min() == x.max() == y.min() == y.max() or (keep[i].all() and keep[j].all())
+
+        def visit(i, j):
+            x, y = own_a[i], own_b[j]
+            other = label[x] != label[y]
+            keep[x[other]] = True
+            keep[y[other]] = True
+
+        walk(a, b, done, visit)
+    return keep
+
+
 def traverse(sets, labels, left: int):
     """Links (i, j) that connect members with different labels, enough to
     connect all that are linked. ``left``: members before it are joined with
@@ -426,7 +479,8 @@ def traverse(sets, labels, left: int):
     width = width_of(max(len(s) for s in sets))
 
     def side(own):
-        return Side(np.stack([bitmap(sets[i], width) for i in own]), np.array([len(sets[i]) for i in own]))
+        n = np.array([len(sets[i]) for i in own])
+        return Side(np.stack([bitmap(sets[i], width) for i in own]), n, n)
 
     one = side(sides[0])
     two = side(sides[1]) if left else one
@@ -464,24 +518,43 @@ def _groups(batches, key: int):
         yield rows
 
 
-def _prune(batches):
-    """(tree, chunk, row, doc_id) of the groups in each tree that could be
-    connected; ``tree`` is now a hash of the group's ids, so that equal groups
-    of several trees are one."""
-    import numpy as np
+_GROUP = "tree bigint, chunk bigint, row int, doc_id bigint, n int, reach int, bits binary"
+
+
+def _prune(subtree: int):
+    """Members of the groups in each tree that could be connected; ``tree`` is
+    now a hash of the group's ids, so that equal groups of several trees are
+    one, and reaches are whole sets. Only large groups need their bitmaps on."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from langmix.llm.words import mix
+
+        for rows in _groups(batches, 1):
+            out = []
+            for group in groups_of(*([r[k] for r in rows] for k in (4, 5, 6))) if len(rows) > 1 else ():
+                ids = np.array([rows[i][1] for i in group], np.int64).view(np.uint64)
+                key = int(mix(np.array([mix(ids).sum() + np.uint64(len(ids))]))[0].view(np.int64))
+                out += [(key, rows[i][2], rows[i][3], rows[i][1], rows[i][4], rows[i][4],
+                         rows[i][6] if len(group) > subtree else None) for i in group]
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
+                                                 names=[f.split()[0] for f in _GROUP.split(", ")])
+    return run
+
+
+def _survive(batches):
+    """Entries of each group of equal (tree, p1, p2) whose sets are needed."""
     import pyarrow as pa
-    from langmix.llm.words import mix
-
-    for rows in _groups(batches, 1):
-        out = []
-        for group in groups_of([r[4] for r in rows], [r[5] for r in rows]) if len(rows) > 1 else ():
-            ids = np.array([rows[i][1] for i in group], np.int64).view(np.uint64)
-            key = int(mix(np.array([mix(ids).sum() + np.uint64(len(ids))]))[0].view(np.int64))
-            out += [(key, rows[i][2], rows[i][3], rows[i][1]) for i in group]
+
+    for rows in _groups(batches, 3):
+        keep = survivors(*([r[k] for r in rows] for k in (7, 8, 9, 5, 6)))
+        out = [r[:7] for r, k in zip(rows, keep.tolist()) if k]
         if out:
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
-                                             names=["tree", "chunk", "row", "doc_id"])
+                                             names=["tree", "p1", "p2", "chunk", "row", "label", "side"])
 
 
 def stars(links: list[tuple[int, int]], ids) -> list[tuple[int, int]]:
@@ -548,12 +621,13 @@ def links_between(members: DataFrame, with_sets) -> DataFrame:
                 .select("tree"), "huge-trees")   # one in TREE members at most
     listed = F.broadcast(huge) if huge.count() <= BROADCAST_ROWS else huge
     found = _spread(members.join(listed, "tree", "left_anti"), ["tree"]) \
-        .mapInArrow(_prune, "tree bigint, chunk bigint, row int, doc_id bigint").dropDuplicates(["tree", "chunk", "row"])
-    found = land(found.union(members.join(listed, "tree").select("tree", "chunk", "row", "doc_id")), "groups")
+        .mapInArrow(_prune(SUBTREE), _GROUP).dropDuplicates(["tree", "chunk", "row"])
+    found = land(found.union(members.join(listed, "tree").select(*[f.split()[0] for f in _GROUP.split(", ")])), "groups")
     large = land(found.groupBy("tree").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("head"))
                  .where(F.col("size") > SUBTREE)
                  .select("tree", "head", F.ceil(F.col("size") / SUBTREE).cast("int").alias("parts")), "large-groups")
-    cut = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    listed_large = F.broadcast if large.count() <= BROADCAST_ROWS else lambda df: df
+    cut = listed_large(large)
     small = found.join(cut, "tree", "left_anti")
     big = found.join(cut, "tree").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     head = big.where(F.col("doc_id") == F.col("head")) \
@@ -565,20 +639,36 @@ def links_between(members: DataFrame, with_sets) -> DataFrame:
     if large.isEmpty():
         return links
     labels = components(links)
-    labelled = land(big.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-                    .select("tree", "part", "chunk", "row", F.coalesce("component", "doc_id").alias("label")), "labelled")
-    # subtrees that still differ from each other or within
-    span = labelled.groupBy("tree", "part").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    left, right = (span.select("tree", *[F.col(c).alias(f"{s}_{c}") for c in ("part", "low", "high")]) for s in "lr")
-    pairs = left.join(right, "tree").where("l_part < r_part") \
-        .where(~((F.col("l_low") == F.col("l_high")) & (F.col("r_low") == F.col("r_high"))
-                 & (F.col("l_low") == F.col("r_low")))).select("tree", "l_part", "r_part")
-    sides = pairs.select("tree", F.col("l_part").alias("p1"), F.col("r_part").alias("p2"), F.explode(F.array(
+    labelled = big.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left") \
+        .withColumn("label", F.coalesce("component", "doc_id"))
+    labelled = land(labelled.select("tree", "chunk", "row", "doc_id", "n", "reach", "bits", "label"), "labelled")
+    # what is left links a member outside the group's most frequent label with another one, and one of the two shares
+    # at least (A + B) / 2 x 2 P / (100 + P) shingles of (A + B) / 2, so reaches that far. New parts, of one kind each
+    main = labelled.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("size")) \
+        .groupBy("tree").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
+    kinds = labelled.join(listed_large(main), "tree") \
+        .withColumn("rest", F.col("label") != F.col("main")) \
+        .withColumn("far", (100 + PERCENT) * F.col("reach").cast("long") < 2 * PERCENT * F.col("n").cast("long"))
+    counts = kinds.groupBy("tree", "rest", "far").agg(F.ceil(F.count(F.lit(1)) / SUBTREE).cast("int").alias("own"))
+    kind = F.when(F.col("rest"), 0).otherwise(2) + F.col("far").cast("int")
+    kinds = kinds.join(listed_large(counts), ["tree", "rest", "far"]).withColumn(
+        "part", F.pmod(F.xxhash64("doc_id"), F.col("own")).cast("int") * 4 + kind)
+    span = kinds.groupBy("tree", "part", "rest", "far").agg(F.min("label").alias("low"), F.max("label").alias("high"),
+                                                            F.min("n").alias("least"), F.max("n").alias("most"))
+    left, right = (span.select("tree", *[F.col(c).alias(f"{s}_{c}") for c in span.columns[1:]]) for s in "lr")
+    pairs = left.where("l_rest").join(right, "tree").where("NOT (l_far AND r_far)") \
+        .where("NOT r_rest OR l_part <= r_part") \
+        .where(f"100L * l_most >= {PERCENT}L * r_least AND 100L * r_most >= {PERCENT}L * l_least") \
+        .where("NOT (l_low = l_high AND r_low = r_high AND l_low = r_low)").select("tree", "l_part", "r_part")
+    sides = pairs.select("tree", F.col("l_part").alias("p1"), F.col("r_part").alias("p2"), F.explode(F.array_distinct(F.array(
         F.struct(F.col("l_part").alias("part"), F.lit(0).alias("side")),
-        F.struct(F.col("r_part").alias("part"), F.lit(1).alias("side")))).alias("s")) \
+        F.struct(F.col("r_part").alias("part"), (F.col("l_part") != F.col("r_part")).cast("int").alias("side"))))).alias("s")) \
         .select("tree", "p1", "p2", "s.part", "s.side")
-    again = sides.join(labelled, ["tree", "part"]).select("tree", "chunk", "row", "label", "p1", "p2", "side")
-    again = _spread(with_sets(again), ["tree", "p1", "p2"])
+    again = sides.join(kinds, ["tree", "part"]) \
+        .select("tree", "p1", "p2", "chunk", "row", "label", "side", "n", "reach", "bits")
+    again = land(_spread(again, ["tree", "p1", "p2"]).mapInArrow(
+        _survive, "tree bigint, p1 int, p2 int, chunk bigint, row int, label bigint, side int"), "survivors")
+    again = _spread(with_sets(again.select("tree", "chunk", "row", "label", "p1", "p2", "side")), ["tree", "p1", "p2"])
     return links.union(again.mapInArrow(_join, "a bigint, b bigint"))
 
 
