@@ -124,7 +124,7 @@ def _ask_repeats(text: int, id_place: int, buckets: int):
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        from langmix.llm.words import Words
+        from langmix.llm.words import Words, mix
 
         for chunk, rows, got in _parts(batches):
             if not got:
@@ -142,9 +142,11 @@ def _ask_repeats(text: int, id_place: int, buckets: int):
             distinct, smallest = _smallest(at, h, w, _ids(rows, id_place))
             cut = chunks.split(distinct, buckets)
             own = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-            # the hits go along to the chunk's next turn, through a bucket number of their own
+            # the hits go along to the chunk's next turn, through a bucket number of their own, drawn from the whole
+            # chunk number (its low bits are the same in all partitions)
+            past = buckets + int(mix(np.array([chunk], np.uint64))[0]) % buckets
             yield pa.RecordBatch.from_arrays(
-                [pa.array([*own, buckets + chunk % buckets], pa.int32()), pa.array([chunk] * (len(own) + 1), pa.int64()),
+                [pa.array([*own, past], pa.int32()), pa.array([chunk] * (len(own) + 1), pa.int64()),
                  pa.array([*[distinct[cut[b]:cut[b + 1]].tobytes() for b in own], chunks.bits(hit)], pa.binary()),
                  pa.array([*[smallest[cut[b]:cut[b + 1]].tobytes() for b in own], None], pa.binary())],
                 names=["bucket", "chunk", "keys", "ids"])
