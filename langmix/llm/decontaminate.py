@@ -7,8 +7,10 @@ words not yet covered in either text is marked, again and again, down to
 words reaches ``COVERAGE``; the tiles' order doesn't matter, so passages that
 were reordered are found too.
 
-Words are runs of letters and digits, lower-cased. Items shorter than
-``MIN_MATCH`` words never match; null and empty texts match nothing. Items
+Words are runs of letters and digits, lower-cased; in scripts written without
+spaces (Chinese, Japanese, Thai and its neighbours) each letter is a word. An
+item shorter than ``MIN_MATCH`` words leaks where all its words stand in a row;
+null and empty texts match nothing. Items
 travel as broadcasts of bounded size: a larger benchmark is cut into blocks by
 item, and each block meets all documents in turn. Repeated items or documents
 are treated each; extra columns pass through; the operator's own columns
@@ -30,11 +32,17 @@ COVERAGE = 0.5
 BLOCK_BYTES = 16 << 20   # benchmark text in one broadcast, about
 BASE = 0x9E3779B97F4A7C15
 
-_WORD = re.compile(r"[^\W_]+").findall
+#: Thai, Lao, Myanmar, Khmer; kana; Han with its extensions; halfwidth kana
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff" \
+            "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_ASCII_WORD = re.compile(r"[^\W_]+").findall
+_WORD = re.compile(rf"[^\W_{_UNSPACED}]+|[^\W_]").findall
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD(text.lower()) if text else []
+    if not text:
+        return []
+    return (_ASCII_WORD if text.isascii() else _WORD)(text.lower())
 
 
 def rolling(ids, k: int):
@@ -51,17 +59,23 @@ def rolling(ids, k: int):
 
 
 class Seeds:
-    """Index of one block of items: word ids, and seed hash -> (item, place)."""
+    """Index of one block of items: word ids, and seed hash -> (item, place).
+    Items shorter than a seed are kept whole: their ids by length and hash."""
 
     def __init__(self, items: list[tuple], k: int = MIN_MATCH):
         import numpy as np
 
         self.k, self.vocab = k, {}
-        self.items = []
+        self.items, self.short = [], {}
         for item_id, text in items:
             w = words(text)
+            ids = np.array([self.vocab.setdefault(x, len(self.vocab)) for x in w], np.int64)
             if len(w) >= k:
-                self.items.append((item_id, np.array([self.vocab.setdefault(x, len(self.vocab)) for x in w], np.int64)))
+                self.items.append((item_id, ids))
+            elif len(w):
+                self.short.setdefault(len(w), {}).setdefault(tuple(ids.tolist()), []).append(item_id)
+        self.short_hashes = {n: np.unique(np.concatenate([rolling(np.array(i, np.int64), n) for i in whole]))
+                             for n, whole in self.short.items()}
         hashes = [rolling(ids, k) for _, ids in self.items]
         which = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
         place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
@@ -83,6 +97,17 @@ class Seeds:
         row = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
         return self.which[row], doc, self.place[row]
 
+    def whole(self, ids) -> list:
+        """Ids of the short items that stand in a text as a whole."""
+        import numpy as np
+
+        found = []
+        for n, items in self.short.items():
+            at = np.flatnonzero(np.isin(rolling(ids, n), self.short_hashes[n]))
+            for seen in {tuple(ids[a:a + n].tolist()) for a in at.tolist()}:   # the hashes only propose
+                found += items.get(seen, [])
+        return found
+
 
 def tile(doc, item, d, p, k: int) -> int:
     """Words of the item under tiles. ``d`` and ``p`` are the places of seed
@@ -123,11 +148,13 @@ def leaks(text: str | None, seeds: Seeds, coverage: float = COVERAGE) -> list[tu
     import numpy as np
 
     w = words(text)
-    if len(w) < seeds.k or not seeds.items:
+    if not w or not seeds.vocab:
         return []
     ids = np.fromiter(map(seeds.vocab.get, w, [-1] * len(w)), np.int64, len(w))
+    out = [(item_id, 1.0) for item_id in seeds.whole(ids)]
+    if len(w) < seeds.k or not seeds.items:
+        return out
     which, d, p = seeds.hits(ids)
-    out = []
     if not len(which):
         return out
     order = np.argsort(which, kind="stable")
