@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from langmix.llm.common import table, without
+from langmix.llm.worker import cached, tidy
 from langmix.session import ship_package
 
 CACHE_UNITS = 200_000   # remembered units in each of two generations
@@ -267,15 +268,9 @@ class Codec:
         return np.concatenate(out) if out else self.flat[:0], ends[offsets]
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(data: bytes, pattern: str) -> Codec:
     key = hashlib.sha256(data + pattern.encode()).hexdigest()
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(data, pattern)
-    return _CODECS[key]
+    return cached(f"bpe {key}", lambda: Codec(data, pattern))
 
 
 def load_ranks(path: str) -> bytes:
@@ -304,7 +299,7 @@ def _map(df: DataFrame, used: str, added: str, kind: str, work) -> DataFrame:
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in rest]
                        + [f"{added} {kind}"])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run, "bpe"), schema)
 
 
 def encode(df: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:

@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from langmix.llm.worker import tidy
 from langmix.session import scratch_path, ship_package
 
 CHUNK_BYTES = 1 << 20
@@ -72,7 +73,7 @@ def pack(docs: DataFrame, text_col: str) -> tuple[DataFrame, int]:
                 chunk += 1
 
     name = f"chunks_{uuid.uuid4().hex}"
-    (docs.mapInArrow(run, "chunk bigint, bytes bigint, data binary").write
+    (docs.mapInArrow(tidy(run), "chunk bigint, bytes bigint, data binary").write
          .bucketBy(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "chunk")
          .option("path", scratch_path(spark, "chunks")).option("parquet.block.size", 32 << 20).saveAsTable(name))
     table = spark.table(name)

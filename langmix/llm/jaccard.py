@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from langmix.llm import chunks
 from langmix.llm.common import land, table, without
+from langmix.llm.worker import tidy
 from langmix.session import ship_package
 
 SHINGLE = 5
@@ -621,7 +622,7 @@ def links_between(members: DataFrame, with_sets) -> DataFrame:
                 .select("tree"), "huge-trees")   # one in TREE members at most
     listed = F.broadcast(huge) if huge.count() <= BROADCAST_ROWS else huge
     found = _spread(members.join(listed, "tree", "left_anti"), ["tree"]) \
-        .mapInArrow(_prune(SUBTREE), _GROUP).dropDuplicates(["tree", "chunk", "row"])
+        .mapInArrow(tidy(_prune(SUBTREE)), _GROUP).dropDuplicates(["tree", "chunk", "row"])
     found = land(found.union(members.join(listed, "tree").select(*[f.split()[0] for f in _GROUP.split(", ")])), "groups")
     large = land(found.groupBy("tree").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("head"))
                  .where(F.col("size") > SUBTREE)
@@ -635,7 +636,7 @@ def links_between(members: DataFrame, with_sets) -> DataFrame:
     entry = ["tree", "chunk", "row", F.col("doc_id").alias("label")]
     first = small.select(*entry, F.lit(0).alias("p1")).union(big.select(*entry, F.col("part").alias("p1"))) \
         .union(head.select(*entry, F.col("at").alias("p1"))).withColumns({"p2": F.lit(0), "side": F.lit(0)})
-    links = land(_spread(with_sets(first), ["tree", "p1", "p2"]).mapInArrow(_join, "a bigint, b bigint"), "links")
+    links = land(_spread(with_sets(first), ["tree", "p1", "p2"]).mapInArrow(tidy(_join), "a bigint, b bigint"), "links")
     if large.isEmpty():
         return links
     labels = components(links)
@@ -667,9 +668,9 @@ def links_between(members: DataFrame, with_sets) -> DataFrame:
     again = sides.join(kinds, ["tree", "part"]) \
         .select("tree", "p1", "p2", "chunk", "row", "label", "side", "n", "reach", "bits")
     again = land(_spread(again, ["tree", "p1", "p2"]).mapInArrow(
-        _survive, "tree bigint, p1 int, p2 int, chunk bigint, row int, label bigint, side int"), "survivors")
+        tidy(_survive), "tree bigint, p1 int, p2 int, chunk bigint, row int, label bigint, side int"), "survivors")
     again = _spread(with_sets(again.select("tree", "chunk", "row", "label", "p1", "p2", "side")), ["tree", "p1", "p2"])
-    return links.union(again.mapInArrow(_join, "a bigint, b bigint"))
+    return links.union(again.mapInArrow(tidy(_join), "a bigint, b bigint"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", packed=None) -> DataFrame:
@@ -679,7 +680,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pac
     used = docs.columns
     text, id_place = used.index(text_col), used.index(id_col)
     table_, buckets = packed or chunks.pack(docs, text_col)
-    profile = land(table_.mapInArrow(_profile(text, id_place), _PROFILE), "profile")
+    profile = land(table_.mapInArrow(tidy(_profile(text, id_place)), _PROFILE), "profile")
     parts = profile.where("slice IS NOT NULL").select("slice", "counts").groupBy("slice") \
         .applyInArrow(_add_slices, "slice int, counts binary").collect()   # 2 MB whatever the input
     sketch = b"".join(bytes(r["counts"]) for r in sorted(parts, key=lambda r: r["slice"])) or bytes(8 << SKETCH_BITS)
@@ -695,14 +696,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pac
                                                        none.alias("trees"))
     fields = ["bucket", "row", "hits", "trees"]
     asked = chunks.with_answers(table_, reps, fields, "inner").mapInArrow(
-        _ask(text, id_place, buckets, shared), "bucket int, chunk bigint, keys binary, ids binary, several binary")
+        tidy(_ask(text, id_place, buckets, shared)), "bucket int, chunk bigint, keys binary, ids binary, several binary")
     answers = asked.groupBy("bucket").applyInArrow(_answer, "chunk bigint, bucket int, row int, hits binary, trees binary")
     members = land(chunks.with_answers(table_, reps.select("chunk", *fields).union(answers.select("chunk", *fields)),
                                        fields, "inner")
-                   .mapInArrow(_members(text, id_place, buckets, shared), _MEMBER), "members")
+                   .mapInArrow(tidy(_members(text, id_place, buckets, shared)), _MEMBER), "members")
 
     def with_sets(entries: DataFrame) -> DataFrame:
-        return chunks.with_answers(table_, entries, _ENTRY, "inner").mapInArrow(_with_sets(text, id_place), _SET)
+        return chunks.with_answers(table_, entries, _ENTRY, "inner").mapInArrow(tidy(_with_sets(text, id_place)), _SET)
 
     found = components(links_between(members, with_sets))
     return rows.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
@@ -728,7 +729,7 @@ def _attach(columns: list[str]):
 def _with_rows(packed, found: DataFrame, schema, columns: list[str]) -> DataFrame:
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields] + [f"{c} bigint" for c in columns]
     return chunks.with_answers(packed[0], found, ["row", *columns], "inner") \
-        .mapInArrow(_attach(columns), ", ".join(fields))
+        .mapInArrow(tidy(_attach(columns)), ", ".join(fields))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

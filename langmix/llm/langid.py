@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from langmix.llm.common import bounded_sample, fold, table
+from langmix.llm.worker import cached, tidy
 from langmix.session import ship_package
 
 DIM = 1024
@@ -76,13 +77,8 @@ class Space:
         return counts.astype(np.float32) @ self.grams[codes].astype(np.float32)
 
 
-_SPACE: list[Space] = []
-
-
 def space() -> Space:
-    if not _SPACE:
-        _SPACE.append(Space())
-    return _SPACE[0]
+    return cached("langid", Space)
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
@@ -110,7 +106,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
                                           pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))],
                                          names=["lang", "part"])
 
-    parts = sample.mapInArrow(run, "lang string, part array<bigint>")
+    parts = sample.mapInArrow(tidy(run, "langid"), "lang string, part array<bigint>")
     got = (parts.select("lang", F.posexplode("part").alias("i", "x")).groupBy("lang", "i")
            .agg(F.sum("x").alias("x")).collect())  # DIM numbers a language
     langs = sorted({r["lang"] for r in got})
@@ -152,7 +148,7 @@ def predict(docs: DataFrame, model, text_col: str = "text", keep: tuple[str, ...
 
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
                        + ["lang_pred string", "score double"])
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run, "langid"), schema)
 
 
 def op1_hyperdimensional_langid(spark, sf_dir):

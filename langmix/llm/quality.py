@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from langmix.llm.common import labelled_sample, table, without
+from langmix.llm.worker import cached, slices, tidy
 from langmix.session import ship_package
 
 BUCKETS = 1 << 15
@@ -33,7 +34,7 @@ RATE = 0.3
 RIDGE = 1e-6
 SEED = 5
 KEEP_TAIL = 0.5
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 _RUN = re.compile(r"(.)\1+")
 _SHAPE = str.maketrans({**{c: "X" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "x" for c in "abcdefghijklmnopqrstuvwxyz"},
@@ -87,13 +88,8 @@ class Features:
         return index, value / np.linalg.norm(value)
 
 
-_FEATURES: list[Features] = []
-
-
 def features() -> Features:
-    if not _FEATURES:
-        _FEATURES.append(Features())
-    return _FEATURES[0]
+    return cached("quality", Features)
 
 
 class Model:
@@ -164,7 +160,7 @@ def fit(docs: DataFrame, ratings: DataFrame, text_col: str = "text", grade_col:
                         names=["id", "grade", "buckets", "vals"])
 
     got = sample.select(F.col("id").cast("string").alias("id"), "text", F.col("label").alias("grade")) \
-        .mapInArrow(run, "id string, grade double, buckets binary, vals binary").collect()
+        .mapInArrow(tidy(run, "quality"), "id string, grade double, buckets binary, vals binary").collect()
     got.sort(key=lambda r: (r["id"] or "", r["grade"], bytes(r["buckets"])))  # the order of tasks doesn't matter
     grades = sorted({r["grade"] for r in got})
     if len(grades) < 2:
@@ -182,7 +178,8 @@ def predict(docs: DataFrame, model: Model, at_least: float = 1.0, text_col: str
     docs = without(docs, "expected_grade", "tail_prob")
     shared = spark.sparkContext.broadcast(model)
     keep = docs.columns if keep is None else keep
-    src = docs.select(F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`") for c in keep])
+    used = list(dict.fromkeys([*keep, text_col]))   # the text moves once
+    src, text = docs.select(*[F.col(f"`{c}`") for c in used]), used.index(text_col)
 
     def run(batches):
         import numpy as np
@@ -190,16 +187,16 @@ def predict(docs: DataFrame, model: Model, at_least: float = 1.0, text_col: str
 
         m = shared.value
         grades = np.array(m.grades)
-        for batch in batches:
-            p = [m.chances(features().of(x.as_py())) for x in batch.column(0)]
+        for batch in slices(batches):
+            p = [m.chances(features().of(x.as_py())) for x in batch.column(text)]
             expected = [float(x @ grades) if len(grades) else None for x in p]
             tail = [float(x[grades >= at_least].sum()) if len(grades) else None for x in p]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(expected, pa.float64()), pa.array(tail, pa.float64())],
+                [*batch.columns[:len(keep)], pa.array(expected, pa.float64()), pa.array(tail, pa.float64())],
                 names=[*keep, "expected_grade", "tail_prob"])
 
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    return src.mapInArrow(run, ", ".join([*fields, "expected_grade double", "tail_prob double"]))
+    return src.mapInArrow(tidy(run, "quality"), ", ".join([*fields, "expected_grade double", "tail_prob double"]))
 
 
 def select(docs: DataFrame, model: Model) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from langmix.llm import chunks
 from langmix.llm.common import table, without
+from langmix.llm.worker import tidy
 
 BLOCK = 7
 MIN_WORDS = 2 * BLOCK - 1
@@ -237,14 +238,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     src = docs.select(*[F.col(f"`{c}`") for c in used])
     text, id_place = used.index(text_col), used.index(id_col)
     packed, buckets = chunks.pack(src, text_col)
-    asked = packed.mapInArrow(_ask_anchors(text, buckets), "bucket int, chunk bigint, keys binary, block binary, several binary")
+    asked = packed.mapInArrow(tidy(_ask_anchors(text, buckets)), "bucket int, chunk bigint, keys binary, block binary, several binary")
     hits = asked.groupBy("bucket").applyInArrow(_answer_anchors, "chunk bigint, bucket int, answer binary")
     asked = chunks.with_answers(packed, hits, ["bucket", "answer"], "inner") \
-        .mapInArrow(_ask_repeats(text, id_place, buckets), "bucket int, chunk bigint, keys binary, ids binary")
+        .mapInArrow(tidy(_ask_repeats(text, id_place, buckets)), "bucket int, chunk bigint, keys binary, ids binary")
     repeats = asked.groupBy("bucket").applyInArrow(_answer_repeats(buckets), "chunk bigint, bucket int, answer binary")
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     return chunks.with_answers(packed, repeats, ["bucket", "answer"]) \
-        .mapInArrow(_cut(text, id_place, [used.index(c) for c in keep], buckets),
+        .mapInArrow(tidy(_cut(text, id_place, [used.index(c) for c in keep], buckets)),
                     ", ".join([*fields, "n_words bigint", "n_removed bigint", "kept_text string"]))
 
 
