@@ -17,8 +17,6 @@ ARROW = "->"             # between token and label inside an item
 SKIP_TOKEN = "tag"       # echoed task word, dropped when parsing
 ENG_MARK = "ENG"         # label text containing this -> EN
 MAL_MARK = "MAL"         # label text containing this -> MS
-HTML_MS = "<span class='tok-ms'>{t}(MS)</span>"
-HTML_EN = "<span class='tok-en'>{t}(EN)</span>"
 # -----------------------------------------------------------------------------
 
 
@@ -72,20 +70,20 @@ def parse_tagged(decoded) -> Column:
     return F.filter(pairs, lambda p: (F.lower(p["token"]) != SKIP_TOKEN) & (p["token"] != ""))
 
 
-def annotate(tokens, labels, html: bool = False) -> Column:
+def annotate(tokens, labels, marks: dict[int, str] | None = None) -> Column:
     """Inline-tagged text: ``tok(MS)`` / ``tok(EN)`` / ``tok``, space-joined.
+    ``marks`` gives other templates by label id, with ``{t}`` for the token.
     Pairs stop at the shorter list, like Python ``zip``."""
     tokens, labels = _c(tokens), _c(labels)
     n = F.least(F.size(tokens), F.size(labels))
-    ms = HTML_MS if html else "{t}(MS)"
-    en = HTML_EN if html else "{t}(EN)"
-
-    def fmt(template, t):
-        before, after = template.split("{t}")
-        return F.concat(F.lit(before), t, F.lit(after))
+    marks = marks or {LABEL2ID[k]: f"{{t}}({k})" for k in ("MS", "EN")}
 
     def one(t, lab):
-        return F.when(lab == 1, fmt(ms, t)).when(lab == 2, fmt(en, t)).otherwise(t)
+        out = t
+        for label, template in marks.items():
+            before, after = template.split("{t}")
+            out = F.when(lab == label, F.concat(F.lit(before), t, F.lit(after))).otherwise(out)
+        return out
 
     pieces = F.slice(F.zip_with(tokens, labels, one), 1, n)
     return strip_ws(F.array_join(pieces, " "))

@@ -173,3 +173,10 @@ def normalize_text(c) -> Column:
 def prompt(c) -> Column:
     """Prompt prefix used by the sequence-to-sequence tagger."""
     return F.concat(F.lit(PROMPT_PREFIX), _c(c))
+
+
+def digest(c) -> Column:
+    """128 bits that stand for a text as a join or aggregation key: two 64-bit
+    hashes under different seeds, null for null."""
+    x = F.col(c) if isinstance(c, str) else c
+    return F.when(x.isNotNull(), F.struct(F.xxhash64(x).alias("hi"), F.xxhash64(F.lit(1), x).alias("lo")))

@@ -6,7 +6,9 @@ numbers per map task and group, and one more of a row per cell."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from langmix.functions.labels import IGNORE_INDEX
@@ -89,6 +91,33 @@ def prf(counts: DataFrame, group: list[str], average: str = "macro") -> DataFram
         F.when(any_, mean(lambda x: _div(2 * x["tp"], x["nt"] + x["np"]))).alias("f1"))
 
 
+def sentence_prf(y_true, y_pred, ignore: int = IGNORE_INDEX) -> Column:
+    """Accuracy and support-weighted precision, recall and F1 of one sentence,
+    in the row: both label arrays are cut to the shorter one, pairs with the
+    ignored truth are left out. Nulls without a pair."""
+    t, p = (F.col(c) if isinstance(c, str) else c for c in (y_true, y_pred))
+    n = F.least(F.size(t), F.size(p))
+    pairs = F.filter(F.arrays_zip(F.slice(t, 1, n).alias("t"), F.slice(p, 1, n).alias("p")), lambda x: x["t"] != ignore)
+
+    def count(keep):
+        return F.size(F.filter(pairs, keep))
+
+    total = F.size(pairs)
+    seen = F.array_distinct(F.transform(pairs, lambda x: x["t"]))
+    per = F.transform(seen, lambda k: F.struct(
+        count(lambda x: (x["t"] == k) & (x["p"] == k)).alias("tp"), count(lambda x: x["t"] == k).alias("nt"),
+        count(lambda x: x["p"] == k).alias("np")))
+
+    def mean(value):
+        return F.aggregate(per, F.lit(0.0), lambda acc, x: acc + x["nt"] * value(x)) / total
+
+    out = F.struct((count(lambda x: x["t"] == x["p"]) / total).alias("accuracy"),
+                   mean(lambda x: _div(x["tp"], x["np"])).alias("precision"),
+                   mean(lambda x: _div(x["tp"], x["nt"])).alias("recall"),
+                   mean(lambda x: _div(2 * x["tp"], x["nt"] + x["np"])).alias("f1"))
+    return F.when(total > 0, out)
+
+
 def spans(df: DataFrame, keys: list[str], pos: str, label: str) -> DataFrame:
     """Maximal runs of one non-O label inside a sentence, after dropping the
     ignore index; start/end are indexes in the kept sequence."""
@@ -103,28 +132,51 @@ def spans(df: DataFrame, keys: list[str], pos: str, label: str) -> DataFrame:
             .drop("_run"))
 
 
+def runs(labels) -> Column:
+    """Maximal runs of one non-O label in an array, in the row:
+    ``array<struct<label, start, end>>`` (places from 1, both inclusive)."""
+    x = F.col(labels) if isinstance(labels, str) else labels
+    kind = "array<struct<label:int,start:int,end:int>>"
+    begin = F.struct(F.array().cast(kind).alias("done"), F.lit(0).alias("label"), F.lit(0).alias("start"), F.lit(0).alias("at"))
+
+    def close(acc):
+        return F.when(acc["label"] == 0, acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(
+            acc["label"].alias("label"), acc["start"].alias("start"), acc["at"].alias("end")))))
+
+    def step(acc, y):
+        y = F.coalesce(y.cast("int"), F.lit(0))   # no label is outside every span
+        same = y == acc["label"]
+        return F.struct(F.when(same, acc["done"]).otherwise(close(acc)).alias("done"), y.alias("label"),
+                        F.when(same, acc["start"]).otherwise(acc["at"] + 1).alias("start"), (acc["at"] + 1).alias("at"))
+
+    return F.aggregate(x, begin, step, close)
+
+
 def span_prf(df: DataFrame, group: list[str], sentence: list[str], pos: str = "pos",
              y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
     """Micro span precision/recall/F1 (exact sentence, start, end and label)
-    plus token accuracy, per group. Spans of both sides are counted together
-    by place, so that no join is needed."""
-    keys = group + sentence
+    plus token accuracy, per group. One exchange brings a sentence's tokens
+    into one row, in which both sides' runs are folded and compared; counts
+    per sentence are then added up."""
     valid = df.where(F.col(y_true) != IGNORE_INDEX)
-    place = keys + ["span_label", "start", "end"]
-    both = spans(valid, keys, pos, y_true).withColumn("_t", F.lit(1)).withColumn("_p", F.lit(0)).unionByName(
-        spans(valid, keys, pos, y_pred).withColumn("_t", F.lit(0)).withColumn("_p", F.lit(1)))
-    at = both.groupBy(*place).agg(F.max("_t").alias("_t"), F.max("_p").alias("_p"))
-    counted = at.groupBy(*group).agg(F.sum("_t").alias("n_true"), F.sum("_p").alias("n_pred"),
-                                     F.sum(F.col("_t") * F.col("_p")).alias("tp"))
-    acc = valid.groupBy(*group).agg(
-        F.avg((F.col(y_true) == F.col(y_pred)).cast("double")).alias("accuracy"))
-    out = acc.join(counted, group, "left").fillna(0, ["tp", "n_true", "n_pred"])
+    rows = valid.groupBy(*group, *sentence).agg(F.array_sort(F.collect_list(F.struct(
+        F.col(pos).alias("pos"), F.col(y_true).cast("int").alias("t"), F.col(y_pred).cast("int").alias("p")))).alias("_r"))
+
+    def side(k: str) -> Column:
+        return runs(F.transform("_r", lambda x: x[k]))
+
+    true, pred = side("t"), side("p")
+    per = rows.select(*group, F.size("_r").alias("_n"), F.size(F.filter("_r", lambda x: x["t"] == x["p"])).alias("_same"),
+                      true.alias("_t"), pred.alias("_p"))
+    out = per.groupBy(*group).agg(
+        F.sum(F.size("_t")).alias("n_true"), F.sum(F.size("_p")).alias("n_pred"),
+        F.sum(F.size(F.array_intersect("_t", "_p"))).alias("tp"), F.sum("_n").alias("_n"), F.sum("_same").alias("_same"))
     return out.select(
         *group, F.col("n_true").cast("long"), F.col("n_pred").cast("long"), F.col("tp").cast("long"),
         _div(F.col("tp"), F.col("n_pred")).alias("precision"),
         _div(F.col("tp"), F.col("n_true")).alias("recall"),
         _div(2 * F.col("tp"), F.col("n_true") + F.col("n_pred")).alias("f1"),
-        "accuracy")
+        (F.col("_same") / F.col("_n")).alias("accuracy"))
 
 
 def model_comparison(macro: DataFrame, n_models: int, model: str = "model") -> DataFrame:
@@ -163,3 +215,30 @@ def pair_sequences(df: DataFrame, keys: list[str], truth: str, pred: str, mode:
     z = F.arrays_zip(F.slice(truth, 1, n).alias("y_true"), F.slice(pred, 1, n).alias("y_pred"))
     return df.select(*keys, F.posexplode(z).alias("pos", "_z")).select(
         *keys, "pos", F.col("_z.y_true").alias("y_true"), F.col("_z.y_pred").alias("y_pred"))
+
+
+SIDE_BUCKETS = 64
+
+
+def store_side(df: DataFrame, key: str, path: str, buckets: int = SIDE_BUCKETS) -> str:
+    """Write one side of a pairing (predictions or truths) as a table in
+    sorted buckets by ``key``, its files at ``path``; its name in the catalog."""
+    name = f"side_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return name
+
+
+def pair_stored(truths: str, preds: str, key: str, group: str, truth: str = "truth", pred: str = "pred") -> DataFrame:
+    """Weighted metrics per group of two stored sides with equal buckets: a
+    sentence's truth and predictions meet where they lie, without an exchange,
+    and are counted in the row. Predictions of a sentence without a truth are
+    counted in ``n_no_truth`` and measured nowhere."""
+    spark = SparkSession.active()
+    t, p = spark.table(truths).select(key, truth), spark.table(preds).select(key, group, pred)
+    both = p.hint("merge").join(t, key, "left")
+    missing = both.withColumn("_none", F.col(truth).isNull())
+    pairs = pair_sequences(missing.withColumn(truth, F.coalesce(truth, F.array().cast(t.schema[truth].dataType))),
+                           [group], truth, pred)
+    found = prf(cells(pairs, [group]), [group], "weighted")
+    counts = missing.groupBy(group).agg(F.count(F.lit(1)).alias("n_sentences"), F.count_if("_none").alias("n_no_truth"))
+    return counts.join(found, group, "left")

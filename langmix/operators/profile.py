@@ -50,12 +50,33 @@ def json_array_keys(df: DataFrame, text_col: str) -> DataFrame:
             .distinct())
 
 
-def preview(lines: DataFrame, n: int, line_no: str = "line_no", value: str = "value") -> DataFrame:
-    """First ``n`` lines of a JSONL file: the whole record as JSON, or
-    the bad line's stripped content, with its 1-based line number. Any JSON
-    value is a record; blank lines are bad."""
+def pretty_json(text) -> Column:
+    """JSON text in lines, two spaces deeper for every level; strings and empty arrays and objects stay as they are.
+    Compact JSON (as ``to_json`` writes it) is expected."""
+    pieces = F.regexp_extract_all(_c(text), F.lit(r'("(?:[^"\\]|\\.)*"|\[\]|\{\}|[\[\]{}:,]|[^"\[\]{}:,]+)'), F.lit(1))
+    state = F.struct(F.lit("").alias("text"), F.lit(0).alias("depth"))
+
+    def line(depth):
+        return F.concat(F.lit("\n"), F.repeat(F.lit("  "), depth))
+
+    def step(acc, p):
+        deeper, higher = acc["depth"] + 1, acc["depth"] - 1
+        return (F.when(p.isin("{", "["), F.struct(F.concat(acc["text"], p, line(deeper)).alias("text"), deeper.alias("depth")))
+                .when(p.isin("}", "]"), F.struct(F.concat(acc["text"], line(higher), p).alias("text"), higher.alias("depth")))
+                .when(p == ",", F.struct(F.concat(acc["text"], p, line(acc["depth"])).alias("text"), acc["depth"].alias("depth")))
+                .when(p == ":", F.struct(F.concat(acc["text"], F.lit(": ")).alias("text"), acc["depth"].alias("depth")))
+                .otherwise(F.struct(F.concat(acc["text"], p).alias("text"), acc["depth"].alias("depth"))))
+
+    return F.aggregate(pieces, state, step)["text"]
+
+
+def preview(lines: DataFrame, n: int, line_no: str = "line_no", value: str = "value", pretty: bool = False) -> DataFrame:
+    """First ``n`` lines of a JSONL file: the whole record as JSON (``pretty``:
+    in indented lines), or the bad line's stripped content, with its 1-based
+    line number. Any JSON value is a record; blank lines are bad."""
     first = lines.where(F.col(line_no) <= n)
     record = F.try_parse_json(value)
+    shown = F.to_json(record)
     return first.select(
         line_no, record.isNull().alias("is_bad"), record.alias("record"),
-        F.when(record.isNull(), F.trim(value)).otherwise(F.to_json(record)).alias("content"))
+        F.when(record.isNull(), F.trim(value)).otherwise(pretty_json(shown) if pretty else shown).alias("content"))

@@ -41,12 +41,22 @@ def sequence_confidence(step_rows: DataFrame, sentences: DataFrame, keys: list[s
     return mean_confidence(probs, sentences, keys)
 
 
-# name -> factory returning a prediction back end; dispatch by model name
+# name -> factory returning a prediction back end, and its kind; dispatch by model name
 _BACKENDS: dict[str, Callable] = {}
+_KINDS: dict[str, str] = {}
 
 
-def register_backend(name: str, factory: Callable) -> None:
-    _BACKENDS[name] = factory
+def register_backend(name: str, factory: Callable, kind: str = "plug-in") -> None:
+    _BACKENDS[name], _KINDS[name] = factory, kind
+
+
+def backends() -> list[str]:
+    return sorted(_BACKENDS)
+
+
+def backend_kind(name: str) -> str:
+    backend(name)
+    return _KINDS[name]
 
 
 def backend(name: str) -> Callable:

@@ -2,7 +2,7 @@
 
 Two back ends share one output contract ``(keys..., tokens, ner_tags)``:
 
-* ``build_lexicon`` + ``tag_lines``: a native lexicon join (no Python).
+* ``build_lexicon`` + ``tag_lines``: a lexicon of any size, broadcast or joined.
 * ``model_tag_lines``: any user tagger run through ``mapInArrow``; the model
   is loaded once per task, one call per sentence with all its tokens.
 """
@@ -22,7 +22,8 @@ from langmix.session import materialize, ship_package
 WORD = r"^\p{L}+$"              # lexicon entries: letters only
 MIN_COUNT = 2                   # token must occur at least this often
 MIN_PURITY_PCT = 60             # best language share, in percent
-BLOCK_BYTES = 32 << 20          # lexicon text in one broadcast block, at most about
+BLOCK_BYTES = 32 << 20          # lexicon text in the broadcast, at most about
+BLOCK_LINES = 4096              # lines that ask a larger lexicon together
 # -----------------------------------------------------------------------------
 
 
@@ -53,9 +54,25 @@ def build_lexicon(token_lang: DataFrame, token_col: str = "token", lang_col: str
     per-token choice packs ``(count, language rank)`` into one bigint, so
     the second aggregation is a hash aggregation on numbers; without it a
     ``min(struct(-count, language))`` is used, which Spark must sort."""
+    return lexicon_of(token_counts(token_lang, token_col, lang_col), min_count, min_purity_pct, languages)
+
+
+def token_counts(token_lang: DataFrame, token_col: str = "token", lang_col: str = "lang") -> DataFrame:
+    """``(token, lang, n)`` of the words of one part of a corpus. Counts of
+    several parts, kept side by side, add up (:func:`add_counts`)."""
     t = (token_lang.select(F.lower(token_col).alias("token"), F.col(lang_col).alias("lang"))
          .where(F.col("token").rlike(WORD) & F.col("lang").isNotNull()))
-    counts = t.groupBy("token", "lang").agg(F.count(F.lit(1)).alias("n"))
+    return t.groupBy("token", "lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+def add_counts(parts: DataFrame) -> DataFrame:
+    """Counts of any number of parts as those of the whole corpus."""
+    return parts.groupBy("token", "lang").agg(F.sum("n").alias("n"))
+
+
+def lexicon_of(counts: DataFrame, min_count: int = MIN_COUNT, min_purity_pct: int = MIN_PURITY_PCT,
+               languages: list[str] | None = None) -> DataFrame:
+    """:func:`build_lexicon` from counts."""
     if languages is not None and len(languages) <= MAX_PACKED_LANGUAGES:
         names = F.array(*[F.lit(x) for x in sorted(languages)])
         rank = F.array_position(names, F.col("lang")) - 1
@@ -82,78 +99,122 @@ def _tag_map(lang_to_tag: dict[str, str]):
 
 
 class PreparedLexicon:
-    """A lexicon as broadcast blocks of bounded size, ready for any number of
-    tagging runs (a stream prepares it once). Only entries with a tag travel.
-    The blocks are cut by a hash of the token; a lexicon of any size takes the
-    same path, one look-up per block and text."""
+    """The tagged entries of a lexicon, ready for any number of tagging runs
+    (a stream prepares it once). Their size is measured: at most
+    ``block_bytes`` of text travel as one broadcast (``block``); beyond that
+    ``block`` is None and ``entries`` stays in Spark, to be joined."""
 
     def __init__(self, lexicon: DataFrame, lang_to_tag: dict[str, str], block_bytes: int = BLOCK_BYTES):
         import pyarrow as pa
 
         spark = lexicon.sparkSession
         ship_package(spark)
-        entries = materialize(lexicon.select("token", F.element_at(_tag_map(lang_to_tag), F.col("lang")).alias("tag"))
-                              .where("tag IS NOT NULL AND tag <> 0"))
-        size = entries.agg(F.sum(F.octet_length("token") + 8)).first()[0] or 0
-        n = max(1, -(-size // block_bytes))
-        self.blocks = []
-        for i in range(n):   # one bounded block at a time
-            rows = entries.where(F.pmod(F.xxhash64("token"), F.lit(n)) == i).collect()
-            block = pa.table({"token": pa.array([r["token"] for r in rows], pa.string()),
-                              "tag": pa.array([r["tag"] for r in rows], pa.int32())})
+        share = F.col("n") / F.col("total") if {"n", "total"} <= set(lexicon.columns) else F.lit(1.0)
+        self.entries = materialize(lexicon.select("token", F.element_at(_tag_map(lang_to_tag), F.col("lang")).alias("tag"),
+                                                  share.alias("share")).where("tag IS NOT NULL AND tag <> 0"))
+        size = self.entries.agg(F.sum(F.octet_length("token") + 16)).first()[0] or 0
+        self.block = None
+        if size <= block_bytes:
+            rows = self.entries.collect()
+            known = pa.table({"token": pa.array([r["token"] for r in rows], pa.string()),
+                              "tag": pa.array([r["tag"] for r in rows], pa.int32()),
+                              "share": pa.array([r["share"] for r in rows], pa.float64())})
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, block.schema) as out:
-                out.write_table(block)
-            self.blocks.append(spark.sparkContext.broadcast(sink.getvalue().to_pybytes()))
+            with pa.ipc.new_stream(sink, known.schema) as out:
+                out.write_table(known)
+            self.block = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
 
-def _look_up(block, names: list[str]):
+def _tags_of(lower, known, confidence: bool) -> list:
+    """Lists of tags for lists of lower-cased tokens, in one vectorized look-up
+    in the entries ``known``: 0 where there is none. With ``confidence`` also
+    lists of the shares of the tagged tokens, in order."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    tokens = known.column("token").combine_chunks()
+    tag = np.concatenate((known.column("tag").to_numpy(), [0])).astype(np.int32)
+    at = pc.fill_null(pc.index_in(lower.flatten(), tokens), len(tokens)).to_numpy(zero_copy_only=False)
+    offsets = lower.offsets.to_numpy() - lower.offsets[0].as_py()
+    out = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tag[at]))]
+    if confidence:
+        hit = at < len(tokens)
+        ends = np.concatenate(([0], np.cumsum(hit)))[offsets]
+        out.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)),
+                                            pa.array(known.column("share").to_numpy()[at[hit]], pa.float64())))
+    return out
+
+
+def _look_up(block, names: list[str], confidence: bool):
     """Tags of all tokens of an Arrow batch at once; the last column holds the
-    lower-cased tokens, ``ner_tags`` what earlier blocks found."""
+    lower-cased tokens."""
     def run(batches):
-        import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
 
         known = pa.ipc.open_stream(block.value).read_all().combine_chunks()
-        tokens = known.column("token").combine_chunks()
-        tag = np.concatenate((known.column("tag").to_numpy(), [0])).astype(np.int32)
+        added = ["ner_tags", "shares"] if confidence else ["ner_tags"]
         for rb in batches:
-            lower, before = rb.column("_lower"), rb.column("ner_tags")
-            at = pc.fill_null(pc.index_in(lower.flatten(), tokens), len(tokens)).to_numpy(zero_copy_only=False)
-            tags = tag[at]
-            if len(before.flatten()):
-                tags = np.maximum(tags, before.flatten().to_numpy(zero_copy_only=False))
-            offsets = lower.offsets.to_numpy()
-            lists = pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(tags))
-            yield pa.RecordBatch.from_arrays([lists if n == "ner_tags" else rb.column(n) for n in names], names=names)
+            yield pa.RecordBatch.from_arrays([*rb.columns[:-1], *_tags_of(rb.column("_lower"), known, confidence)],
+                                             names=[*names, *added])
     return run
 
 
+def _map_back(names: list[str], confidence: bool):
+    """Tags of one block of lines from the answers its tokens got."""
+    def run(lines, answers):
+        import pyarrow as pa
+
+        added = ["ner_tags", "shares"] if confidence else ["ner_tags"]
+        found = _tags_of(lines.column("_lower").combine_chunks(), answers, confidence)
+        return pa.table([*[lines.column(n) for n in names], *found], names=[*names, *added])
+    return run
+
+
+def _join_blocks(src: DataFrame, entries: DataFrame, names: list[str], schema: str, block_lines: int,
+                 confidence: bool) -> DataFrame:
+    """Tags by a join in Spark: each block of lines asks once for every
+    distinct token, so a frequent token costs a row a block (a hot one is left
+    to AQE's skew join), and the answers go back to their block."""
+    spark = src.sparkSession
+    n = 1 + (1 << 33) // block_lines   # blocks of a partition have numbers of their own
+    at = F.monotonically_increasing_id()
+    block = F.shiftright(at, 33) * n + F.floor(at.bitwiseAND((1 << 33) - 1) / block_lines)
+    lines = materialize(src.withColumn("_block", block.cast("long")))
+    asked = lines.select(F.col("_block").alias("_at"), F.explode(F.array_distinct("_lower")).alias("token")).distinct()
+    answers = asked.join(entries, "token").select("_at", "token", "tag", "share")
+    ship_package(spark)
+    return lines.groupBy("_block").cogroup(answers.groupBy("_at")).applyInArrow(_map_back(names, confidence), schema)
+
+
 def tag_lines(lines: DataFrame, lexicon: DataFrame | PreparedLexicon, keys: list[str], text_col: str,
               lang_to_tag: dict[str, str] | None = None, squeezed: bool = False,
-              keep_empty: bool = False) -> DataFrame:
+              keep_empty: bool = False, block_lines: int = BLOCK_LINES, confidence: bool = False) -> DataFrame:
     """Tag every whitespace token: lexicon language -> tag id, unknown or
     non-word tokens -> 0. Empty lines yield no row, or with ``keep_empty``
     one without tokens. ``squeezed=True`` says
     the text is already single-spaced (clean_text output), so tokens come
     from a plain split instead of the whitespace regex.
 
-    Tokens are looked up in the row, one vectorized look-up per Arrow batch
-    and lexicon block: nothing is exploded, joined or shuffled, so a token
-    that holds a third of all rows costs what any other does."""
+    Against a broadcast lexicon tokens are looked up in the row, one
+    vectorized look-up per Arrow batch: nothing is exploded, joined or
+    shuffled. A larger lexicon is joined with the distinct tokens of blocks of
+    ``block_lines`` lines, so neither the lexicon nor a part of it passes
+    through the driver. ``confidence`` adds ``shares``: of each tagged token,
+    in order, the share that its language has of the token's occurrences."""
     if not isinstance(lexicon, PreparedLexicon):
         lexicon = PreparedLexicon(lexicon, lang_to_tag)
     split = split_squeezed if squeezed else split_ws
     full = F.col(text_col) != "" if squeezed else strip_ws(text_col) != ""
     src = (lines if keep_empty else lines.where(full)).select(
-        *keys, split(F.col(text_col)).alias("tokens"), F.array().cast("array<int>").alias("ner_tags"),
+        *keys, split(F.col(text_col)).alias("tokens"),
         F.coalesce(split(F.lower(text_col)), F.array().cast("array<string>")).alias("_lower"))
-    names = src.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
-    for block in lexicon.blocks:
-        src = src.mapInArrow(_look_up(block, names), schema)
-    return src.drop("_lower")
+    names = src.columns[:-1]
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]], "ner_tags array<int>",
+                        *(["shares array<double>"] if confidence else [])])
+    if lexicon.block is None:
+        return _join_blocks(src, lexicon.entries, names, schema, block_lines, confidence)
+    return src.mapInArrow(_look_up(lexicon.block, names, confidence), schema)
 
 
 def model_tag_lines(lines: DataFrame, keys: list[str], text_col: str,

@@ -27,8 +27,8 @@ SENTENCE_SIZE = 10       # embeddings rows per pseudo sentence
 STEP_SIZE = 100          # embeddings rows per pseudo checkpoint evaluation
 MODELS = ("A", "B")      # two logit slices of each embedding
 DIGITS = 6
-MATCHED = "Ground truth matched: real-time sentence metrics"
-FALLBACK = "Ground truth not found: fallback to model metrics"
+MATCHED, FALLBACK = "truth", "proxy"   # where a sentence's metrics come from
+MARKS = {1: "<i lang=ms>{t}</i>", 2: "<i lang=en>{t}</i>"}   # rendered labels
 # -----------------------------------------------------------------------------
 
 DOC_KEYS = ["doc_id", "line_no"]

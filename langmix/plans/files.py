@@ -9,21 +9,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from langmix.functions.labels import IGNORE_INDEX
-from langmix.functions.text import split_lines, strip_ws
+from langmix.functions.text import split_lines, split_ws, strip_ws
 from langmix.operators import corpus, profile, sampling
 from langmix.operators.tagging import PreparedLexicon
 from langmix.plans import oracle as O
-from langmix.plans.common import (KEEP_LANGS, LANG_TAGS, SEED, corpus_sources, doc_lexicon, lookup_key,
-                                  table, tagged_doc_lines)
+from langmix.plans.common import (KEEP_LANGS, LANG_TAGS, MARKS, SEED, corpus_sources, doc_lexicon, r6, table,
+                                  tagged_doc_lines)
 from langmix.session import materialize, scratch_path
 from langmix.sources import readers, sinks
-from langmix.streaming.tagging_stream import run_tagging_stream
+from langmix.streaming.tagging_stream import METRICS, run_tagging_stream
 
 # --- Fixed values (fault injection and sizes) ---------------------------------
 BLANK_EVERY, BLANK_AT = 13, 5      # blank line after doc_id % 13 == 5
 BAD_EVERY, BAD_AT = 251, 250       # malformed line after doc_id % 251 == 250
 NUMBER_EVERY, NULL_EVERY = 5, 7    # non-string array items
 GUEST_EVERY, GUEST_AT = 5, 4       # conversations without a signed-in user
+TRUTH_EVERY = 3                    # conversations whose user turns have labels
 PREVIEW_N = 20
 # -----------------------------------------------------------------------------
 
@@ -50,8 +51,8 @@ def preview_jsonl(spark, sf):
         "doc_id", F.lit(2), F.concat(F.lit('{"doc_id": '), F.col("doc_id").cast("string"), F.lit(', "lang": ')))
     path = scratch_path(spark, "preview")
     sinks.write_text(good.union(blank).union(bad), "line", path, ["doc_id", "kind"])
-    lines = readers.read_lines(spark, path).select(F.col("global_line_no").alias("line_no"), "value")
-    pv = profile.preview(lines, PREVIEW_N)
+    lines = readers.lines_between(spark, path, 1, PREVIEW_N).select(F.col("global_line_no").alias("line_no"), "value")
+    pv = profile.preview(lines, PREVIEW_N, pretty=True)
     return pv.select("line_no", "is_bad", F.variant_get("record", "$.doc_id", "bigint").alias("doc_id"),
                      F.variant_get("record", "$.lang", "string").alias("lang"),
                      "content")
@@ -181,20 +182,31 @@ def stream_messages(spark, sf):
                                               F.concat(F.lit("u"), F.col("conv_id").cast("string"))))
 
 
+def stream_truth(spark, sf):
+    """Look-up by digest, read from a labelled file: user turns of every third
+    conversation, with the length of a token modulo 3 as its label."""
+    conv = table(spark, sf, "conversations").where((F.col("role") == "user") & (F.col("conv_id") % TRUTH_EVERY == 0))
+    labelled = conv.select("conv_id", "turn", split_ws("text").alias("tokens")).withColumn(
+        "ner_tags", F.transform("tokens", lambda x: F.length(x) % 3))
+    path = scratch_path(spark, "stream-truth")
+    sinks.write_text(labelled.select("conv_id", "turn", F.to_json(F.struct("tokens", "ner_tags")).alias("line")), "line", path,
+                     ["conv_id", "turn"])
+    return materialize(readers.load_lookup(spark, path, with_key=False).drop("seq"))
+
+
 def stream_tagging(spark, sf):
     conv = stream_messages(spark, sf)
     src = scratch_path(spark, "stream-src")
     conv.write.option("maxRecordsPerFile", 250).parquet(src)
-    docs = table(spark, sf, "documents")
-    lookup = materialize(table(spark, sf, "labels").join(docs, "doc_id")
-                         .select(lookup_key("text").alias("key")).distinct())
     sink, ckpt = scratch_path(spark, "stream-sink"), scratch_path(spark, "stream-ckpt")
     run_tagging_stream(spark, src, conv.schema, sink, ckpt, PreparedLexicon(doc_lexicon(spark, sf), LANG_TAGS),
-                       lookup, ["conv_id", "turn"], "username", "text", F.col("role") == "user", files_per_batch=2)
+                       stream_truth(spark, sf), ["conv_id", "turn"], "username", "text", F.col("role") == "user",
+                       files_per_batch=2, marks=MARKS)
     out = spark.read.schema("conv_id bigint, turn bigint, username string, reply_order int, role string, "
-                            "message string, matched boolean").parquet(f"{sink}/batch_id=*")
+                            "message string, matched boolean, metric_source string, accuracy double, precision double, "
+                            "recall double, f1 double").parquet(f"{sink}/batch_id=*")
     return out.select("conv_id", "turn", "username", F.col("reply_order").cast("long"), "role",
-                      "message", "matched")
+                      "message", "matched", "metric_source", *[r6(m).alias(m) for m in METRICS])
 
 
 QUERIES = {
@@ -234,7 +246,8 @@ SQL["preview_jsonl"] = f"""WITH l AS (
 n AS (SELECT *, row_number() OVER (ORDER BY doc_id, kind) AS line_no FROM l)
 SELECT line_no::BIGINT AS line_no, kind <> 0 AS is_bad, CASE WHEN kind = 0 THEN doc_id END AS doc_id,
        CASE WHEN kind = 0 THEN lang END AS lang,
-       CASE WHEN kind = 0 THEN replace(replace(line, ': ', ':'), ', ', ',') ELSE trim(line) END AS content
+       CASE WHEN kind = 0 THEN replace(replace(replace(line, '{{', '{{' || chr(10) || '  '), ', ', ',' || chr(10) || '  '),
+         '}}', chr(10) || '}}') ELSE trim(line) END AS content
 FROM n WHERE line_no <= {PREVIEW_N}"""
 
 SQL["append_report"] = "SELECT role, count(*)::BIGINT AS n, max(turn) AS last_turn FROM conversations GROUP BY role"
@@ -290,13 +303,25 @@ tk AS (SELECT conv_id, turn, generate_subscripts(toks, 1) - 1 AS pos, unnest(tok
 tg AS (SELECT tk.*, coalesce({_LANG_ID}, 0) AS tag FROM tk LEFT JOIN lexicon l ON lower(tk.token) = l.token),
 agg AS (SELECT conv_id, turn, list(token ORDER BY pos) AS tokens, list(tag ORDER BY pos) AS tags
         FROM tg GROUP BY conv_id, turn),
-truth AS (SELECT DISTINCT {O.normalize(f"array_to_string({O.split_ws('d.text')}, ' ')")} AS key
-          FROM labels JOIN documents d USING (doc_id)),
-rep AS (SELECT m.conv_id, m.turn, m.username, m.text, t.key IS NOT NULL AS matched,
-          coalesce(trim(array_to_string(list_transform(a.tokens, lambda x, i:
-            CASE a.tags[i] WHEN 1 THEN '<span class=''tok-ms''>' || x || '(MS)</span>'
-                           WHEN 2 THEN '<span class=''tok-en''>' || x || '(EN)</span>' ELSE x END), ' ')), '') AS reply
-        FROM msgs m LEFT JOIN agg a USING (conv_id, turn) LEFT JOIN truth t ON t.key = m.norm)
-SELECT conv_id, turn, username, 0::BIGINT AS reply_order, 'user' AS role, text AS message, matched FROM rep
+shares AS (SELECT conv_id, turn, avg(CASE WHEN tag <> 0 THEN l.n / l.total END) AS share
+           FROM tg LEFT JOIN lexicon l ON lower(tg.token) = l.token GROUP BY conv_id, turn),
+given AS (SELECT conv_id, turn, {O.split_ws('text')} AS toks FROM conversations
+          WHERE role = 'user' AND conv_id % {TRUTH_EVERY} = 0),
+truth AS (SELECT {O.normalize("array_to_string(toks, ' ')")} AS key,
+            arg_max(list_transform(toks, lambda x: length(x) % 3), (conv_id, turn)) AS truth FROM given GROUP BY key),
+rep AS (SELECT m.conv_id, m.turn, m.username, m.text, t.key IS NOT NULL AS matched, t.truth, a.tags,
+          coalesce(share, 0.8) AS share, coalesce({O.marked('a.tokens', 'a.tags')}, '') AS reply
+        FROM msgs m LEFT JOIN agg a USING (conv_id, turn) LEFT JOIN shares USING (conv_id, turn)
+        LEFT JOIN truth t ON t.key = m.norm),
+pairs AS (SELECT conv_id, turn, unnest(truth[:least(len(truth), len(tags))]) AS y_true,
+            unnest(tags[:least(len(truth), len(tags))]) AS y_pred FROM rep WHERE matched),
+counted AS (SELECT conv_id, turn, {O.COUNTS_SELECT} FROM pairs GROUP BY conv_id, turn),
+real AS (SELECT conv_id, turn, {O.prf_select('weighted')} FROM counted),
+proxy AS (SELECT conv_id, turn, {O.proxy_cols('share')} FROM rep WHERE NOT matched),
+m AS (SELECT conv_id, turn, accuracy, precision, recall, f1 FROM real UNION ALL SELECT * FROM proxy),
+x AS (SELECT rep.*, CASE WHEN matched THEN 'truth' ELSE 'proxy' END AS metric_source, m.accuracy, m.precision, m.recall, m.f1
+      FROM rep LEFT JOIN m USING (conv_id, turn))
+SELECT conv_id, turn, username, 0::BIGINT AS reply_order, 'user' AS role, text AS message, matched, metric_source,
+  accuracy, precision, recall, f1 FROM x
 UNION ALL
-SELECT conv_id, turn, username, 1::BIGINT, 'assistant', reply, matched FROM rep"""
+SELECT conv_id, turn, username, 1::BIGINT, 'assistant', reply, matched, metric_source, accuracy, precision, recall, f1 FROM x"""

@@ -146,13 +146,13 @@ def prf_select(average: str, rounded: bool = True) -> str:
 
 
 FIRST_WORD_CTE = f"""{SCORED_CTE},
-sa AS (SELECT *, CASE WHEN pos = 0 THEN NULL ELSE (pos - 1) // 2 END AS w FROM scored WHERE model = 'A'),
-nn AS (SELECT *, lag(w) OVER (PARTITION BY sentence_id ORDER BY pos) AS prev FROM sa WHERE w IS NOT NULL),
+sa AS (SELECT *, CASE WHEN pos = 0 THEN NULL ELSE (pos - 1) // 2 END AS w FROM scored),
+nn AS (SELECT *, lag(w) OVER (PARTITION BY model, sentence_id ORDER BY pos) AS prev FROM sa WHERE w IS NOT NULL),
 fw AS (SELECT * FROM nn WHERE prev IS DISTINCT FROM w),
 conf AS (
-  SELECT s.sentence_id, count(fw.w)::BIGINT AS n_words, coalesce(avg(fw.conf), 0.8) AS mean_conf
-  FROM (SELECT DISTINCT sentence_id FROM sa) s LEFT JOIN fw USING (sentence_id)
-  GROUP BY s.sentence_id)"""
+  SELECT s.model, s.sentence_id, count(fw.w)::BIGINT AS n_words, coalesce(avg(fw.conf), 0.8) AS mean_conf
+  FROM (SELECT DISTINCT model, sentence_id FROM sa) s LEFT JOIN fw USING (model, sentence_id)
+  GROUP BY s.model, s.sentence_id)"""
 
 
 def proxy_cols(p: str) -> str:
@@ -307,15 +307,15 @@ SELECT c_custkey, c_mktsegment FROM customer c
 WHERE EXISTS (SELECT 1 FROM inc i WHERE i.c_custkey = c.c_custkey AND i.c_mktsegment = c.c_mktsegment)"""
 
 SQL["softmax_argmax"] = f"""WITH {SCORED_CTE}
-SELECT vec_id, {r6('ex[1] / list_sum(ex)')} AS p0, {r6('ex[2] / list_sum(ex)')} AS p1,
+SELECT model, vec_id, {r6('ex[1] / list_sum(ex)')} AS p0, {r6('ex[2] / list_sum(ex)')} AS p1,
        {r6('ex[3] / list_sum(ex)')} AS p2, y_pred::BIGINT AS y_pred, {r6('conf')} AS conf
-FROM scored WHERE model = 'A'"""
+FROM scored"""
 
 SQL["confidence_mean"] = f"""WITH {FIRST_WORD_CTE}
-SELECT sentence_id, n_words, {r6('mean_conf')} AS mean_conf FROM conf"""
+SELECT model, sentence_id, n_words, {r6('mean_conf')} AS mean_conf FROM conf"""
 
 SQL["confidence_proxy"] = f"""WITH {FIRST_WORD_CTE}
-SELECT sentence_id, {r6('mean_conf')} AS mean_conf, {proxy_cols('mean_conf')} FROM conf"""
+SELECT model, sentence_id, {r6('mean_conf')} AS mean_conf, {proxy_cols('mean_conf')} FROM conf"""
 
 SQL["confusion_matrix"] = f"""WITH {SCORED_CTE},
 grid AS (SELECT m.model, t.y AS y_true, p.y AS y_pred
@@ -377,18 +377,18 @@ SELECT model, arg_min(step, (-f1, step))::BIGINT AS best_step, max(f1) AS best_f
 
 SQL["metric_select"] = f"""WITH {FIRST_WORD_CTE},
 sent_counts AS (
-  SELECT model, sentence_id, {COUNTS_SELECT} FROM scored WHERE y_true <> -100 AND model = 'A'
+  SELECT model, sentence_id, {COUNTS_SELECT} FROM scored WHERE y_true <> -100
   GROUP BY model, sentence_id),
-w AS (SELECT sentence_id, accuracy AS acc_raw, precision AS p_raw, recall AS r_raw, f1 AS f_raw FROM (
-  SELECT sentence_id, {prf_select('weighted', rounded=False)} FROM sent_counts)),
+w AS (SELECT model, sentence_id, accuracy AS acc_raw, precision AS p_raw, recall AS r_raw, f1 AS f_raw FROM (
+  SELECT model, sentence_id, {prf_select('weighted', rounded=False)} FROM sent_counts)),
 t AS (SELECT DISTINCT doc_id AS sentence_id FROM labels)
-SELECT c.sentence_id,
+SELECT c.model, c.sentence_id,
   CASE WHEN t.sentence_id IS NOT NULL THEN '{C.MATCHED}' ELSE '{C.FALLBACK}' END AS metric_source,
   CASE WHEN t.sentence_id IS NOT NULL THEN {r6('w.acc_raw')} ELSE {r6('greatest(0.0, least(c.mean_conf, 1.0))')} END AS accuracy,
   CASE WHEN t.sentence_id IS NOT NULL THEN {r6('w.p_raw')} ELSE {r6('greatest(0.0, least(greatest(0.0, least(c.mean_conf, 1.0)) * 0.985, 1.0))')} END AS precision,
   CASE WHEN t.sentence_id IS NOT NULL THEN {r6('w.r_raw')} ELSE {r6('greatest(0.0, least(greatest(0.0, least(c.mean_conf, 1.0)) * 0.972, 1.0))')} END AS recall,
   CASE WHEN t.sentence_id IS NOT NULL THEN {r6('w.f_raw')} ELSE {r6('greatest(0.0, least(2 * greatest(0.0, least(c.mean_conf, 1.0)) * 0.978 / (greatest(0.0, least(c.mean_conf, 1.0)) + 0.978), 1.0))')} END AS f1
-FROM conf c LEFT JOIN t USING (sentence_id) LEFT JOIN w USING (sentence_id)"""
+FROM conf c LEFT JOIN t USING (sentence_id) LEFT JOIN w USING (model, sentence_id)"""
 
 # --------------------------------------------------------------- tagging -----
 
@@ -411,6 +411,13 @@ tagged AS (SELECT doc_id, line_no, source, list(token ORDER BY pos) AS tokens, l
            FROM tagged_tok GROUP BY doc_id, line_no, source)"""
 
 
+def marked(tokens: str, tags: str) -> str:
+    """Rendered text of the tagged tokens."""
+    cases = " ".join(f"WHEN {k} THEN '{v.split('{t}')[0]}' || t || '{v.split('{t}')[1]}'" for k, v in C.MARKS.items())
+    return f"""trim(array_to_string(list_transform({tokens}, lambda t, i:
+  CASE {tags}[i] {cases} ELSE t END), ' '))"""
+
+
 def joined(x: str) -> str:
     return f"array_to_string(list_transform({x}, lambda v: coalesce(v::VARCHAR, 'N')), ' ')"
 
@@ -466,10 +473,7 @@ SELECT doc_id, line_no, {joined('list_transform(ps, lambda p: p.token)')} AS tok
 FROM pairs"""
 
 SQL["annotate_text"] = f"""WITH {TAG_CTES}
-SELECT doc_id, line_no, trim(array_to_string(list_transform(tokens, lambda t, i:
-  CASE tags[i] WHEN 1 THEN '<span class=''tok-ms''>' || t || '(MS)</span>'
-               WHEN 2 THEN '<span class=''tok-en''>' || t || '(EN)</span>' ELSE t END), ' ')) AS annotated
-FROM tagged"""
+SELECT doc_id, line_no, {marked('tokens', 'tags')} AS annotated FROM tagged"""
 
 _WORDS = "flatten(list_transform(tokens, lambda t, i: list_transform(range(greatest(ceil(length(t) / 4), 1)::BIGINT), lambda j: i - 1)))"
 _ROOM = 510   # positions of a window between its two special ones
@@ -526,5 +530,5 @@ SELECT doc_id, line_no, window_no, sub_pos::BIGINT AS sub_pos, y::BIGINT AS y_tr
   (list_position(l, list_max(l)) - 1)::BIGINT AS y_pred, {r6('list_max(e) / list_sum(e)')} AS conf FROM ex"""
 
 SQL["sequence_confidence"] = f"""WITH {SCORED_CTE}
-SELECT sentence_id, count(*)::BIGINT AS n_steps, {r6('avg(conf)')} AS mean_conf
-FROM scored WHERE model = 'B' GROUP BY sentence_id"""
+SELECT model, sentence_id, count(*)::BIGINT AS n_steps, {r6('avg(conf)')} AS mean_conf
+FROM scored GROUP BY model, sentence_id"""

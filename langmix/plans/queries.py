@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from langmix.functions import labels as L
 from langmix.functions.text import normalize_text, prompt, strip_ws
-from langmix.operators import cleaning, corpus, keyed, metrics, sampling, scoring
+from langmix.operators import cleaning, corpus, keyed, lookup, metrics, sampling, scoring
 from langmix.operators.align import first_subwords
 from langmix.operators.ordering import global_rank
-from langmix.plans.common import (EVAL_K, EVAL_SEED, FALLBACK, KEEP_LANGS, LANG_TAGS,
+from langmix.plans.common import (EVAL_K, EVAL_SEED, FALLBACK, KEEP_LANGS, LANG_TAGS, MARKS,
                                   HISTORY_USER, MATCHED, MODELS, PREFIX_K, PREFIX_LIMITS, SAMPLE_CAP,
                                   SAMPLE_FRACTION, SEED,
                                   STEP_SIZE, clean_doc_lines, corpus_sources, doc_lines, lookup_key,
@@ -138,14 +138,11 @@ def zip_join(spark, sf):
 
 def lookup_last_wins(spark, sf):
     docs = table(spark, sf, "documents")
-    truth = (table(spark, sf, "labels").join(docs, "doc_id")
-             .select(lookup_key("text").alias("key"), F.col("doc_id").alias("seq"), "quality", "toxic"))
-    # last wins per key; numeric-only buffers keep this a hash aggregation
-    last = truth.groupBy("key").agg(F.max("seq").alias("truth_seq"),
-                                    F.max_by("quality", "seq").alias("quality"),
-                                    F.max_by("toxic", "seq").alias("toxic"))
-    req = docs.select("doc_id", normalize_text("text").alias("key"))
-    j = req.join(last, "key", "left")
+    # texts become digests before anything moves; numeric-only buffers keep last-wins a hash aggregation
+    keyed = lookup.with_digest(docs.select("doc_id", lookup_key("text").alias("key")), "key").drop("key")
+    truth = table(spark, sf, "labels").join(keyed, "doc_id").select("hi", "lo", F.col("doc_id").alias("truth_seq"), "quality", "toxic")
+    last = lookup.last_of(truth, "truth_seq", ["quality", "toxic"])
+    j = lookup.look_up(docs.select("doc_id", normalize_text("text").alias("key")), "key", last, ["truth_seq", "quality", "toxic"])
     return j.select("doc_id", F.col("truth_seq").isNotNull().alias("matched"), "truth_seq",
                     F.col("quality").cast("long").alias("quality"), F.col("toxic").cast("long").alias("toxic"))
 
@@ -198,30 +195,31 @@ def rows_exist(spark, sf):
 
 
 def softmax_argmax(spark, sf):
-    s = scored_tokens(spark, sf).where(F.col("model") == MODELS[0])
+    s = scored_tokens(spark, sf)
     from langmix.functions.arrays import softmax
     p = softmax("logits")
-    return s.select("vec_id", *[r6(F.get(p, i)).alias(f"p{i}") for i in range(3)],
+    return s.select("model", "vec_id", *[r6(F.get(p, i)).alias(f"p{i}") for i in range(3)],
                     F.col("y_pred").cast("long"), r6("conf").alias("conf"))
 
 
 def _first_word_conf(spark, sf):
-    s = scored_tokens(spark, sf).where(F.col("model") == MODELS[0])
+    s = scored_tokens(spark, sf)
     s = s.withColumn("word_idx", F.when(F.col("pos") == 0, F.lit(None))
                      .otherwise(F.expr("(pos - 1) div 2")))
-    words = first_subwords(s, ["sentence_id"], "pos", "word_idx")
-    return s, scoring.mean_confidence(words, s.select("sentence_id").distinct(), ["sentence_id"])
+    keys = ["model", "sentence_id"]
+    words = first_subwords(s, keys, "pos", "word_idx")
+    return s, scoring.mean_confidence(words, s.select(*keys).distinct(), keys)
 
 
 def confidence_mean(spark, sf):
     _, m = _first_word_conf(spark, sf)
-    return m.select("sentence_id", "n_words", r6("mean_conf").alias("mean_conf"))
+    return m.select("model", "sentence_id", "n_words", r6("mean_conf").alias("mean_conf"))
 
 
 def confidence_proxy(spark, sf):
     _, m = _first_word_conf(spark, sf)
     p = scoring.confidence_proxy("mean_conf")
-    return m.select("sentence_id", r6("mean_conf").alias("mean_conf"),
+    return m.select("model", "sentence_id", r6("mean_conf").alias("mean_conf"),
                     *[r6(p[k]).alias(k) for k in ("accuracy", "precision", "recall", "f1")])
 
 
@@ -289,14 +287,14 @@ def best_by_metric(spark, sf):
 
 def metric_select(spark, sf):
     _, conf = _first_word_conf(spark, sf)
-    w = _sentence_weighted(spark, sf).where(F.col("model") == MODELS[0])
+    w = _sentence_weighted(spark, sf)
     has_truth = table(spark, sf, "labels").select(F.col("doc_id").alias("sentence_id")).distinct()
     j = (conf.join(has_truth.withColumn("_t", F.lit(True)), "sentence_id", "left")
-         .join(w.drop("model", "n_tokens", "n_null_truth"), "sentence_id", "left"))
+         .join(w.drop("n_tokens", "n_null_truth"), ["model", "sentence_id"], "left"))
     proxy = scoring.confidence_proxy("mean_conf")
     matched = F.coalesce(F.col("_t"), F.lit(False))
     return j.select(
-        "sentence_id",
+        "model", "sentence_id",
         F.when(matched, F.lit(MATCHED)).otherwise(F.lit(FALLBACK)).alias("metric_source"),
         *[r6(F.when(matched, F.col(k)).otherwise(proxy[k])).alias(k)
           for k in ("accuracy", "precision", "recall", "f1")])
@@ -411,7 +409,7 @@ def parse_tagged(spark, sf):
 
 def annotate_text(spark, sf):
     t = tagged_doc_lines(spark, sf)
-    return t.select("doc_id", "line_no", L.annotate("tokens", "ner_tags", html=True).alias("annotated"))
+    return t.select("doc_id", "line_no", L.annotate("tokens", "ner_tags", MARKS).alias("annotated"))
 
 
 ALIGNED = {"word_ids": (None, None), "labels": (L.IGNORE_INDEX, L.IGNORE_INDEX)}
@@ -497,9 +495,9 @@ QUERIES.update({
 
 
 def sequence_confidence(spark, sf):
-    s = scored_tokens(spark, sf).where(F.col("model") == MODELS[1])
-    c = scoring.sequence_confidence(s, s.select("sentence_id").distinct(), ["sentence_id"])
-    return c.select("sentence_id", F.col("n_words").alias("n_steps"), r6("mean_conf").alias("mean_conf"))
+    s = scored_tokens(spark, sf)
+    c = scoring.sequence_confidence(s, s.select("model", "sentence_id").distinct(), ["model", "sentence_id"])
+    return c.select("model", "sentence_id", F.col("n_words").alias("n_steps"), r6("mean_conf").alias("mean_conf"))
 
 
 QUERIES["sequence_confidence"] = sequence_confidence

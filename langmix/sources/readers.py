@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from langmix.functions.text import normalize_text, strip_ws
+from langmix.operators import lookup
+from langmix.operators.ordering import global_rank
+from langmix.session import materialize
+from langmix.sources.commit import fingerprint, listing, read_manifest, write_manifest
 
 # --- Fixed values -----------------------------------------------------------
 LABELLED_SCHEMA = "tokens array<string>, ner_tags array<int>"
@@ -34,7 +38,43 @@ def require_nonempty(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+_INDEX = "file string, n bigint, first bigint"
+
+
+def line_index(spark: SparkSession, path: str) -> DataFrame:
+    """(file, n, first): the lines of every file and the number of its first
+    one over all files, by path. Counted once and kept next to the data
+    (``_lines``, which Spark's readers skip); counted again only when the
+    listing of the files (names, sizes, times of change) is another."""
+    kept, marker = f"{path.rstrip('/')}/_lines", f"{path.rstrip('/')}/_lines.json"
+    now = fingerprint(listing(spark, path))
+    known = read_manifest(spark, marker)
+    if not known or known["fingerprint"] != now:
+        counts = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+        ranked = materialize(global_rank(counts, ["file"], "_r").withColumn("_p", F.floor((F.col("_r") - 1) / 1024)))
+        before = ranked.groupBy("_p").agg(F.sum("n").alias("_s")).select("_p", F.coalesce(F.sum("_s").over(
+            Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a 1,024 files
+        inside = Window.partitionBy("_p").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+        first = F.col("_before") + F.coalesce(F.sum("n").over(inside), F.lit(0)) + 1
+        ranked.join(before, "_p").select("file", "n", first.alias("first")).write.mode("overwrite").parquet(kept)
+        write_manifest(spark, marker, {"fingerprint": now})
+    return spark.read.schema(_INDEX).parquet(kept)
+
+
+def lines_between(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """(file, global_line_no, value) of the lines ``first`` to ``last`` of all
+    files together (1-based, files by path). Only the files in which they lie
+    are read, as the index tells."""
+    index = line_index(spark, path).where((F.col("first") <= last) & (F.col("first") + F.col("n") > first))
+    wanted = index.select("file", (F.col("first") - 1).alias("_before")).limit(last - first + 1).collect()  # a file a line at most
+    if not wanted:
+        return spark.createDataFrame([], "file string, global_line_no bigint, value string")
+    rows = read_lines(spark, [r["file"] for r in wanted])   # files by path, so the first one's offset is all that is missing
+    return rows.select("file", (F.col("global_line_no") + min(r["_before"] for r in wanted)).alias("global_line_no"), "value") \
+        .where(F.col("global_line_no").between(first, last))
+
+
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Text lines with 1-based numbers: ``(file, line_no, file_rank,
     global_line_no, value)``. Line breaks are ``\\n``, ``\\r`` and ``\\r\\n``.
 
@@ -91,13 +131,15 @@ def line_faults(judged: DataFrame) -> DataFrame:
                                       F.count_if("is_blank").alias("n_blank"), F.count_if("is_bad").alias("n_bad"))
 
 
-def load_lookup(spark: SparkSession, path: str, on_bad: str = "skip") -> DataFrame:
-    """Ground-truth lookup ``(key, ner_tags, seq)``: blank lines skipped;
+def load_lookup(spark: SparkSession, path: str, on_bad: str = "skip", with_key: bool = True) -> DataFrame:
+    """Ground-truth lookup ``(key, ner_tags, seq)``, or without the text of the
+    key ``(hi, lo, ner_tags, seq)`` for a join on its digest, which moves no
+    text: blank lines skipped;
     ``on_bad='skip'`` drops malformed lines only (:func:`line_faults` counts
     them), ``'fail'`` refuses a file with any, ``'stop'`` keeps what stands
     before the first one; key = normalized space-joined tokens; the last
     line wins per key; a missing file gives an empty lookup."""
-    schema = "key string, ner_tags array<int>, seq bigint"
+    schema = f"{'key string' if with_key else 'hi bigint, lo bigint'}, ner_tags array<int>, seq bigint"
     if on_bad not in ("skip", "fail", "stop"):
         raise ValueError(on_bad)
     if not path_exists(spark, path):
@@ -112,8 +154,8 @@ def load_lookup(spark: SparkSession, path: str, on_bad: str = "skip") -> DataFra
     good = lines.where("NOT is_bad").select(F.col("record").alias("r"), F.col("global_line_no").alias("seq"))
     keyed = good.select(normalize_text(F.array_join("r.tokens", " ")).alias("key"),
                         F.col("r.ner_tags").alias("ner_tags"), "seq")
-    last = keyed.groupBy("key").agg(F.max_by(F.struct("ner_tags", "seq"), "seq").alias("v"))
-    return last.select("key", F.col("v.ner_tags").alias("ner_tags"), F.col("v.seq").alias("seq"))
+    found = lookup.last_wins(keyed, "key", "seq", ["ner_tags", *(["key"] if with_key else [])])
+    return found.select(*(["key"] if with_key else ["hi", "lo"]), "ner_tags", "seq")
 
 
 def _parsed_json(docs: DataFrame, value_col: str, schema: str, keys: list[str], on_bad: str) -> DataFrame:
