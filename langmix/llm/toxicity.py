@@ -1,34 +1,41 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Tokens (runs of letters, lower-cased) have the log-odds of toxic against other
-labelled texts under a Dirichlet prior in proportion to the tokens' overall
-frequency; only tokens whose log-odds are at least ``MIN_Z`` standard errors
-from 0 keep them. A token counts once a text, and copies count as one text:
-of texts with the same label and smallest shingle hash one is learned from. Every token pays a small ``DRIFT``, so scores fall in
-ordinary text. One linear scan finds all maximal-scoring segments of a text.
-By the extreme-value law of such segments, n tokens hold a segment of score S
-or more with probability 1 - exp(-K n exp(-lambda S)): lambda follows from the
-token scores, K is fitted on texts that aren't toxic. Segments with an expected
-count below ``MAX_EXPECTED`` are significant. A text's evidence adds up the
-normalized scores lambda S - ln(K n) of its significant segments (the best
-segment's alone, if none is), and a logistic fit on the labels turns evidence
-into a probability.
+Tokens (runs of letters, lower-cased) and their beginnings have the log-odds of
+toxic against other labelled texts under a Dirichlet prior in proportion to the
+tokens' overall frequency. Only log-odds at least ``MIN_Z`` standard errors
+from 0, for or against, are kept; a token has those of the longest of itself
+and its beginnings that kept some, else 0. A token counts once a text, and
+copies count as one text: those of one label with the same token sequence.
+Every token pays a small ``DRIFT``, so scores fall in ordinary text. One linear
+scan finds all maximal-scoring segments of a text. By the extreme-value law of
+such segments, n tokens hold a segment of score S or more with probability
+1 - exp(-K n exp(-lambda S)): lambda follows from the token scores, K is fitted
+on texts that aren't toxic. Segments with an expected count below
+``MAX_EXPECTED`` are significant. A text's evidence adds up the normalized
+scores lambda S - ln(K n) of its significant segments (the best segment's
+alone, if none is), and a logistic fit on the labels, in which both weigh the
+same, turns evidence into a probability.
 
 The model learns from at most about ``TRAIN_PER_CLASS`` texts of each label.
-Null and empty texts have no segment and get the probability of no evidence.
-Rows without a label or a text aren't learned from; without both labels the
-share of toxic ones (or 0) is the score. Repeated rows are scored each."""
+Null and empty texts have no segment and evidence 0; a text with tokens but
+without a segment has -ln(K n) or 0, whichever is less, so the longer of two
+clean texts is the cleaner, and an empty one tells nothing. Rows without a label
+or a text aren't learned from; without both labels the share of toxic ones (or
+0) is the score. Of segments with equal sums the one that ends first is found
+first; no sum depends on it. Repeated rows are scored each. Kept columns named
+like the operator's give way to them. Empty tables give no rows."""
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-import zlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from langmix.llm.common import fold, labelled_sample, land, table
+from langmix.llm.worker import slices, tidy
 from langmix.session import ship_package
 
 TRAIN_PER_CLASS = 8000
@@ -126,18 +133,15 @@ class Model:
         return 1 / (1 + math.exp(-x))
 
 
-def _sketch(batches):
-    """The smallest hash of a text's runs of five tokens, which copies share."""
+def _digests(batches):
+    """A digest of a text's whole token sequence, which copies share."""
     import pyarrow as pa
 
     for batch in batches:
-        out = []
-        for text in batch.column("text"):
-            w = tokens(text.as_py())
-            out.append(min((zlib.crc32(" ".join(w[i:i + 5]).encode("utf-8", "replace"))
-                            for i in range(max(1, len(w) - 4)))))
+        out = [hashlib.blake2b(" ".join(tokens(x.as_py())).encode("utf-8", "replace"), digest_size=16).digest()
+               for x in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("label").cast(pa.int32()),
-                                          pa.array(out, pa.int64())], names=["text", "label", "sketch"])
+                                          pa.array(out, pa.binary())], names=["text", "label", "digest"])
 
 
 def _counts(batches):
@@ -168,15 +172,17 @@ def _solve_lambda(scores: list[tuple[float, float]]) -> float:
 
 
 def _logistic(xs: list[float], ys: list[int]) -> tuple[float, float]:
-    """Slope and intercept of a logistic fit by Newton steps, lightly ridged."""
+    """Slope and intercept of a logistic fit by Newton steps, lightly ridged.
+    Both labels weigh the same, however many of each there are."""
     import numpy as np
 
     x = np.stack([np.array(xs), np.ones(len(xs))], 1)
     y, w = np.array(ys, float), np.zeros(2)
+    each = np.where(y > 0, len(y) / max(1.0, 2 * y.sum()), len(y) / max(1.0, 2 * (1 - y).sum()))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + 1e-3 * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), grad)
+        grad = x.T @ (each * (p - y)) + 1e-3 * w
+        step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), grad)
         w = w - np.clip(step, -2, 2)
     return float(w[0]), float(w[1])
 
@@ -187,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     ship_package(spark)
     given = labels.select(F.col(f"`{id_col}`"), (F.col(f"`{label_col}`") > 0).cast("int").alias("label"))
     some = labelled_sample(docs, given, "label", per_class, SEED, id_col, text_col).select("text", "label")
-    sample = land(some.mapInArrow(_sketch, "text string, label int, sketch bigint").groupBy("label", "sketch")
+    sample = land(some.mapInArrow(_digests, "text string, label int, digest binary").groupBy("label", "digest")
                   .agg(F.min("text").alias("text")).select("text", "label"), "toxicity-sample")
     classes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(classes) < 2:
@@ -201,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     yt, yo, weight = F.col("toxic") + PRIOR * both, F.col("other") + PRIOR * both, PRIOR * (t + o)
     delta = F.log(yt / (t + weight - yt)) - F.log(yo / (o + weight - yo))
     kept = counts.select("token", delta.alias("d"), (delta / F.sqrt(1 / yt + 1 / yo)).alias("z"),
-                         (yo / (o + weight)).alias("p")).where(F.col("z") >= MIN_Z).collect()  # of a bounded sample
+                         (yo / (o + weight)).alias("p")).where(F.abs("z") >= MIN_Z).collect()  # of a bounded sample
     model = Model({r["token"]: r["d"] for r in kept})
     if not any(r["d"] > DRIFT for r in kept):
         share = classes[1] / sum(classes.values())
@@ -234,6 +240,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
+    keep = tuple(c for c in keep if c.lower() not in ("evidence", "probability", "passages"))
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text"))
     span = "passages array<struct<start: int, end: int, score: double, expected: double>>"
 
@@ -243,8 +250,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
         m = shared.value
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()),
                                    ("expected", pa.float64())]))
-        for batch in batches:
-            got = [m.evidence(*m.find(x.as_py())) for x in batch.column("_text")]
+        for batch in slices(batches):
+            got = [m.evidence(*m.find(x.as_py())) for x in batch.column(len(keep))]
             cols = [pa.array([e for e, _ in got], pa.float64()),
                     pa.array([m.probability(e) for e, _ in got], pa.float64()),
                     pa.array([[dict(zip(("start", "end", "score", "expected"), s)) for s in found] for _, found in got],
@@ -254,7 +261,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
 
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
                        + ["evidence double", "probability double", span])
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def op8_toxic_segments(spark, sf_dir):
