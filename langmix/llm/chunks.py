@@ -3,14 +3,20 @@
 An operator over all word windows of a corpus would shuffle one row per
 window. Instead the input is landed once as chunks (about ``CHUNK_BYTES`` of
 text: whole rows as compressed Arrow data, all columns of any name), in a table
-bucketed by chunk. A chunk sends each distinct hash once, packed by hash
-bucket; a bucket answers every chunk in the order asked. Answers join the chunk
-table without moving it, and the chunk is worked through again, which gives the
-same hashes in the same order. A frequent window costs one entry a chunk."""
+bucketed by chunk, one file of about ``FILE_BYTES`` of text a bucket. A chunk
+sends each distinct hash once, packed by hash bucket; a bucket answers every
+chunk in the order asked. Answers join the chunk table without moving it, and
+the chunk is worked through again, which gives the same hashes in the same
+order. A frequent window costs one entry a chunk.
+
+Only buckets that hold a hash are visited, so a chunk's time doesn't depend on
+their number; how many rows it sends does, up to one a hash where there are
+more buckets than hashes in a chunk."""
 
 from __future__ import annotations
 
 import uuid
+from collections import namedtuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +28,11 @@ CHUNK_BYTES = 1 << 20
 BUCKET_BYTES = 4 << 20    # text per hash bucket, about
 MIN_BUCKETS = 64
 MAX_BUCKETS = 1 << 24
+FILE_BYTES = 32 << 20     # text per file of the chunk table, about
+FILES = (8, 100_000)      # at least and at most (Spark's own bound on buckets)
+
+#: the chunk table, the number of hash buckets, the folder of its files
+Store = namedtuple("Store", "table buckets path")
 
 
 def _slices(batch, place: int):
@@ -52,45 +63,60 @@ def load(data):
     return pa.ipc.open_stream(data.as_buffer() if hasattr(data, "as_buffer") else data).read_next_batch()
 
 
-def pack(docs: DataFrame, text_col: str) -> tuple[DataFrame, int]:
-    """(chunk table: ``chunk``, ``data``; number of hash buckets, a power of two)."""
+def pack(docs: DataFrame, text_col: str) -> Store:
+    """The rows as a chunk table (``chunk``, ``data``). It has no entry in the
+    catalog any more when this returns; its files go with :func:`drop`."""
     spark = docs.sparkSession
     ship_package(spark)
     place = docs.columns.index(text_col)
 
     def run(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in _slices(batch, place):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk], pa.int64()), pa.array([pc.sum(pc.binary_length(part.column(place))).as_py() or 0],
-                                                             pa.int64()), pa.array([dump(part)], pa.binary())],
-                    names=["chunk", "bytes", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([dump(part)], pa.binary())],
+                                                 names=["chunk", "data"])
                 chunk += 1
 
-    name = f"chunks_{uuid.uuid4().hex}"
-    (docs.mapInArrow(tidy(run), "chunk bigint, bytes bigint, data binary").write
-         .bucketBy(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "chunk")
-         .option("path", scratch_path(spark, "chunks")).option("parquet.block.size", 32 << 20).saveAsTable(name))
-    table = spark.table(name)
-    size = table.agg(F.sum("bytes")).first()[0] or 0
+    name, path = f"chunks_{uuid.uuid4().hex}", scratch_path(spark, "chunks")
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
+    files = min(FILES[1], max(FILES[0], -(-size // FILE_BYTES)))
+    (docs.mapInArrow(tidy(run), "chunk bigint, data binary").repartition(files, "chunk").write.bucketBy(files, "chunk")
+         .option("path", path).option("parquet.block.size", 32 << 20).saveAsTable(name))
+    table = spark.table(name).select("chunk", "data")
+    spark.sql(f"DROP TABLE {name}")   # the plan keeps files and buckets; external files stay
     buckets = MIN_BUCKETS
     while buckets < MAX_BUCKETS and buckets * BUCKET_BYTES < size:
         buckets *= 2
-    return table.select("chunk", "data"), buckets
+    return Store(table, buckets, path)
+
+
+def drop(store: Store) -> None:
+    """Remove the files of a chunk table that no result depends on any more."""
+    spark = store.table.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store.path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def occupied(hashes, buckets: int):
+    """(buckets, by their top bits, that hold some of the sorted hashes; where each begins, and the end)."""
+    import numpy as np
+
+    top = (hashes >> np.uint64(64 - (buckets.bit_length() - 1))).astype(np.int64)
+    new = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1]))) if len(top) else np.zeros(0, np.int64)
+    return top[new].tolist(), [*new.tolist(), len(top)]
 
 
-def split(hashes, buckets: int):
-    """Bounds of the buckets (top bits) in sorted hashes."""
+def spread_answers(hashes, buckets: int, got: dict, field: str):
+    """The flags that the buckets answered, in the order of the sorted hashes; false where there is no answer."""
     import numpy as np
 
-    bits = buckets.bit_length() - 1
-    edges = np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - bits)
-    return np.concatenate(([0], np.searchsorted(hashes, edges), [len(hashes)]))
+    own, at = occupied(hashes, buckets)
+    return np.concatenate([*[flags(got[b][field] if b in got else None, at[i + 1] - at[i]) for i, b in enumerate(own)],
+                           np.zeros(0, bool)])
 
 
 def short(hashes, buckets: int):

@@ -411,7 +411,7 @@ def _rows_with_leaks(kept: int):
 def _join_seeds(src: DataFrame, items: DataFrame, text: int, kept: int, schema: str, coverage: float, k: int,
                 block_bytes: int) -> DataFrame:
     spark = src.sparkSession
-    packed, _ = chunks.pack(src, src.columns[text])
+    packed, *_ = chunks.pack(src, src.columns[text])
     counts = packed.mapInArrow(tidy(_count_seeds(text, k)), "slice int, counts array<bigint>") \
         .select("slice", F.posexplode("counts").alias("place", "n")).groupBy("slice", "place").agg(F.sum("n").alias("n"))
     total = bytearray(8 << SKETCH_BITS)   # a row a counter, whatever the documents

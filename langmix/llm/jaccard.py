@@ -190,13 +190,13 @@ def _ask(text: int, id_place: int, buckets: int, shared):
                 low = np.minimum.reduceat(own, new) if len(new) else own
                 several = np.maximum.reduceat(own, new) != low if len(new) else np.zeros(0, bool)
                 key = h[new]
-                cut, key = chunks.split(key, buckets), chunks.short(key, buckets)
-                some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
+                (some, cut), key = chunks.occupied(key, buckets), chunks.short(key, buckets)
+                parts = [slice(*x) for x in zip(cut, cut[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(some, pa.int32()), pa.array([batch.column("chunk")[i].as_py()] * len(some), pa.int64()),
-                     pa.array([key[cut[b]:cut[b + 1]].tobytes() for b in some], pa.binary()),
-                     pa.array([low[cut[b]:cut[b + 1]].tobytes() for b in some], pa.binary()),
-                     pa.array([chunks.bits(several[cut[b]:cut[b + 1]]) for b in some], pa.binary())],
+                     pa.array([key[p].tobytes() for p in parts], pa.binary()),
+                     pa.array([low[p].tobytes() for p in parts], pa.binary()),
+                     pa.array([chunks.bits(several[p]) for p in parts], pa.binary())],
                     names=["bucket", "chunk", "keys", "ids", "several"])
     return run
 
@@ -262,12 +262,13 @@ def _members(text: int, id_place: int, buckets: int, shared):
                 rows = chunks.load(batch.column("data")[i])
                 doc, h, place, (_, set_hash, at) = _prefixes(rows.column(text), reps, np.frombuffer(shared.value, np.int64))
                 new = _runs(h)
-                cut = chunks.split(h[new], buckets)
+                own, cut = chunks.occupied(h[new], buckets)
                 tree, met = np.zeros(len(new), np.int64), np.zeros(len(new), bool)
-                for b, g in got.items():
-                    hit = chunks.flags(g["hits"], cut[b + 1] - cut[b])
-                    tree[cut[b]:cut[b + 1]][hit] = np.frombuffer(g["trees"], np.int64)
-                    met[cut[b]:cut[b + 1]] = hit
+                for j, b in enumerate(own):
+                    if b in got:
+                        hit = chunks.flags(got[b]["hits"], cut[j + 1] - cut[j])
+                        tree[cut[j]:cut[j + 1]][hit] = np.frombuffer(got[b]["trees"], np.int64)
+                        met[cut[j]:cut[j + 1]] = hit
                 length = np.diff(np.concatenate((new, [len(h)])))
                 tree, met = np.repeat(tree, length), np.repeat(met, length)
                 tree, doc, place = tree[met], doc[met], place[met]
@@ -679,7 +680,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pac
     ship_package(spark)
     used = docs.columns
     text, id_place = used.index(text_col), used.index(id_col)
-    table_, buckets = packed or chunks.pack(docs, text_col)
+    table_, buckets, _ = store = packed or chunks.pack(docs, text_col)
     profile = land(table_.mapInArrow(tidy(_profile(text, id_place)), _PROFILE), "profile")
     parts = profile.where("slice IS NOT NULL").select("slice", "counts").groupBy("slice") \
         .applyInArrow(_add_slices, "slice int, counts binary").collect()   # 2 MB whatever the input
@@ -706,6 +707,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pac
         return chunks.with_answers(table_, entries, _ENTRY, "inner").mapInArrow(tidy(_with_sets(text, id_place)), _SET)
 
     found = components(links_between(members, with_sets))
+    if packed is None:
+        chunks.drop(store)   # the result comes from what was landed since
     return rows.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "chunk", "row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
@@ -728,7 +731,7 @@ def _attach(columns: list[str]):
 
 def _with_rows(packed, found: DataFrame, schema, columns: list[str]) -> DataFrame:
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields] + [f"{c} bigint" for c in columns]
-    return chunks.with_answers(packed[0], found, ["row", *columns], "inner") \
+    return chunks.with_answers(packed.table, found, ["row", *columns], "inner") \
         .mapInArrow(tidy(_attach(columns)), ", ".join(fields))
 
 

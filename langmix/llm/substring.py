@@ -59,13 +59,13 @@ def _ask_anchors(text: int, buckets: int):
 
         for chunk, rows, _ in _parts(batches):
             _, _, h, block, several = _anchors(Words(rows.column(text)))
-            at, key = chunks.split(h, buckets), chunks.short(h, buckets)
-            own = [b for b in range(buckets) if at[b] < at[b + 1]]
+            (own, at), key = chunks.occupied(h, buckets), chunks.short(h, buckets)
+            parts = [slice(*x) for x in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(own, pa.int32()), pa.array([chunk] * len(own), pa.int64()),
-                 pa.array([key[at[b]:at[b + 1]].tobytes() for b in own], pa.binary()),
-                 pa.array([chunks.bits(block[at[b]:at[b + 1]]) for b in own], pa.binary()),
-                 pa.array([chunks.bits(several[at[b]:at[b + 1]]) for b in own], pa.binary())],
+                 pa.array([key[p].tobytes() for p in parts], pa.binary()),
+                 pa.array([chunks.bits(block[p]) for p in parts], pa.binary()),
+                 pa.array([chunks.bits(several[p]) for p in parts], pa.binary())],
                 names=["bucket", "chunk", "keys", "block", "several"])
     return run
 
@@ -132,24 +132,21 @@ def _ask_repeats(text: int, id_place: int, buckets: int):
                 continue
             w = Words(rows.column(text))
             at, h, distinct, _, _ = _anchors(w)
-            cut = chunks.split(distinct, buckets)
-            known = np.concatenate([chunks.flags(got[b]["answer"] if b in got else None, cut[b + 1] - cut[b])
-                                    for b in range(buckets)])
-            hits = distinct[known]
+            hits = distinct[chunks.spread_answers(distinct, buckets, got, "answer")]
             hit = np.zeros(len(w.hash), bool)
             if len(hits):
                 hit[at] = hits[np.minimum(np.searchsorted(hits, h), len(hits) - 1)] == h
             at, h = _candidates(w, hit)
             distinct, smallest = _smallest(at, h, w, _ids(rows, id_place))
-            cut = chunks.split(distinct, buckets)
-            own = [b for b in range(buckets) if cut[b] < cut[b + 1]]
+            own, cut = chunks.occupied(distinct, buckets)
+            parts = [slice(*x) for x in zip(cut, cut[1:])]
             # the hits go along to the chunk's next turn, through a bucket number of their own, drawn from the whole
             # chunk number (its low bits are the same in all partitions)
             past = buckets + int(mix(np.array([chunk], np.uint64))[0]) % buckets
             yield pa.RecordBatch.from_arrays(
                 [pa.array([*own, past], pa.int32()), pa.array([chunk] * (len(own) + 1), pa.int64()),
-                 pa.array([*[distinct[cut[b]:cut[b + 1]].tobytes() for b in own], chunks.bits(hit)], pa.binary()),
-                 pa.array([*[smallest[cut[b]:cut[b + 1]].tobytes() for b in own], None], pa.binary())],
+                 pa.array([*[distinct[p].tobytes() for p in parts], chunks.bits(hit)], pa.binary()),
+                 pa.array([*[smallest[p].tobytes() for p in parts], None], pa.binary())],
                 names=["bucket", "chunk", "keys", "ids"])
     return run
 
@@ -212,9 +209,7 @@ def _cut(text: int, id_place: int, keep: list[int], buckets: int):
                 at, h = _candidates(w, chunks.flags(got[-1]["answer"], len(w.hash)))
                 ids = _ids(rows, id_place)
                 distinct, smallest = _smallest(at, h, w, ids)
-                cut = chunks.split(distinct, buckets)
-                earlier = np.concatenate([chunks.flags(got[b]["answer"] if b in got else None, cut[b + 1] - cut[b])
-                                          for b in range(buckets)])
+                earlier = chunks.spread_answers(distinct, buckets, got, "answer")
                 which = np.searchsorted(distinct, h)
                 at = at[earlier[which] | (ids[w.doc[at]] > smallest[which])] if len(at) else at
                 edge = np.zeros(len(w.hash) + 1, np.int64)
@@ -237,7 +232,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     used = list(dict.fromkeys([id_col, text_col, *keep]))
     src = docs.select(*[F.col(f"`{c}`") for c in used])
     text, id_place = used.index(text_col), used.index(id_col)
-    packed, buckets = chunks.pack(src, text_col)
+    packed, buckets, _ = chunks.pack(src, text_col)
     asked = packed.mapInArrow(tidy(_ask_anchors(text, buckets)), "bucket int, chunk bigint, keys binary, block binary, several binary")
     hits = asked.groupBy("bucket").applyInArrow(_answer_anchors, "chunk bigint, bucket int, answer binary")
     asked = chunks.with_answers(packed, hits, ["bucket", "answer"], "inner") \
