@@ -45,6 +45,8 @@ PIVOTS = 128            # sampled vectors around which candidates are ordered
 CLOSE = 0.8             # cosine from which two sampled vectors are one pivot
 SAMPLE = 2048           # candidates that give every query its first floor
 STATS_BYTES = 32 << 20  # block statistics in one broadcast
+QUERY_BLOCK_MOST = 1 << 15   # queries of a block have numbers in 16 bits
+FLOOR_BLOCKS = 2048     # query blocks whose floors a task remembers
 PAIRS = 1 << 17         # pairs whose vectors are gathered at once
 DENSE = 0.1             # above this share of pairs left, one matrix product is cheaper than pairs
 SEED = 31
@@ -52,7 +54,8 @@ MOST = (1 << 63) - 1      # larger scores count as this
 LARGEST = 2.0**1018      # larger scaled components count as this
 
 _BLOCKS = "block bigint, n int, dim int, kind string, ids binary, data binary, stats binary"
-_ASKED = "block bigint, q_n int, q_dim int, q_kind string, q_ids binary, q_data binary, q_floor binary"
+_ASKED = "block bigint, q_block bigint, q_n int, q_dim int, q_kind string, q_ids binary, q_data binary, q_floor binary, " \
+         "q_bound binary, q_at binary"
 _HITS = "query_id bigint, vec_id bigint, score bigint"
 
 
@@ -100,14 +103,14 @@ def directions(sample):
 
 
 def _cuts(key, size: int) -> list[int]:
-    """Where blocks begin, and the end: after ``size`` rows, or where the pivot changes and an eighth is full."""
+    """Where blocks begin, and the end: after ``size`` rows, or where the pivot changes and half is full."""
     import numpy as np
 
     out, change = [0], (np.flatnonzero(np.diff(key)) + 1).tolist()
     for at in [*change, len(key)]:
         while at - out[-1] > size:
             out.append(out[-1] + size)
-        if at - out[-1] >= size // 8 and at < len(key):
+        if at - out[-1] >= size // 2 and at < len(key):
             out.append(at)
     return [*out, len(key)] if len(key) else [0]
 
@@ -316,9 +319,11 @@ def _route(shared, sampled, k: int):
                     own = alive[:, b]
                     kind, data = _packed(q[own])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([blocks[b]], pa.int64()), pa.array([int(own.sum())], pa.int32()), pa.array([width], pa.int32()),
-                         pa.array([kind]), pa.array([ids[own].tobytes()], pa.binary()), pa.array([data], pa.binary()),
-                         pa.array([floor[own].tobytes()], pa.binary())], names=names)
+                        [pa.array([blocks[b]], pa.int64()), pa.array([row["block"]], pa.int64()),
+                         pa.array([int(own.sum())], pa.int32()), pa.array([width], pa.int32()), pa.array([kind]),
+                         *[pa.array([x], pa.binary()) for x in (ids[own].tobytes(), data, floor[own].tobytes(),
+                                                                (bound[own, b] + slack).tobytes(),
+                                                                np.flatnonzero(own).astype(np.int16).tobytes())]], names=names)
     return run
 
 
@@ -327,13 +332,28 @@ def _meet(k: int):
         import numpy as np
         import pyarrow as pa
 
+        floors: dict[int, np.ndarray] = {}   # of the query blocks met last, raised by what this task found
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
+                at = np.frombuffer(row["q_at"], np.int16)
+                known = floors.pop(row["q_block"], None)
+                if known is None:
+                    known = np.full(QUERY_BLOCK_MOST, -np.inf)
+                floors[row["q_block"]] = known
+                if len(floors) > FLOOR_BLOCKS:
+                    del floors[next(iter(floors))]
+                known[at] = np.maximum(known[at], np.frombuffer(row["q_floor"], float))
+                still = np.flatnonzero(np.frombuffer(row["q_bound"], float) > known[at])
+                if not len(still):
+                    continue
                 width = max(row["dim"], row["q_dim"])
                 q_ids, q = _unpack(row["q_n"], row["q_dim"], row["q_kind"], row["q_ids"], row["q_data"], width)
+                q_ids, q, at = q_ids[still], q[still], at[still]
                 x_ids, x = _unpack(row["n"], row["dim"], row["kind"], row["ids"], row["data"], width)
-                r, c, score = search(q, q_ids, x, x_ids, k, np.frombuffer(row["q_floor"], float))
+                r, c, score = search(q, q_ids, x, x_ids, k, known[at])
+                full = np.flatnonzero(np.bincount(r, minlength=len(q)) == k)
+                known[at[full]] = np.maximum(known[at[full]], score[np.searchsorted(r, full, "right") - 1])
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[r]), pa.array(x_ids[c]), pa.array(score)],
                                                  names=["query_id", "vec_id", "score"])
     return run
