@@ -34,6 +34,10 @@ BLOCK_CELLS = 1 << 18   # bytes of pieces merged at once
 BLOCK_ROWS = 512        # rows handed on at once
 BLOCK_CHARS = 1 << 20   # characters of text encoded at once, or one text
 
+#: split patterns of which no match goes on over an isolated space: it may begin with one, and then holds no other. Texts
+#: are cut there into units that are remembered; with any other pattern a text is one unit
+CUT_AT_SPACES = {r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"}
+
 _SPACES = [chr(i) for i in range(0x3001) if chr(i).isspace()]
 _NEAR = [pair for c in _SPACES for pair in ({c + " ", " " + c})]   # a space that isn't isolated
 _NO_PAIR = 1 << 62
@@ -206,6 +210,7 @@ class Codec:
         own = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.pieces = regex.compile(own).findall
         self.split = re.compile(r"(?<=\S) (?=\S)").split
+        self.cut = pattern in CUT_AT_SPACES
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         size = max(self.ranks.values()) + 1
@@ -219,18 +224,20 @@ class Codec:
         self.flat = np.frombuffer(b"".join(table), np.uint8)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed 32-bit ids of each text. An isolated space starts a new
-        piece and no piece crosses it, so the units between such spaces are
+        """Packed 32-bit ids of each text. Where an isolated space starts a new
+        piece and no piece crosses it, the units between such spaces are
         encoded on their own (a leading space marks all but the first)."""
         if len(self.young) >= CACHE_UNITS:
             self.young, self.old = {}, self.young
         young, old, units, missing = self.young, self.old, [], set()
         for text in texts:
             near = text[:1] == " " or text[-1:] == " " or any(pair in text for pair in _NEAR)
-            parts = (self.split(" " + text) if near else (" " + text).split(" ")) if text else []
+            parts = (self.split(" " + text) if near else (" " + text).split(" ")) if text and self.cut else []
             # the first unit has no space of its own: its key can't be any other's
             if parts:
                 parts = [" " + parts[1], *parts[2:]] if parts[0] == "" else [" " + parts[0][1:], *parts[1:]]
+            if text and not self.cut:
+                parts = [" " + text]
             units.append(parts)
             for u in set(parts).difference(young):
                 known = old.get(u)

@@ -41,10 +41,17 @@ def fold(id_col: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus, F.lit(0))
 
 
+MAX_CLASSES = 10_000   # classes of a sample whose counts may reach the driver and the plan
+
+
 def bounded_sample(df: DataFrame, class_col: str, per_class: int, id_col: str, seed: int) -> DataFrame:
     """About ``per_class`` rows of every class, all if there are fewer: one
-    aggregation counts the classes, a seeded hash of the id picks the rows."""
-    counts = {r["c"]: r["n"] for r in df.groupBy(F.col(class_col).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    aggregation counts the classes, a seeded hash of the id picks the rows.
+    More than ``MAX_CLASSES`` classes are refused."""
+    counts = {r["c"]: r["n"] for r in df.groupBy(F.col(class_col).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+              .limit(MAX_CLASSES + 1).collect()}
+    if len(counts) > MAX_CLASSES:
+        raise ValueError(f"{class_col} has more than {MAX_CLASSES} values")
     if not counts:
         return df
     steps = 1 << 20

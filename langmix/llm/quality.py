@@ -5,7 +5,8 @@ resulting score into grades: P(grade <= k) = sigmoid(threshold_k - score).
 From these follow the expected grade and the tail probability P(grade >= g),
 by which documents are selected.
 
-Features are hashed words, word shapes (character classes, runs collapsed) and
+Features are hashed words, word shapes (character classes, runs collapsed, the
+first ``SHAPE_CHARS`` of them: a shape is a class of words, not their text) and
 two steps of style (share of words that repeat their predecessor, share of
 distinct words), all in one hashed space, log counts scaled to unit length.
 
@@ -34,6 +35,7 @@ RATE = 0.3
 RIDGE = 1e-6
 SEED = 5
 KEEP_TAIL = 0.5
+SHAPE_CHARS = 12
 CACHE_WORDS = 100_000
 
 _RUN = re.compile(r"(.)\1+")
@@ -48,7 +50,7 @@ def _bucket(text: str) -> int:
 def shape(word: str) -> str:
     """Character classes of a word, each run shortened to one or two."""
     s = "".join(c if c < "\x7f" or not c.isalpha() else "X" if c.isupper() else "x" for c in word.translate(_SHAPE))
-    return _RUN.sub(r"\1\1", s)[:12]
+    return _RUN.sub(r"\1\1", s)[:SHAPE_CHARS]
 
 
 class Features:
