@@ -21,6 +21,7 @@ from langmix.llm.common import land, table
 
 
 def quality_stage(spark, docs, sf_dir):
+    """Null texts, and texts without words, have the lowest grade and go."""
     return quality.select(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
