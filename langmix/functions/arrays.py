@@ -29,10 +29,3 @@ def argmax(values) -> Column:
 def max_prob(logits) -> Column:
     """Probability of the chosen class."""
     return F.array_max(softmax(logits))
-
-
-def truncate_pair(a, b):
-    """Python ``zip`` length rule: cut both arrays to the shorter length."""
-    a, b = _c(a), _c(b)
-    n = F.least(F.size(a), F.size(b))
-    return F.slice(a, 1, n), F.slice(b, 1, n)

@@ -43,12 +43,6 @@ def label_display(label) -> Column:
                         _c(label))
 
 
-def vocabulary(spark):
-    """The three-row vocabulary table (label_id, label, display)."""
-    return spark.createDataFrame([(k, ID2LABEL[k], DISPLAY[k]) for k in sorted(ID2LABEL)],
-                                 "label_id int, label string, display string")
-
-
 def parse_tagged(decoded) -> Column:
     """Parse ``"[tok] -> LABEL | tok -> LABEL"`` into
     ``array<struct<token string, label_id int>>``.

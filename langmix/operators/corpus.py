@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from langmix.functions.text import split_lines, strip_ws
+from langmix.functions.text import digest, split_lines, strip_ws
 from langmix.operators.ordering import global_rank
 from langmix.operators.sampling import hash_select, seeded_hash
 from langmix.session import materialize
@@ -14,9 +14,6 @@ from langmix.session import materialize
 # --- Fixed values -----------------------------------------------------------
 # Labels kept from the large labelled source (case-sensitive).
 LABELS_TO_KEEP = ("malay", "eng", "ind", "manglish", "rojak")
-# Per-source raw-item limits and total cap of the reference sample.
-SAMPLE_LIMITS = {"train": 40000, "test": 10000, "large": 450000}
-SAMPLE_SIZE = 500000
 # -----------------------------------------------------------------------------
 
 ITEM_COLS = ["source", "source_rank", "pos", "text"]
@@ -59,18 +56,22 @@ def with_sentence_id(df: DataFrame, col: str = "sentence") -> DataFrame:
 
 
 def source_contribution(items: list[DataFrame]) -> DataFrame:
-    """Per source: items processed, sentences it added first, and the
-    cumulative unique count after it (what the reference prints)."""
-    u = items[0]
-    for more in items[1:]:
-        u = u.unionByName(more)
-    processed = (keep_strings(u).groupBy("source_rank", "source")
-                 .agg(F.count(F.lit(1)).alias("n_items")))
-    first = (union_distinct(items).groupBy("first_source")
-             .agg(F.count(F.lit(1)).alias("n_new")))
-    per = (processed.join(first, processed.source_rank == first.first_source, "left")
-           .select("source_rank", "source", "n_items",
-                   F.coalesce("n_new", F.lit(0)).cast("long").alias("n_new")))
+    """Per source, given in rank order: items processed, sentences it added
+    first, and the cumulative unique count after it. Every source is read once
+    and aggregated by digest: a sentence's row says how often each source has
+    it, all sums are numbers, and no text moves."""
+    parts, names = [], []
+    for i, df in enumerate(items):
+        parts.append(keep_strings(df).select(digest(strip_ws("text")).alias("d"), F.lit(i).alias("i")))
+        names.append(df.select(F.lit(i).alias("i"), "source_rank", "source").limit(1))   # constants, no column is read
+    u, listed = parts[0], names[0]
+    for more, name in zip(parts[1:], names[1:]):
+        u, listed = u.unionByName(more), listed.unionByName(name)
+    each = u.groupBy("d.hi", "d.lo").agg(F.min("i").alias("first"), *[
+        F.count_if(F.col("i") == k).alias(f"n{k}") for k in range(len(items))])
+    sums = each.agg(F.array(*[F.struct(F.lit(k).alias("i"), F.sum(f"n{k}").alias("n_items"), F.count_if(F.col("first") == k).alias("n_new"))
+                              for k in range(len(items))]).alias("s"))
+    per = sums.select(F.inline("s")).where("n_items > 0").join(listed, "i").select("source_rank", "source", "n_items", "n_new")
     # one row per source: a window without partitioning is bounded here
     w = Window.orderBy("source_rank").rowsBetween(Window.unboundedPreceding, 0)
     return per.withColumn("cum_unique", F.sum("n_new").over(w).cast("long"))

@@ -7,20 +7,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from langmix.functions.text import normalize_text
-from langmix.operators import cleaning, metrics, routing, sampling, scoring, tagging
+from langmix.operators import metrics, ordering, routing, sampling, scoring, tagging
 from langmix.plans import oracle as O
 from langmix.plans.common import (LANG_TAGS, SEED, StubEncoder, StubScorer, clean_doc_lines, doc_languages, r6, scored_tokens,
                                   table)
 from langmix.plans.queries import _customers_incoming
 from langmix.functions.text import split_squeezed
 from langmix.session import materialize, scratch_path
-from langmix.sources import sinks, store
+from langmix.sources import readers, sinks, store
 
 # --- Fixed values (stand-in models) --------------------------------------------
 CLASSIFIER, SEQUENCE = "classifier-stub-routed", "sequence-stub-routed"
 NAMES = ("other", "Malay", "English")   # of a token's length modulo 3
 BASE_SEGMENTS = ("BUILDING", "AUTOMOBILE", "MACHINERY")
 TEST_SHARE = 0.1
+FIRST_ITEMS = 3
 # -------------------------------------------------------------------------------
 
 
@@ -133,7 +134,30 @@ def paired_stored(spark, sf):
         "model", "n_sentences", "n_no_truth", "n_tokens", *[r6(c).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
 
 
+def hot_user_history(spark, sf):
+    """Newest-first places of a history in which one user has a third of all
+    rows: ranked over many tasks, no window per user."""
+    conv = table(spark, sf, "conversations").select(
+        F.when(F.col("conv_id") % 3 == 0, F.lit(0)).otherwise(F.col("conv_id")).alias("user"), "conv_id", "turn")
+    got = ordering.grouped_rank(conv, ["user"], [F.col("conv_id").desc(), F.col("turn").desc()], "recency")
+    return got.select("user", "conv_id", "turn", F.col("recency").cast("long"))
+
+
+def json_first_items(spark, sf):
+    """The first items of every document's array, and of two parallel arrays."""
+    docs = table(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("x"))
+    value = F.to_json(F.struct("doc_id", F.col("x").alias("words"), F.transform("x", lambda w: F.length(w).cast("string")).alias("sizes")))
+    rows = docs.select(value.alias("j"))
+    one = readers.json_array_items(rows, "j", "words", extra_schema="doc_id bigint", max_items=FIRST_ITEMS)
+    two = readers.json_pairs(rows, "j", "words", "sizes", max_items=FIRST_ITEMS - 1)
+    counted = two.groupBy("text", "label").agg(F.count(F.lit(1)).alias("n"))
+    return one.select("doc_id", "pos", "text", F.lit(None).cast("string").alias("label"), F.lit(1).cast("long").alias("n")).unionByName(
+        counted.select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("pos"), "text", "label", "n"))
+
+
 QUERIES = {
+    "hot_user_history": hot_user_history,
+    "json_first_items": json_first_items,
     "routed_predictions": routed_predictions,
     "append_numbered": append_numbered,
     "merge_stored": merge_stored,
@@ -160,6 +184,15 @@ SELECT conv_id, turn, model, coalesce(tokens, '') AS tokens, coalesce(labels, ''
   {O.proxy_cols('coalesce(conf, 0.8)')}
 FROM t LEFT JOIN m USING (conv_id, turn) LEFT JOIN a USING (conv_id, turn)"""
 
+SQL["hot_user_history"] = """SELECT u AS user, conv_id, turn,
+  (row_number() OVER (PARTITION BY u ORDER BY conv_id DESC, turn DESC))::BIGINT AS recency
+FROM (SELECT CASE WHEN conv_id % 3 = 0 THEN 0 ELSE conv_id END AS u, conv_id, turn FROM conversations)"""
+
+SQL["json_first_items"] = f"""WITH w AS (SELECT doc_id, string_split(text, ' ') AS x FROM documents),
+p AS (SELECT doc_id, (generate_subscripts(x, 1) - 1)::BIGINT AS pos, unnest(x) AS text FROM w)
+SELECT doc_id, pos, text, NULL::VARCHAR AS label, 1::BIGINT AS n FROM p WHERE pos < {FIRST_ITEMS}
+UNION ALL SELECT NULL, NULL, text, length(text)::VARCHAR, count(*)::BIGINT FROM p WHERE pos < {FIRST_ITEMS - 1} GROUP BY text"""
+
 SQL["append_numbered"] = """SELECT (row_number() OVER (ORDER BY role <> 'user', conv_id, turn))::BIGINT AS id, conv_id, turn, role
 FROM conversations"""
 
