@@ -31,8 +31,8 @@ MAX_BUCKETS = 1 << 24
 FILE_BYTES = 32 << 20     # text per file of the chunk table, about
 FILES = (8, 100_000)      # at least and at most (Spark's own bound on buckets)
 
-#: the chunk table, the number of hash buckets, the folder of its files
-Store = namedtuple("Store", "table buckets path")
+#: the chunk table, the number of hash buckets, the folder of its files and their number
+Store = namedtuple("Store", "table buckets path files")
 
 
 def _slices(batch, place: int):
@@ -91,7 +91,7 @@ def pack(docs: DataFrame, text_col: str) -> Store:
     buckets = MIN_BUCKETS
     while buckets < MAX_BUCKETS and buckets * BUCKET_BYTES < size:
         buckets *= 2
-    return Store(table, buckets, path)
+    return Store(table, buckets, path, files)
 
 
 def drop(store: Store) -> None:
@@ -140,7 +140,9 @@ def flags(data: bytes | None, n: int):
     return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
 
 
-def with_answers(chunks: DataFrame, answers: DataFrame, fields: list[str], how: str = "left") -> DataFrame:
-    """Chunks with the answers they got, as ``got``: array of structs."""
-    per_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct(*fields)).alias("got"))
-    return chunks.join(per_chunk, "chunk", how)
+def with_answers(store: Store, answers: DataFrame, fields: list[str], how: str = "left") -> DataFrame:
+    """Chunks with the answers they got, as ``got``: array of structs. Answers
+    are dealt as the table's files are: Spark would deal out both sides anew
+    for a table of fewer files than ``spark.sql.shuffle.partitions``."""
+    per_chunk = answers.repartition(store.files, "chunk").groupBy("chunk").agg(F.collect_list(F.struct(*fields)).alias("got"))
+    return store.table.join(per_chunk, "chunk", how)

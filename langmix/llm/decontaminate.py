@@ -411,7 +411,8 @@ def _rows_with_leaks(kept: int):
 def _join_seeds(src: DataFrame, items: DataFrame, text: int, kept: int, schema: str, coverage: float, k: int,
                 block_bytes: int) -> DataFrame:
     spark = src.sparkSession
-    packed, *_ = chunks.pack(src, src.columns[text])
+    store = chunks.pack(src, src.columns[text])
+    packed = store.table
     counts = packed.mapInArrow(tidy(_count_seeds(text, k)), "slice int, counts array<bigint>") \
         .select("slice", F.posexplode("counts").alias("place", "n")).groupBy("slice", "place").agg(F.sum("n").alias("n"))
     total = bytearray(8 << SKETCH_BITS)   # a row a counter, whatever the documents
@@ -435,11 +436,11 @@ def _join_seeds(src: DataFrame, items: DataFrame, text: int, kept: int, schema:
     parts = pairs.groupBy("chunk").agg(F.ceil(F.sum(F.col("bytes") + 64) / block_bytes).cast("int").alias("parts"))
     blocks = pairs.join(parts, "chunk").withColumn("part", F.pmod(F.xxhash64("item"), F.col("parts"))) \
         .join(items.select("item", "id", "text"), "item").groupBy("chunk", "part") \
-        .agg(F.collect_list(F.struct("id", "text")).alias("items"))
+        .agg(F.collect_list(F.struct("id", "text")).alias("items")).repartition(store.files, "chunk")
     found = packed.join(blocks, "chunk").select("chunk", "data", "items") \
         .mapInArrow(tidy(_tile_chunks(text, k, coverage)), "chunk bigint, row int, item bigint, share double")
     per_row = found.groupBy("chunk", "row").agg(F.collect_set("item").alias("items"), F.max("share").alias("share"))
-    return chunks.with_answers(packed, per_row, ["row", "items", "share"]).mapInArrow(tidy(_rows_with_leaks(kept)), schema)
+    return chunks.with_answers(store, per_row, ["row", "items", "share"]).mapInArrow(tidy(_rows_with_leaks(kept)), schema)
 
 
 def _numbered(items: DataFrame) -> DataFrame:

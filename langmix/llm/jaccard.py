@@ -680,7 +680,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pac
     ship_package(spark)
     used = docs.columns
     text, id_place = used.index(text_col), used.index(id_col)
-    table_, buckets, _ = store = packed or chunks.pack(docs, text_col)
+    store = packed or chunks.pack(docs, text_col)
+    table_, buckets = store.table, store.buckets
     profile = land(table_.mapInArrow(tidy(_profile(text, id_place)), _PROFILE), "profile")
     parts = profile.where("slice IS NOT NULL").select("slice", "counts").groupBy("slice") \
         .applyInArrow(_add_slices, "slice int, counts binary").collect()   # 2 MB whatever the input
@@ -696,15 +697,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pac
     reps = rows.where("n > 0 AND doc_id = rep").select("chunk", F.lit(-1).alias("bucket"), "row", none.alias("hits"),
                                                        none.alias("trees"))
     fields = ["bucket", "row", "hits", "trees"]
-    asked = chunks.with_answers(table_, reps, fields, "inner").mapInArrow(
+    asked = chunks.with_answers(store, reps, fields, "inner").mapInArrow(
         tidy(_ask(text, id_place, buckets, shared)), "bucket int, chunk bigint, keys binary, ids binary, several binary")
     answers = asked.groupBy("bucket").applyInArrow(_answer, "chunk bigint, bucket int, row int, hits binary, trees binary")
-    members = land(chunks.with_answers(table_, reps.select("chunk", *fields).union(answers.select("chunk", *fields)),
+    members = land(chunks.with_answers(store, reps.select("chunk", *fields).union(answers.select("chunk", *fields)),
                                        fields, "inner")
                    .mapInArrow(tidy(_members(text, id_place, buckets, shared)), _MEMBER), "members")
 
     def with_sets(entries: DataFrame) -> DataFrame:
-        return chunks.with_answers(table_, entries, _ENTRY, "inner").mapInArrow(tidy(_with_sets(text, id_place)), _SET)
+        return chunks.with_answers(store, entries, _ENTRY, "inner").mapInArrow(tidy(_with_sets(text, id_place)), _SET)
 
     found = components(links_between(members, with_sets))
     if packed is None:
@@ -731,7 +732,7 @@ def _attach(columns: list[str]):
 
 def _with_rows(packed, found: DataFrame, schema, columns: list[str]) -> DataFrame:
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields] + [f"{c} bigint" for c in columns]
-    return chunks.with_answers(packed.table, found, ["row", *columns], "inner") \
+    return chunks.with_answers(packed, found, ["row", *columns], "inner") \
         .mapInArrow(tidy(_attach(columns)), ", ".join(fields))
 
 

@@ -232,14 +232,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     used = list(dict.fromkeys([id_col, text_col, *keep]))
     src = docs.select(*[F.col(f"`{c}`") for c in used])
     text, id_place = used.index(text_col), used.index(id_col)
-    packed, buckets, _ = chunks.pack(src, text_col)
-    asked = packed.mapInArrow(tidy(_ask_anchors(text, buckets)), "bucket int, chunk bigint, keys binary, block binary, several binary")
+    store = chunks.pack(src, text_col)
+    buckets = store.buckets
+    asked = store.table.mapInArrow(tidy(_ask_anchors(text, buckets)), "bucket int, chunk bigint, keys binary, block binary, several binary")
     hits = asked.groupBy("bucket").applyInArrow(_answer_anchors, "chunk bigint, bucket int, answer binary")
-    asked = chunks.with_answers(packed, hits, ["bucket", "answer"], "inner") \
+    asked = chunks.with_answers(store, hits, ["bucket", "answer"], "inner") \
         .mapInArrow(tidy(_ask_repeats(text, id_place, buckets)), "bucket int, chunk bigint, keys binary, ids binary")
     repeats = asked.groupBy("bucket").applyInArrow(_answer_repeats(buckets), "chunk bigint, bucket int, answer binary")
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    return chunks.with_answers(packed, repeats, ["bucket", "answer"]) \
+    return chunks.with_answers(store, repeats, ["bucket", "answer"]) \
         .mapInArrow(tidy(_cut(text, id_place, [used.index(c) for c in keep], buckets)),
                     ", ".join([*fields, "n_words bigint", "n_removed bigint", "kept_text string"]))
 
