@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from langmix.functions.text import digest, split_lines, strip_ws
 from langmix.operators.ordering import global_rank
 from langmix.operators.sampling import hash_select, seeded_hash
-from langmix.session import materialize
+from langmix.session import stored
 
 # --- Fixed values -----------------------------------------------------------
 # Labels kept from the large labelled source (case-sensitive).
@@ -104,7 +104,7 @@ def capped_sample(sources: list[DataFrame], sample_size: int, seed: int) -> Data
     of all sources together: every sentence has the same chance, whatever
     its source or place."""
     # checkpointed once: counted by hash and selected from
-    unique = materialize(union_distinct(sources).select("sentence"))
+    unique = stored(union_distinct(sources).select("sentence"))
     picked = hash_select(unique, ["sentence"], sample_size, seed, "keep")
     return (picked.where("keep")
             .select("sentence", seeded_hash(["sentence"], seed).alias("h")))

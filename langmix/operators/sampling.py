@@ -30,8 +30,8 @@ def hash_select(df: DataFrame, id_cols: list[str], k: int, seed, flag: str = "se
     branches; pass ``materialize_input=True`` when it is an expensive plan
     (it is then checkpointed once instead of being recomputed)."""
     if materialize_input:
-        from langmix.session import materialize
-        df = materialize(df)
+        from langmix.session import stored
+        df = stored(df)
     h = seeded_hash(id_cols, seed)
     hashed = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, BUCKET_HEX_DIGITS))
     hist = sorted((r["_b"], r["count"]) for r in hashed.groupBy("_b").count().collect())
@@ -60,8 +60,8 @@ def hash_split(df: DataFrame, id_cols: list[str], seed=42, test_fraction: float
     """Seeded train/test split: test = the ``ceil(fraction * n)`` rows with
     the smallest hashes (same sizes as the reference's split)."""
     if materialize_input:
-        from langmix.session import materialize
-        df = materialize(df)
+        from langmix.session import stored
+        df = stored(df)
     n = df.count()
     k = math.ceil(test_fraction * n)
     sel = hash_select(df, id_cols, k, seed, "_test")

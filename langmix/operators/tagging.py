@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from langmix.functions.labels import LABEL2ID
 from langmix.functions.text import split_squeezed, split_ws, strip_ws
-from langmix.session import materialize, ship_package
+from langmix.session import ship_package, stored
 
 # --- Fixed values -----------------------------------------------------------
 WORD = r"^\p{L}+$"              # lexicon entries: letters only
@@ -110,7 +110,7 @@ class PreparedLexicon:
         spark = lexicon.sparkSession
         ship_package(spark)
         share = F.col("n") / F.col("total") if {"n", "total"} <= set(lexicon.columns) else F.lit(1.0)
-        self.entries = materialize(lexicon.select("token", F.element_at(_tag_map(lang_to_tag), F.col("lang")).alias("tag"),
+        self.entries = stored(lexicon.select("token", F.element_at(_tag_map(lang_to_tag), F.col("lang")).alias("tag"),
                                                   share.alias("share")).where("tag IS NOT NULL AND tag <> 0"))
         size = self.entries.agg(F.sum(F.octet_length("token") + 16)).first()[0] or 0
         self.block = None
@@ -180,7 +180,7 @@ def _join_blocks(src: DataFrame, entries: DataFrame, names: list[str], schema: s
     n = 1 + (1 << 33) // block_lines   # blocks of a partition have numbers of their own
     at = F.monotonically_increasing_id()
     block = F.shiftright(at, 33) * n + F.floor(at.bitwiseAND((1 << 33) - 1) / block_lines)
-    lines = materialize(src.withColumn("_block", block.cast("long")))
+    lines = stored(src.withColumn("_block", block.cast("long")))
     asked = lines.select(F.col("_block").alias("_at"), F.explode(F.array_distinct("_lower")).alias("token")).distinct()
     answers = asked.join(entries, "token").select("_at", "token", "tag", "share")
     ship_package(spark)

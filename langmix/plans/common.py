@@ -10,7 +10,7 @@ from langmix.functions.arrays import argmax, max_prob
 from langmix.functions.labels import IGNORE_INDEX
 from langmix.functions.text import normalize_text, split_squeezed, split_ws
 from langmix.operators import cleaning, corpus, tagging
-from langmix.session import materialize, spread
+from langmix.session import spread, stored
 
 # --- Fixed values (binding parameters) ---------------------------------------
 LANG_TAGS = {"en": "EN", "fr": "MS"}   # stand-ins for English / Malay
@@ -82,7 +82,7 @@ def tagged_doc_lines(spark, sf_dir) -> DataFrame:
     """``(doc_id, line_no, source, tokens, ner_tags)`` via the native lexicon."""
     # cleaned once, used twice (lexicon and tagging): checkpointed to the
     # shared folder so neither use recomputes the regex chain
-    clean = materialize(clean_doc_lines(spark, sf_dir))
+    clean = stored(clean_doc_lines(spark, sf_dir))
     return tagging.tag_lines(clean, lexicon_from(clean, doc_languages(spark, sf_dir)), TAG_KEYS, "text",
                              LANG_TAGS, squeezed=True)
 

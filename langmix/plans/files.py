@@ -15,7 +15,7 @@ from langmix.operators.tagging import PreparedLexicon
 from langmix.plans import oracle as O
 from langmix.plans.common import (KEEP_LANGS, LANG_TAGS, MARKS, SEED, corpus_sources, doc_lexicon, r6, table,
                                   tagged_doc_lines)
-from langmix.session import materialize, scratch_path
+from langmix.session import scratch_path, stored
 from langmix.sources import readers, sinks
 from langmix.streaming.tagging_stream import METRICS, run_tagging_stream
 
@@ -81,7 +81,7 @@ def optional_sources(spark, sf):
 
 
 def _lookup_file(spark, sf):
-    t = materialize(tagged_doc_lines(spark, sf))  # three branches read it
+    t = stored(tagged_doc_lines(spark, sf))  # three branches read it
     good = t.select("doc_id", "line_no", F.lit(0).alias("kind"),
                     F.to_json(F.struct("tokens", "ner_tags")).alias("line"))
     first_line = F.col("line_no") == 0
@@ -191,7 +191,7 @@ def stream_truth(spark, sf):
     path = scratch_path(spark, "stream-truth")
     sinks.write_text(labelled.select("conv_id", "turn", F.to_json(F.struct("tokens", "ner_tags")).alias("line")), "line", path,
                      ["conv_id", "turn"])
-    return materialize(readers.load_lookup(spark, path, with_key=False).drop("seq"))
+    return stored(readers.load_lookup(spark, path, with_key=False).drop("seq"))
 
 
 def stream_tagging(spark, sf):

@@ -350,7 +350,7 @@ from langmix.operators import tagging as TG  # noqa: E402
 from langmix.plans.common import (StubEncoder, StubScorer, doc_languages, doc_lexicon, lexicon_from,  # noqa: E402
                                   tagged_doc_lines)
 
-from langmix.session import materialize  # noqa: E402
+from langmix.session import stored  # noqa: E402
 
 KEY_SCHEMA = "doc_id bigint, line_no bigint"
 PARSE_NAMES = {0: "O", 1: "Malay", 2: "english"}
@@ -387,7 +387,7 @@ def sentence_profile(spark, sf):
 def paired_sequences_prf(spark, sf):
     """Tags of a line against tags of its normalized text, which has fewer
     tokens: paired by position, and aligned."""
-    clean = materialize(clean_doc_lines(spark, sf))
+    clean = stored(clean_doc_lines(spark, sf))
     lex = TG.PreparedLexicon(lexicon_from(clean, doc_languages(spark, sf)), LANG_TAGS)
     truth = TG.tag_lines(clean, lex, ["doc_id", "line_no", "source", "text"], "text", squeezed=True)
     truth = truth.select("doc_id", "line_no", "source", F.col("tokens").alias("words"), F.col("ner_tags").alias("truth"),
@@ -440,7 +440,7 @@ def align_long(spark, sf):
 
 def align_stored(spark, sf):
     """The long form of the walk, over sub-word rows and word labels stored apart."""
-    t = materialize(tagged_doc_lines(spark, sf))
+    t = stored(tagged_doc_lines(spark, sf))
     sub = t.select("doc_id", "line_no", F.posexplode(AL.piece_word_ids("tokens")).alias("sub_pos", "word_idx"))
     words = t.select("doc_id", "line_no", F.posexplode("ner_tags").alias("word_idx", "label"))
     out = AL.align_long(sub, words, ["doc_id", "line_no"])

@@ -13,7 +13,7 @@ from langmix.plans.common import (LANG_TAGS, SEED, StubEncoder, StubScorer, clea
                                   table)
 from langmix.plans.queries import _customers_incoming
 from langmix.functions.text import split_squeezed
-from langmix.session import materialize, scratch_path
+from langmix.session import scratch_path, stored
 from langmix.sources import readers, sinks, store
 
 # --- Fixed values (stand-in models) --------------------------------------------
@@ -110,7 +110,7 @@ def cache_states(spark, sf):
 def lexicon_merged(spark, sf):
     """Counts of two parts of the corpus, stored one after the other; the
     lexicon of their sum."""
-    clean = materialize(clean_doc_lines(spark, sf))
+    clean = stored(clean_doc_lines(spark, sf))
     path = scratch_path(spark, "token-counts")
     for part in (0, 1):
         lines = clean.where(F.col("doc_id") % 2 == part)
@@ -125,12 +125,12 @@ def paired_stored(spark, sf):
     without an exchange; sentences with one side only are counted."""
     s = scored_tokens(spark, sf)
     rows = s.groupBy("sentence_id", "model").agg(F.array_sort(F.collect_list(F.struct("pos", "y_true", "y_pred"))).alias("r"))
-    rows = materialize(rows.select("sentence_id", "model", F.transform("r", lambda x: x["y_true"]).alias("truth"),
+    rows = stored(rows.select("sentence_id", "model", F.transform("r", lambda x: x["y_true"]).alias("truth"),
                                    F.transform("r", lambda x: x["y_pred"]).alias("pred")))
     truth = rows.where("model = 'A' AND sentence_id % 7 <> 3").select("sentence_id", "truth")
     pred = rows.where("sentence_id % 5 <> 4").select("sentence_id", "model", F.slice("pred", 1, 8).alias("pred"))
-    stored = [metrics.store_side(df, "sentence_id", scratch_path(spark, name)) for df, name in ((truth, "truths"), (pred, "predictions"))]
-    return metrics.pair_stored(*stored, "sentence_id", "model").select(
+    sides = [metrics.store_side(df, "sentence_id", scratch_path(spark, name)) for df, name in ((truth, "truths"), (pred, "predictions"))]
+    return metrics.pair_stored(*sides, "sentence_id", "model").select(
         "model", "n_sentences", "n_no_truth", "n_tokens", *[r6(c).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
 
 

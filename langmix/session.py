@@ -114,3 +114,12 @@ def materialize(df: DataFrame) -> DataFrame:
     so a lost executor never forces recomputation of the upstream plan."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """Rows written once to the shared folder as columns, and read back: cuts
+    lineage as :func:`materialize` does, and later uses read only the columns
+    they need. Order and partitions aren't kept."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
