@@ -3,7 +3,8 @@
 An operator over all word windows of a corpus would shuffle one row per
 window. Instead the input is landed once as chunks (about ``CHUNK_BYTES`` of
 text: whole rows as compressed Arrow data, all columns of any name), in a table
-bucketed by chunk, one file of about ``FILE_BYTES`` of text a bucket. A chunk
+bucketed by chunk: a file a chunk up to ``LOOSE_BYTES`` of text, which moves
+nothing, beyond that a file of about ``FILE_BYTES`` of text a bucket. A chunk
 sends each distinct hash once, packed by hash bucket; a bucket answers every
 chunk in the order asked. Answers join the chunk table without moving it, and
 the chunk is worked through again, which gives the same hashes in the same
@@ -30,6 +31,7 @@ MIN_BUCKETS = 64
 MAX_BUCKETS = 1 << 24
 FILE_BYTES = 32 << 20     # text per file of the chunk table, about
 FILES = (8, 100_000)      # at least and at most (Spark's own bound on buckets)
+LOOSE_BYTES = 64 << 30    # text up to which chunks aren't dealt out before they are written
 
 #: the chunk table, the number of hash buckets, the folder of its files and their number
 Store = namedtuple("Store", "table buckets path files")
@@ -83,8 +85,13 @@ def pack(docs: DataFrame, text_col: str) -> Store:
 
     name, path = f"chunks_{uuid.uuid4().hex}", scratch_path(spark, "chunks")
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
-    files = min(FILES[1], max(FILES[0], -(-size // FILE_BYTES)))
-    (docs.mapInArrow(tidy(run), "chunk bigint, data binary").repartition(files, "chunk").write.bucketBy(files, "chunk")
+    packed = docs.mapInArrow(tidy(run), "chunk bigint, data binary")
+    if size > LOOSE_BYTES:
+        files = min(FILES[1], max(FILES[0], -(-size // FILE_BYTES)))
+        packed = packed.repartition(files, "chunk")
+    else:
+        files = min(FILES[1], max(FILES[0], int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    (packed.write.bucketBy(files, "chunk")
          .option("path", path).option("parquet.block.size", 32 << 20).saveAsTable(name))
     table = spark.table(name).select("chunk", "data")
     spark.sql(f"DROP TABLE {name}")   # the plan keeps files and buckets; external files stay
