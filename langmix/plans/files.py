@@ -17,6 +17,7 @@ from langmix.plans.common import (KEEP_LANGS, LANG_TAGS, MARKS, SEED, corpus_sou
                                   tagged_doc_lines)
 from langmix.session import scratch_path, stored
 from langmix.sources import readers, sinks
+from langmix.sources.commit import listing
 from langmix.streaming.tagging_stream import METRICS, run_tagging_stream
 
 # --- Fixed values (fault injection and sizes) ---------------------------------
@@ -26,6 +27,7 @@ NUMBER_EVERY, NULL_EVERY = 5, 7    # non-string array items
 GUEST_EVERY, GUEST_AT = 5, 4       # conversations without a signed-in user
 TRUTH_EVERY = 3                    # conversations whose user turns have labels
 PREVIEW_N = 20
+STREAM_BATCHES = 4                 # micro-batches of the backlog, whatever its size: each has a fixed cost and reads the truth
 # -----------------------------------------------------------------------------
 
 
@@ -197,11 +199,12 @@ def stream_truth(spark, sf):
 def stream_tagging(spark, sf):
     conv = stream_messages(spark, sf)
     src = scratch_path(spark, "stream-src")
-    conv.write.option("maxRecordsPerFile", 250).parquet(src)
+    conv.write.parquet(src)
+    files = len(listing(spark, src))
     sink, ckpt = scratch_path(spark, "stream-sink"), scratch_path(spark, "stream-ckpt")
     run_tagging_stream(spark, src, conv.schema, sink, ckpt, PreparedLexicon(doc_lexicon(spark, sf), LANG_TAGS),
                        stream_truth(spark, sf), ["conv_id", "turn"], "username", "text", F.col("role") == "user",
-                       files_per_batch=2, marks=MARKS)
+                       files_per_batch=max(1, -(-files // STREAM_BATCHES)), marks=MARKS)
     out = spark.read.schema("conv_id bigint, turn bigint, username string, reply_order int, role string, "
                             "message string, matched boolean, metric_source string, accuracy double, precision double, "
                             "recall double, f1 double").parquet(f"{sink}/batch_id=*")
