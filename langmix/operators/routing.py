@@ -13,9 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from langmix.functions.arrays import argmax, max_prob
+from langmix.functions.arrays import argmax, bound, max_prob
 from langmix.functions.labels import parse_tagged
 from langmix.functions.text import prompt, split_ws
+from langmix.operators.batches import bounded
 from langmix.operators.scoring import DEFAULT_CONFIDENCE, backend, backend_kind, backends
 from langmix.session import ship_package
 
@@ -39,9 +40,8 @@ def require_known(df: DataFrame, model_col: str) -> list[str]:
 def first_pieces(word_ids, logits) -> Column:
     """Per word the logits of its first sub-word, in the row: positions
     without a word don't count, and don't interrupt one."""
-    z = F.filter(F.arrays_zip(F.col(word_ids).alias("w"), F.col(logits).alias("x")), lambda e: e["w"].isNotNull())
-    first = F.filter(F.transform(z, lambda e, i: F.struct(e["x"].alias("x"), (
-        (i == 0) | (F.get(z, i - 1)["w"] != e["w"])).alias("new"))), lambda e: e["new"])
+    pieces = F.filter(F.arrays_zip(F.col(word_ids).alias("w"), F.col(logits).alias("x")), lambda e: e["w"].isNotNull())
+    first = bound(lambda z: F.filter(z, lambda e, i: (i == 0) | (F.get(z, i - 1)["w"] != e["w"])), z=pieces)
     return F.transform(first, lambda e: e["x"])
 
 
@@ -58,7 +58,7 @@ def predict(df: DataFrame, model_col: str, text_col: str) -> DataFrame:
         import pyarrow as pa
 
         loaded = {}
-        for rb in batches:
+        for rb in bounded(batches, "_tokens"):
             rows = [(None, None, None)] * rb.num_rows
             asked: dict[str, list[int]] = {}
             for i, name in enumerate(rb.column(place[model_col]).to_pylist()):
