@@ -16,7 +16,9 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from langmix.functions.arrays import bound
 from langmix.functions.labels import IGNORE_INDEX
+from langmix.operators.batches import bounded
 from langmix.session import ship_package
 
 # --- Fixed values -----------------------------------------------------------
@@ -30,12 +32,10 @@ def _c(c) -> Column:
 
 def align_labels(word_ids, word_labels) -> Column:
     """In-row training alignment; ``get`` keeps out-of-range lookups null."""
-    w_arr, lab = _c(word_ids), _c(word_labels)
-    return F.transform(
-        w_arr,
-        lambda w, i: F.when(w.isNull(), F.lit(IGNORE_INDEX))
-        .when(F.get(w_arr, i - 1).eqNullSafe(w), F.lit(IGNORE_INDEX))
-        .otherwise(F.get(lab, w)))
+    return bound(lambda words, labels: F.transform(
+        words,
+        lambda w, i: F.when(w.isNull() | F.get(words, i - 1).eqNullSafe(w), F.lit(IGNORE_INDEX))
+        .otherwise(F.get(labels, w))), words=word_ids, labels=word_labels)
 
 
 def piece_word_ids(tokens, piece_len: int = 4) -> Column:
@@ -110,7 +110,7 @@ def encode_batches(df: DataFrame, tokens_col: str,
 
     def run(batches):
         encode = encoder_factory()
-        for rb in batches:
+        for rb in bounded(batches, tokens_col):
             ids, words = encode([toks or [] for toks in rb.column(tokens_col).to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [*[rb.column(k) for k in keep], pa.array(ids, pa.list_(pa.int32())),
