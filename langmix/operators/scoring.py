@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from langmix.functions.arrays import max_prob
+from langmix.operators.batches import bounded
 from langmix.session import ship_package
 
 # --- Fixed values -----------------------------------------------------------
@@ -101,7 +102,7 @@ def score_batches(df: DataFrame, ids_col: str,
 
     def run(batches):
         score = scorer_factory()
-        for rb in batches:
+        for rb in bounded(batches, ids_col):
             col = rb.column(ids_col)
             values = col.values.to_numpy(zero_copy_only=False)
             offs = col.offsets.to_numpy()

@@ -468,10 +468,9 @@ def encode_udf(spark, sf):
 def score_udf(spark, sf):
     e = _encoded(spark, sf).select("doc_id", "line_no", "window_no", "input_ids", "labels")
     s = scoring.score_batches(e, "input_ids", StubScorer)
-    scored = F.filter(F.transform(F.arrays_zip("logits", "labels"), lambda x, i: F.struct(
-        i.alias("pos"), x["logits"].alias("logits"), x["labels"].alias("labels"))), lambda x: x["labels"] != L.IGNORE_INDEX)
-    rows = s.select("doc_id", "line_no", "window_no", F.explode(scored).alias("z"))
-    return rows.select("doc_id", "line_no", "window_no", F.col("z.pos").cast("long").alias("sub_pos"),
+    rows = s.select("doc_id", "line_no", "window_no", F.posexplode(F.arrays_zip("logits", "labels")).alias("pos", "z")) \
+        .where(F.col("z.labels") != L.IGNORE_INDEX)
+    return rows.select("doc_id", "line_no", "window_no", F.col("pos").cast("long").alias("sub_pos"),
                        F.col("z.labels").cast("long").alias("y_true"),
                        A.argmax("z.logits").cast("long").alias("y_pred"),
                        r6(A.max_prob("z.logits")).alias("conf"))
