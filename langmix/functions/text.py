@@ -170,6 +170,13 @@ def normalize_text(c) -> Column:
     return F.trim(F.regexp_replace(t, WS_RUN, " "))
 
 
+def normalizes_to_text(c) -> Column:
+    """``normalize_text(c) != ''``, for single tokens: without a tag to drop,
+    one scan for a letter tells."""
+    t = F.lower(_c(c))
+    return F.when(t.contains("<"), normalize_text(c) != "").otherwise(t.rlike("[a-z]"))
+
+
 def prompt(c) -> Column:
     """Prompt prefix used by the sequence-to-sequence tagger."""
     return F.concat(F.lit(PROMPT_PREFIX), _c(c))

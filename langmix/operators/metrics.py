@@ -204,10 +204,10 @@ def pair_sequences(df: DataFrame, keys: list[str], truth: str, pred: str, mode:
     ``mode="aligned"`` first drops the truth labels whose own token
     (``truth_tokens``) normalizes to nothing."""
     if mode == "aligned":
-        from langmix.functions.text import normalize_text
+        from langmix.functions.text import normalizes_to_text
 
         z = F.filter(F.arrays_zip(F.col(truth_tokens).alias("t"), F.col(truth).alias("y")),
-                     lambda e: normalize_text(e["t"]) != "")
+                     lambda e: normalizes_to_text(e["t"]))
         df = df.withColumn(truth, F.transform(z, lambda e: e["y"]))
     elif mode != "positional":
         raise ValueError(mode)

@@ -393,6 +393,7 @@ def paired_sequences_prf(spark, sf):
     truth = truth.select("doc_id", "line_no", "source", F.col("tokens").alias("words"), F.col("ner_tags").alias("truth"),
                          normalize_text("text").alias("norm"))
     both = TG.tag_lines(truth, lex, truth.columns, "norm", keep_empty=True)
+    both = stored(both.select("source", "words", "truth", "ner_tags"))   # two modes read it
     pairs = [metrics.pair_sequences(both, ["source"], "truth", "ner_tags", mode, "words").withColumn("mode", F.lit(mode))
              for mode in ("positional", "aligned")]
     m = metrics.prf(metrics.cells(pairs[0].unionByName(pairs[1]), ["mode", "source"]), ["mode", "source"], "weighted")
