@@ -19,10 +19,12 @@ def sentence_profile(tags) -> Column:
     """Counts per label, code-switched flag (both MS and EN present) and the
     number of switch points between consecutive non-O tokens. In-row."""
     t = _c(tags)
-    n_ms = F.size(F.filter(t, lambda x: x == 1))
-    n_en = F.size(F.filter(t, lambda x: x == 2))
+    n_ms, n_en = (F.size(t) - F.size(F.array_remove(t, F.lit(k))) for k in (1, 2))
+    # each tagged token beside the one before it: a lambda that looks back into
+    # the filtered array would filter it again for every element
     nz = F.filter(t, lambda x: x != 0)
-    switches = F.size(F.filter(F.transform(nz, lambda x, i: (i > 0) & (F.get(nz, i - 1) != x)),
+    pairs = F.greatest(F.size(nz) - 1, F.lit(0))
+    switches = F.size(F.filter(F.zip_with(F.slice(nz, 1, pairs), F.slice(nz, 2, pairs), lambda a, b: a != b),
                                lambda b: b))
     return F.struct((F.size(t) - n_ms - n_en).alias("n_o"), n_ms.alias("n_ms"), n_en.alias("n_en"),
                     ((n_ms > 0) & (n_en > 0)).alias("code_switched"), switches.alias("switch_points"))
