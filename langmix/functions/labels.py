@@ -52,10 +52,11 @@ def parse_tagged(decoded) -> Column:
     else 0; tokens equal to ``tag`` (any case) or empty are dropped."""
     items = F.filter(F.split(_c(decoded), r" \| "), lambda it: it.contains(ARROW))
 
+    # cut at the arrows' places: a split would compile its pattern for every item
     def to_pair(it):
-        parts = F.split(it, ARROW)
-        token = strip_ws(F.translate(F.get(parts, 0), "[]", ""))
-        label = F.upper(strip_ws(F.get(parts, 1)))
+        before = F.substring_index(it, ARROW, 1)
+        token = strip_ws(F.replace(F.replace(before, F.lit("["), F.lit("")), F.lit("]"), F.lit("")))
+        label = F.upper(F.substring_index(F.substring_index(it, ARROW, 2), ARROW, -1))
         lid = (F.when(label.contains(ENG_MARK), F.lit(2))
                .when(label.contains(MAL_MARK), F.lit(1)).otherwise(F.lit(0)))
         return F.struct(token.alias("token"), lid.alias("label_id"))

@@ -403,9 +403,9 @@ def paired_sequences_prf(spark, sf):
 def parse_tagged(spark, sf):
     t = tagged_doc_lines(spark, sf)
     decoded = L.format_tagged("tokens", "ner_tags", PARSE_NAMES)
-    parsed = L.parse_tagged(decoded)
-    return t.select("doc_id", "line_no", _joined(parsed["token"]).alias("tokens"),
-                    _joined(parsed["label_id"]).alias("labels"), F.size(parsed).cast("long").alias("n"))
+    p = t.select("doc_id", "line_no", L.parse_tagged(decoded).alias("parsed"))   # parsed once, read three times
+    return p.select("doc_id", "line_no", _joined("parsed.token").alias("tokens"),
+                    _joined("parsed.label_id").alias("labels"), F.size("parsed").cast("long").alias("n"))
 
 
 def annotate_text(spark, sf):
