@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from langmix.functions.labels import LABEL2ID
 from langmix.functions.text import split_squeezed, split_ws, strip_ws
+from langmix.operators.batches import bounded
 from langmix.session import ship_package, stored
 
 # --- Fixed values -----------------------------------------------------------
@@ -24,6 +25,7 @@ MIN_COUNT = 2                   # token must occur at least this often
 MIN_PURITY_PCT = 60             # best language share, in percent
 BLOCK_BYTES = 32 << 20          # lexicon text in the broadcast, at most about
 BLOCK_LINES = 4096              # lines that ask a larger lexicon together
+LOOK_UP_TOKENS = 1 << 20        # tokens looked up in one pass
 # -----------------------------------------------------------------------------
 
 
@@ -60,9 +62,11 @@ def build_lexicon(token_lang: DataFrame, token_col: str = "token", lang_col: str
 def token_counts(token_lang: DataFrame, token_col: str = "token", lang_col: str = "lang") -> DataFrame:
     """``(token, lang, n)`` of the words of one part of a corpus. Counts of
     several parts, kept side by side, add up (:func:`add_counts`)."""
-    t = (token_lang.select(F.lower(token_col).alias("token"), F.col(lang_col).alias("lang"))
-         .where(F.col("token").rlike(WORD) & F.col("lang").isNotNull()))
-    return t.groupBy("token", "lang").agg(F.count(F.lit(1)).alias("n"))
+    t = token_lang.select(F.lower(token_col).alias("token"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL")
+    counts = t.groupBy("token", "lang").agg(F.count(F.lit(1)).alias("n"))
+    # a test that names the count stays above the aggregation, so each distinct
+    # token is matched, not each occurrence
+    return counts.where(F.when(F.col("n") > 0, F.col("token").rlike(WORD)))
 
 
 def add_counts(parts: DataFrame) -> DataFrame:
@@ -154,7 +158,7 @@ def _look_up(block, names: list[str], confidence: bool):
 
         known = pa.ipc.open_stream(block.value).read_all().combine_chunks()
         added = ["ner_tags", "shares"] if confidence else ["ner_tags"]
-        for rb in batches:
+        for rb in bounded(batches, "_lower", LOOK_UP_TOKENS):
             yield pa.RecordBatch.from_arrays([*rb.columns[:-1], *_tags_of(rb.column("_lower"), known, confidence)],
                                              names=[*names, *added])
     return run
@@ -235,7 +239,7 @@ def model_tag_lines(lines: DataFrame, keys: list[str], text_col: str,
 
     def run(batches):
         predict = model_factory()
-        for rb in batches:
+        for rb in bounded(batches, "tokens"):
             tokens = rb.column("tokens")
             tags = [[to_id.get(p, other) for p in predict(toks)] for toks in tokens.to_pylist()]
             yield pa.RecordBatch.from_arrays(
