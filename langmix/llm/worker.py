@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import functools
 
+from langmix.operators.batches import release
+
 BATCH_ROWS = 1024        # whole rows handed on at once
 _CACHES: dict[str, object] = {}
 
@@ -20,18 +22,6 @@ def cached(name: str, make):
     return _CACHES[name]
 
 
-def release() -> None:
-    """Hand freed memory of Arrow's pool and of the C heap back."""
-    import ctypes
-
-    import pyarrow as pa
-
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def tidy(run, keep: str | None = None):
     """``run`` for ``mapInArrow``: caches of other operators (all but those whose name begins with ``keep``) go before
     the first batch, freed memory after the last."""

@@ -7,13 +7,23 @@ end freed memory goes back to the system, as Spark keeps its workers."""
 
 from __future__ import annotations
 
-from langmix.llm.worker import release
-
 # --- Fixed values -----------------------------------------------------------
 MAX_ELEMENTS = 1 << 16   # array elements handed to a plug-in at once, or one row
 # -----------------------------------------------------------------------------
 
 
+def release() -> None:
+    """Hand freed memory of Arrow's pool and of the C heap back."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def bounded(batches, column: str, elements: int = MAX_ELEMENTS):
     """The batches in parts whose lists in ``column`` hold at most so many
     elements, or a single row that holds more."""
