@@ -22,7 +22,9 @@ WHITESPACE_CHARS = (
 # Regex class body for the same set (Java (?U)\s lacks U+001C..U+001F).
 _WS = r"\s\x1c-\x1f"
 WS_RUN = rf"(?U)[{_WS}]+"
-LINE_BREAK = r"\r\n|\r|\n"  # Python universal newlines
+# Python universal newlines: \r\n, \r or \n. One character class first, so that
+# a place without a line break costs one test.
+LINE_BREAK = r"[\r\n](?:(?<=\r)\n)?"
 
 # clean_text rules, in the order they are applied.
 CAMEL_START = r"^[A-Z][a-z0-9]+[A-Z]"
@@ -35,7 +37,8 @@ LONG_DIGITS = r"(?U)\b\d{10,12}\b"
 MY_PHONE = r"(?U)(\+6)?01\d-?\d{7,8}"
 SYMBOLS = r"[~=+/|]"
 ELLIPSIS = r"\.{2,}"
-PUNCT = "([.,!?()\\[\\]{};:\"”“\\-])"
+PUNCT_CHARS = ".,!?()\\[\\]{};:\"”“\\-"   # as a regex class body
+PUNCT = f"([{PUNCT_CHARS}])"
 # The reference also deletes a literal "(@)" right after MENTION; MENTION has
 # already consumed "@)" by then, so that rule can never fire and is omitted.
 CAMEL_MAX_TOKENS = 5
@@ -102,16 +105,21 @@ RULES = [
     (ELLIPSIS, " ... "),
     (PUNCT, " $1 "),
 ]
-SYMBOL_CHARS = "~=+/|"  # SYMBOLS as a character list, for ``translate``
+SYMBOL_CHARS = "~=+/|"  # SYMBOLS as a regex class body
+# What the last rules leave between spaces: SYMBOLS become spaces, PUNCT gets
+# spaces around it, and runs of whitespace become one space.
+TOKEN = rf"(?U)[^{_WS}{SYMBOL_CHARS}{PUNCT_CHARS}]+|[{PUNCT_CHARS}]"
 
 
 def rule_steps() -> list[tuple]:
-    """The same rules as ``(guard, rewrite)`` steps for a row operator that
-    keeps the current text in a column between steps. ``guard(t, digit)``
+    """The same rules up to ELLIPSIS, without SYMBOLS, as ``(guard, rewrite)``
+    steps for a row operator that keeps the current text in a column between
+    steps; the tokens of what they leave (:func:`clean_tokens`) are those of
+    :func:`clean_core`. ``guard(t, digit)``
     is a cheap test on the current text ``t`` (``digit``: the raw line holds
     a digit; earlier rules only delete text or insert spaces and dots, so
-    they never create one); the rule runs only where it can match. The
-    symbol rule is a character-for-character ``translate``."""
+    they never create one); the rule runs only where it can match. SYMBOLS
+    can wait: a symbol is no dot, so ELLIPSIS finds the same runs."""
     def rr(pattern, replacement):
         return lambda t: F.regexp_replace(t, pattern, replacement)
 
@@ -123,12 +131,16 @@ def rule_steps() -> list[tuple]:
         (lambda t, d: t.contains("#"), rr(HASHTAG, "$1")),
         (lambda t, d: d, rr(LONG_DIGITS, "")),
         (lambda t, d: d, rr(MY_PHONE, "")),
-        (None, lambda t: F.translate(t, SYMBOL_CHARS, " " * len(SYMBOL_CHARS))),
         (lambda t, d: t.contains(".."), rr(ELLIPSIS, " ... ")),
-        (None, rr(PUNCT, " $1 ")),
     ]
 
 
+def clean_tokens(c) -> Column:
+    """Tokens of a text that :func:`rule_steps` rewrote, in one scan: SYMBOLS,
+    PUNCT and the squeeze of whitespace only decide where tokens end."""
+    return F.regexp_extract_all(_c(c), F.lit(TOKEN), F.lit(0))
+
+
 def clean_core(c) -> Column:
     """The rewriting part of clean_text (rules applied in reference order),
     without the discard decisions. Returns the squeezed text."""

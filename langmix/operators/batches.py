@@ -9,6 +9,7 @@ from __future__ import annotations
 
 # --- Fixed values -----------------------------------------------------------
 MAX_ELEMENTS = 1 << 16   # array elements handed to a plug-in at once, or one row
+TEXT_BYTES = 4 << 20     # bytes of text split into tokens at once, or one row
 # -----------------------------------------------------------------------------
 
 
@@ -24,14 +25,40 @@ def release() -> None:
         trim(0)
 
 
+def _offsets(column):
+    """Where the rows of a list or string array begin and end."""
+    import numpy as np
+    import pyarrow as pa
+
+    if not pa.types.is_string(column.type):
+        return column.offsets.to_numpy().astype(np.int64)
+    if not len(column):
+        return np.zeros(1, np.int64)
+    return np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+
+
+def words(text):
+    """Lists of the tokens of single-spaced texts: none of an empty or null one."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lists = pc.split_pattern(text, " ")
+    values, sizes = lists.values, np.diff(lists.offsets.to_numpy())
+    empty = pc.fill_null(pc.equal(text, ""), False).to_numpy(zero_copy_only=False)
+    if empty.any():   # split into one empty token
+        values, sizes = values.filter(pa.array(np.repeat(~empty, sizes))), np.where(empty, 0, sizes)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), values)
+
+
 def bounded(batches, column: str, elements: int = MAX_ELEMENTS):
     """The batches in parts whose lists in ``column`` hold at most so many
-    elements, or a single row that holds more."""
+    elements (texts: bytes), or a single row that holds more."""
     import numpy as np
 
     try:
         for rb in batches:
-            ends = rb.column(column).offsets.to_numpy().astype(np.int64)
+            ends = _offsets(rb.column(column))
             at = 0
             while at < rb.num_rows:
                 to = max(at + 1, int(np.searchsorted(ends, ends[at] + elements, "right")) - 1)

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from langmix.functions.text import (MIN_TOKENS, WS_RUN, camel_discard, rule_steps, split_squeezed, split_ws,
-                                    token_count_squeezed)
+from langmix.functions.text import MIN_TOKENS, camel_discard, clean_tokens, rule_steps, split_squeezed, split_ws
 
 
 def clean_lines(df: DataFrame, text_col: str, keys: list[str], min_tokens: int = MIN_TOKENS,
@@ -27,11 +26,11 @@ def clean_lines(df: DataFrame, text_col: str, keys: list[str], min_tokens: int =
     # branches of the guard.
     for guard, rewrite in rule_steps():
         t = F.col("_t")
-        new = rewrite(t) if guard is None else F.when(guard(t, F.col("_dig")), rewrite(t)).otherwise(t)
-        step = step.select(*keys, "_dig", "_drop", new.alias("_t"))
-    step = step.select(*keys, "_drop", F.trim(F.regexp_replace("_t", WS_RUN, " ")).alias("_t"))
-    keep = (~F.col("_drop")) & (token_count_squeezed("_t") >= min_tokens)
-    return step.select(*keys, F.explode(F.when(keep, F.array("_t")).otherwise(F.array()))
+        step = step.select(*keys, "_dig", "_drop", F.when(guard(t, F.col("_dig")), rewrite(t)).otherwise(t).alias("_t"))
+    # the tokens are found and counted in one scan, and joined only where kept
+    step = step.select(*keys, "_drop", clean_tokens("_t").alias("_t"))
+    keep = (~F.col("_drop")) & (F.size("_t") >= min_tokens)
+    return step.select(*keys, F.explode(F.when(keep, F.array(F.array_join("_t", " "))).otherwise(F.array()))
                        .alias(out))
 
 

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from langmix.functions.labels import LABEL2ID
-from langmix.functions.text import split_squeezed, split_ws, strip_ws
-from langmix.operators.batches import bounded
+from langmix.functions.text import split_squeezed, split_ws, squeeze_ws, strip_ws
+from langmix.operators.batches import TEXT_BYTES, bounded, words
 from langmix.session import ship_package, stored
 
 # --- Fixed values -----------------------------------------------------------
@@ -25,7 +25,6 @@ MIN_COUNT = 2                   # token must occur at least this often
 MIN_PURITY_PCT = 60             # best language share, in percent
 BLOCK_BYTES = 32 << 20          # lexicon text in the broadcast, at most about
 BLOCK_LINES = 4096              # lines that ask a larger lexicon together
-LOOK_UP_TOKENS = 1 << 20        # tokens looked up in one pass
 # -----------------------------------------------------------------------------
 
 
@@ -63,12 +62,47 @@ def token_counts(token_lang: DataFrame, token_col: str = "token", lang_col: str
     """``(token, lang, n)`` of the words of one part of a corpus. Counts of
     several parts, kept side by side, add up (:func:`add_counts`)."""
     t = token_lang.select(F.lower(token_col).alias("token"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL")
-    counts = t.groupBy("token", "lang").agg(F.count(F.lit(1)).alias("n"))
+    return _words_only(t.groupBy("token", "lang").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _words_only(counts: DataFrame) -> DataFrame:
     # a test that names the count stays above the aggregation, so each distinct
     # token is matched, not each occurrence
     return counts.where(F.when(F.col("n") > 0, F.col("token").rlike(WORD)))
 
 
+def _count_words(batches):
+    """(token, lang, n) of the distinct tokens of each part of the lines."""
+    import numpy as np
+    import pyarrow as pa
+
+    for rb in bounded(batches, "_lower", TEXT_BYTES):
+        lists = words(rb.column("_lower"))
+        tokens, langs = lists.flatten().dictionary_encode(), rb.column("lang").dictionary_encode()
+        lines = np.diff(lists.offsets.to_numpy())
+        pairs = np.repeat(langs.indices.to_numpy().astype(np.int64), lines) * len(tokens.dictionary) + tokens.indices.to_numpy()
+        size = len(tokens.dictionary) * len(langs.dictionary)
+        if size > 4 * len(pairs):   # many languages: sorted, not counted in place
+            pairs, n = np.unique(pairs, return_counts=True)
+        else:
+            every = np.bincount(pairs, minlength=size)
+            pairs = np.flatnonzero(every)
+            n = every[pairs]
+        lang, token = np.divmod(pairs, max(len(tokens.dictionary), 1))
+        yield pa.RecordBatch.from_arrays([tokens.dictionary.take(pa.array(token)), langs.dictionary.take(pa.array(lang)), pa.array(n)],
+                                         names=["token", "lang", "n"])
+
+
+def line_token_counts(lines: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """:func:`token_counts` of the tokens of single-spaced lines. Each Arrow
+    batch of lines is split and counted at once, so a task's aggregation gets
+    a row for each distinct token of a batch, not one for each token."""
+    ship_package(lines.sparkSession)
+    lang = lines.schema[lang_col].dataType.simpleString()
+    src = lines.select(F.lower(text_col).alias("_lower"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL")
+    return _words_only(add_counts(src.mapInArrow(_count_words, f"token string, lang {lang}, n bigint")))
+
+
 def add_counts(parts: DataFrame) -> DataFrame:
     """Counts of any number of parts as those of the whole corpus."""
     return parts.groupBy("token", "lang").agg(F.sum("n").alias("n"))
@@ -152,14 +186,14 @@ def _tags_of(lower, known, confidence: bool) -> list:
 
 def _look_up(block, names: list[str], confidence: bool):
     """Tags of all tokens of an Arrow batch at once; the last column holds the
-    lower-cased tokens."""
+    lower-cased, single-spaced texts."""
     def run(batches):
         import pyarrow as pa
 
         known = pa.ipc.open_stream(block.value).read_all().combine_chunks()
         added = ["ner_tags", "shares"] if confidence else ["ner_tags"]
-        for rb in bounded(batches, "_lower", LOOK_UP_TOKENS):
-            yield pa.RecordBatch.from_arrays([*rb.columns[:-1], *_tags_of(rb.column("_lower"), known, confidence)],
+        for rb in bounded(batches, "_lower", TEXT_BYTES):
+            yield pa.RecordBatch.from_arrays([*rb.columns[:-1], *_tags_of(words(rb.column("_lower")), known, confidence)],
                                              names=[*names, *added])
     return run
 
@@ -202,23 +236,29 @@ def tag_lines(lines: DataFrame, lexicon: DataFrame | PreparedLexicon, keys: list
 
     Against a broadcast lexicon tokens are looked up in the row, one
     vectorized look-up per Arrow batch: nothing is exploded, joined or
-    shuffled. A larger lexicon is joined with the distinct tokens of blocks of
+    shuffled, and lines go to Python and back as text, which is split where
+    tokens are used. A larger lexicon is joined with the distinct tokens of blocks of
     ``block_lines`` lines, so neither the lexicon nor a part of it passes
     through the driver. ``confidence`` adds ``shares``: of each tagged token,
     in order, the share that its language has of the token's occurrences."""
     if not isinstance(lexicon, PreparedLexicon):
         lexicon = PreparedLexicon(lexicon, lang_to_tag)
-    split = split_squeezed if squeezed else split_ws
     full = F.col(text_col) != "" if squeezed else strip_ws(text_col) != ""
-    src = (lines if keep_empty else lines.where(full)).select(
-        *keys, split(F.col(text_col)).alias("tokens"),
-        F.coalesce(split(F.lower(text_col)), F.array().cast("array<string>")).alias("_lower"))
+    text = F.col(text_col) if squeezed else squeeze_ws(text_col)
+    src = (lines if keep_empty else lines.where(full)).select(*keys, text.alias("_text"))
+    added = ["ner_tags", "shares"] if confidence else ["ner_tags"]
+    if lexicon.block is None:
+        src = src.select(*keys, split_squeezed("_text").alias("tokens"),
+                         F.coalesce(split_squeezed(F.lower("_text")), F.array().cast("array<string>")).alias("_lower"))
+    else:
+        src = src.select(*keys, "_text", F.coalesce(F.lower("_text"), F.lit("")).alias("_lower"))
     names = src.columns[:-1]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]], "ner_tags array<int>",
                         *(["shares array<double>"] if confidence else [])])
     if lexicon.block is None:
         return _join_blocks(src, lexicon.entries, names, schema, block_lines, confidence)
-    return src.mapInArrow(_look_up(lexicon.block, names, confidence), schema)
+    tagged = src.mapInArrow(_look_up(lexicon.block, names, confidence), schema)
+    return tagged.select(*keys, split_squeezed("_text").alias("tokens"), *added)
 
 
 def model_tag_lines(lines: DataFrame, keys: list[str], text_col: str,

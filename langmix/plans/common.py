@@ -67,8 +67,7 @@ def doc_languages(spark, sf_dir) -> list[str] | None:
 def lexicon_from(clean: DataFrame, languages: list[str] | None = None) -> DataFrame:
     """Lexicon from cleaned (single-spaced) lines; each line is lowercased
     once before the split instead of each token after it."""
-    toks = clean.select(F.explode(split_squeezed(F.lower("text"))).alias("token"), "lang")
-    return tagging.build_lexicon(toks, languages=languages)
+    return tagging.lexicon_of(tagging.line_token_counts(clean), languages=languages)
 
 
 def doc_lexicon(spark, sf_dir) -> DataFrame:
