@@ -9,6 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+FEW_CLASSES = 8   # size of a logit vector up to which its sum is written out
+
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -39,5 +42,16 @@ def max_prob(logits) -> Column:
     """Probability of the chosen class: its term is exp(0), so the largest of
     the softmax is one by the sum."""
     a = _c(logits)
+    m = F.array_max(a)
+    # few classes are summed in compiled code, in the same order; a lambda is interpreted for every element
+    few = F.lit(0.0)
+    for i in range(FEW_CLASSES):
+        few = few + F.when(F.size(a) > i, F.exp(F.get(a, F.lit(i)) - m)).otherwise(F.lit(0.0))
+    return F.when(m.isNotNull(), F.when(F.size(a) > FEW_CLASSES, max_prob_of_any(a)).otherwise(F.lit(1.0) / few))
+
+
+def max_prob_of_any(logits) -> Column:
+    """:func:`max_prob` for use in a lambda, where nothing is compiled."""
+    a = _c(logits)
     s = bound(lambda a, m: F.aggregate(a, F.lit(0.0).cast("double"), lambda acc, x: acc + F.exp(x - m)), a=a, m=F.array_max(a))
     return F.when(F.array_max(a).isNotNull(), F.lit(1.0) / s)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from langmix.functions.arrays import bound
 from langmix.functions.labels import IGNORE_INDEX
-from langmix.operators.batches import bounded
+from langmix.operators.batches import bounded, int_lists, lists
 from langmix.session import ship_package
 
 # --- Fixed values -----------------------------------------------------------
@@ -102,7 +102,8 @@ def encode_batches(df: DataFrame, tokens_col: str,
     """User sub-word encoder through ``mapInArrow``: all columns pass through,
     ``input_ids`` and ``word_ids`` are added. The factory runs once per task;
     the encoder gets a batch of pre-split sentences and returns their ids and
-    word indexes. Sentences stay whole: align (``align_labels``), then cut
+    word indexes: lists with None at special positions, or integer arrays with
+    -1 there. Sentences stay whole: align (``align_labels``), then cut
     (``windows``)."""
     import pyarrow as pa
 
@@ -111,10 +112,9 @@ def encode_batches(df: DataFrame, tokens_col: str,
     def run(batches):
         encode = encoder_factory()
         for rb in bounded(batches, tokens_col):
-            ids, words = encode([toks or [] for toks in rb.column(tokens_col).to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [*[rb.column(k) for k in keep], pa.array(ids, pa.list_(pa.int32())),
-                 pa.array(words, pa.list_(pa.int32()))], names=[*keep, "input_ids", "word_ids"])
+            ids, words = encode(lists(rb.column(tokens_col)))
+            yield pa.RecordBatch.from_arrays([*[rb.column(k) for k in keep], int_lists(ids), int_lists(words, -1)],
+                                             names=[*keep, "input_ids", "word_ids"])
 
     ship_package(df.sparkSession)
     return df.mapInArrow(run, f"{schema}, input_ids array<int>, word_ids array<int>")

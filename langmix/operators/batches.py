@@ -37,14 +37,35 @@ def _offsets(column):
     return np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
 
 
+def lists(column) -> list[list]:
+    """Rows of a list array as Python lists, a null row as an empty one.
+    The elements become objects together: ``to_pylist`` makes an Arrow scalar
+    of each first."""
+    flat, ends = column.values.to_numpy(zero_copy_only=False).tolist(), column.offsets.to_numpy().tolist()
+    return [flat[a:b] if ok else [] for a, b, ok in zip(ends, ends[1:], column.is_valid().to_numpy(zero_copy_only=False))]
+
+
+def int_lists(rows, none: int | None = None):
+    """``array<int>`` of rows that are lists, with None for null, or all of
+    them integer arrays, in which ``none`` and less stands for null."""
+    import numpy as np
+    import pyarrow as pa
+
+    if not rows or not all(isinstance(r, np.ndarray) for r in rows):
+        return pa.array(rows, pa.list_(pa.int32()))
+    flat = np.concatenate(rows)
+    values = pa.array(flat.astype(np.int32), mask=None if none is None else flat <= none)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), values)
+
+
 def words(text):
     """Lists of the tokens of single-spaced texts: none of an empty or null one."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    lists = pc.split_pattern(text, " ")
-    values, sizes = lists.values, np.diff(lists.offsets.to_numpy())
+    cut = pc.split_pattern(text, " ")
+    values, sizes = cut.values, np.diff(cut.offsets.to_numpy())
     empty = pc.fill_null(pc.equal(text, ""), False).to_numpy(zero_copy_only=False)
     if empty.any():   # split into one empty token
         values, sizes = values.filter(pa.array(np.repeat(~empty, sizes))), np.where(empty, 0, sizes)

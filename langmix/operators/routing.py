@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from langmix.functions.arrays import argmax, bound, max_prob
+from langmix.functions.arrays import argmax, bound, max_prob_of_any
 from langmix.functions.labels import parse_tagged
 from langmix.functions.text import prompt, split_ws
 from langmix.operators.batches import bounded
@@ -80,7 +80,7 @@ def predict(df: DataFrame, model_col: str, text_col: str) -> DataFrame:
     is_sequence = F.col("decoded").isNotNull()
     parsed = got.withColumn("_p", parse_tagged("decoded")).withColumn(
         "_steps", F.when(is_sequence, F.col("logits")).otherwise(first_pieces("word_ids", "logits")))
-    mean = F.aggregate(F.transform("_steps", max_prob), F.lit(0.0), lambda acc, x: acc + x) / F.size("_steps")
+    mean = F.aggregate(F.transform("_steps", max_prob_of_any), F.lit(0.0), lambda acc, x: acc + x) / F.size("_steps")
     return parsed.select(
         *df.columns, F.when(is_sequence, F.col("_p.token")).otherwise(F.col("_tokens")).alias("tokens"),
         F.when(is_sequence, F.col("_p.label_id")).otherwise(F.transform("_steps", lambda x: argmax(x).cast("int"))).alias("labels"),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from langmix.functions.labels import LABEL2ID
 from langmix.functions.text import split_squeezed, split_ws, squeeze_ws, strip_ws
-from langmix.operators.batches import TEXT_BYTES, bounded, words
+from langmix.operators.batches import TEXT_BYTES, bounded, lists, words
 from langmix.session import ship_package, stored
 
 # --- Fixed values -----------------------------------------------------------
@@ -77,9 +77,9 @@ def _count_words(batches):
     import pyarrow as pa
 
     for rb in bounded(batches, "_lower", TEXT_BYTES):
-        lists = words(rb.column("_lower"))
-        tokens, langs = lists.flatten().dictionary_encode(), rb.column("lang").dictionary_encode()
-        lines = np.diff(lists.offsets.to_numpy())
+        split = words(rb.column("_lower"))
+        tokens, langs = split.values.dictionary_encode(), rb.column("lang").dictionary_encode()
+        lines = np.diff(split.offsets.to_numpy())
         pairs = np.repeat(langs.indices.to_numpy().astype(np.int64), lines) * len(tokens.dictionary) + tokens.indices.to_numpy()
         size = len(tokens.dictionary) * len(langs.dictionary)
         if size > 4 * len(pairs):   # many languages: sorted, not counted in place
@@ -281,7 +281,7 @@ def model_tag_lines(lines: DataFrame, keys: list[str], text_col: str,
         predict = model_factory()
         for rb in bounded(batches, "tokens"):
             tokens = rb.column("tokens")
-            tags = [[to_id.get(p, other) for p in predict(toks)] for toks in tokens.to_pylist()]
+            tags = [[to_id.get(p, other) for p in predict(toks)] for toks in lists(tokens)]
             yield pa.RecordBatch.from_arrays(
                 [rb.column(k) for k in keys] + [tokens, pa.array(tags, pa.list_(pa.int32()))],
                 names=list(keys) + ["tokens", "ner_tags"])

@@ -99,16 +99,26 @@ class StubEncoder:
     id = code point of the piece's first character; 101/102 specials."""
 
     def __call__(self, sentences):
+        import itertools
+
         import numpy as np
 
-        out_ids, out_words = [], []
-        for tokens in sentences:
-            firsts = [t[::4] or "\0" for t in tokens]   # the first character of every piece
-            sizes = np.fromiter(map(len, firsts), np.int64, len(firsts))
-            codes = np.frombuffer("".join(firsts).encode("utf-32-le"), np.uint32)
-            out_ids.append(np.concatenate(([101], codes, [102])).astype(np.int32))
-            out_words.append([None, *np.repeat(np.arange(len(firsts)), sizes).tolist(), None])
-        return out_ids, out_words
+        sizes = np.fromiter(map(len, sentences), np.int64, len(sentences))
+        tokens = [t or "\0" for t in itertools.chain.from_iterable(sentences)]
+        chars = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        pieces = (chars + 3) // 4
+        word = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)   # index in its sentence
+        first = np.repeat(np.cumsum(chars) - chars - 4 * (np.cumsum(pieces) - pieces), pieces) + 4 * np.arange(pieces.sum())
+        codes = np.frombuffer("".join(tokens).encode("utf-32-le"), np.uint32)[first].astype(np.int32)
+        every = np.concatenate(([0], np.cumsum(pieces)))[np.cumsum(sizes)]   # pieces up to the end of each sentence
+        cuts = np.concatenate(([0], every + 2 * np.arange(1, len(sizes) + 1)))
+        ids, words = np.full(cuts[-1], 102, np.int32), np.full(cuts[-1], -1, np.int32)   # -1: no word
+        ids[cuts[:-1]] = 101
+        body = np.ones(len(ids), bool)
+        body[cuts[:-1]] = body[cuts[1:] - 1] = False
+        ids[body], words[body] = codes, np.repeat(word, pieces)
+        cuts = cuts.tolist()
+        return [[x[a:b] for a, b in zip(cuts, cuts[1:])] for x in (ids, words)]
 
 
 class StubScorer:

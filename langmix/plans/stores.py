@@ -33,7 +33,7 @@ class RoutedClassifier:
 
     def __call__(self, sentences):
         ids, words = self.encode(sentences)
-        return [(w, s.tolist()) for w, s in zip(words, self.score(ids))]
+        return [([None if x < 0 else x for x in w.tolist()], s.tolist()) for w, s in zip(words, self.score(ids))]
 
 
 class RoutedSequence:
