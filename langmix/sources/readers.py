@@ -117,7 +117,9 @@ def judged_lines(spark: SparkSession, path: str, schema: str = LABELLED_SCHEMA)
     parsed = F.from_json("value", f"{schema}, _corrupt_record string",
                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     names = [f.strip().split(" ")[0] for f in schema.split(",")]
-    t = lines.select("file", "global_line_no", "value", (strip_ws("value") == "").alias("is_blank"), parsed.alias("_p"))
+    # behind a generator: a filter on the record would be pushed below the
+    # projection and parse every line once more
+    t = lines.select("file", "global_line_no", "value", (strip_ws("value") == "").alias("is_blank"), F.explode(F.array(parsed)).alias("_p"))
     bad = F.col("_p").isNull() | F.col("_p._corrupt_record").isNotNull()
     for name in names:
         bad = bad | F.col(f"_p.{name}").isNull()
@@ -152,7 +154,8 @@ def load_lookup(spark: SparkSession, path: str, on_bad: str = "skip", with_key:
         if first_bad is not None:
             lines = lines.where(F.col("global_line_no") < F.lit(first_bad))
     good = lines.where("NOT is_bad").select(F.col("record").alias("r"), F.col("global_line_no").alias("seq"))
-    keyed = good.select(normalize_text(F.array_join("r.tokens", " ")).alias("key"),
+    # behind a generator as well, or the test for a null key normalizes twice
+    keyed = good.select(F.explode(F.array(normalize_text(F.array_join("r.tokens", " ")))).alias("key"),
                         F.col("r.ner_tags").alias("ner_tags"), "seq")
     found = lookup.last_wins(keyed, "key", "seq", ["ner_tags", *(["key"] if with_key else [])])
     return found.select(*(["key"] if with_key else ["hi", "lo"]), "ner_tags", "seq")
