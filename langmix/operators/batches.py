@@ -7,9 +7,13 @@ end freed memory goes back to the system, as Spark keeps its workers."""
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 # --- Fixed values -----------------------------------------------------------
 MAX_ELEMENTS = 1 << 16   # array elements handed to a plug-in at once, or one row
 TEXT_BYTES = 4 << 20     # bytes of text split into tokens at once, or one row
+NUMBER_ROWS = {"spark.sql.execution.arrow.maxBytesPerBatch": str((1 << 31) - 1),   # no limit
+               "spark.sql.execution.arrow.maxRecordsPerBatch": "65536"}
 # -----------------------------------------------------------------------------
 
 
@@ -25,6 +29,21 @@ def release() -> None:
         trim(0)
 
 
+@contextmanager
+def all_batches(spark):
+    """While rows of a few numbers each are handed to Python by a job inside:
+    without the test of a batch's bytes, which Spark makes at every row and
+    which costs more than the row, and with more rows a batch."""
+    held = {k: spark.conf.get(k, None) for k in NUMBER_ROWS}
+    try:
+        for k, v in NUMBER_ROWS.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def _offsets(column):
     """Where the rows of a list or string array begin and end."""
     import numpy as np

@@ -153,10 +153,7 @@ class PreparedLexicon:
         size = self.entries.agg(F.sum(F.octet_length("token") + 16)).first()[0] or 0
         self.block = None
         if size <= block_bytes:
-            rows = self.entries.collect()
-            known = pa.table({"token": pa.array([r["token"] for r in rows], pa.string()),
-                              "tag": pa.array([r["tag"] for r in rows], pa.int32()),
-                              "share": pa.array([r["share"] for r in rows], pa.float64())})
+            known = self.entries.toArrow()   # no Python object a row on the driver
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, known.schema) as out:
                 out.write_table(known)

@@ -441,8 +441,10 @@ def align_long(spark, sf):
 
 def align_stored(spark, sf):
     """The long form of the walk, over sub-word rows and word labels stored apart."""
-    t = stored(tagged_doc_lines(spark, sf))
-    sub = t.select("doc_id", "line_no", F.posexplode(AL.piece_word_ids("tokens")).alias("sub_pos", "word_idx"))
+    t = tagged_doc_lines(spark, sf)
+    # numbers only: they take a small part of the tokens' place
+    t = stored(t.select("doc_id", "line_no", AL.piece_word_ids("tokens").alias("word_ids"), "ner_tags"))
+    sub = t.select("doc_id", "line_no", F.posexplode("word_ids").alias("sub_pos", "word_idx"))
     words = t.select("doc_id", "line_no", F.posexplode("ner_tags").alias("word_idx", "label"))
     out = AL.align_long(sub, words, ["doc_id", "line_no"])
     return out.select("doc_id", "line_no", F.col("sub_pos").cast("long"),

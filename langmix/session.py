@@ -121,5 +121,5 @@ def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     lineage as :func:`materialize` does, and later uses read only the columns
     they need. Order and partitions aren't kept."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
