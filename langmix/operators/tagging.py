@@ -24,7 +24,8 @@ WORD = r"^\p{L}+$"              # lexicon entries: letters only
 MIN_COUNT = 2                   # token must occur at least this often
 MIN_PURITY_PCT = 60             # best language share, in percent
 BLOCK_BYTES = 32 << 20          # lexicon text in the broadcast, at most about
-BLOCK_LINES = 4096              # lines that ask a larger lexicon together
+BLOCK_LINES = 1 << 15           # lines that ask a larger lexicon together, at most
+BLOCK_TEXT = 8 << 20            # and their text, about
 # -----------------------------------------------------------------------------
 
 
@@ -195,14 +196,56 @@ def _look_up(block, names: list[str], confidence: bool):
     return run
 
 
+def _blocks(names: list[str], block_lines: int):
+    """Lines in blocks, a row each: its number, the lines (compressed Arrow;
+    lower-cased texts only where Arrow lower-cases otherwise than Spark), and
+    the distinct tokens that it asks for."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 33
+
+        def block(parts):
+            lines = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            lower, sink = lines.column("_lower"), pa.BufferOutputStream()
+            plain = pc.fill_null(pc.equal(pc.utf8_lower(lines.column("_text")), lower), False).to_numpy(zero_copy_only=False)
+            other = lower.take(pa.array(np.arange(len(plain)), mask=plain))
+            kept = pa.RecordBatch.from_arrays([*lines.columns[:-1], other], names=[*names, "_other"])
+            with pa.ipc.new_stream(sink, kept.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(kept)
+            asked = words(lower).flatten().unique()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+                 pa.ListArray.from_arrays(pa.array([0, len(asked)], pa.int32()), asked)], names=["_block", "_lines", "_asked"])
+
+        held, lines, size = [], 0, 0
+        for rb in bounded(batches, "_lower", TEXT_BYTES):
+            while rb.num_rows:
+                part = rb.slice(0, block_lines - lines)
+                rb = rb.slice(part.num_rows)
+                held, lines = [*held, part], lines + part.num_rows
+                size += pc.sum(pc.binary_length(part.column("_lower"))).as_py()
+                if lines >= block_lines or size >= BLOCK_TEXT:
+                    yield block(held)
+                    held, lines, size, number = [], 0, 0, number + 1
+        if held:
+            yield block(held)
+    return run
+
+
 def _map_back(names: list[str], confidence: bool):
     """Tags of one block of lines from the answers its tokens got."""
-    def run(lines, answers):
+    def run(block, answers):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         added = ["ner_tags", "shares"] if confidence else ["ner_tags"]
-        found = _tags_of(lines.column("_lower").combine_chunks(), answers, confidence)
-        return pa.table([*[lines.column(n) for n in names], *found], names=[*names, *added])
+        lines = pa.ipc.open_stream(block.column("_lines")[0].as_buffer()).read_all().combine_chunks()
+        lower = pc.coalesce(lines.column("_other"), pc.utf8_lower(lines.column("_text"))).combine_chunks()
+        return pa.table([*[lines.column(n) for n in names], *_tags_of(words(lower), answers, confidence)], names=[*names, *added])
     return run
 
 
@@ -210,16 +253,14 @@ def _join_blocks(src: DataFrame, entries: DataFrame, names: list[str], schema: s
                  confidence: bool) -> DataFrame:
     """Tags by a join in Spark: each block of lines asks once for every
     distinct token, so a frequent token costs a row a block (a hot one is left
-    to AQE's skew join), and the answers go back to their block."""
-    spark = src.sparkSession
-    n = 1 + (1 << 33) // block_lines   # blocks of a partition have numbers of their own
-    at = F.monotonically_increasing_id()
-    block = F.shiftright(at, 33) * n + F.floor(at.bitwiseAND((1 << 33) - 1) / block_lines)
-    lines = stored(src.withColumn("_block", block.cast("long")))
-    asked = lines.select(F.col("_block").alias("_at"), F.explode(F.array_distinct("_lower")).alias("token")).distinct()
-    answers = asked.join(entries, "token").select("_at", "token", "tag", "share")
-    ship_package(spark)
-    return lines.groupBy("_block").cogroup(answers.groupBy("_at")).applyInArrow(_map_back(names, confidence), schema)
+    to AQE's skew join), and the answers go back to their block, which travels
+    compressed."""
+    ship_package(src.sparkSession)
+    blocks = stored(src.mapInArrow(_blocks(names, block_lines), "_block bigint, _lines binary, _asked array<string>"), "blocks")
+    asked = blocks.select(F.col("_block").alias("_at"), F.explode("_asked").alias("token"))
+    answers = asked.join(entries, "token").select("_at", "token", "tag", *(["share"] if confidence else []))
+    return blocks.select("_block", "_lines").groupBy("_block").cogroup(answers.groupBy("_at")).applyInArrow(
+        _map_back(names, confidence), schema)
 
 
 def tag_lines(lines: DataFrame, lexicon: DataFrame | PreparedLexicon, keys: list[str], text_col: str,
@@ -244,17 +285,14 @@ def tag_lines(lines: DataFrame, lexicon: DataFrame | PreparedLexicon, keys: list
     text = F.col(text_col) if squeezed else squeeze_ws(text_col)
     src = (lines if keep_empty else lines.where(full)).select(*keys, text.alias("_text"))
     added = ["ner_tags", "shares"] if confidence else ["ner_tags"]
-    if lexicon.block is None:
-        src = src.select(*keys, split_squeezed("_text").alias("tokens"),
-                         F.coalesce(split_squeezed(F.lower("_text")), F.array().cast("array<string>")).alias("_lower"))
-    else:
-        src = src.select(*keys, "_text", F.coalesce(F.lower("_text"), F.lit("")).alias("_lower"))
+    src = src.select(*keys, "_text", F.coalesce(F.lower("_text"), F.lit("")).alias("_lower"))
     names = src.columns[:-1]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]], "ner_tags array<int>",
                         *(["shares array<double>"] if confidence else [])])
     if lexicon.block is None:
-        return _join_blocks(src, lexicon.entries, names, schema, block_lines, confidence)
-    tagged = src.mapInArrow(_look_up(lexicon.block, names, confidence), schema)
+        tagged = _join_blocks(src, lexicon.entries, names, schema, block_lines, confidence)
+    else:
+        tagged = src.mapInArrow(_look_up(lexicon.block, names, confidence), schema)
     return tagged.select(*keys, split_squeezed("_text").alias("tokens"), *added)
 
 
