@@ -61,6 +61,11 @@ def strip_ws(c) -> Column:
     return F.trim(_c(c), F.lit(WHITESPACE_CHARS))
 
 
+def is_blank(c) -> Column:
+    """``strip_ws(c) == ""``, told by the first character that is no whitespace."""
+    return F.ltrim(_c(c), F.lit(WHITESPACE_CHARS)) == ""
+
+
 def squeeze_ws(c) -> Column:
     """``' '.join(s.split())``."""
     return F.trim(F.regexp_replace(_c(c), WS_RUN, " "))

@@ -83,13 +83,12 @@ def optional_sources(spark, sf):
 
 
 def _lookup_file(spark, sf):
-    t = stored(tagged_doc_lines(spark, sf))  # three branches read it
-    good = t.select("doc_id", "line_no", F.lit(0).alias("kind"),
-                    F.to_json(F.struct("tokens", "ner_tags")).alias("line"))
-    first_line = F.col("line_no") == 0
-    blank = t.where((F.col("doc_id") % BLANK_EVERY == BLANK_AT) & first_line).select(
+    # three branches read it, and writing in order reads it more than once: made into text once
+    t = stored(tagged_doc_lines(spark, sf).select("doc_id", "line_no", F.to_json(F.struct("tokens", "ner_tags")).alias("line")))
+    good = t.select("doc_id", "line_no", F.lit(0).alias("kind"), "line")
+    blank = t.where((F.col("doc_id") % BLANK_EVERY == BLANK_AT) & (F.col("line_no") == 0)).select(
         "doc_id", "line_no", F.lit(1), F.lit("   "))
-    bad = t.where((F.col("doc_id") % BAD_EVERY == BAD_AT) & first_line).select(
+    bad = t.where((F.col("doc_id") % BAD_EVERY == BAD_AT) & (F.col("line_no") == 0)).select(
         "doc_id", "line_no", F.lit(2), F.lit('{"tokens": ["broken"'))
     path = scratch_path(spark, "lookup")
     sinks.write_text(good.union(blank).union(bad), "line", path, ["doc_id", "line_no", "kind"])

@@ -6,14 +6,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from langmix.functions.text import normalize_text, strip_ws
+from langmix.functions.arrays import bound
+from langmix.functions.text import is_blank, normalize_text
 from langmix.operators import lookup
 from langmix.operators.ordering import global_rank
-from langmix.session import materialize
+from langmix.session import materialize, stored
 from langmix.sources.commit import fingerprint, listing, read_manifest, write_manifest
 
 # --- Fixed values -----------------------------------------------------------
 LABELLED_SCHEMA = "tokens array<string>, ner_tags array<int>"
+MAX_SPLITS = 100_000   # input splits whose offsets are broadcast, some 200 bytes each
 # -----------------------------------------------------------------------------
 
 
@@ -81,13 +83,15 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     Files may be split across tasks. Each input split is read in order into
     one task, so ``monotonically_increasing_id`` is consecutive inside a
     split; a split's offset is the line count of the earlier splits of its
-    file. The per-split table has one row per task; whether it is broadcast is
-    left to the planner, which knows its size. Files are ordered by path."""
+    file. The per-split table has one row per split and is counted first: up to
+    ``MAX_SPLITS`` it is broadcast, so that no line moves to get its number;
+    beyond, that is left to the planner. Files are ordered by path."""
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_block"), "value")
     t = raw.withColumn("_mid", F.monotonically_increasing_id())
-    blocks = t.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    blocks = stored(t.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first")), "splits")
+    few = blocks.count() <= MAX_SPLITS
     by_file = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(by_file), F.lit(0)))
     files = blocks.groupBy("file").agg(F.sum("_n").alias("_fn"))
@@ -95,7 +99,7 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     files = files.select("file", F.row_number().over(Window.orderBy("file")).alias("file_rank"),
                          F.coalesce(F.sum("_fn").over(every), F.lit(0)).alias("_foff"))
     meta = blocks.join(files, "file").select("file", "_block", "_off", "_first", "file_rank", "_foff")
-    j = t.join(meta, ["file", "_block"])
+    j = t.join(F.broadcast(meta) if few else meta, ["file", "_block"])
     line_no = F.col("_off") + F.col("_mid") - F.col("_first") + 1
     return j.select("file", line_no.alias("line_no"), F.col("file_rank").cast("long"),
                     (F.col("_foff") + line_no).alias("global_line_no"), "value")
@@ -119,7 +123,7 @@ def judged_lines(spark: SparkSession, path: str, schema: str = LABELLED_SCHEMA)
     names = [f.strip().split(" ")[0] for f in schema.split(",")]
     # behind a generator: a filter on the record would be pushed below the
     # projection and parse every line once more
-    t = lines.select("file", "global_line_no", "value", (strip_ws("value") == "").alias("is_blank"), F.explode(F.array(parsed)).alias("_p"))
+    t = lines.select("file", "global_line_no", "value", is_blank("value").alias("is_blank"), F.explode(F.array(parsed)).alias("_p"))
     bad = F.col("_p").isNull() | F.col("_p._corrupt_record").isNotNull()
     for name in names:
         bad = bad | F.col(f"_p.{name}").isNull()
@@ -155,7 +159,8 @@ def load_lookup(spark: SparkSession, path: str, on_bad: str = "skip", with_key:
             lines = lines.where(F.col("global_line_no") < F.lit(first_bad))
     good = lines.where("NOT is_bad").select(F.col("record").alias("r"), F.col("global_line_no").alias("seq"))
     # behind a generator as well, or the test for a null key normalizes twice
-    keyed = good.select(F.explode(F.array(normalize_text(F.array_join("r.tokens", " ")))).alias("key"),
+    key = bound(lambda text: normalize_text(text), text=F.array_join("r.tokens", " "))   # joined once, read in several places
+    keyed = good.select(F.explode(F.array(key)).alias("key"),
                         F.col("r.ner_tags").alias("ner_tags"), "seq")
     found = lookup.last_wins(keyed, "key", "seq", ["ner_tags", *(["key"] if with_key else [])])
     return found.select(*(["key"] if with_key else ["hi", "lo"]), "ner_tags", "seq")
